@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact_dedup, pii, quality, toxicity
+from lamina.llm import decontaminate, exact_dedup, lm, packing, pii, quality, toxicity
 from lamina.llm.common import LOWER, UPPER, fold, table
 
 
@@ -36,6 +36,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), quality.THRESHOLD)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), toxicity.THRESHOLD)
 
@@ -53,7 +61,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op2_exact_dedup, op3_pii, op4_quality, op7_toxicity, op8_decontaminate)}
+QUERIES = {q.__name__: q for q in (op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate)}
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
