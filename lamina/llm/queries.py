@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact_dedup, lm, packing, pii, quality, toxicity
+from lamina.llm import decontaminate, exact_dedup, jaccard, lm, packing, pii, quality, toxicity
 from lamina.llm.common import LOWER, UPPER, fold, table
 
 
@@ -61,7 +61,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate)}
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard)}
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
