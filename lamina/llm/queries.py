@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact_dedup, jaccard, lm, packing, pii, quality, toxicity
+from lamina.llm import decontaminate, exact_dedup, jaccard, lm, packing, pii, quality, suffix_dedup, toxicity
 from lamina.llm.common import LOWER, UPPER, fold, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.dedup_table(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -65,7 +69,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard)}
+QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard)}
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
