@@ -10,9 +10,9 @@ more empty fragments than SPARE shows them as well.
 
 Overlaps of candidates are counted in each of VERTICAL fragments apart and summed by pair.
 Equal sets are collapsed first. Then only what connects is compared: every set with the
-hub that it shares most fragments with, twice; after that, all pairs that share a fragment
-but aren't connected yet. No pair within a connected group is emitted, and none that could
-connect two groups is left out.
+hub that it shares most fragments with, twice; after that, in blocks of bounded size, the
+sets that share a fragment but aren't connected yet. No list of a group's pairs is ever made,
+and no pair that could connect two groups is left out.
 
 The result is one row for each row of documents: doc_id, n_shingles, component_id, the
 smallest doc_id reachable by links. Fewer words than n are one n-gram; texts without words,
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.graph import connected_components
@@ -36,6 +36,8 @@ from lamina.session import Workspace
 
 SHINGLE, NUM, DEN = 3, 90, 100
 SPARE, STEPS, VERTICAL = 2, 3, 8
+#: Sets of a bucket that are compared with each other in one task.
+BLOCK = 200
 CACHE_WORDS = 300_000
 #: Ids that may be broadcast to pick candidates' texts; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -90,6 +92,11 @@ class SizeClasses:
         most = self.starts[c + 1] - 1
         return 2 * most * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
 
+    def need(self, size: int, c: int, shown: int) -> int:
+        """How many of the shown fragments a similar set shares at least."""
+        most = (size + size * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+        return max(1, self.fragments(c) - most - (self.fragments(c) - shown))
+
     def of(self, size: int) -> list[int]:
         c = self.at(size)
         return [c, c + 1] if size * self.den // self.num >= self.starts[c + 1] else [c]
@@ -103,6 +110,7 @@ def fragment_keys(hashes: np.ndarray, c: int, count: int) -> np.ndarray:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes))])
         keys = mixed((sums[ends[1:]] - sums[ends[:-1]]) * M1 + mixed(np.arange(count, dtype=np.uint64) + np.uint64(c) * np.uint64(1 << 32) + np.uint64(1)))
     full = ends[1:] > ends[:-1]
+    keys = keys & ~np.uint64(1) | np.uint64(c & 1)  # the last bit tells a set's two classes apart
     return keys if count - int(full.sum()) > SPARE else keys[full]
 
 
@@ -110,42 +118,69 @@ def _signer(n: int, num: int, den: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, classes = Shingler(n), SizeClasses(num, den)
         for ids, texts in slices(batches):
-            sizes, signs, keys = [], [], []
+            sizes, signs, keys, needs = [], [], [], []
             for text in texts:
                 h = shingler.hashes(text)
                 sizes.append(len(h))
                 signs.append(xxhash.xxh3_128_digest(h.tobytes()))
-                keys.append(np.concatenate([fragment_keys(h, c, classes.fragments(c)) for c in classes.of(len(h))]).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                shown = [fragment_keys(h, c, classes.fragments(c)) for c in classes.of(len(h))] if len(h) else []
+                needs.append([classes.need(len(h), c, len(k)) for c, k in zip(classes.of(len(h)), shown)])
+                keys.append([k.view(np.int64) for k in shown])
+            kind = pa.list_(pa.struct([("need", pa.int32()), ("keys", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))],
-                ["doc_id", "n", "sign", "keys"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array([[{"need": n, "keys": k} for n, k in zip(ns, ks)] for ns, ks in zip(needs, keys)], kind)],
+                ["doc_id", "n", "sign", "cuts"],
             )
 
     return sign
 
 
 def _fragmenter(n: int):
-    """(rep, fragment, n-grams): a set cut at VERTICAL places of the global order."""
+    """(rep, parts): a set cut at VERTICAL places of the global order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
+        cuts = np.arange(VERTICAL + 1, dtype=np.uint64)
         for ids, texts in slices(batches):
-            reps, places, parts = [], [], []
-            for doc_id, text in zip(ids, texts):
+            parts = []
+            for text in texts:
                 h = shingler.hashes(text)
-                ends = np.searchsorted((h >> np.uint64(32)) * np.uint64(VERTICAL) >> np.uint64(32), np.arange(VERTICAL + 1, dtype=np.uint64))
-                for f in range(VERTICAL):
-                    if ends[f] < ends[f + 1]:
-                        reps.append(doc_id)
-                        places.append(f)
-                        parts.append(h[ends[f] : ends[f + 1]].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(places, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))], ["rep", "fragment", "grams"])
+                ends = np.searchsorted((h >> np.uint64(32)) * np.uint64(VERTICAL) >> np.uint64(32), cuts)
+                parts.append([h[a:b].view(np.int64) for a, b in zip(ends, ends[1:])])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], ["rep", "parts"])
 
     return cut
 
 
+def block_links(num: int, den: int):
+    """Links between groups in one block, or between two blocks, of a bucket."""
+
+    def find(rows: pa.Table) -> pa.Table:
+        rep, n, group, block = (rows.column(c).to_numpy() for c in ("rep", "n", "group", "block"))
+        parts = rows.column("parts").to_pylist()
+        both = np.zeros((len(rep), len(rep)), np.float32)
+        for f in range(VERTICAL):
+            member = np.repeat(np.arange(len(rep)), [len(p[f]) for p in parts])
+            values, at, counts = np.unique(np.array([g for p in parts for g in p[f]], np.int64), return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(counts > 1)
+            for first in range(0, len(shared), 20_000):  # bounds the matrix
+                column = np.full(len(values), -1)
+                some = shared[first : first + 20_000]
+                column[some] = np.arange(len(some))
+                matrix = np.zeros((len(rep), len(some)), np.float32)
+                inside = column[at] >= 0
+                matrix[member[inside], column[at][inside]] = 1
+                both += matrix @ matrix.T
+        size = n[:, None] + n[None, :]
+        similar = (den * both >= num * (size - both)) & (group[:, None] != group[None, :]) & (rep[:, None] < rep[None, :])
+        if block.min() != block.max():  # pairs inside a block are compared elsewhere
+            similar &= block[:, None] != block[None, :]
+        a, b = np.nonzero(similar)
+        return pa.table({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
+
+    return find
+
+
 class JaccardJoin:
     """One run over a table of documents."""
 
@@ -156,17 +191,25 @@ class JaccardJoin:
     def similar_sizes(self, a: str, b: str) -> F.Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
+    def rarest(self, shown: DataFrame) -> DataFrame:
+        """The keys that candidates must be sought by: if similar sets share ``need`` keys, they share one
+        beside the need - 1 most frequent of either. Keys that one set alone has left go."""
+        counts = shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        by_set = Window.partitionBy("rep", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("c"), "key")  # a set's own keys
+        kept = self.work.keep(shown.join(counts, "key").withColumn("rank", F.row_number().over(by_set)).where("rank >= need").select("key", "rep", "n"), "kept")
+        return kept.join(kept.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key", "left_semi")
+
     def sets(self, buckets: DataFrame) -> DataFrame:
         """Fragments of the sets that share a key with another."""
         ids = self.work.keep(buckets.select("rep").distinct(), "ids")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         text = self.docs.join(ids, self.docs["doc_id"] == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-        return self.work.keep(text.mapInArrow(_fragmenter(self.n), "rep long, fragment int, grams array<long>"), "sets")
+        return self.work.keep(text.mapInArrow(_fragmenter(self.n), "rep long, parts array<array<long>>"), "sets")
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, na, nb) that are similar: partial overlaps, then their sums."""
-        left = sets.select(F.col("rep").alias("a"), "fragment", F.col("grams").alias("ga"))
-        right = sets.select(F.col("rep").alias("b"), "fragment", F.col("grams").alias("gb"))
+        left = sets.select(F.col("rep").alias("a"), F.posexplode("parts").alias("fragment", "ga"))
+        right = sets.select(F.col("rep").alias("b"), F.posexplode("parts").alias("fragment", "gb"))
         partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
         both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
         return both.where(F.col("both") * self.den >= (F.col("na") + F.col("nb") - F.col("both")) * self.num).select("a", "b")
@@ -197,23 +240,28 @@ class JaccardJoin:
 
     def links(self, buckets: DataFrame) -> DataFrame:
         """Links that connect all that is connected."""
-        sets, links, done = self.sets(buckets), None, None
+        sets, links, done = self.sets(buckets), None, None  # the pairs that are done, so that no hub is tried twice
         for turn in range(2):
             pairs = self.work.keep(self.hubs(buckets, done, turn), f"pairs{turn}")
             done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
             new = self.work.keep(self.linked(pairs, sets), f"links{turn}")
             links = new if links is None else links.unionByName(new)
             buckets = self.regroup(buckets, links, str(turn))
-        left, right = (buckets.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("group").alias(f"g{x}")) for x in "ab")
-        rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & self.similar_sizes("na", "nb")).select("a", "b", "na", "nb").distinct().join(done, ["a", "b"], "left_anti")
-        return links.unionByName(self.work.keep(self.linked(self.work.keep(rest, "rest"), sets), "links_rest"))
+        return links.unionByName(self.work.keep(self.rest(buckets, sets), "links_rest"))
+
+    def rest(self, buckets: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between groups that still share a key. A bucket is cut into blocks of bounded size,
+        and every two blocks meet in a task of their own."""
+        blocks = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        placed = buckets.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "group")
+        return met.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(block_links(self.num, self.den), "a long, b long").distinct()
 
     def run(self) -> DataFrame:
-        signed = self.work.keep(self.docs.mapInArrow(_signer(self.n, self.num, self.den), "doc_id long, n long, sign binary, keys array<long>"), "signed")
-        unique = signed.where("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).where("rep is not null")
-        shown = unique.select("rep", "n", F.explode("keys").alias("key"))
-        shared = shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-        buckets = self.work.keep(shown.join(shared, "key", "left_semi").withColumn("group", F.col("rep")), "buckets")
+        signed = self.work.keep(self.docs.mapInArrow(_signer(self.n, self.num, self.den), "doc_id long, n long, sign binary, cuts array<struct<need:int,keys:array<long>>>"), "signed")
+        unique = signed.where("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cuts").alias("cuts")).where("rep is not null")
+        shown = unique.select("rep", "n", F.explode("cuts").alias("cut")).select("rep", "n", "cut.need", F.explode("cut.keys").alias("key"))
+        buckets = self.work.keep(self.rarest(shown).withColumn("group", F.col("rep")), "buckets")
         components = connected_components(self.links(buckets), self.work)
         groups = signed.where("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep")).join(components.withColumnRenamed("node", "rep"), "rep", "left").select("sign", F.coalesce("component", "rep").alias("component_id"))
         joined = signed.select("doc_id", "n", "sign").join(groups, "sign", "left")
