@@ -164,10 +164,3 @@ def split_history(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dedup_table(docs: DataFrame) -> DataFrame:
     return exact_dedup(*split_history(docs))
-
-
-def keep_winners(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of repeated ids with one text, one row."""
-    decided = dedup_table(docs).where("kept").select("doc_id").distinct()
-    kept = docs.join(decided.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    return kept

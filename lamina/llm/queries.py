@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact_dedup, jaccard, lm, packing, pii, quality, suffix_dedup, toxicity
+from lamina.llm import decontaminate, exact_dedup, jaccard, lm, packing, pii, quality, secret_scan, suffix_dedup, toxicity
 from lamina.llm.common import LOWER, UPPER, fold, table
 
 
@@ -69,7 +69,19 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    spans, base = F.col("spans"), F.filter("spans", lambda s: s["kind"] != "random")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(count(kind) for kind in secret_scan.KINDS[:3]),
+        F.sha2(F.array_join(F.transform(base, one), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform(spans, one), ",").alias("spans"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard, op10_secrets)}
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
