@@ -2,6 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lamina.operators.volume_tables import Volume, oracle
+
 FLAGSHIP = "G2"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, build: Callable[[Volume], DataFrame], duck: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(Volume(spark, sf_dir))
+    if duck:
+        ORACLES[name] = oracle(duck)
+
+
+def both(name: str, text: str, duck: str | None = None) -> None:
+    """A query that Spark SQL and DuckDB write alike, but for integer division."""
+    register(name, lambda v: v.sql(text), duck or text.replace(" div ", " // "))
+
+
+both("C1", "select label_id, z, cc_id, y, x_lo, x_hi from {crun}")
+both("A1", "select label_id, z, cc_id, y_min, y_max, x_min, x_max, area, round(centroid_y, 6) as centroid_y, round(centroid_x, 6) as centroid_x from {contour}")
+both("C2", "select label_id, z, cc_id, comp_id from {body}")
+both("J4", "select label_id, z, cc_id, o_label_id, o_cc_id, dir, area from {overlap}")
+both("C3", "select point_id, root from {part}")
+both("C4", "select point_id, label_id, instance_id from {inst}")
+both("J6", "select a, b, ord from {edge}")

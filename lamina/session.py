@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,8 @@ class Workspace:
         for name in names:
             at = jvm.org.apache.hadoop.fs.Path(self.path(name))
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of DataFrames that are gone, which it does when their handles are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
