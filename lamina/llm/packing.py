@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,9 +36,11 @@ NEARLY_FULL = 64
 #: Items of one packing task.
 TASK_ITEMS = 50_000
 #: Chunks whose ids a Python worker keeps.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 500_000
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 PUNCTUATION = ".,;:!?"
+#: Letters whose lower case is one letter, in every version of Unicode.
+CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 
 
 def default_tokenizer() -> str:
@@ -47,6 +50,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ChunkTokenizer:
     """Token ids as little-endian 32-bit bytes, with a cache of chunks and of their stems."""
 
@@ -58,7 +74,20 @@ class ChunkTokenizer:
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Words of letters that normalisation leaves as they are go to the model at once, the others through all steps."""
+        plain, rest = {}, []
+        tokenize = self.tokenizer.model.tokenize
+        for part in parts:
+            if part.isascii() and part.isalpha() and part.islower():
+                plain[part] = pack([t.id for t in tokenize(part)])
+            elif part.isalpha() and part == part.lower() and unicodedata.is_normalized("NFC", part):
+                plain[part] = pack([t.id for t in tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                rest.append(part)
+        return plain | dict(zip(rest, self._encode(rest)))
 
     def ids(self, text: str) -> bytes:
         if OTHER_SPACE.search(text):
@@ -69,9 +98,7 @@ class ChunkTokenizer:
             self.cache.clear()
             missing = set(words)
         parts = {w: self._parts(w) for w in missing}
-        new = list({p for ps in parts.values() for p in ps}.difference(self.cache))
-        if new:
-            self.cache.update(zip(new, self._encode(new)))
+        self.cache.update(self._encode_parts(list({p for ps in parts.values() for p in ps}.difference(self.cache))))
         for word, ps in parts.items():
             self.cache[word] = b"".join([self.cache[p] for p in ps])
         return b"".join(map(self.cache.__getitem__, words))
@@ -79,12 +106,16 @@ class ChunkTokenizer:
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
         """A word without its trailing punctuation, and that; letters end a token, so both stand alone."""
+        if word.isascii() and word.isalpha():
+            return (word.lower(),)
         stem = word.rstrip(PUNCTUATION)
         if not stem or not stem[-1].isalpha():
             return (word,)
         tail = word[len(stem) :]
         if stem.isascii() and stem.isalpha():
             stem = stem.lower()
+        elif stem.isalpha() and stem[1:] == stem[1:].lower() and stem[0] in CAPITALS:
+            stem = stem[0].lower() + stem[1:]
         return (stem, tail) if tail else (stem,)
 
 
@@ -93,7 +124,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cutter(path: str, sequence: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = ChunkTokenizer(path), np.array([END_ID], "<u4").tobytes()
+        tokenizer, end = ChunkTokenizer(path), pack([END_ID])
         for ids, texts in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(ids, texts):
