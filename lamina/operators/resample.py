@@ -1,0 +1,36 @@
+"""Pyramids: block means that truncate at every level, strides, and nearest upsampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lamina.session import Workspace
+
+
+def block_mean(image: DataFrame, f: int) -> DataFrame:
+    """Sum of each f x f x f block over f^3, truncated; edge blocks count as padded with zeros."""
+    return image.groupBy(*(F.expr(f"{c} div {f}").cast("int").alias(c) for c in "zyx")).agg(F.expr(f"cast(sum(value) div {f**3} as int)").alias("value"))
+
+
+def pyramid(image: DataFrame, levels: int, shape: tuple[int, int, int], work: Workspace, least_side: int = 16) -> DataFrame:
+    """(level, z, y, x, value): each level is the block mean of the one before, down to least_side."""
+    now, out = work.keep(image, "level0"), image.withColumn("level", F.lit(0))
+    for level in range(1, levels):
+        if min(shape) // 2**level < least_side:
+            break
+        now = work.keep(block_mean(now, 2), f"level{level}")
+        out = out.unionByName(now.withColumn("level", F.lit(level)))
+    return out
+
+
+def upsample(mask: DataFrame, f: int, shape: tuple[int, int, int]) -> DataFrame:
+    """Every voxel becomes a block of f^3, cut off at the target shape."""
+    out = mask
+    for axis, limit in zip("zyx", shape):
+        out = out.withColumn(axis, F.explode(F.sequence(F.col(axis) * f, F.col(axis) * f + f - 1))).where(F.col(axis) < limit)
+    return out
+
+
+def stride(mask: DataFrame, f: int) -> DataFrame:
+    return mask.where(f"z % {f} = 0 and y % {f} = 0 and x % {f} = 0").withColumns({c: F.expr(f"cast({c} div {f} as int)") for c in "zyx"})
