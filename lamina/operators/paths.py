@@ -39,3 +39,26 @@ def all_paths(contour: DataFrame, overlap: DataFrame, work: Workspace, same_labe
     key = ["label_id", "z", "cc_id"]
     up, down = (chain_lengths(best, d, work).withColumnRenamed("steps", name) for d, name in ((1, "up"), (-1, "down")))
     return contour.select(*key).join(up, key, "left").join(down, key, "left").select(*key, (F.col("z") - F.coalesce("down", F.lit(0))).alias("z_lo"), (F.col("z") + F.coalesce("up", F.lit(0))).alias("z_hi"))
+
+
+def path_boxes(contour: DataFrame, overlap: DataFrame, work: Workspace, margin: int = 20, ny: int = 48, nx: int = 48) -> DataFrame:
+    """Union box of the contours on every contour's same-label path, with a margin, cut off at the slice.
+
+    Boxes double along the pointers as lengths do: after n rounds a box covers 2^n slices.
+    """
+    best = work.keep(best_overlap(overlap, same_label=True), "best_box")
+    key, box = ["label_id", "z", "cc_id"], ["y_min", "y_max", "x_min", "x_max"]
+    widest = {"y_min": F.least, "y_max": F.greatest, "x_min": F.least, "x_max": F.greatest}
+    out = contour.select(*key, *box)
+    for direction in (1, -1):
+        step = best.where(F.col("dir") == direction).select(*key, (F.col("z") + direction).alias("p_z"), F.col("o_cc_id").alias("p_cc"))
+        now, turn = work.keep(contour.select(*key, *box).join(step, key, "left"), f"box{direction}_0"), 0
+        while not now.where("p_cc is not null").isEmpty():
+            ahead = now.select("label_id", F.col("z").alias("p_z"), F.col("cc_id").alias("p_cc"), F.col("p_z").alias("q_z"), F.col("p_cc").alias("q_cc"), *(F.col(b).alias(f"n_{b}") for b in box))
+            turn += 1
+            grown = now.join(ahead, ["label_id", "p_z", "p_cc"], "left").select(*key, *(f(b, F.coalesce(f"n_{b}", b)).alias(b) for b, f in widest.items()), F.col("q_z").alias("p_z"), F.col("q_cc").alias("p_cc"))
+            now = work.keep(grown, f"box{direction}_{turn}")
+            work.drop(f"box{direction}_{turn - 1}")
+        out = out.unionByName(now.select(*key, *box))
+    clamp = [F.greatest(F.lit(0), F.min("y_min") - margin).alias("y0"), F.least(F.lit(ny), F.max("y_max") + margin).alias("y1"), F.greatest(F.lit(0), F.min("x_min") - margin).alias("x0"), F.least(F.lit(nx), F.max("x_max") + margin).alias("x1")]
+    return out.groupBy(*key).agg(*clamp)

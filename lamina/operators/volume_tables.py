@@ -136,6 +136,11 @@ SQL = volume.SQL | {
     "contour": """select label_id, z, cc_id, min(y) y_min, max(y) y_max, min(x) x_min, max(x) x_max, count(*) area, avg(y) centroid_y, avg(x) centroid_x,
         coalesce(avg(case when s then y end), avg(y)) marker_y, coalesce(avg(case when s then x end), avg(x)) marker_x, coalesce(bool_or(s), false) has_skeleton
         from cvox left join (select *, true s from skel) using (z, y, x) group by 1, 2, 3""",
+    "dsteps": "select cast(unnest(generate_series(-3, 3)) as int) v",
+    "runsc": "select label_id, z, y, min(x) x_lo, max(x) x_hi, cast(label_id as bigint) * 1000000000000 + cast(z as bigint) * 10000 + y * 100 + min(x) id from (select *, x - row_number() over (partition by label_id, z, y order by x) g from combined) group by label_id, z, y, g",
+    "edgesc": "with up as (select a.id a, b.id b from runsc a join runsc b on a.label_id = b.label_id and a.z = b.z and b.y = a.y + 1 where a.x_lo <= b.x_hi and b.x_lo <= a.x_hi) select a, b from up union all select b, a from up",
+    "reachc": _reach("reachc", "runsc", "edgesc"),
+    "ccvox": "select label_id, z, cc_id, y, cast(unnest(generate_series(x_lo, x_hi)) as int) x from (select r.*, cast(dense_rank() over (partition by label_id, z order by c.root) as int) cc_id from runsc r join reachc c using (id))",
     "overlap": """select a.label_id, a.z, a.cc_id, b.label_id o_label_id, b.cc_id o_cc_id, count(*) area, d.v dir from cvox a, (values (-1), (1)) d(v), cvox b
         where b.z = a.z + d.v and a.y = b.y and a.x = b.x group by 1, 2, 3, 4, 5, 7""",
     "nodes3": "select distinct label_id, z, cc_id, cast(label_id as bigint) * 1099511627776 + cast(z as bigint) * 1048576 + cc_id id from crun",
