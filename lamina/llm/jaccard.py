@@ -11,7 +11,8 @@ more empty fragments than SPARE shows them as well.
 Overlaps of candidates are counted in each of VERTICAL fragments apart and summed by pair.
 Equal sets are collapsed first. Then only what connects is compared: every set with the
 hub that it shares most fragments with, twice; after that, in blocks of bounded size, the
-sets that share a fragment but aren't connected yet. No list of a group's pairs is ever made,
+sets that share a fragment but aren't connected yet, by sketches and, where these allow a
+link, in full. No list of a group's pairs is ever made,
 and no pair that could connect two groups is left out.
 
 The result is one row for each row of documents: doc_id, n_shingles, component_id, the
@@ -36,6 +37,8 @@ from lamina.session import Workspace
 
 SHINGLE, NUM, DEN = 3, 90, 100
 SPARE, STEPS, VERTICAL = 2, 3, 8
+#: Fragments of a sketch for each fragment of the class's cut.
+SKETCH = 4
 #: Sets of a bucket that are compared with each other in one task.
 BLOCK = 200
 CACHE_WORDS = 300_000
@@ -124,59 +127,60 @@ def _signer(n: int, num: int, den: int):
                 sizes.append(len(h))
                 signs.append(xxhash.xxh3_128_digest(h.tobytes()))
                 shown = [fragment_keys(h, c, classes.fragments(c)) for c in classes.of(len(h))] if len(h) else []
-                needs.append([classes.need(len(h), c, len(k)) for c, k in zip(classes.of(len(h)), shown)])
+                needs.append([(classes.need(len(h), c, len(k)), c & 1) for c, k in zip(classes.of(len(h)), shown)])
                 keys.append([k.view(np.int64) for k in shown])
-            kind = pa.list_(pa.struct([("need", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+            kind = pa.list_(pa.struct([("need", pa.int32()), ("parity", pa.int64()), ("keys", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array([[{"need": n, "keys": k} for n, k in zip(ns, ks)] for ns, ks in zip(needs, keys)], kind)],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array([[{"need": n, "parity": p, "keys": k} for (n, p), k in zip(ns, ks)] for ns, ks in zip(needs, keys)], kind)],
                 ["doc_id", "n", "sign", "cuts"],
             )
 
     return sign
 
 
-def _fragmenter(n: int):
-    """(rep, parts): a set cut at VERTICAL places of the global order."""
+def sketch(hashes: np.ndarray, count: int) -> bytes:
+    """16 bits for each of count fragments; equal fragments have equal bits."""
+    place = ((hashes >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+    ends = np.searchsorted(place, np.arange(count + 1, dtype=np.uint64))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes))])
+        return (mixed((sums[ends[1:]] - sums[ends[:-1]]) * M1) >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def _fragmenter(n: int, num: int, den: int):
+    """(rep, parts, sketches): a set cut at VERTICAL places of the global order, and its sketch in each of its classes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
+        shingler, classes = Shingler(n), SizeClasses(num, den)
         cuts = np.arange(VERTICAL + 1, dtype=np.uint64)
+        kind = pa.list_(pa.struct([("parity", pa.int64()), ("bits", pa.binary())]))
         for ids, texts in slices(batches):
-            parts = []
+            parts, sketches = [], []
             for text in texts:
                 h = shingler.hashes(text)
                 ends = np.searchsorted((h >> np.uint64(32)) * np.uint64(VERTICAL) >> np.uint64(32), cuts)
                 parts.append([h[a:b].view(np.int64) for a, b in zip(ends, ends[1:])])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], ["rep", "parts"])
+                sketches.append([{"parity": c & 1, "bits": sketch(h, SKETCH * classes.fragments(c))} for c in classes.of(len(h))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64()))), pa.array(sketches, kind)], ["rep", "parts", "sketches"])
 
     return cut
 
 
-def block_links(num: int, den: int):
-    """Links between groups in one block, or between two blocks, of a bucket."""
+def block_candidates(num: int, den: int):
+    """Pairs between groups in one block, or between two blocks, of a bucket, that may be similar:
+    two similar sets differ in no more fragments of the sketch than they differ in n-grams."""
 
     def find(rows: pa.Table) -> pa.Table:
         rep, n, group, block = (rows.column(c).to_numpy() for c in ("rep", "n", "group", "block"))
-        parts = rows.column("parts").to_pylist()
-        both = np.zeros((len(rep), len(rep)), np.float32)
-        for f in range(VERTICAL):
-            member = np.repeat(np.arange(len(rep)), [len(p[f]) for p in parts])
-            values, at, counts = np.unique(np.array([g for p in parts for g in p[f]], np.int64), return_inverse=True, return_counts=True)
-            shared = np.flatnonzero(counts > 1)
-            for first in range(0, len(shared), 20_000):  # bounds the matrix
-                column = np.full(len(values), -1)
-                some = shared[first : first + 20_000]
-                column[some] = np.arange(len(some))
-                matrix = np.zeros((len(rep), len(some)), np.float32)
-                inside = column[at] >= 0
-                matrix[member[inside], column[at][inside]] = 1
-                both += matrix @ matrix.T
-        size = n[:, None] + n[None, :]
-        similar = (den * both >= num * (size - both)) & (group[:, None] != group[None, :]) & (rep[:, None] < rep[None, :])
-        if block.min() != block.max():  # pairs inside a block are compared elsewhere
-            similar &= block[:, None] != block[None, :]
-        a, b = np.nonzero(similar)
-        return pa.table({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u2").reshape(len(rep), -1)
+        out: list[list] = [[], [], [], []]
+        two = block.min() != block.max()  # pairs inside a block are compared elsewhere
+        for i in range(len(rep)):
+            others = np.flatnonzero((group != group[i]) & (rep > rep[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num) & ((block != block[i]) | (not two)))
+            others = others[(bits[others] != bits[i]).sum(axis=1) <= (n[others] + n[i]) * (den - num) // (den + num)]
+            for column, value in zip(out, (np.full(len(others), rep[i]), rep[others], np.full(len(others), n[i]), n[others])):
+                column.append(value)
+        return pa.table({c: pa.array(np.concatenate(v), pa.int64()) for c, v in zip(("a", "b", "na", "nb"), out)})
 
     return find
 
@@ -191,20 +195,32 @@ class JaccardJoin:
     def similar_sizes(self, a: str, b: str) -> F.Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
-    def rarest(self, shown: DataFrame) -> DataFrame:
-        """The keys that candidates must be sought by: if similar sets share ``need`` keys, they share one
-        beside the need - 1 most frequent of either. Keys that one set alone has left go."""
-        counts = shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        by_set = Window.partitionBy("rep", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("c"), "key")  # a set's own keys
-        kept = self.work.keep(shown.join(counts, "key").withColumn("rank", F.row_number().over(by_set)).where("rank >= need").select("key", "rep", "n"), "kept")
+    def few(self, ids: DataFrame, name: str) -> DataFrame:
+        """A written list of ids, broadcast if it is short enough."""
+        ids = self.work.keep(ids, name)
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def rarest(self, signed: DataFrame, copies: DataFrame) -> DataFrame:
+        """(key, rep, n): the keys that candidates must be sought by. If similar sets share ``need`` keys,
+        they share one beside the need - 1 most frequent of either. Keys that one set alone has go."""
+        own = signed.where("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
+        shown = own.select(F.col("doc_id").alias("rep"), F.explode(F.flatten("cuts.keys")).alias("key"))
+        if not own.groupBy("doc_id").count().where("count > 1").isEmpty():  # an id stands in several rows
+            shown = shown.distinct()
+        shared = shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        found = self.work.keep(shown.join(shared, "key"), "shared")
+        sizes = own.select(F.col("doc_id").alias("rep"), "n", F.explode(F.arrays_zip("cuts.need", "cuts.parity")).alias("cut")).select("rep", "n", "cut.need", "cut.parity").distinct()
+        by_set = Window.partitionBy("rep", "parity").orderBy(F.desc("c"), "key")  # a set's own keys
+        ranked = found.withColumn("parity", F.col("key").bitwiseAND(F.lit(1))).join(sizes, ["rep", "parity"]).withColumn("rank", F.row_number().over(by_set))
+        kept = self.work.keep(ranked.where("rank >= need").select("key", "rep", "n"), "kept")
+        self.work.drop("shared")
         return kept.join(kept.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key", "left_semi")
 
     def sets(self, buckets: DataFrame) -> DataFrame:
         """Fragments of the sets that share a key with another."""
-        ids = self.work.keep(buckets.select("rep").distinct(), "ids")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        ids = self.few(buckets.select("rep").distinct(), "ids")
         text = self.docs.join(ids, self.docs["doc_id"] == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-        return self.work.keep(text.mapInArrow(_fragmenter(self.n), "rep long, parts array<array<long>>"), "sets")
+        return self.work.keep(text.mapInArrow(_fragmenter(self.n, self.num, self.den), "rep long, parts array<array<long>>, sketches array<struct<parity:long,bits:binary>>"), "sets")
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, na, nb) that are similar: partial overlaps, then their sums."""
@@ -247,23 +263,26 @@ class JaccardJoin:
             new = self.work.keep(self.linked(pairs, sets), f"links{turn}")
             links = new if links is None else links.unionByName(new)
             buckets = self.regroup(buckets, links, str(turn))
-        return links.unionByName(self.work.keep(self.rest(buckets, sets), "links_rest"))
+        rest = self.work.keep(self.rest(buckets, sets).join(done, ["a", "b"], "left_anti"), "rest")
+        return links.unionByName(self.work.keep(self.linked(rest, sets), "links_rest"))
 
     def rest(self, buckets: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between groups that still share a key. A bucket is cut into blocks of bounded size,
-        and every two blocks meet in a task of their own."""
+        """Pairs of groups that still share a key, as far as their sketches allow a link. A bucket is
+        cut into blocks of bounded size, and every two blocks meet in a task of their own."""
         blocks = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         placed = buckets.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "group")
-        return met.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(block_links(self.num, self.den), "a long, b long").distinct()
+        met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "group", F.col("key").bitwiseAND(F.lit(1)).alias("parity"))
+        bits = sets.select("rep", F.explode("sketches").alias("s")).select("rep", "s.parity", "s.bits")
+        return met.join(bits, ["rep", "parity"]).groupBy("key", "i", "j").applyInArrow(block_candidates(self.num, self.den), "a long, b long, na long, nb long").distinct()
 
     def run(self) -> DataFrame:
-        signed = self.work.keep(self.docs.mapInArrow(_signer(self.n, self.num, self.den), "doc_id long, n long, sign binary, cuts array<struct<need:int,keys:array<long>>>"), "signed")
-        unique = signed.where("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cuts").alias("cuts")).where("rep is not null")
-        shown = unique.select("rep", "n", F.explode("cuts").alias("cut")).select("rep", "n", "cut.need", F.explode("cut.keys").alias("key"))
-        buckets = self.work.keep(self.rarest(shown).withColumn("group", F.col("rep")), "buckets")
+        signed = self.work.keep(self.docs.mapInArrow(_signer(self.n, self.num, self.den), "doc_id long, n long, sign binary, cuts array<struct<need:int,parity:long,keys:array<long>>>"), "signed")
+        equal = self.work.keep(signed.where("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "equal")
+        copies = signed.where("n > 0").select("doc_id", "sign").join(equal.where("last > rep"), "sign").where("doc_id > rep").select("doc_id").distinct()
+        buckets = self.work.keep(self.rarest(signed, self.few(copies, "copies")).withColumn("group", F.col("rep")), "buckets")
+        self.work.release()
         components = connected_components(self.links(buckets), self.work)
-        groups = signed.where("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep")).join(components.withColumnRenamed("node", "rep"), "rep", "left").select("sign", F.coalesce("component", "rep").alias("component_id"))
+        groups = equal.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("sign", F.coalesce("component", "rep").alias("component_id"))
         joined = signed.select("doc_id", "n", "sign").join(groups, "sign", "left")
         return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -2,22 +2,25 @@
 
 Any string of LENGTH bytes holds an anchor chosen by its content alone: the place of its least
 hashed k-gram (K bytes, leftmost on ties). The windows, that is the starts of strings of
-LENGTH bytes, with one anchor are consecutive and form a row: anchor key, fingerprint of all
-bytes from the first window's start to the last one's end, document and range of starts. A
-batch's suffix array holds the suffixes at its anchors, in order of their keys, one row for
-each distinct fingerprint. Batches come in order of doc_id. Each is merge-scanned against the
-levels before it: a row whose key and fingerprint came earlier is removed whole. Then its new
-rows become a level, and levels of equal size merge, so that n batches leave log n levels.
+LENGTH bytes, with one anchor are consecutive and form a row: anchor key, and fingerprint of
+all bytes from the first window's start to the last one's end. A batch's suffix array holds
+the suffixes at its anchors in order of their keys and fingerprints, one entry for each
+distinct pair, with the first document that has it. Batches come in order of doc_id. Each is
+merge-scanned against the levels before it: a row that an earlier document has is removed
+whole. Then its new entries become a level, and levels of equal size merge, so that n batches
+leave log n levels.
 
 What is left are matches that end within a row: anchor keys with several fingerprints. Their
-first rows alone are opened into windows, and of equal windows all but the earliest are
-removed. Rows and windows are grouped with partial sums, so no frequent string is gathered
-in one task, and no pairs of occurrences are ever formed. A suffix for every byte instead
-would shuffle more than 16 bytes for each byte of text.
+first rows alone are compared, byte by byte: the windows of a key's rows meet in one task, in
+order, and one that an earlier row has is removed. Keys with more than GROUP_ROWS such rows
+are opened into hashed windows instead, which are summed like the rows. So no frequent string
+is gathered in one task, and no pairs of occurrences are ever formed. Places inside a document
+are never shuffled, as its rows are cut again where they are needed. A suffix for every byte
+instead would shuffle more than 16 bytes for each byte of text.
 
 A null text is empty. Texts of fewer than LENGTH bytes keep all bytes. Rows with a null
 doc_id have no place in the order and keep all bytes; rows with one doc_id count as one
-document. Keys are 128 bits of hashes in two parts.
+document. Keys and fingerprints are 64-bit hashes, and two rows are equal if both are.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from lamina.session import Workspace
 
 LENGTH, K = 100, 40
 BATCHES = 4
+#: First rows of one key that are compared in one task, of some 200 bytes each.
+GROUP_ROWS = 20_000
 #: Bytes hashed at once; places in a block fit into PLACE_BITS.
 BLOCK_BYTES, PLACE_BITS = 1 << 20, 24
 
@@ -93,72 +98,140 @@ def anchor_rows(data: np.ndarray, doc_end: np.ndarray, length: int = LENGTH, k:
     return grams[anchors[np.concatenate([[0], breaks])]], run_hashes(prefix, first, last + length), first, last
 
 
-def blocks(ids: list, texts: list[bytes], length: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents side by side in blocks of about BLOCK_BYTES; a longer one is cut with an overlap."""
-    own, parts, offsets, size = [], [], [], 0
+def cut_rows(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document's number, key, fingerprint, first window, last window) of documents, in order.
 
-    def block():
+    Documents stand side by side in blocks of about BLOCK_BYTES; a longer one is cut with an overlap.
+    """
+    numbers, parts, offsets, size = [], [], [], 0
+
+    def block() -> tuple[np.ndarray, ...]:
         lengths = np.array([len(p) for p in parts])
         ends = np.cumsum(lengths)
-        return own, np.frombuffer(b"".join(parts), np.uint8), np.repeat(ends, lengths), ends - lengths, np.array(offsets)
+        key, fingerprint, lo, hi = anchor_rows(np.frombuffer(b"".join(parts), np.uint8), np.repeat(ends, lengths), length, k)
+        part = np.searchsorted(ends, lo, "right")
+        shift = np.array(offsets)[part] - (ends - lengths)[part]
+        return np.array(numbers)[part], key, fingerprint, lo + shift, hi + shift
 
-    for doc_id, text in zip(ids, texts):
+    for number, text in enumerate(texts):
         for at in range(0, max(1, len(text) - length + 1), BLOCK_BYTES):
             part = text[at : at + BLOCK_BYTES + length - 1]
             if size and size + len(part) > 2 * BLOCK_BYTES:
                 yield block()
-                own, parts, offsets, size = [], [], [], 0
-            own.append(doc_id)
-            parts.append(part)
-            offsets.append(at)
-            size += len(part)
+                numbers, parts, offsets, size = [], [], [], 0
+            if len(part) >= length:
+                numbers.append(number)
+                parts.append(part)
+                offsets.append(at)
+                size += len(part)
     if parts:
         yield block()
 
 
-ROWS = "key long, print long, doc_id long, lo int, hi int"
+def joint(key: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(key * np.uint64(0x9E3779B97F4A7C15) + fingerprint)
+
+
+def _by_slices(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray]]]:
+    """256 documents at a time (doc_id, text, ...) with their texts and rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [t.encode() for t in part.column(1).to_pylist()]
+            cut = list(zip(*cut_rows(texts, length, k)))
+            none = np.zeros(0, np.int64)
+            yield part, texts, [np.concatenate(c) for c in cut] if cut else [none, none.view(np.uint64), none.view(np.uint64), none, none]
+
+
+ENTRY = "key long, print long, doc_id long"
 
 
 def _sampler(length: int, k: int):
+    """The distinct (key, fingerprint) of every document."""
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for ids, data, doc_end, starts, offsets in blocks(part.column(0).to_pylist(), [t.encode() for t in part.column(1).to_pylist()], length):
-                    key, fingerprint, lo, hi = anchor_rows(data, doc_end, length, k)
-                    doc = np.searchsorted(starts, lo, "right") - 1
-                    shift = offsets[doc] - starts[doc]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(fingerprint.view(np.int64)), pa.array(np.array(ids, np.int64)[doc]), pa.array((lo + shift).astype(np.int32)), pa.array((hi + shift).astype(np.int32))],
-                        ["key", "print", "doc_id", "lo", "hi"],
-                    )
+        for part, _, (doc, key, fingerprint, _, _) in _by_slices(batches, length, k):
+            with np.errstate(over="ignore"):
+                _, once = np.unique(mixed(joint(key, fingerprint) + doc.astype(np.uint64)), return_index=True)
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.array(fingerprint[once].view(np.int64)), pa.array(ids[doc[once]].astype(np.int64))], ["key", "print", "doc_id"])
 
     return sample
 
 
-def _opener(length: int):
-    """(key, hash, doc_id, start) of every window of the rows listed with a document."""
+def _listed(lists: pa.Array, doc: np.ndarray, key: np.ndarray, fingerprint: np.ndarray, count: int) -> np.ndarray:
+    """Which rows are in their document's list of (key, print)."""
+    codes, out = joint(key, fingerprint), np.zeros(len(doc), bool)
+    bounds = np.searchsorted(doc, np.arange(count + 1))
+    for i in range(count):
+        if bounds[i] < bounds[i + 1] and lists[i].is_valid:
+            own = lists[i].values
+            out[bounds[i] : bounds[i + 1]] = np.isin(codes[bounds[i] : bounds[i + 1]], joint(own.field(0).to_numpy().view(np.uint64), own.field(1).to_numpy().view(np.uint64)))
+    return out
+
+
+def _first_in_document(doc: np.ndarray, key: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        _, once = np.unique(mixed(joint(key, fingerprint) + doc.astype(np.uint64)), return_index=True)
+    first = np.zeros(len(doc), bool)
+    first[once] = True
+    return first
+
+
+def _opener(length: int, k: int):
+    """(key, doc_id, lo, bytes) of the listed rows, at their first place in the document."""
 
     def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text, rows in zip(*(batch.column(i) for i in range(3))):
-                data, found = np.frombuffer(text.as_py().encode(), np.uint8), rows.values
-                key, lo, hi = (found.field(i).to_numpy() for i in range(3))
-                order = np.argsort(lo, kind="stable")
-                key, lo, hi = key[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
-                cuts = np.flatnonzero(np.diff(lo // BLOCK_BYTES)) + 1
-                for a, b in zip([0, *cuts], [*cuts, len(lo)]):
-                    base, counts = lo[a], hi[a:b] - lo[a:b] + 1
-                    starts = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                    starts = starts[starts + length <= len(data)]
-                    keys = np.repeat(key[a:b], counts)[: len(starts)]
-                    prefix = prefix_hashes(data[base : hi[a:b].max() + length])
-                    hashes = run_hashes(prefix, starts - base, starts - base + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes.view(np.int64)), pa.array(np.full(len(starts), doc_id.as_py(), np.int64)), pa.array(starts.astype(np.int32))], ["key", "hash", "doc_id", "lo"])
+        for part, texts, (doc, key, fingerprint, lo, hi) in _by_slices(batches, length, k):
+            wanted = np.flatnonzero(_listed(part.column(2), doc, key, fingerprint, len(texts)) & _first_in_document(doc, key, fingerprint))
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            pieces = [texts[doc[i]][lo[i] : hi[i] + length] for i in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(key[wanted].view(np.int64)), pa.array(ids[doc[wanted]].astype(np.int64)), pa.array(lo[wanted]), pa.array(pieces, pa.binary())], ["key", "doc_id", "lo", "piece"])
 
     return open_rows
 
 
+def _comparer(length: int):
+    """(doc_id, start, end) of a key's windows that an earlier row of the key has."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        seen: set[bytes] = set()
+        out: list[list[int]] = [[], [], []]
+        rows = rows.sort_by([("doc_id", "ascending"), ("lo", "ascending")])
+        last = None
+        for doc_id, lo, piece in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "lo", "piece"))):
+            if last == (doc_id, lo):  # a repeated row of documents
+                continue
+            last, end = (doc_id, lo), -1
+            for p in range(len(piece) - length + 1):
+                window = piece[p : p + length]
+                if window not in seen:
+                    seen.add(window)
+                elif p <= end - lo:
+                    out[2][-1] = end = lo + p + length
+                else:
+                    end = lo + p + length
+                    for column, value in zip(out, (doc_id, lo + p, end)):
+                        column.append(value)
+        return pa.table([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "end"])
+
+    return compare
+
+
+def _window_hashes(length: int):
+    """(key, hash, doc_id, start) of every window of rows that are too many for one task."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, doc_id, lo, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                starts = np.arange(len(piece) - length + 1)
+                hashes = run_hashes(prefix_hashes(np.frombuffer(piece, np.uint8)), starts, starts + length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array(hashes.view(np.int64)), pa.array(np.full(len(starts), doc_id)), pa.array(lo + starts)], ["key", "hash", "doc_id", "start"])
+
+    return explode
+
+
 def merged_spans(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes."""
     out: list[list[int]] = []
@@ -175,23 +248,32 @@ def merged_spans(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for doc_id, text, runs in zip(*(batch.column(i) for i in range(3))):
-            data, spans = text.as_py().encode(), []
-            if runs.is_valid:
-                found = runs.values
-                spans = merged_spans(found.field(0).to_numpy(), found.field(1).to_numpy(), len(data))
-            digest, at = hashlib.sha256(), 0
-            for a, b in spans:
-                digest.update(data[at:a])
-                at = b
-            digest.update(data[at:])
-            for column, value in zip(out, (doc_id.as_py(), len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [{"start": a, "end": b} for a, b in spans])):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+def _remover(length: int, k: int):
+    """Cuts each document's rows again and removes the listed ones, those it repeats itself, and the runs."""
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts, (doc, key, fingerprint, lo, hi) in _by_slices(batches, length, k):
+            placed = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            gone = (_listed(part.column(2), doc, key, fingerprint, len(texts)) | ~_first_in_document(doc, key, fingerprint)) & placed[doc]
+            doc, lo, hi = doc[gone], lo[gone], hi[gone]
+            bounds, runs = np.searchsorted(doc, np.arange(len(texts) + 1)), part.column(3)
+            out: list[list] = [[], [], [], [], []]
+            for i, data in enumerate(texts):
+                starts, ends = lo[bounds[i] : bounds[i + 1]], hi[bounds[i] : bounds[i + 1]] + length
+                if runs[i].is_valid:
+                    starts, ends = np.concatenate([starts, runs[i].values.field(0).to_numpy()]), np.concatenate([ends, runs[i].values.field(1).to_numpy()])
+                spans = merged_spans(starts, ends, len(data))
+                digest, at = hashlib.sha256(), 0
+                for a, b in spans:
+                    digest.update(data[at:a])
+                    at = b
+                digest.update(data[at:])
+                for column, value in zip(out, (len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [{"start": a, "end": b} for a, b in spans])):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    return remove
 
 
 class SuffixIndex:
@@ -202,58 +284,62 @@ class SuffixIndex:
         self.levels: list[tuple[int, str, DataFrame]] = []
         self.batches = 0
 
-    def rows(self) -> DataFrame | None:
+    def entries(self) -> DataFrame | None:
         out = None
         for _, _, level in self.levels:
             out = level if out is None else out.unionByName(level)
         return out
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch, whose ids follow all before, and returns its repeated rows (doc_id, start, end)."""
+    def add(self, docs: DataFrame, merge: bool = True) -> DataFrame:
+        """Adds a batch, whose ids follow all before, and returns what its documents repeat (key, print, doc_id)."""
         name, self.batches = f"batch{self.batches}", self.batches + 1
-        rows = self.work.keep(docs.mapInArrow(_sampler(self.length, self.k), ROWS), f"{name}_rows")
-        tagged, before = rows.withColumn("old", F.lit(0)), self.rows()
+        own, before = self.work.keep(docs.mapInArrow(_sampler(self.length, self.k), ENTRY), f"{name}_own"), self.entries()
+        tagged = own.withColumn("new", F.lit(1))
         if before is not None:
-            tagged = tagged.unionByName(before.withColumn("old", F.lit(1)))
-        scanned = tagged.groupBy("key", "print").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("old").alias("old"))
-        scanned = self.work.keep(scanned.where("old = 0 or n > 1"), f"{name}_scanned")
-        repeated = scanned.where("n > 1").select("key", "print", F.col("first.doc_id").alias("d"), F.col("first.lo").alias("p"))
-        repeats = self.work.keep(
-            rows.join(repeated, ["key", "print"]).where((F.col("doc_id") != F.col("d")) | (F.col("lo") != F.col("p"))).select("doc_id", F.col("lo").cast("long").alias("start"), (F.col("hi") + self.length).cast("long").alias("end")),
-            f"{name}_repeats",
-        )
-        self._push(self.work.keep(scanned.where("old = 0").select("key", "print", "first.*").repartition("key").sortWithinPartitions("key", "print"), f"{name}_level"), f"{name}_level")
-        self.work.drop(f"{name}_rows", f"{name}_scanned")
-        return repeats
-
-    def _push(self, level: DataFrame, name: str) -> None:
-        self.levels.append((0, name, level))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            tagged = tagged.unionByName(before.withColumn("new", F.lit(0)))
+        scanned = tagged.groupBy("key", "print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("new").alias("new"))
+        scanned = self.work.keep(scanned.where("new = 1 or last > first").sortWithinPartitions("key", "print"), f"{name}_scanned")
+        repeats = self.work.keep(own.join(scanned.where("last > first").select("key", "print", "first"), ["key", "print"]).where("doc_id > first").select("key", "print", "doc_id"), f"{name}_repeats")
+        self.levels.append((0, f"{name}_level", self.work.keep(scanned.where("new = 1").select("key", "print", F.col("first").alias("doc_id")), f"{name}_level")))
+        while merge and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, newer, b), (_, older, a) = self.levels.pop(), self.levels.pop()
-            merged = self.work.keep(a.unionByName(b).repartition("key").sortWithinPartitions("key", "print"), f"{older}_{size + 1}")
-            self.levels.append((size + 1, f"{older}_{size + 1}", merged))
+            self.levels.append((size + 1, f"{older}{size + 1}", self.work.keep(a.unionByName(b).repartition("key").sortWithinPartitions("key", "print"), f"{older}{size + 1}")))
             self.work.drop(newer, older)
+        self.work.drop(f"{name}_own", f"{name}_scanned")
+        return repeats
 
-    def partial(self, docs: DataFrame) -> DataFrame:
+    def partial(self, docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         """Repeated windows (doc_id, start, end) within rows that are the first of their fingerprint."""
-        rows = self.rows()
-        contested = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        opened = rows.join(contested, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("rows"))  # bounded by a document's length
-        windows = self.work.keep(docs.join(opened, "doc_id").select("doc_id", "text", "rows").mapInArrow(_opener(self.length), "key long, hash long, doc_id long, lo int"), "windows")
-        firsts = windows.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hash", F.col("first.doc_id").alias("d"), F.col("first.lo").alias("p"))
-        return windows.join(firsts, ["key", "hash"]).where((F.col("doc_id") != F.col("d")) | (F.col("lo") != F.col("p"))).select("doc_id", F.col("lo").cast("long").alias("start"), (F.col("lo") + self.length).cast("long").alias("end"))
+        entries, bounded = self.entries(), "doc_id long, start long, end long"
+        contested = self.work.keep(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "contested")
+        opened = entries.join(contested.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("key", "print")).alias("entries"))  # bounded by a document's length
+        pieces = self.work.keep(docs.join(opened, "doc_id").select("doc_id", "text", "entries").mapInArrow(_opener(self.length, self.k), "key long, doc_id long, lo long, piece binary"), "pieces")
+        crowded = contested.where(F.col("n") > group_rows).select("key")
+        if crowded.isEmpty():
+            return pieces.groupBy("key").applyInArrow(_comparer(self.length), bounded)
+        small = pieces.join(crowded, "key", "left_anti").groupBy("key").applyInArrow(_comparer(self.length), bounded)
+        windows = self.work.keep(pieces.join(crowded, "key", "left_semi").select("key", "doc_id", "lo", "piece").mapInArrow(_window_hashes(self.length), "key long, hash long, doc_id long, start long"), "windows")
+        firsts = windows.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        return small.unionByName(windows.join(firsts, ["key", "hash"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + self.length).alias("end")))
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (bytes) of every row."""
     docs = id_and_text(docs)
     work = Workspace(docs.sparkSession, "suffix")
     index, placed = SuffixIndex(work, length, k), docs.where("doc_id is not null")
-    cuts = placed.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
-    cuts, runs = sorted({int(c) for c in cuts}), None
+    cuts = sorted({int(c) for c in placed.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
+    repeats = None
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         batch = placed if lo is None else placed.where(F.col("doc_id") >= lo)
-        new = index.add(batch if hi is None else batch.where(F.col("doc_id") < hi))
-        runs = new if runs is None else runs.unionByName(new)
-    runs = runs.unionByName(index.partial(placed)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))  # bounded by a document's length
-    return docs.join(work.keep(runs, "runs"), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(_remover, RESULT)
+        new = index.add(batch if hi is None else batch.where(F.col("doc_id") < hi), merge=hi is not None)
+        repeats = new if repeats is None else repeats.unionByName(new)
+        work.release()
+    runs = work.keep(index.partial(placed, group_rows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "runs")  # these lists, too, are bounded by a document's length
+    work.release()
+    lists = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("key", "print")).alias("entries"))
+    found = work.keep(lists.join(runs, "doc_id", "full"), "found")
+    return docs.join(found, "doc_id", "left").select("doc_id", "text", "entries", "runs").mapInArrow(_remover(length, k), RESULT)
