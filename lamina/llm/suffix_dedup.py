@@ -193,28 +193,30 @@ def _opener(length: int, k: int):
 
 
 def _comparer(length: int):
-    """(doc_id, start, end) of a key's windows that an earlier row of the key has."""
+    """(doc_id, start, end) of a key's windows that an earlier row of the key has; rows come in order of key, doc_id, lo."""
 
-    def compare(rows: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        out: list[list[int]] = [[], [], []]
-        rows = rows.sort_by([("doc_id", "ascending"), ("lo", "ascending")])
-        last = None
-        for doc_id, lo, piece in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "lo", "piece"))):
-            if last == (doc_id, lo):  # a repeated row of documents
-                continue
-            last, end = (doc_id, lo), -1
-            for p in range(len(piece) - length + 1):
-                window = piece[p : p + length]
-                if window not in seen:
-                    seen.add(window)
-                elif p <= end - lo:
-                    out[2][-1] = end = lo + p + length
-                else:
-                    end = lo + p + length
-                    for column, value in zip(out, (doc_id, lo + p, end)):
-                        column.append(value)
-        return pa.table([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "end"])
+        now = last = None
+        for batch in batches:
+            out: list[list[int]] = [[], [], []]
+            for key, doc_id, lo, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if key != now:
+                    now, last, seen = key, None, set()
+                if last == (doc_id, lo):  # a repeated row of documents
+                    continue
+                last, end = (doc_id, lo), -1
+                for p in range(len(piece) - length + 1):
+                    window = piece[p : p + length]
+                    if window not in seen:
+                        seen.add(window)
+                    elif p <= end - lo:
+                        out[2][-1] = end = lo + p + length
+                    else:
+                        end = lo + p + length
+                        for column, value in zip(out, (doc_id, lo + p, end)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "end"])
 
     return compare
 
@@ -315,17 +317,16 @@ class SuffixIndex:
         opened = entries.join(contested.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("key", "print")).alias("entries"))  # bounded by a document's length
         pieces = self.work.keep(docs.join(opened, "doc_id").select("doc_id", "text", "entries").mapInArrow(_opener(self.length, self.k), "key long, doc_id long, lo long, piece binary"), "pieces")
         crowded = contested.where(F.col("n") > group_rows).select("key")
-        if crowded.isEmpty():
-            return pieces.groupBy("key").applyInArrow(_comparer(self.length), bounded)
-        small = pieces.join(crowded, "key", "left_anti").groupBy("key").applyInArrow(_comparer(self.length), bounded)
+        any_crowded = not crowded.isEmpty()
+        few = pieces.join(crowded, "key", "left_anti") if any_crowded else pieces
+        small = few.select("key", "doc_id", "lo", "piece").repartition("key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(_comparer(self.length), bounded)
+        if not any_crowded:
+            return small
         windows = self.work.keep(pieces.join(crowded, "key", "left_semi").select("key", "doc_id", "lo", "piece").mapInArrow(_window_hashes(self.length), "key long, hash long, doc_id long, start long"), "windows")
         firsts = windows.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         return small.unionByName(windows.join(firsts, ["key", "hash"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + self.length).alias("end")))
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (bytes) of every row."""
     docs = id_and_text(docs)
