@@ -208,6 +208,41 @@ def test_language_model(docs):
     assert lm.score_documents(docs.limit(0)).count() == 0
 
 
+def brute_scores(rows, held):
+    """(id, score) of every row by the whole corpus's pairs of words, by definition."""
+    words, pairs = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        own = [b"", *t.encode().lower().split(), b""]
+        if not held(i):
+            words.update(own[1:])
+            pairs.update(zip(own, own[1:]))
+    leaving, n = collections.Counter(a for a, _ in pairs), sum(words.values())
+    out = []
+    for i, t in rows:
+        own, score = [b"", *t.encode().lower().split(), b""], 0.0
+        for a, b in zip(own, own[1:]):
+            root, backoff = (words[b] + 1) / (n + len(words) + 1), 0.5 * leaving[a] / words[a] if words[a] else 1.0
+            score += math.log10((pairs[a, b] - 0.5) / words[a] + backoff * root if pairs[a, b] else backoff * root)
+        out.append((i, round(score, 6)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 3000, "bucket_bytes": 500}])
+def test_language_model_has_arcs_for_all_pairs(spark, docs, sizes):
+    rng = random.Random(5)
+    rare = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(rng.randrange(120)))) for i in range(100, 160)]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*rare, (None, rare[0][1]), (None, rare[1][1]), (170, rare[2][1])], "doc_id long, text string"))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    assert sorted(((r.doc_id, round(r.score, 6)) for r in lm.score_documents(more, **sizes).collect()), key=str) == brute_scores(plain(more), held)
+
+
+def test_language_model_takes_another_key_where_hashes_collide(docs, monkeypatch):
+    rounded = lambda: sorted(((r.doc_id, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs).collect()), key=str)
+    wanted, real = rounded(), lm.hashes
+    monkeypatch.setattr(lm, "hashes", lambda words, key: real(words, key) % np.uint64(3 if key == 0 else 1 << 63))
+    assert rounded() == wanted
+
+
 def test_automaton_sums_to_one():
     words = [b"a", b"b"]
     coder, counts, total, vocabulary = lm.PairCoder(words), np.array([3.0, 5.0, 2.0]), 12, 4
