@@ -2,13 +2,14 @@
 
 Base kinds are email, ip, card and phone, found leftmost and without overlaps for each kind;
 a proposal that fails its check is dropped and nothing inside it is tried again. The method
-adds kind iban (mod 97) and kind ssn (only with a context word near it). Offsets are code
-points, the end exclusive. A null or empty text has no spans; every pattern runs in time
+adds kind iban (mod 97, at the length that its country fixes, whatever follows it; a start that
+fails hides none after it) and kind ssn (only with a context word near it). Offsets are code points, the end exclusive. A null or empty text has no spans; every pattern runs in time
 linear in the text, so one very long word is no trouble.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,7 +27,20 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}+")
+IBAN_GOES_ON = re.compile(r"[A-Za-z0-9]")
+#: Lengths in the registry of ISO 13616.
+IBAN_LENGTHS = {
+    code: length
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 #: Words that speak for a kind when they stand near a span.
@@ -75,6 +89,33 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", end)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """At each start the length of its country; between these, for codes that aren't listed, the longest that mod 97 confirms."""
+    listed: list[tuple[int, int]] = []
+    others, done = [], 0
+    for m in IBAN.finditer(text):
+        if not (rest := IBAN_REST.match(text, m.end())):
+            continue
+        places = [i + 1 for i in range(*rest.span()) if text[i] != " "]  # at most 30 ends
+        if not (length := IBAN_LENGTHS.get(m[0][:2])):
+            others.append((m.start(), places[:9:-1]))
+        elif m.start() >= done and len(places) > length - 5 and _is_iban(text, m.start(), places[length - 5]):
+            listed.append((m.start(), done := places[length - 5]))
+    yield from listed
+    done = 0
+    for start, ends in others:
+        at = bisect.bisect(listed, (start,))
+        if start >= max(done, listed[at - 1][1] if at else 0):
+            limit = listed[at][0] if at < len(listed) else len(text)
+            done = next((end for end in ends if end <= limit and _is_iban(text, start, end)), done)
+            if done > start:
+                yield start, done
+
+
+def _is_iban(text: str, start: int, end: int) -> bool:
+    return not IBAN_GOES_ON.match(text, end) and mod97(text[start:end].replace(" ", ""))
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans that passed their checks."""
     for start, end in emails(text):
@@ -88,9 +129,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in PHONE.finditer(text) if "+" in text else ():
         if 10 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
             yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x):
-            yield "iban", m.start(), m.end()
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         yield "ssn", m.start(), m.end()
 

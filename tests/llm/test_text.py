@@ -126,6 +126,26 @@ def test_pii_against_plain_patterns(docs):
     assert len(list(pii.proposals("9" * 200_000 + "a" * 200_000))) == 0  # linear time
 
 
+def test_ibans_end_where_their_country_says():
+    def iban(country, rest):
+        number = int("".join(str(int(c, 36)) for c in f"{rest}{country}00"))
+        return f"{country}{98 - number % 97:02d}{rest}"
+
+    german, norwegian, unlisted = "DE89370400440532013000", iban("NO", "86011117947"), iban("ZZ", "12345678901X")
+    grouped = lambda x: " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+    for one in (german, norwegian, unlisted, iban("MT", "MALT011000012345MTLCAST001S"), iban("GB", "WEST12345698765432")):
+        for written in (one, grouped(one)):
+            for before in ("", "pay to ", "FR99 CODE ", "AB12 "):
+                for after in ("", ".", " please", " Please", " BIC COBADEFF", " 12 items", " A B C", f" {grouped(german)}"):
+                    text = before + written + after
+                    found = sorted((a, b) for kind, a, b in pii.proposals(text) if kind == "iban")
+                    if one != unlisted:  # other ends may pass mod 97 by chance
+                        assert (len(before), len(before) + len(written)) in found, text
+                    assert found and (after[1:] != grouped(german) or found[-1] == (len(text) - len(after) + 1, len(text))), text
+    assert not list(pii.ibans(f"{german}1 x{german} {german}a {german[:-1]} DE88{german[4:]}"))
+    assert not list(pii.ibans("DE89 " * 40_000)) and not list(pii.ibans("A" * 200_000 + "DE89" + "0" * 200_000))
+
+
 def test_classifiers_edge_cases(docs, labels):
     for score in (quality.score_quality, toxicity.score_toxicity):
         rows = score(docs, labels).collect()
