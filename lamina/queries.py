@@ -203,6 +203,10 @@ register(
 register("G6", lambda v: skeleton.hop_neighbourhood(v.point.where("point_id % 20 = 0"), v.edge, 5, v.work), """
     select start, point_id, cast(min(hops) as int) as hops from (with recursive reach(start, point_id, hops) as (select point_id, point_id, 0 from {point} where point_id % 20 = 0
         union select r.start, e.b, r.hops + 1 from reach r join {edge} e on e.a = r.point_id where r.hops < 5) select * from reach) h group by start, point_id""")
+# G6 as far as the reference goes; G6 itself and its SQL keep 5 hops
+register("G6_15", lambda v: skeleton.hop_neighbourhood(v.point.where("point_id % 20 = 0"), v.edge, 15, v.work), """
+    select start, point_id, cast(min(hops) as int) as hops from (with recursive reach(start, point_id, hops) as (select point_id, point_id, 0 from {point} where point_id % 20 = 0
+        union select r.start, e.b, r.hops + 1 from reach r join {edge} e on e.a = r.point_id where r.hops < 15) select * from reach) h group by start, point_id""")
 register("P15", lambda v: skeleton.sample_keypoints(v.point, v.edge, 3, v.work), """
     select row_number() over (order by point_id) - 1 as new_id, point_id, degree from (select point_id, count(b) as degree from {point} left join {edge} on a = point_id group by point_id) g where degree = 1 or degree >= 3 or point_id % 3 = 0""")
 both("G11", "select a as node_a, b as node_b, round(sqrt(dz * dz * 4.0e0 + dy * dy * 1.0e0 + dx * dx * 0.25e0), 6) as distance_um from {edge} where a < b")

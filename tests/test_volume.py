@@ -160,6 +160,12 @@ def test_query_equals_its_oracle(spark, name):
     assert sorted(str([float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r]) for r in rows) == wanted
 
 
+def test_hop_neighbourhood_of_15_hops(spark):
+    test_query_equals_its_oracle(spark, "G6_15")
+    hops = {r.hops for r in queries.QUERIES["G6_15"](spark, DATA).collect()}
+    assert 5 < max(hops) <= 15
+
+
 def test_entry_imports_without_the_text_package():
     import __spark_entry__ as entry
 
