@@ -1,24 +1,29 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document is the set of its distinct word n-grams, in one global order: that of their 64-bit
-hashes. The order is cut into fragments. Two sets with similarity of at least NUM/DEN differ
-in at most k n-grams, so of k + 1 + SPARE fragments at least 1 + SPARE are the same in both:
-documents that share a whole fragment are candidates, and no other pair can be linked. As k
-grows with the sets' size, sizes form classes, each with its own cut; a set near a class's
-end appears in the next class too. SPARE lets a set leave its empty fragments out; one with
-more empty fragments than SPARE shows them as well.
-
-Overlaps of candidates are counted in each of VERTICAL fragments apart and summed by pair.
-Equal sets are collapsed first. Then only what connects is compared: every set with the
-hub that it shares most fragments with, twice; after that, in blocks of bounded size, the
-sets that share a fragment but aren't connected yet, by sketches and, where these allow a
-link, in full. No list of a group's pairs is ever made,
-and no pair that could connect two groups is left out.
+hashes. The order is cut into VERTICAL fragments. Overlaps of candidate pairs are counted in
+each fragment apart and summed by pair.
+
+Candidates are sought at the start of the order. Of similar sets x and y, at least NUM/DEN of
+the larger one is common; so the first (1 - NUM/DEN) |x| + e n-grams of x and as many of y hold
+e common ones. A set shows that many. Of these only the rarest are sought by: of at least e
+common n-grams, one lies beside the e - 1 most frequent of either set. No pair that shares none
+of the rest can be linked, whatever its size.
+
+Equal sets are collapsed first. Then only what connects is compared, in turns: every set with
+the hub that it shares most n-grams with, twice; every set with the nearest of another group,
+twice; and at last all pairs of groups that may still be linked. For the last three turns sets
+meet in blocks of bounded size by sketches: sums of hashes in as many fragments as a set has
+n-grams, which differ in no more fragments than the sets in n-grams. A set whose sketch allows
+no link is out of the following turns. No list of a group's pairs is ever made, and no pair
+that could connect two groups is left out. Blocks meet each other, so that a bucket costs the
+square of what the hubs left apart in it, in sketches.
 
 The result is one row for each row of documents: doc_id, n_shingles, component_id, the
 smallest doc_id reachable by links. Fewer words than n are one n-gram; texts without words,
 and null texts, are empty sets and linked with nothing, and their component is their own id.
-Rows with a null doc_id count as members of their group through equal texts alone.
+Rows with a null doc_id count as members of their group through equal texts alone. Rows that
+share a doc_id but not the text are linked each by its own text.
 """
 
 from __future__ import annotations
@@ -36,11 +41,11 @@ from lamina.llm.common import id_and_text, slices
 from lamina.session import Workspace
 
 SHINGLE, NUM, DEN = 3, 90, 100
-SPARE, STEPS, VERTICAL = 2, 3, 8
-#: Fragments of a sketch for each fragment of the class's cut.
-SKETCH = 4
-#: Sets of a bucket that are compared with each other in one task.
-BLOCK = 200
+VERTICAL = 8
+#: Hundredths of a set that it shows beyond what one common n-gram takes.
+EXTRA = 20
+#: Sets, and bytes of their sketches, of a bucket that are compared with each other in one task.
+BLOCK, BLOCK_BYTES = 1000, 4 << 20
 CACHE_WORDS = 300_000
 #: Ids that may be broadcast to pick candidates' texts; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -77,114 +82,113 @@ class Shingler:
         return np.unique(out)
 
 
-class SizeClasses:
-    """Intervals of set sizes and the number of fragments of each."""
+class Prefix:
+    """How many n-grams a set shows, and how many of them a similar set shows as well at least."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.starts = [1]
 
-    def at(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            last = self.starts[-1]
-            self.starts.append(max(last + 1, (last - 1) * self.den**STEPS // self.num**STEPS + 1))
-        return int(np.searchsorted(self.starts, size, "right")) - 1
+    def common(self, size: int) -> int:
+        """The least overlap with a similar set, and the least size of one."""
+        return -(-size * self.num // self.den)
 
-    def fragments(self, c: int) -> int:
-        self.at(self.starts[-1] if len(self.starts) <= c + 1 else 1)
-        most = self.starts[c + 1] - 1
-        return 2 * most * (self.den - self.num) // (self.den + self.num) + 1 + SPARE
+    def extra(self, size: int) -> int:
+        return max(1, size * EXTRA // 100)
 
-    def need(self, size: int, c: int, shown: int) -> int:
-        """How many of the shown fragments a similar set shares at least."""
-        most = (size + size * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-        return max(1, self.fragments(c) - most - (self.fragments(c) - shown))
+    def shown(self, size: int) -> int:
+        return min(size, size - self.common(size) + self.extra(size))
 
-    def of(self, size: int) -> list[int]:
-        c = self.at(size)
-        return [c, c + 1] if size * self.den // self.num >= self.starts[c + 1] else [c]
-
-
-def fragment_keys(hashes: np.ndarray, c: int, count: int) -> np.ndarray:
-    """A key for each fragment that is shown; equal for equal fragments of one class and place."""
-    place = ((hashes >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-    ends = np.searchsorted(place, np.arange(count + 1, dtype=np.uint64))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes))])
-        keys = mixed((sums[ends[1:]] - sums[ends[:-1]]) * M1 + mixed(np.arange(count, dtype=np.uint64) + np.uint64(c) * np.uint64(1 << 32) + np.uint64(1)))
-    full = ends[1:] > ends[:-1]
-    keys = keys & ~np.uint64(1) | np.uint64(c & 1)  # the last bit tells a set's two classes apart
-    return keys if count - int(full.sum()) > SPARE else keys[full]
+    def need(self, size: int) -> int:
+        return min(self.extra(self.common(size)), self.common(size))
 
 
 def _signer(n: int, num: int, den: int):
+    """(row, n, sign, need, keys): a set's size, its digest, and what it shows."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, classes = Shingler(n), SizeClasses(num, den)
-        for ids, texts in slices(batches):
-            sizes, signs, keys, needs = [], [], [], []
-            for text in texts:
-                h = shingler.hashes(text)
-                sizes.append(len(h))
-                signs.append(xxhash.xxh3_128_digest(h.tobytes()))
-                shown = [fragment_keys(h, c, classes.fragments(c)) for c in classes.of(len(h))] if len(h) else []
-                needs.append([(classes.need(len(h), c, len(k)), c & 1) for c, k in zip(classes.of(len(h)), shown)])
-                keys.append([k.view(np.int64) for k in shown])
-            kind = pa.list_(pa.struct([("need", pa.int32()), ("parity", pa.int64()), ("keys", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array([[{"need": n, "parity": p, "keys": k} for (n, p), k in zip(ns, ks)] for ns, ks in zip(needs, keys)], kind)],
-                ["doc_id", "n", "sign", "cuts"],
-            )
+        shingler, prefix = Shingler(n), Prefix(num, den)
+        for rows, texts in slices(batches):
+            hashes = [shingler.hashes(t) for t in texts]
+            sizes = [len(h) for h in hashes]
+            keys = [h[: prefix.shown(len(h))].view(np.int64) for h in hashes]
+            columns = [pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], pa.binary()), pa.array([prefix.need(k) for k in sizes], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "n", "sign", "need", "keys"])
 
     return sign
 
 
-def sketch(hashes: np.ndarray, count: int) -> bytes:
-    """16 bits for each of count fragments; equal fragments have equal bits."""
-    place = ((hashes >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-    ends = np.searchsorted(place, np.arange(count + 1, dtype=np.uint64))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes))])
-        return (mixed((sums[ends[1:]] - sums[ends[:-1]]) * M1) >> np.uint64(48)).astype("<u2").tobytes()
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A byte for each of the 2^k fragments of the order, 2^k being at most the set's size: the sum of its hashes.
 
+    Sums of two neighbouring fragments are those of a sketch half as long.
+    """
+    k = max(0, len(hashes).bit_length() - 1)
+    ends = np.searchsorted(hashes >> np.uint64(64 - k) if k else np.zeros(len(hashes), np.uint64), np.arange((1 << k) + 1, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint8), np.cumsum(mixed(hashes).astype(np.uint8), dtype=np.uint8)])
+    return sums[ends[1:]] - sums[ends[:-1]]
 
-def _fragmenter(n: int, num: int, den: int):
-    """(rep, parts, sketches): a set cut at VERTICAL places of the global order, and its sketch in each of its classes."""
+
+def halved(sketches: np.ndarray) -> np.ndarray:
+    return sketches.reshape(len(sketches), -1, 2).sum(axis=2, dtype=np.uint8)
+
+
+def _fragmenter(n: int):
+    """(rep, parts, bits): a set cut at VERTICAL places of the global order, and its sketch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, classes = Shingler(n), SizeClasses(num, den)
-        cuts = np.arange(VERTICAL + 1, dtype=np.uint64)
-        kind = pa.list_(pa.struct([("parity", pa.int64()), ("bits", pa.binary())]))
-        for ids, texts in slices(batches):
-            parts, sketches = [], []
-            for text in texts:
-                h = shingler.hashes(text)
-                ends = np.searchsorted((h >> np.uint64(32)) * np.uint64(VERTICAL) >> np.uint64(32), cuts)
-                parts.append([h[a:b].view(np.int64) for a, b in zip(ends, ends[1:])])
-                sketches.append([{"parity": c & 1, "bits": sketch(h, SKETCH * classes.fragments(c))} for c in classes.of(len(h))])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64()))), pa.array(sketches, kind)], ["rep", "parts", "sketches"])
+        shingler, cuts = Shingler(n), np.arange(VERTICAL + 1, dtype=np.uint64)
+        for rows, texts in slices(batches):
+            hashes = [shingler.hashes(t) for t in texts]
+            ends = [np.searchsorted((h >> np.uint64(32)) * np.uint64(VERTICAL) >> np.uint64(32), cuts) for h in hashes]
+            parts = [[h[a:b].view(np.int64) for a, b in zip(e, e[1:])] for h, e in zip(hashes, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64()))), pa.array([sketch(h).tobytes() for h in hashes], pa.binary())], ["rep", "parts", "bits"])
 
     return cut
 
 
-def block_candidates(num: int, den: int):
-    """Pairs between groups in one block, or between two blocks, of a bucket, that may be similar:
-    two similar sets differ in no more fragments of the sketch than they differ in n-grams."""
+def block_candidates(num: int, den: int, nearest: bool):
+    """Pairs between groups in one block, or between two blocks, of a bucket, that their sketches allow to be similar.
+
+    nearest: for each set the pair of the least distance alone; else all, once each.
+    """
 
     def find(rows: pa.Table) -> pa.Table:
         rep, n, group, block = (rows.column(c).to_numpy() for c in ("rep", "n", "group", "block"))
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u2").reshape(len(rep), -1)
-        out: list[list] = [[], [], [], []]
+        bits, octave = rows.column("bits").to_pylist(), np.array([int(x).bit_length() for x in n])
         two = block.min() != block.max()  # pairs inside a block are compared elsewhere
-        for i in range(len(rep)):
-            others = np.flatnonzero((group != group[i]) & (rep > rep[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num) & ((block != block[i]) | (not two)))
-            others = others[(bits[others] != bits[i]).sum(axis=1) <= (n[others] + n[i]) * (den - num) // (den + num)]
-            for column, value in zip(out, (np.full(len(others), rep[i]), rep[others], np.full(len(others), n[i]), n[others])):
-                column.append(value)
-        return pa.table({c: pa.array(np.concatenate(v), pa.int64()) for c, v in zip(("a", "b", "na", "nb"), out)})
+        out: list[list] = [[], [], [], [], []]
+        members = {o: np.flatnonzero(octave == o) for o in np.unique(octave)}
+        matrix = {o: np.frombuffer(b"".join([bits[i] for i in at]), np.uint8).reshape(len(at), -1) for o, at in members.items()}
+        half = {o: halved(m) for o, m in matrix.items() if m.shape[1] > 1}
+        for o, at in members.items():
+            for i, own in zip(at, matrix[o]):
+                found, distance = [], []
+                for p in (o - 1, o, o + 1):
+                    if p not in members:
+                        continue
+                    others = members[p]
+                    pick = np.flatnonzero((group[others] != group[i]) & (np.minimum(n[others], n[i]) * den >= np.maximum(n[others], n[i]) * num) & ((block[others] != block[i]) | (not two)) & (nearest | (rep[others] > rep[i])))
+                    if not len(pick):
+                        continue
+                    mine = own if p >= o else half[o][np.searchsorted(at, i)]
+                    differ = ((half[p] if p > o else matrix[p])[pick] != mine).sum(axis=1)
+                    ok = differ <= (n[others[pick]] + n[i]) * (den - num) // (den + num)
+                    found.append(others[pick[ok]])
+                    distance.append(differ[ok])
+                found, distance = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, distance))
+                if nearest and len(found) > 1:
+                    best = np.lexsort((rep[found], distance))[:1]
+                    found, distance = found[best], distance[best]
+                for column, value in zip(out, (np.full(len(found), rep[i]), np.full(len(found), n[i]), rep[found], n[found], distance)):
+                    column.append(value)
+        return pa.table({c: pa.array(np.concatenate(v), pa.int64()) for c, v in zip(("rep", "n", "hub", "nh", "distance"), out)})
 
     return find
 
 
+PAIR = ["rep", "n", "hub", "nh"]
+
+
 class JaccardJoin:
     """One run over a table of documents."""
 
@@ -200,51 +204,52 @@ class JaccardJoin:
         ids = self.work.keep(ids, name)
         return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    def rarest(self, signed: DataFrame, copies: DataFrame) -> DataFrame:
-        """(key, rep, n): the keys that candidates must be sought by. If similar sets share ``need`` keys,
-        they share one beside the need - 1 most frequent of either. Keys that one set alone has go."""
-        own = signed.where("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
-        shown = own.select(F.col("doc_id").alias("rep"), F.explode(F.flatten("cuts.keys")).alias("key"))
-        if not own.groupBy("doc_id").count().where("count > 1").isEmpty():  # an id stands in several rows
-            shown = shown.distinct()
-        shared = shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        found = self.work.keep(shown.join(shared, "key"), "shared")
-        sizes = own.select(F.col("doc_id").alias("rep"), "n", F.explode(F.arrays_zip("cuts.need", "cuts.parity")).alias("cut")).select("rep", "n", "cut.need", "cut.parity").distinct()
-        by_set = Window.partitionBy("rep", "parity").orderBy(F.desc("c"), "key")  # a set's own keys
-        ranked = found.withColumn("parity", F.col("key").bitwiseAND(F.lit(1))).join(sizes, ["rep", "parity"]).withColumn("rank", F.row_number().over(by_set))
-        kept = self.work.keep(ranked.where("rank >= need").select("key", "rep", "n"), "kept")
-        self.work.drop("shared")
+    def rarest(self, shown: DataFrame) -> DataFrame:
+        """(key, rep, n): the n-grams of (rep, n, need, key) that candidates must be sought by. N-grams that one set alone shows go."""
+        shared = self.work.keep(shown.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "keys")
+        self.work.release()
+        found = shown.join(shared, "key")
+        by_set = Window.partitionBy("rep").orderBy(F.desc("c"), "key")  # a set's own n-grams
+        kept = self.work.keep(found.withColumn("rank", F.row_number().over(by_set)).where("rank >= need").select("key", "rep", "n"), "kept")
+        self.work.drop("keys")
+        self.work.release()
         return kept.join(kept.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key", "left_semi")
 
     def sets(self, buckets: DataFrame) -> DataFrame:
-        """Fragments of the sets that share a key with another."""
+        """Fragments and sketches of the sets that share a key with another."""
         ids = self.few(buckets.select("rep").distinct(), "ids")
-        text = self.docs.join(ids, self.docs["doc_id"] == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-        return self.work.keep(text.mapInArrow(_fragmenter(self.n, self.num, self.den), "rep long, parts array<array<long>>, sketches array<struct<parity:long,bits:binary>>"), "sets")
+        texts = self.docs.join(ids, self.docs["row"] == F.col("rep"), "left_semi").select("row", "text")
+        return self.work.keep(texts.mapInArrow(_fragmenter(self.n), "rep long, parts array<array<long>>, bits binary"), "sets")
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b, na, nb) that are similar: partial overlaps, then their sums."""
-        left = sets.select(F.col("rep").alias("a"), F.posexplode("parts").alias("fragment", "ga"))
-        right = sets.select(F.col("rep").alias("b"), F.posexplode("parts").alias("fragment", "gb"))
-        partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
-        both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-        return both.where(F.col("both") * self.den >= (F.col("na") + F.col("nb") - F.col("both")) * self.num).select("a", "b")
-
-    def hubs(self, buckets: DataFrame, done: DataFrame | None, salt: int) -> DataFrame:
+        """Those of the pairs (rep, n, hub, nh) that are similar, as (a, b): partial overlaps, then their sums.
+
+        A set moves once for each pair that it is the rep of, a hub's fragments once alone.
+        """
+        own = sets.select("rep", F.posexplode("parts").alias("fragment", "grams"))
+        hubs = sets.select(F.col("rep").alias("hub"), F.posexplode("parts").alias("fragment", "hub_grams"))
+        partial = pairs.join(own, "rep").join(hubs, ["hub", "fragment"]).select(*PAIR, F.size(F.array_intersect("grams", "hub_grams")).alias("part"))
+        both = partial.groupBy(*PAIR).agg(F.sum("part").alias("both"))
+        return both.where(F.col("both") * self.den >= (F.col("n") + F.col("nh") - F.col("both")) * self.num).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+
+    def hubs(self, buckets: DataFrame, salt: int) -> DataFrame:
         """For every set, the hub it shares most keys with among those of other groups; linear in the buckets."""
-        order = F.struct(F.xxhash64("rep", F.lit(salt)), "rep", "n", "group") if salt else F.struct(F.lit(0).cast("long"), "rep", "n", "group")
-        hub = buckets.groupBy("key").agg(F.min(order).alias("hub"))
+        hub = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(salt)), "rep", "n", "group")).alias("hub"))
         shared = (
             buckets.join(hub, "key")
             .where((F.col("hub.group") != F.col("group")) & self.similar_sizes("n", "hub.n"))
             .groupBy("rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("nh"))
             .count()
         )
-        pairs = shared.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.when(F.col("rep") < F.col("hub"), F.col("n")).otherwise(F.col("nh")).alias("na"), F.when(F.col("rep") < F.col("hub"), F.col("nh")).otherwise(F.col("n")).alias("nb"), "rep", "count", "hub")
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        best = pairs.groupBy("rep").agg(F.max(F.struct("count", -F.col("hub"), "a", "b", "na", "nb")).alias("p")).select("p.*")
-        return best.select("a", "b", "na", "nb").distinct()
+        return shared.groupBy("rep", "n").agg(F.max(F.struct("count", "hub", "nh")).alias("best")).select("rep", "n", "best.hub", "best.nh")
+
+    def meetings(self, buckets: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of groups that share a key, as far as their sketches allow a link. A bucket is cut
+        into blocks of bounded size, and every two blocks meet in a task of their own."""
+        blocks = buckets.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        placed = buckets.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "group")
+        return met.join(sets.select("rep", "bits"), "rep").groupBy("key", "i", "j").applyInArrow(block_candidates(self.num, self.den, nearest), "rep long, n long, hub long, nh long, distance long")
 
     def regroup(self, buckets: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Buckets with their sets' groups so far; keys within one group can't connect anything more."""
@@ -252,39 +257,59 @@ class JaccardJoin:
         now = buckets.drop("group").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("group"))
         now = self.work.keep(now, f"grouped_{name}")
         open_keys = now.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-        return self.work.keep(now.join(open_keys, "key", "left_semi"), f"open_{name}")
+        now = self.work.keep(now.join(open_keys, "key", "left_semi"), f"open_{name}")
+        self.work.drop(f"grouped_{name}")
+        self.work.release()
+        return now
 
     def links(self, buckets: DataFrame) -> DataFrame:
         """Links that connect all that is connected."""
-        sets, links, done = self.sets(buckets), None, None  # the pairs that are done, so that no hub is tried twice
-        for turn in range(2):
-            pairs = self.work.keep(self.hubs(buckets, done, turn), f"pairs{turn}")
+        sets, links, done = self.sets(buckets), None, None  # the pairs that are done are never compared again
+        for turn in range(TURNS := 5):
+            if turn < 2:
+                pairs = self.hubs(buckets, turn)
+            elif turn < TURNS - 1:
+                near = self.work.keep(self.meetings(buckets, sets, True), f"near{turn}")
+                buckets = buckets.join(self.few(near.select("rep").distinct(), f"active{turn}"), "rep", "left_semi")
+                pairs = near.groupBy("rep", "n").agg(F.min(F.struct("distance", "hub", "nh")).alias("best")).select("rep", "n", "best.hub", "best.nh")
+            else:
+                pairs = self.meetings(buckets, sets, False).select(*PAIR)
+            pairs = pairs.withColumns({"a": F.least("rep", "hub"), "b": F.greatest("rep", "hub")}).dropDuplicates(["a", "b"])
+            if done is not None:
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = self.work.keep(pairs, f"pairs{turn}")
             done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-            new = self.work.keep(self.linked(pairs, sets), f"links{turn}")
+            new = self.work.keep(self.linked(pairs.select(*PAIR), sets), f"links{turn}")
             links = new if links is None else links.unionByName(new)
-            buckets = self.regroup(buckets, links, str(turn))
-        rest = self.work.keep(self.rest(buckets, sets).join(done, ["a", "b"], "left_anti"), "rest")
-        return links.unionByName(self.work.keep(self.linked(rest, sets), "links_rest"))
-
-    def rest(self, buckets: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs of groups that still share a key, as far as their sketches allow a link. A bucket is
-        cut into blocks of bounded size, and every two blocks meet in a task of their own."""
-        blocks = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        placed = buckets.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "group", F.col("key").bitwiseAND(F.lit(1)).alias("parity"))
-        bits = sets.select("rep", F.explode("sketches").alias("s")).select("rep", "s.parity", "s.bits")
-        return met.join(bits, ["rep", "parity"]).groupBy("key", "i", "j").applyInArrow(block_candidates(self.num, self.den), "a long, b long, na long, nb long").distinct()
+            self.work.release()
+            if turn < TURNS - 1:
+                buckets = self.regroup(buckets, links, str(turn))
+                if buckets.isEmpty():
+                    break
+        return links
 
     def run(self) -> DataFrame:
-        signed = self.work.keep(self.docs.mapInArrow(_signer(self.n, self.num, self.den), "doc_id long, n long, sign binary, cuts array<struct<need:int,parity:long,keys:array<long>>>"), "signed")
-        equal = self.work.keep(signed.where("n > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "equal")
-        copies = signed.where("n > 0").select("doc_id", "sign").join(equal.where("last > rep"), "sign").where("doc_id > rep").select("doc_id").distinct()
-        buckets = self.work.keep(self.rarest(signed, self.few(copies, "copies")).withColumn("group", F.col("rep")), "buckets")
+        repeated = not self.docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+        # an id that stands in several rows doesn't name one of them
+        self.docs = self.work.keep(self.docs.withColumn("row", F.monotonically_increasing_id()), "rows") if repeated else self.docs.withColumn("row", F.col("doc_id"))
+        names = self.docs.select("row", "doc_id")
+        signed = self.work.keep(self.docs.select("row", "text").mapInArrow(_signer(self.n, self.num, self.den), "row long, n long, sign binary, need int, keys array<long>"), "signed")
+        rows = self.work.keep(signed.select("row", "n", "sign").join(names, "row") if repeated else signed.select("row", "n", "sign", F.col("row").alias("doc_id")), "sizes")
+        equal = self.work.keep(rows.where("n > 0 and doc_id is not null").groupBy("sign").agg(F.min("row").alias("rep"), F.max("row").alias("last"), F.min("doc_id").alias("least")), "equal")
+        others = rows.where("n > 0").join(equal.where("last > rep"), "sign").where("doc_id is null or row > rep").select("row") if repeated else rows.where("n > 0").join(equal.where("last > rep"), "sign").where("row > rep").select("row")
+        own = signed.where("n > 0 and row is not null").join(self.few(others, "copies"), "row", "left_anti")
+        if repeated:
+            own = own.join(self.few(names.where("doc_id is null").select("row"), "unnamed"), "row", "left_anti")
+        buckets = self.work.keep(self.rarest(own.select(F.col("row").alias("rep"), "n", "need", F.explode("keys").alias("key"))).withColumn("group", F.col("rep")), "buckets")
+        self.work.drop("kept", "signed")
         self.work.release()
-        components = connected_components(self.links(buckets), self.work)
-        groups = equal.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("sign", F.coalesce("component", "rep").alias("component_id"))
-        joined = signed.select("doc_id", "n", "sign").join(groups, "sign", "left")
-        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        components = connected_components(self.links(buckets), self.work).withColumnRenamed("node", "rep")
+        groups = equal.join(components, "rep", "left").select("sign", F.coalesce("component", "rep").alias("component"), "least")
+        if repeated:
+            groups = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("sign", "component_id")
+        else:
+            groups = groups.select("sign", F.col("component").alias("component_id"))
+        return rows.join(groups, "sign", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:

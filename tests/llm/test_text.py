@@ -343,24 +343,31 @@ def test_jaccard(spark, docs, n, num, monkeypatch):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
-def test_jaccard_keys_never_miss():
-    rng = random.Random(5)
-    classes, shingler = jaccard.SizeClasses(90, 100), jaccard.Shingler(1)
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_jaccard_keys_and_sketches_never_miss(num):
+    rng = random.Random(num)
+    prefix, shingler = jaccard.Prefix(num, 100), jaccard.Shingler(1)
     for _ in range(300):
         size = rng.choice([1, 5, 9, 10, 19, 20, 40, 111, 300])
+        most = 2 * size * (100 - num) // (100 + num)
         a = [f"a{rng.random()}" for _ in range(size)]
-        most = 2 * size // 19
-        b = a[: size - most // 2] + [f"b{rng.random()}" for _ in range(most - most // 2)]
-        x, y = (shingler.hashes(" ".join(t)) for t in (a, b))
-        if 100 * len(np.intersect1d(x, y)) < 90 * len(np.union1d(x, y)):
+        x, y = (shingler.hashes(" ".join(t)) for t in (a, a[: size - most // 2] + [f"b{rng.random()}" for _ in range(most - most // 2)]))
+        if 100 * len(np.intersect1d(x, y)) < num * len(np.union1d(x, y)):
             continue
-        shared = 0
-        for c in set(classes.of(len(x))) & set(classes.of(len(y))):
-            kx, ky = (jaccard.fragment_keys(h, c, classes.fragments(c)) for h in (x, y))
-            same = len(np.intersect1d(kx, ky))
-            assert same >= max(classes.need(len(x), c, len(kx)), classes.need(len(y), c, len(ky)))
-            shared += same
-        assert shared
+        same = len(np.intersect1d(x[: prefix.shown(len(x))], y[: prefix.shown(len(y))]))
+        assert same >= max(prefix.need(len(x)), prefix.need(len(y))) > 0
+        p, q = sorted((jaccard.sketch(x), jaccard.sketch(y)), key=len)
+        q = q if len(p) == len(q) else jaccard.halved(q[None])[0]
+        assert len(p) == len(q) and (p != q).sum() <= len(np.setxor1d(x, y)) <= (len(x) + len(y)) * (100 - num) // (100 + num)
+
+
+def test_jaccard_of_repeated_ids(spark):
+    """Every row is linked by its own text; null ids join by equal texts alone."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, other = " ".join(words), " ".join([*words[:58], "x", "y"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(7, a), (7, other), (9, b), (3, other), (5, a), (None, b), (None, a + " z"), (9, b)]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=str) == sorted([(7, 5), (7, 3), (9, 5), (3, 3), (5, 5), (None, 5), (None, None), (9, 5)], key=str)
 
 
 def test_secrets(docs):
