@@ -10,14 +10,16 @@ e common ones. A set shows that many. Of these only the rarest are sought by: of
 common n-grams, one lies beside the e - 1 most frequent of either set. No pair that shares none
 of the rest can be linked, whatever its size.
 
-Equal sets are collapsed first. Then only what connects is compared, in turns: every set with
-the hub that it shares most n-grams with, twice; every set with the nearest of another group,
-twice; and at last all pairs of groups that may still be linked. For the last three turns sets
-meet in blocks of bounded size by sketches: sums of hashes in as many fragments as a set has
-n-grams, which differ in no more fragments than the sets in n-grams. A set whose sketch allows
-no link is out of the following turns. No list of a group's pairs is ever made, and no pair
-that could connect two groups is left out. Blocks meet each other, so that a bucket costs the
-square of what the hubs left apart in it, in sketches.
+Equal sets are collapsed first. Then only what connects is compared, in turns. In the first two
+every set is compared with the hub that it shares most n-grams with. What is still apart forms
+clusters: sets that share an n-gram, directly or through others. There every set is compared
+with the nearest of another group, twice, and at last all groups that may still be linked. Near
+is told by sketches: the parities of a set's numbers of n-grams in one to two times as many
+fragments as it has n-grams, which differ in no more places than the sets in n-grams. A set
+whose sketch allows no link leaves its cluster. Sketches meet in blocks of bounded size, and
+blocks meet each other: a cluster costs the square of its size, but in comparisons of bits
+alone. No list of a group's pairs is ever made, and no pair that could connect two groups is
+left out.
 
 The result is one row for each row of documents: doc_id, n_shingles, component_id, the
 smallest doc_id reachable by links. Fewer words than n are one n-gram; texts without words,
@@ -43,9 +45,9 @@ from lamina.session import Workspace
 SHINGLE, NUM, DEN = 3, 90, 100
 VERTICAL = 8
 #: Hundredths of a set that it shows beyond what one common n-gram takes.
-EXTRA = 20
-#: Sets, and bytes of their sketches, of a bucket that are compared with each other in one task.
-BLOCK, BLOCK_BYTES = 1000, 4 << 20
+EXTRA = 30
+#: Sets, and n-grams of theirs, of a cluster that are compared with each other in one task.
+BLOCK, BLOCK_GRAMS = 2000, 8 << 20
 CACHE_WORDS = 300_000
 #: Ids that may be broadcast to pick candidates' texts; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -85,15 +87,15 @@ class Shingler:
 class Prefix:
     """How many n-grams a set shows, and how many of them a similar set shows as well at least."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, extra: int = EXTRA):
+        self.num, self.den, self.more = num, den, extra
 
     def common(self, size: int) -> int:
         """The least overlap with a similar set, and the least size of one."""
         return -(-size * self.num // self.den)
 
     def extra(self, size: int) -> int:
-        return max(1, size * EXTRA // 100)
+        return max(1, size * self.more // 100)
 
     def shown(self, size: int) -> int:
         return min(size, size - self.common(size) + self.extra(size))
@@ -102,11 +104,11 @@ class Prefix:
         return min(self.extra(self.common(size)), self.common(size))
 
 
-def _signer(n: int, num: int, den: int):
+def _signer(n: int, num: int, den: int, extra: int = EXTRA):
     """(row, n, sign, need, keys): a set's size, its digest, and what it shows."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, prefix = Shingler(n), Prefix(num, den)
+        shingler, prefix = Shingler(n), Prefix(num, den, extra)
         for rows, texts in slices(batches):
             hashes = [shingler.hashes(t) for t in texts]
             sizes = [len(h) for h in hashes]
@@ -117,19 +119,21 @@ def _signer(n: int, num: int, den: int):
     return sign
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """A byte for each of the 2^k fragments of the order, 2^k being at most the set's size: the sum of its hashes.
+def sketch_bits(size: int) -> int:
+    """log2 of a sketch's bits: more than the set's size, at most twice, and a whole word at least."""
+    return max(6, int(size).bit_length())
 
-    Sums of two neighbouring fragments are those of a sketch half as long.
-    """
-    k = max(0, len(hashes).bit_length() - 1)
-    ends = np.searchsorted(hashes >> np.uint64(64 - k) if k else np.zeros(len(hashes), np.uint64), np.arange((1 << k) + 1, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint8), np.cumsum(mixed(hashes).astype(np.uint8), dtype=np.uint8)])
-    return sums[ends[1:]] - sums[ends[:-1]]
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity of the number of hashes in each of 2^k equal fragments of the order."""
+    k = sketch_bits(len(hashes))
+    return np.packbits(np.bincount((hashes >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def halved(sketches: np.ndarray) -> np.ndarray:
-    return sketches.reshape(len(sketches), -1, 2).sum(axis=2, dtype=np.uint8)
+    """Sketches of half as many fragments."""
+    bits = np.unpackbits(sketches.view(np.uint8), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1, bitorder="little")).view(np.uint64)
 
 
 def _fragmenter(n: int):
@@ -141,37 +145,42 @@ def _fragmenter(n: int):
             hashes = [shingler.hashes(t) for t in texts]
             ends = [np.searchsorted((h >> np.uint64(32)) * np.uint64(VERTICAL) >> np.uint64(32), cuts) for h in hashes]
             parts = [[h[a:b].view(np.int64) for a, b in zip(e, e[1:])] for h, e in zip(hashes, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64()))), pa.array([sketch(h).tobytes() for h in hashes], pa.binary())], ["rep", "parts", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64()))), pa.array([sketch(h) for h in hashes], pa.binary())], ["rep", "parts", "bits"])
 
     return cut
 
 
 def block_candidates(num: int, den: int, nearest: bool):
-    """Pairs between groups in one block, or between two blocks, of a bucket, that their sketches allow to be similar.
+    """Pairs between groups in one block, or between two blocks, of a cluster, that their sketches allow to be similar.
 
     nearest: for each set the pair of the least distance alone; else all, once each.
     """
 
     def find(rows: pa.Table) -> pa.Table:
         rep, n, group, block = (rows.column(c).to_numpy() for c in ("rep", "n", "group", "block"))
-        bits, octave = rows.column("bits").to_pylist(), np.array([int(x).bit_length() for x in n])
+        bits, size = rows.column("bits").to_pylist(), np.array([sketch_bits(x) for x in n])
         two = block.min() != block.max()  # pairs inside a block are compared elsewhere
         out: list[list] = [[], [], [], [], []]
-        members = {o: np.flatnonzero(octave == o) for o in np.unique(octave)}
-        matrix = {o: np.frombuffer(b"".join([bits[i] for i in at]), np.uint8).reshape(len(at), -1) for o, at in members.items()}
-        half = {o: halved(m) for o, m in matrix.items() if m.shape[1] > 1}
-        for o, at in members.items():
-            for i, own in zip(at, matrix[o]):
+        members = {k: np.flatnonzero(size == k) for k in np.unique(size)}
+        words = {k: np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), -1) for k, at in members.items()}
+        half = {k: halved(m) for k, m in words.items() if k - 1 in members}
+        for k, at in members.items():
+            for i, own in zip(at, range(len(at))):
                 found, distance = [], []
-                for p in (o - 1, o, o + 1):
+                for p in (k - 1, k, k + 1):
                     if p not in members:
                         continue
                     others = members[p]
-                    pick = np.flatnonzero((group[others] != group[i]) & (np.minimum(n[others], n[i]) * den >= np.maximum(n[others], n[i]) * num) & ((block[others] != block[i]) | (not two)) & (nearest | (rep[others] > rep[i])))
+                    near = (group[others] != group[i]) & (np.minimum(n[others], n[i]) * den >= np.maximum(n[others], n[i]) * num)
+                    if two:
+                        near &= block[others] != block[i]
+                    if not nearest:
+                        near &= rep[others] > rep[i]
+                    pick = np.flatnonzero(near)
                     if not len(pick):
                         continue
-                    mine = own if p >= o else half[o][np.searchsorted(at, i)]
-                    differ = ((half[p] if p > o else matrix[p])[pick] != mine).sum(axis=1)
+                    theirs, mine = (half[p] if p > k else words[p])[pick], (half[k] if p < k else words[k])[own]
+                    differ = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
                     ok = differ <= (n[others[pick]] + n[i]) * (den - num) // (den + num)
                     found.append(others[pick[ok]])
                     distance.append(differ[ok])
@@ -232,7 +241,7 @@ class JaccardJoin:
         both = partial.groupBy(*PAIR).agg(F.sum("part").alias("both"))
         return both.where(F.col("both") * self.den >= (F.col("n") + F.col("nh") - F.col("both")) * self.num).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
 
-    def hubs(self, buckets: DataFrame, salt: int) -> DataFrame:
+    def hubs(self, buckets: DataFrame, salt: str) -> DataFrame:
         """For every set, the hub it shares most keys with among those of other groups; linear in the buckets."""
         hub = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(salt)), "rep", "n", "group")).alias("hub"))
         shared = (
@@ -243,21 +252,28 @@ class JaccardJoin:
         )
         return shared.groupBy("rep", "n").agg(F.max(F.struct("count", "hub", "nh")).alias("best")).select("rep", "n", "best.hub", "best.nh")
 
-    def meetings(self, buckets: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs of groups that share a key, as far as their sketches allow a link. A bucket is cut
-        into blocks of bounded size, and every two blocks meet in a task of their own."""
-        blocks = buckets.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
-        placed = buckets.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "group")
-        return met.join(sets.select("rep", "bits"), "rep").groupBy("key", "i", "j").applyInArrow(block_candidates(self.num, self.den, nearest), "rep long, n long, hub long, nh long, distance long")
-
-    def regroup(self, buckets: DataFrame, links: DataFrame, name: str) -> DataFrame:
-        """Buckets with their sets' groups so far; keys within one group can't connect anything more."""
+    def clusters(self, buckets: DataFrame) -> DataFrame:
+        """(rep, n, group, cluster) of the sets of buckets; edges lead to each key's least set, so they are linear in the buckets."""
+        star = buckets.join(buckets.groupBy("key").agg(F.min("rep").alias("b")), "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+        tied = connected_components(star, self.work, "clusters_").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        return self.work.keep(buckets.select("rep", "n", "group").distinct().join(tied, "rep"), "clusters")
+
+    def meetings(self, clusters: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of groups of a cluster, as far as their sketches allow a link. A cluster is cut into
+        blocks of bounded size, and every two blocks meet in a task of their own."""
+        blocks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+        placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets.select("rep", "bits"), "rep")
+        met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "group", "bits")
+        return met.groupBy("cluster", "i", "j").applyInArrow(block_candidates(self.num, self.den, nearest), "rep long, n long, hub long, nh long, distance long")
+
+    def regroup(self, rows: DataFrame, by: str, links: DataFrame, name: str) -> DataFrame:
+        """Rows with their sets' groups so far; buckets and clusters within one group can't connect anything more."""
         groups = connected_components(links, self.work, f"groups_{name}_")
-        now = buckets.drop("group").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("group"))
+        columns = [c for c in rows.columns if c != "group"]
+        now = rows.drop("group").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*columns, F.coalesce("component", "rep").alias("group"))
         now = self.work.keep(now, f"grouped_{name}")
-        open_keys = now.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-        now = self.work.keep(now.join(open_keys, "key", "left_semi"), f"open_{name}")
+        still = now.groupBy(by).agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select(by)
+        now = self.work.keep(now.join(still, by, "left_semi"), f"open_{name}")
         self.work.drop(f"grouped_{name}")
         self.work.release()
         return now
@@ -265,26 +281,29 @@ class JaccardJoin:
     def links(self, buckets: DataFrame) -> DataFrame:
         """Links that connect all that is connected."""
         sets, links, done = self.sets(buckets), None, None  # the pairs that are done are never compared again
-        for turn in range(TURNS := 5):
-            if turn < 2:
-                pairs = self.hubs(buckets, turn)
-            elif turn < TURNS - 1:
-                near = self.work.keep(self.meetings(buckets, sets, True), f"near{turn}")
-                buckets = buckets.join(self.few(near.select("rep").distinct(), f"active{turn}"), "rep", "left_semi")
-                pairs = near.groupBy("rep", "n").agg(F.min(F.struct("distance", "hub", "nh")).alias("best")).select("rep", "n", "best.hub", "best.nh")
+        rows, by = buckets, "key"
+        for turn in ("hub0", "hub1", "near0", "near1", "all"):
+            if turn == "near0":
+                rows, by = self.clusters(rows), "cluster"
+            if by == "key":
+                pairs = self.hubs(rows, turn)
+            elif turn == "all":
+                pairs = self.meetings(rows, sets, False).select(*PAIR)
             else:
-                pairs = self.meetings(buckets, sets, False).select(*PAIR)
+                near = self.work.keep(self.meetings(rows, sets, True), turn)
+                rows = rows.join(self.few(near.select("rep").distinct(), f"active_{turn}"), "rep", "left_semi")
+                pairs = near.groupBy("rep", "n").agg(F.min(F.struct("distance", "hub", "nh")).alias("best")).select("rep", "n", "best.hub", "best.nh")
             pairs = pairs.withColumns({"a": F.least("rep", "hub"), "b": F.greatest("rep", "hub")}).dropDuplicates(["a", "b"])
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
-            pairs = self.work.keep(pairs, f"pairs{turn}")
+            pairs = self.work.keep(pairs, f"pairs_{turn}")
             done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-            new = self.work.keep(self.linked(pairs.select(*PAIR), sets), f"links{turn}")
+            new = self.work.keep(self.linked(pairs.select(*PAIR), sets), f"links_{turn}")
             links = new if links is None else links.unionByName(new)
             self.work.release()
-            if turn < TURNS - 1:
-                buckets = self.regroup(buckets, links, str(turn))
-                if buckets.isEmpty():
+            if turn != "all":
+                rows = self.regroup(rows, by, links, turn)
+                if rows.isEmpty():
                     break
         return links
 
@@ -293,7 +312,7 @@ class JaccardJoin:
         # an id that stands in several rows doesn't name one of them
         self.docs = self.work.keep(self.docs.withColumn("row", F.monotonically_increasing_id()), "rows") if repeated else self.docs.withColumn("row", F.col("doc_id"))
         names = self.docs.select("row", "doc_id")
-        signed = self.work.keep(self.docs.select("row", "text").mapInArrow(_signer(self.n, self.num, self.den), "row long, n long, sign binary, need int, keys array<long>"), "signed")
+        signed = self.work.keep(self.docs.select("row", "text").mapInArrow(_signer(self.n, self.num, self.den, EXTRA), "row long, n long, sign binary, need int, keys array<long>"), "signed")
         rows = self.work.keep(signed.select("row", "n", "sign").join(names, "row") if repeated else signed.select("row", "n", "sign", F.col("row").alias("doc_id")), "sizes")
         equal = self.work.keep(rows.where("n > 0 and doc_id is not null").groupBy("sign").agg(F.min("row").alias("rep"), F.max("row").alias("last"), F.min("doc_id").alias("least")), "equal")
         others = rows.where("n > 0").join(equal.where("last > rep"), "sign").where("doc_id is null or row > rep").select("row") if repeated else rows.where("n > 0").join(equal.where("last > rep"), "sign").where("row > rep").select("row")

@@ -356,9 +356,9 @@ def test_jaccard_keys_and_sketches_never_miss(num):
             continue
         same = len(np.intersect1d(x[: prefix.shown(len(x))], y[: prefix.shown(len(y))]))
         assert same >= max(prefix.need(len(x)), prefix.need(len(y))) > 0
-        p, q = sorted((jaccard.sketch(x), jaccard.sketch(y)), key=len)
-        q = q if len(p) == len(q) else jaccard.halved(q[None])[0]
-        assert len(p) == len(q) and (p != q).sum() <= len(np.setxor1d(x, y)) <= (len(x) + len(y)) * (100 - num) // (100 + num)
+        p, q = (np.frombuffer(jaccard.sketch(h), np.uint64)[None] for h in sorted((x, y), key=len))
+        q = q if p.shape == q.shape else jaccard.halved(q)
+        assert p.shape == q.shape and np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(x, y)) <= (len(x) + len(y)) * (100 - num) // (100 + num)
 
 
 def test_jaccard_of_repeated_ids(spark):
