@@ -12,6 +12,20 @@ from lamina.operators.numbering import ordered_ids
 from lamina.session import Workspace
 
 
+#: Voxels of a stretch of a line that runs meet in.
+X_BUCKET = 64
+#: Bits of a contour's node id for its label, slice and number.
+LABEL_BITS, Z_BITS, CC_BITS = 13, 22, 28
+
+
+def node_id(z: F.Column, cc_id: str = "cc_id") -> F.Column:
+    """A contour as one number, in order of label, slice and contour; an error where one doesn't fit its bits."""
+    label, z, cc = (c.cast("long") for c in (F.col("label_id"), z, F.col(cc_id)))
+    fits = label.between(0, (1 << LABEL_BITS) - 1) & z.between(0, (1 << Z_BITS) - 1) & cc.between(0, (1 << CC_BITS) - 1)
+    packed = label * (1 << (Z_BITS + CC_BITS)) + z * (1 << CC_BITS) + cc
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("a label, slice or contour number is too large for a node id")).cast("long"))
+
+
 def runs(mask: DataFrame) -> DataFrame:
     """Voxels of (label_id, z, y) as runs (x_lo, x_hi): rows fall from the area to the outline."""
     line = Window.partitionBy("label_id", "z", "y").orderBy("x")
@@ -31,14 +45,15 @@ def _label_slice(slice_runs: pa.Table) -> pa.Table:
             i = root[i]
         return i
 
-    first_of = {int(v): int(i) for v, i in zip(*np.unique(y, return_index=True))}
-    for i in range(len(y)):
-        j = first_of.get(int(y[i]) + 1, len(y))
-        while j < len(y) and y[j] == y[i] + 1 and lo[j] <= hi[i]:
-            if hi[j] >= lo[i]:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-            j += 1
+    i = j = 0
+    while i < len(y) and j < len(y):  # j is on the line after i's; of two runs, the one that ends first is done
+        if y[j] != y[i] + 1:
+            i, j = (i + 1, j) if y[j] > y[i] + 1 else (i, j + 1)
+            continue
+        if lo[j] <= hi[i] and lo[i] <= hi[j]:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+        i, j = (i + 1, j) if hi[i] <= hi[j] else (i, j + 1)
     roots = np.array([find(i) for i in range(len(y))])
     _, number = np.unique(roots, return_inverse=True)  # runs are in raster order, and so are their first voxels
     return t.append_column("cc_id", pa.array((number + 1).astype(np.int32)))
@@ -56,11 +71,13 @@ def contour_voxels(labelled: DataFrame) -> DataFrame:
 def overlaps(labelled: DataFrame) -> DataFrame:
     """Shared voxels of contours in neighbouring slices, both ways, for equal and other labels.
 
-    Runs meet in an equi-join on slice and line; the forward half is joined once and mirrored.
+    Runs meet in an equi-join on slice, line and stretch of X_BUCKET voxels, and count where both
+    have begun; the forward half is joined once and mirrored.
     """
-    a = labelled.select((F.col("z") + 1).alias("z_next"), "y", "label_id", "z", "cc_id", "x_lo", "x_hi")
-    b = labelled.select(F.col("z").alias("z_next"), "y", F.col("label_id").alias("o_label_id"), F.col("cc_id").alias("o_cc_id"), F.col("x_lo").alias("o_lo"), F.col("x_hi").alias("o_hi"))
-    shared = a.join(b, ["z_next", "y"]).where("x_lo <= o_hi and o_lo <= x_hi")
+    stretches = F.explode(F.expr(f"sequence(x_lo div {X_BUCKET}, x_hi div {X_BUCKET})")).alias("xb")
+    a = labelled.select((F.col("z") + 1).alias("z_next"), "y", "label_id", "z", "cc_id", "x_lo", "x_hi", stretches)
+    b = labelled.select(F.col("z").alias("z_next"), "y", F.col("label_id").alias("o_label_id"), F.col("cc_id").alias("o_cc_id"), F.col("x_lo").alias("o_lo"), F.col("x_hi").alias("o_hi"), stretches)
+    shared = a.join(b, ["z_next", "y", "xb"]).where(f"x_lo <= o_hi and o_lo <= x_hi and xb = greatest(x_lo, o_lo) div {X_BUCKET}")
     up = shared.groupBy("label_id", "z", "cc_id", "o_label_id", "o_cc_id").agg(F.expr("sum(cast(least(x_hi, o_hi) - greatest(x_lo, o_lo) + 1 as bigint))").alias("area")).withColumn("dir", F.lit(1))
     down = up.select(F.col("o_label_id").alias("label_id"), (F.col("z") + 1).alias("z"), F.col("o_cc_id").alias("cc_id"), F.col("label_id").alias("o_label_id"), F.col("cc_id").alias("o_cc_id"), "area", F.lit(-1).alias("dir"))
     return up.unionByName(down)
@@ -71,10 +88,9 @@ def bodies(labelled: DataFrame, work: Workspace) -> DataFrame:
 
     comp_id counts from 1 by label, in order of each body's first voxel.
     """
-    node = F.col("label_id").cast("long") * (1 << 40) + F.col("z").cast("long") * (1 << 20) + F.col("cc_id")  # in order of label, slice and first voxel
-    nodes = labelled.select("label_id", "z", "cc_id").distinct().withColumn("node", node)
+    nodes = labelled.select("label_id", "z", "cc_id").distinct().withColumn("node", node_id(F.col("z")))
     same = overlaps(labelled).where("dir = 1 and label_id = o_label_id")
-    edges = same.select(node.alias("a"), (F.col("label_id").cast("long") * (1 << 40) + (F.col("z") + 1).cast("long") * (1 << 20) + F.col("o_cc_id")).alias("b"))
+    edges = same.select(node_id(F.col("z")).alias("a"), node_id(F.col("z") + 1, "o_cc_id").alias("b"))
     groups = connected_components(edges, work, "bodies")
     tied = work.keep(nodes.join(groups, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component", "node"), "tied")
     numbered = work.keep(ordered_ids(tied.select("label_id", "root").distinct(), ["label_id", "root"], "number", work), "numbered")

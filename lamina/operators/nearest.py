@@ -2,30 +2,75 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.session import Workspace
 
+#: Cells of the coarse grid along the longest side.
+COARSE = 8
+
 
 def nearest(queries: DataFrame, points: DataFrame, size: tuple[float, float, float], work: Workspace, cell: float = 8.0) -> DataFrame:
     """(query_id, point_id, d2) for queries (query_id, wz, wy, wx) and points (point_id, z, y, x) of voxel size (z, y, x).
 
     A query meets the points of its cell and the 26 around it in an equi-join; what it finds
-    within one cell's length is nearest. The others try again with cells twice as long.
+    within one cell's length is nearest. The others try again with cells twice as long, and
+    at last with the cells of a coarse grid over all points. Queries with a null, NaN or infinite
+    coordinate get null; without points there are no rows. Of points equally near the least id counts.
     """
+    name, none = f"nearest{uuid.uuid4().hex[:8]}_", ("cast(null as bigint) as point_id", "cast(null as double) as d2")
     placed = points.select("point_id", (F.col("z") * size[0]).alias("pz"), (F.col("y") * size[1]).alias("py"), (F.col("x") * size[2]).alias("px"))
-    if placed.isEmpty():
-        return queries.select("query_id", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("d2")).limit(0)
-    steps, left, answers, turn = F.array(*(F.lit(i) for i in (-1, 0, 1))), queries, None, 0
-    while not left.isEmpty():
+    box = placed.agg(*(f(c) for c in ("pz", "py", "px") for f in (F.min, F.max))).first()
+    if box[0] is None:
+        return queries.selectExpr("query_id", *none).limit(0)
+    usable = F.lit(True)
+    for c in ("wz", "wy", "wx"):
+        usable &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    side = max(box[i + 1] - box[i] for i in (0, 2, 4))
+    left = queries.where(usable).select("query_id", "wz", "wy", "wx")
+    answers, steps, turn = queries.where(~usable).selectExpr("query_id", *none), F.array(*(F.lit(i) for i in (-1, 0, 1))), 0
+    while cell * COARSE < side and not left.isEmpty():
         grid = lambda c: F.floor(F.col(c) / cell)  # noqa: E731, B023
-        around = left.select("*", F.explode(steps).alias("a")).select("*", F.explode(steps).alias("b")).select("*", F.explode(steps).alias("c")).select("query_id", "wz", "wy", "wx", (grid("wz") + F.col("a")).alias("gz"), (grid("wy") + F.col("b")).alias("gy"), (grid("wx") + F.col("c")).alias("gx"))
-        d2 = F.pow(F.col("pz") - F.col("wz"), 2.0) + F.pow(F.col("py") - F.col("wy"), 2.0) + F.pow(F.col("px") - F.col("wx"), 2.0)
-        met = around.join(placed.select("*", grid("pz").alias("gz"), grid("py").alias("gy"), grid("px").alias("gx")), ["gz", "gy", "gx"]).withColumn("d2", d2)
-        best = met.groupBy("query_id").agg(F.min(F.struct("d2", "point_id")).alias("best")).select("query_id", "best.point_id", "best.d2").where(F.col("d2") <= cell * cell)
-        best = work.keep(best, f"nearest{turn}")
-        answers = best if answers is None else answers.unionByName(best)
-        left = work.keep(left.join(best, "query_id", "left_anti"), f"unanswered{turn}")
+        close = left
+        for c, i in (("wz", 0), ("wy", 2), ("wx", 4)):
+            close = close.where(F.col(c).between(box[i] - cell, box[i + 1] + cell))
+        around = close.select("*", F.explode(steps).alias("a")).select("*", F.explode(steps).alias("b")).select("*", F.explode(steps).alias("c")).select("query_id", "wz", "wy", "wx", (grid("wz") + F.col("a")).alias("gz"), (grid("wy") + F.col("b")).alias("gy"), (grid("wx") + F.col("c")).alias("gx"))
+        met = around.join(placed.select("*", grid("pz").alias("gz"), grid("py").alias("gy"), grid("px").alias("gx")), ["gz", "gy", "gx"])
+        found = work.keep(_best(met).where(F.col("d2") <= cell * cell), f"{name}{turn}")
+        answers = answers.unionByName(found)
+        left = work.keep(left.join(found, "query_id", "left_anti"), f"{name}left{turn}")
+        if turn:
+            work.drop(f"{name}left{turn - 1}")
         cell, turn = cell * 2, turn + 1
-    return answers if answers is not None else queries.select("query_id", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("d2")).limit(0)
+    return answers.unionByName(_by_coarse_cells(left, placed, box, side))
+
+
+def _best(met: DataFrame) -> DataFrame:
+    d2 = F.pow(F.col("pz") - F.col("wz"), 2.0) + F.pow(F.col("py") - F.col("wy"), 2.0) + F.pow(F.col("px") - F.col("wx"), 2.0)
+    return met.withColumn("d2", d2).groupBy("query_id").agg(F.min(F.struct("d2", "point_id")).alias("best")).select("query_id", "best.point_id", "best.d2")
+
+
+def _by_coarse_cells(left: DataFrame, placed: DataFrame, box: list[float], side: float) -> DataFrame:
+    """The queries far from all points: each meets the points of those of at most (COARSE + 1)^3 cells
+    that may hold its nearest one, that is begin no further away than the far end of any cell."""
+    step = max(side / COARSE, 1e-9)
+    grids = [F.floor((F.col(c) - box[i]) / step).cast("int").alias(g) for c, i, g in (("pz", 0, "gz"), ("py", 2, "gy"), ("px", 4, "gx"))]
+    points = placed.select("*", *grids)
+    cells = [tuple(r) for r in points.select("gz", "gy", "gx").distinct().collect()]  # bounded by COARSE
+    lists = [F.lit([c[i] for c in cells]).alias(g) for i, g in enumerate(("gz", "gy", "gx"))]
+
+    def ends(cell: F.Column) -> F.Column:
+        near, far = F.lit(0.0), F.lit(0.0)
+        for w, g, i in (("wz", "gz", 0), ("wy", "gy", 2), ("wx", "gx", 4)):
+            lo = F.lit(box[i]) + cell[g] * step
+            hi = lo + step
+            near += F.pow(F.greatest(lo - F.col(w), F.col(w) - hi, F.lit(0.0)), 2.0)
+            far += F.pow(F.greatest(F.abs(F.col(w) - lo), F.abs(F.col(w) - hi)), 2.0)
+        return F.struct(near.alias("near"), far.alias("far"), cell.alias("cell"))
+
+    ranged = left.withColumn("_cells", F.transform(F.arrays_zip(*lists), ends)).withColumn("_most", F.array_min(F.transform("_cells", lambda c: c["far"])) * (1 + 1e-9))
+    met = ranged.select("query_id", "wz", "wy", "wx", F.explode(F.filter("_cells", lambda c: c["near"] <= F.col("_most"))).alias("c")).select("query_id", "wz", "wy", "wx", "c.cell.*")
+    return _best(met.join(points, ["gz", "gy", "gx"]))

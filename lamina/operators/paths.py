@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +64,28 @@ def path_boxes(contour: DataFrame, overlap: DataFrame, work: Workspace, margin:
         out = out.unionByName(now.select(*key, *box))
     clamp = [F.greatest(F.lit(0), F.min("y_min") - margin).alias("y0"), F.least(F.lit(ny), F.max("y_max") + margin).alias("y1"), F.greatest(F.lit(0), F.min("x_min") - margin).alias("x0"), F.least(F.lit(nx), F.max("x_max") + margin).alias("x1")]
     return out.groupBy(*key).agg(*clamp)
+
+
+def path_layers(starts: DataFrame, best: DataFrame, work: Workspace) -> DataFrame:
+    """(s_label, s_z, s_cc, z, label_id, cc_id): every contour on the paths from the contours of starts (label_id, z, cc_id), themselves included.
+
+    best: one neighbour for each contour and direction. Pointers of 1, 2, 4... slices are added
+    to all that is reached so far, so that each contour of a path is reached once, in log2(depth) joins.
+    """
+    first = starts.select("label_id", "z", "cc_id").distinct().select(F.col("label_id").alias("s_label"), F.col("z").alias("s_z"), F.col("cc_id").alias("s_cc"), "z", "label_id", "cc_id")
+    name, out = f"layers{uuid.uuid4().hex[:8]}_", None
+    node, ahead = ["label_id", "z", "cc_id"], ["p_label", "p_z", "p_cc"]
+    for direction in (1, -1):
+        reached = work.keep(first, f"{name}{direction}_0")
+        jump = best.where(F.col("dir") == direction).select(*node, F.col("o_label_id").alias("p_label"), (F.col("z") + direction).alias("p_z"), F.col("o_cc_id").alias("p_cc"))
+        jump, turn = work.keep(jump, f"{name}jump{direction}_0"), 0
+        while not jump.isEmpty():
+            new = reached.join(jump, node).select("s_label", "s_z", "s_cc", F.col("p_z").alias("z"), F.col("p_label").alias("label_id"), F.col("p_cc").alias("cc_id"))
+            after = jump.select(*(F.col(n).alias(a) for n, a in zip(node, ahead)), *(F.col(a).alias(f"q{a}") for a in ahead))
+            doubled = jump.join(after, ahead).select(*node, *(F.col(f"q{a}").alias(a) for a in ahead))
+            turn += 1
+            reached = work.keep(reached.unionByName(new), f"{name}{direction}_{turn}")
+            jump = work.keep(doubled, f"{name}jump{direction}_{turn}")
+            work.drop(f"{name}{direction}_{turn - 1}", f"{name}jump{direction}_{turn - 1}")
+        out = reached if out is None else out.unionByName(reached.where("z < s_z"))
+    return out

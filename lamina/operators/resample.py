@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from lamina.session import Workspace
 
 
-def block_mean(image: DataFrame, f: int) -> DataFrame:
-    """Sum of each f x f x f block over f^3, truncated; edge blocks count as padded with zeros."""
-    return image.groupBy(*(F.expr(f"{c} div {f}").cast("int").alias(c) for c in "zyx")).agg(F.expr(f"cast(sum(value) div {f**3} as int)").alias("value"))
+def block_mean(image: DataFrame, f: int, depth: int | None = None) -> DataFrame:
+    """Sum of each f x f x f block over f^3, truncated; edge blocks count as padded with zeros.
+
+    depth: the number of slices; where it is given, those after the last whole block are left out.
+    """
+    whole = image if depth is None else image.where(F.col("z") < depth // f * f)
+    return whole.groupBy(*(F.expr(f"{c} div {f}").cast("int").alias(c) for c in "zyx")).agg(F.expr(f"cast(sum(value) div {f**3} as int)").alias("value"))
 
 
 def pyramid(image: DataFrame, levels: int, shape: tuple[int, int, int], work: Workspace, least_side: int = 16) -> DataFrame:
@@ -34,3 +38,11 @@ def upsample(mask: DataFrame, f: int, shape: tuple[int, int, int]) -> DataFrame:
 
 def stride(mask: DataFrame, f: int) -> DataFrame:
     return mask.where(f"z % {f} = 0 and y % {f} = 0 and x % {f} = 0").withColumns({c: F.expr(f"cast({c} div {f} as int)") for c in "zyx"})
+
+
+def shape_mismatches(mask: DataFrame, shape: tuple[int, int, int], factors: tuple[int, ...]) -> DataFrame:
+    """(factor, want_z, want_y, want_x, got_z, got_y, got_x, mismatch): for each factor the shape that a
+    coarser level ought to have, rounded down, and that of the level whose blocks hold all of the volume."""
+    rows = [(f, *(n // f for n in shape), *((n - 1) // f + 1 if n else 0 for n in shape)) for f in factors]
+    sizes = mask.sparkSession.createDataFrame(rows, "factor int, want_z int, want_y int, want_x int, got_z int, got_y int, got_x int")
+    return sizes.withColumn("mismatch", F.expr("want_z <> got_z or want_y <> got_y or want_x <> got_x"))

@@ -39,3 +39,12 @@ def sample_keypoints(points: DataFrame, edges: DataFrame, rate: int, work: Works
     degree = points.join(edges.groupBy(F.col("a").alias("point_id")).agg(F.count(F.lit(1)).alias("degree")), "point_id", "left").select("point_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
     kept = degree.where(f"degree = 1 or degree >= 3 or point_id % {rate} = 0")
     return ordered_ids(kept, ["point_id"], "new_id", work).select("new_id", "point_id", "degree")
+
+
+def sample_edges(points: DataFrame, edges: DataFrame, rate: int, work: Workspace, voxel: tuple[float, float, float] = (2.0, 1.0, 0.5)) -> DataFrame:
+    """(node_a, node_b, distance_um, degree): the edges between the points that sampling keeps, by their new numbers; degree counts what is left at node_a."""
+    kept = work.keep(sample_keypoints(points, edges, rate, work), "keypoints")
+    length = F.sqrt(sum((F.pow(F.col(d) * v, 2.0) for d, v in zip(("dy", "dx"), voxel[1:])), F.pow(F.col("dz") * voxel[0], 2.0)))
+    a, b = (kept.select(F.col("point_id").alias(c), F.col("new_id").alias(f"node_{c}")) for c in "ab")
+    left = work.keep(edges.join(a, "a").join(b, "b").select("node_a", "node_b", F.round(length, 6).alias("distance_um")), "kept_edges")
+    return left.join(left.groupBy("node_a").agg(F.count(F.lit(1)).alias("degree")), "node_a")

@@ -2,57 +2,52 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.operators import components
+from lamina.operators import components, skeleton
 from lamina.session import Workspace
 from lamina.sources import volume
 
-#: Voxel size in micrometres at level 2, along z, y and x; unequal, so that an axis mix-up shows.
+#: Voxel size in micrometres at level 2 of the derived volume, along z, y and x; unequal, so that an axis mix-up shows.
 VZ, VY, VX = 2.0, 1.0, 0.5
 
-#: The label dimension.
+#: The label dimension of the derived volume.
 LABELS = ((1, "Benign", "#10B981"), (2, "HGPIN", "#F59E0B"), (3, "AIP", "#FB7185"), (4, "IDCP", "#DC2626"))
 
 
 class Volume:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    @cached_property
-    def work(self) -> Workspace:
-        return Workspace(self.spark, "volume")
-
-    @cached_property
-    def label_dim(self) -> DataFrame:
-        return self.spark.createDataFrame(LABELS, "label_id int, name string, color string")
-
-    @cached_property
-    def supplier(self) -> DataFrame:
-        return volume.read(self.spark, self.sf_dir, "supplier")
+    """A volume of one's own: outer and inner masks (label_id, z, y, x), skeleton (z, y, x), image
+    (z, y, x, value), labels (id, name, colour), voxel size and shape along z, y and x."""
 
-    @cached_property
-    def events(self) -> DataFrame:
-        return volume.read(self.spark, self.sf_dir, "events")
+    def __init__(
+        self, spark: SparkSession, outer: DataFrame, skeleton: DataFrame | None = None, inner: DataFrame | None = None, image: DataFrame | None = None,
+        labels: tuple = LABELS, voxel: tuple[float, float, float] = (VZ, VY, VX), shape: tuple[int, int, int] | None = None,
+    ):
+        self.spark, self.labels, self.voxel = spark, labels, voxel
+        self.outerv = outer.select("label_id", "z", "y", "x")
+        self.innerv = (inner if inner is not None else outer.limit(0)).select("label_id", "z", "y", "x")
+        self.skel = (skeleton if skeleton is not None else outer.limit(0)).select("z", "y", "x")
+        self.img = (image if image is not None else outer.limit(0).withColumn("value", F.lit(0))).select("z", "y", "x", "value")
+        self._shape = shape
 
     @cached_property
-    def outerv(self) -> DataFrame:
-        return volume.mask(self.spark, self.sf_dir)
+    def shape(self) -> tuple[int, int, int]:
+        """As given, or of the smallest box from the origin that holds the masks."""
+        if self._shape is None:
+            self._shape = tuple((n or 0) for n in self.outerv.agg(*(F.max(c) + 1 for c in "zyx")).first())
+        return self._shape
 
     @cached_property
-    def innerv(self) -> DataFrame:
-        return volume.mask(self.spark, self.sf_dir, shrink=2)
-
-    @cached_property
-    def skel(self) -> DataFrame:
-        return volume.skeleton(self.spark, self.sf_dir)
+    def work(self) -> Workspace:
+        return Workspace(self.spark, "volume")
 
     @cached_property
-    def img(self) -> DataFrame:
-        return volume.image(self.spark, self.sf_dir)
+    def label_dim(self) -> DataFrame:
+        return self.spark.createDataFrame(self.labels, "label_id int, name string, color string")
 
     @cached_property
     def combined(self) -> DataFrame:
@@ -75,7 +70,9 @@ class Volume:
             F.min("y").alias("y_min"), F.max("y").alias("y_max"), F.min("x_lo").alias("x_min"), F.max("x_hi").alias("x_max"),
             F.sum(size.cast("long")).alias("area"), F.sum((F.col("y") * size).cast("long")).alias("sum_y"), F.sum(((F.col("x_lo") + F.col("x_hi")) * size / 2).cast("long")).alias("sum_x"),
         )
-        on_line = self.crun.join(self.skel, ["z", "y"]).where("x between x_lo and x_hi").groupBy("label_id", "z", "cc_id").agg(F.count(F.lit(1)).alias("n_skel"), F.sum(F.col("y").cast("long")).alias("skel_y"), F.sum(F.col("x").cast("long")).alias("skel_x"))
+        runs = self.crun.withColumn("xb", F.explode(F.expr(f"sequence(x_lo div {components.X_BUCKET}, x_hi div {components.X_BUCKET})")))
+        dots = self.skel.withColumn("xb", F.expr(f"x div {components.X_BUCKET}"))
+        on_line = runs.join(dots, ["z", "y", "xb"]).where("x between x_lo and x_hi").groupBy("label_id", "z", "cc_id").agg(F.count(F.lit(1)).alias("n_skel"), F.sum(F.col("y").cast("long")).alias("skel_y"), F.sum(F.col("x").cast("long")).alias("skel_x"))
         return (
             shape.join(on_line, ["label_id", "z", "cc_id"], "left")
             .withColumns({"centroid_y": F.col("sum_y") / F.col("area"), "centroid_x": F.col("sum_x") / F.col("area"), "has_skeleton": F.col("n_skel").isNotNull()})
@@ -95,6 +92,16 @@ class Volume:
     def point(self) -> DataFrame:
         return components.skeleton_points(self.skel, self.outerv, self.work)
 
+    @cached_property
+    def mapped(self) -> DataFrame:
+        """(point_id, label_id, z_l0, cc_id0): the points' contours at level 0."""
+        return skeleton.level0_contours(self.point, self.combined, 4)
+
+    @cached_property
+    def ccvox(self) -> DataFrame:
+        """Voxels of the contours of the combined labels, which are those of level 0."""
+        return components.contour_voxels(self.work.keep(components.contour_runs(self.combined.select("label_id", "z", "y", "x")), "ccrun"))
+
     @cached_property
     def edge(self) -> DataFrame:
         return components.adjacency(self.point)
@@ -110,11 +117,22 @@ class Volume:
 
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over the tables named in braces."""
-        import re
-
         return self.spark.sql(text, **{name: getattr(self, name) for name in set(re.findall(r"\{(\w+)\}", text))})
 
 
+class DerivedVolume(Volume):
+    """The volume that is derived from the business tables of a folder, and these tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, volume.mask(spark, sf_dir), volume.skeleton(spark, sf_dir), volume.mask(spark, sf_dir, shrink=2), volume.image(spark, sf_dir))
+        self.supplier, self.events = (volume.read(spark, sf_dir, t) for t in ("supplier", "events"))
+
+    @cached_property
+    def shape(self) -> tuple[int, int, int]:
+        tiles = self.supplier.agg(F.expr(f"max(s_suppkey) div {volume.TILE_KEYS} + 1")).first()[0] or 0
+        return tiles * volume.TILE_Z, volume.NY, volume.NX
+
+
 _SHIFTS = "select a.v dz, b.v dy, c.v dx, row_number() over (order by a.v, b.v, c.v) - 1 as nth from (select unnest([-1, 0, 1]) v) a, (select unnest([-1, 0, 1]) v) b, (select unnest([-1, 0, 1]) v) c where a.v <> 0 or b.v <> 0 or c.v <> 0"
 
 
@@ -143,6 +161,10 @@ SQL = volume.SQL | {
     "ccvox": "select label_id, z, cc_id, y, cast(unnest(generate_series(x_lo, x_hi)) as int) x from (select r.*, cast(dense_rank() over (partition by label_id, z order by c.root) as int) cc_id from runsc r join reachc c using (id))",
     "overlap": """select a.label_id, a.z, a.cc_id, b.label_id o_label_id, b.cc_id o_cc_id, count(*) area, d.v dir from cvox a, (values (-1), (1)) d(v), cvox b
         where b.z = a.z + d.v and a.y = b.y and a.x = b.x group by 1, 2, 3, 4, 5, 7""",
+    "depth": f"select (max(s_suppkey) // {volume.TILE_KEYS} + 1) * {volume.TILE_Z} as nz from supplier",
+    "best": "select label_id, z, cc_id, dir, o_label_id, o_cc_id from (select *, row_number() over (partition by label_id, z, cc_id, dir order by area desc, case when label_id = o_label_id then 0 else 1 end, o_label_id, o_cc_id) nth from overlap) o where nth = 1",
+    "best_same": "select label_id, z, cc_id, dir, o_cc_id from (select *, row_number() over (partition by label_id, z, cc_id, dir order by area desc, o_cc_id) nth from overlap where label_id = o_label_id) o where nth = 1",
+    "clicks": "select event_id, user_id, ts, cast(event_id % 20 as int) z, cast((event_id * 7) % 48 as int) y, cast((user_id * 13) % 48 as int) x, cast(1 + event_id % 4 as int) label_id from events",
     "nodes3": "select distinct label_id, z, cc_id, cast(label_id as bigint) * 1099511627776 + cast(z as bigint) * 1048576 + cc_id id from crun",
     "edges3": "select cast(label_id as bigint) * 1099511627776 + cast(z as bigint) * 1048576 + cc_id a, cast(o_label_id as bigint) * 1099511627776 + cast(z + dir as bigint) * 1048576 + o_cc_id b from overlap where label_id = o_label_id",
     "reach3": _reach("reach3", "nodes3", "edges3"),
@@ -162,8 +184,6 @@ SQL = volume.SQL | {
 
 def oracle(text: str) -> str:
     """The text with the tables it names in braces, and all that they need, in front."""
-    import re
-
     order: list[str] = []
 
     def need(name: str) -> None:
@@ -179,5 +199,7 @@ def oracle(text: str) -> str:
     body = re.sub(r"\{(\w+)\}", r"\1", text)
     if not order:
         return body
+    if body.lstrip().lower().startswith("with"):
+        body = f"select * from ({body}) q"
     parts = [f"{n}{SQL[n]}" if SQL[n].startswith("(id") else f"{n} AS MATERIALIZED ({SQL[n]})" for n in order]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body

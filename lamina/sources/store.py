@@ -1,0 +1,75 @@
+"""The level store: a volume's levels as compressed chunks in a Parquet table, partitioned by level.
+
+A chunk is a row with its place, shape, type and zlib bytes, so a slice or a box reads only the
+chunks that it touches. Writing replaces a store of that name as a whole and fails as a whole.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CHUNK = (16, 256, 256)
+ROW = "level int, cz int, cy int, cx int, z0 int, y0 int, x0 int, nz int, ny int, nx int, dtype string, data binary"
+VOXEL = "level int, z int, y int, x int, value bigint"
+
+
+def _encode(dtype: str):
+    def encode(rows: pa.Table) -> pa.Table:
+        at = {c: rows.column(c)[0].as_py() for c in ("level", "cz", "cy", "cx")}
+        start = [at[c] * n for c, n in zip(("cz", "cy", "cx"), CHUNK)]
+        places = [rows.column(c).to_numpy() - s for c, s in zip("zyx", start)]
+        shape = [int(p.max()) + 1 for p in places]
+        array = np.zeros(shape, dtype)
+        array[tuple(places)] = rows.column("value").to_numpy()
+        out = at | dict(zip(("z0", "y0", "x0"), start)) | dict(zip(("nz", "ny", "nx"), shape)) | {"dtype": dtype, "data": zlib.compress(array.tobytes(), 5)}
+        kinds = {"dtype": pa.string(), "data": pa.binary()}
+        return pa.table({c.split()[0]: pa.array([out[c.split()[0]]], kinds.get(c.split()[0], pa.int32())) for c in ROW.split(", ")})
+
+    return encode
+
+
+def chunks(voxels: DataFrame, dtype: str = "<i4") -> DataFrame:
+    """Chunk rows of voxels (level, z, y, x, value); chunks that hold zeros alone have none. A chunk is bounded by CHUNK."""
+    placed = voxels.select("level", *(F.expr(f"cast({c} div {n} as int)").alias(f"c{c}") for c, n in zip("zyx", CHUNK)), "z", "y", "x", "value")
+    return placed.groupBy("level", "cz", "cy", "cx").applyInArrow(_encode(dtype), ROW)
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            array = np.frombuffer(zlib.decompress(row["data"]), row["dtype"]).reshape(row["nz"], row["ny"], row["nx"])
+            places = np.nonzero(array)
+            columns = [np.full(len(places[0]), row["level"], np.int32), *((p + row[s]).astype(np.int32) for p, s in zip(places, ("z0", "y0", "x0"))), array[places].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["level", "z", "y", "x", "value"])
+
+
+def write_levels(voxels: DataFrame, path: str, dtype: str = "<i4") -> None:
+    chunks(voxels, dtype).write.mode("overwrite").partitionBy("level").parquet(path)
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk rows; a filter on level prunes folders, one on cz, cy, cx row groups."""
+    return spark.read.schema(ROW).parquet(path)
+
+
+def levels(store: DataFrame) -> DataFrame:
+    """(level, n_chunks, nz, ny, nx), in order of level; the shape is that of the box that holds all values."""
+    ends = (F.max(F.col(f"{c}0") + F.col(f"n{c}")).alias(f"n{c}") for c in "zyx")
+    return store.groupBy("level").agg(F.count(F.lit(1)).alias("n_chunks"), *ends).orderBy("level")
+
+
+def read_level(store: DataFrame, level: int | None = None, z: tuple[int, int] | None = None) -> DataFrame:
+    """(level, z, y, x, value) of a level, or all, and of slices z[0] to z[1] - 1; only chunks that hold these are decoded."""
+    if level is not None:
+        store = store.where(F.col("level") == level)
+    if z is not None:
+        store = store.where(F.col("cz").between(z[0] // CHUNK[0], (z[1] - 1) // CHUNK[0]))
+    voxels = store.select(*(c.split()[0] for c in ROW.split(", "))).mapInArrow(_decode, VOXEL)
+    return voxels if z is None else voxels.where(F.col("z").between(z[0], z[1] - 1))

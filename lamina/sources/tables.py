@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINTS = "struct<point_id:array<long>,z:array<int>,y:array<int>,x:array<int>,label_id:array<int>>"
@@ -31,3 +31,56 @@ def contours_from_json(texts: DataFrame) -> DataFrame:
     rows = texts.select("label_id", "z", F.posexplode(F.from_json("json", CONTOURS)).alias("place", "c"))
     valid = F.when(F.col("c.cc_id") == F.col("place") + 1, F.col("c.cc_id")).otherwise(F.raise_error(F.lit("cc_id isn't the contour's place in its list")).cast("int"))
     return rows.select("label_id", "z", valid.alias("cc_id"), "c.area")
+
+
+def _written(texts: DataFrame, path: str) -> str:
+    texts.select("json").write.mode("overwrite").text(path)
+    return path
+
+
+def write_points(points: DataFrame, path: str) -> str:
+    """Skeleton points as JSON lines, a chunk of parallel lists a line."""
+    return _written(points_to_json(points), path)
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    return points_from_json(spark.read.text(path).withColumnRenamed("value", "json"))
+
+
+def write_contours(contours: DataFrame, path: str) -> str:
+    """Contours as JSON lines, each the label, the slice and its list."""
+    lists = contours_to_json(contours).select(F.to_json(F.struct("label_id", "z", F.col("json").alias("contours"))).alias("json"))
+    return _written(lists, path)
+
+
+def read_contours(spark: SparkSession, path: str) -> DataFrame:
+    """Contours of the lines; one whose list isn't in order of cc_id is an error."""
+    return contours_from_json(spark.read.schema("label_id int, z int, contours string").json(path).withColumnRenamed("contours", "json"))
+
+
+GRAPH = "node_a long, node_b long, distance_um double"
+
+
+def write_graph(edges: DataFrame, voxel: tuple[float, float, float], path: str) -> str:
+    """The skeleton's edges, each once, with their length, as JSON lines."""
+    length = F.sqrt(F.pow(F.col("dz") * voxel[0], 2.0) + F.pow(F.col("dy") * voxel[1], 2.0) + F.pow(F.col("dx") * voxel[2], 2.0))
+    return _written(edges.where("a < b").select(F.to_json(F.struct(F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.round(length, 6).alias("distance_um"))).alias("json")), path)
+
+
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(GRAPH).json(path)
+
+
+METADATA = "labels array<struct<label_id:int,name:string,color:string>>, voxel_size array<double>, shape array<int>"
+
+
+def write_metadata(volume, path: str) -> str:
+    """One JSON text of a volume's labels, voxel size and shape; the label table is small."""
+    labels = volume.label_dim.agg(F.array_sort(F.collect_list(F.struct("label_id", "name", "color"))).alias("labels"))
+    return _written(labels.select(F.to_json(F.struct("labels", F.array(*map(F.lit, volume.voxel)).alias("voxel_size"), F.array(*map(F.lit, volume.shape)).alias("shape"))).alias("json")).coalesce(1), path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(label_id, name, color, vz, vy, vx, nz, ny, nx)."""
+    whole = spark.read.schema(METADATA).json(path).select(F.explode("labels").alias("l"), *(F.element_at("voxel_size", i + 1).alias(f"v{c}") for i, c in enumerate("zyx")), *(F.element_at("shape", i + 1).alias(f"n{c}") for i, c in enumerate("zyx")))
+    return whole.select("l.*", "vz", "vy", "vx", "nz", "ny", "nx")

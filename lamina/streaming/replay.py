@@ -13,3 +13,10 @@ def debounced(events: DataFrame, gap: str) -> DataFrame:
     """
     bursts = events.groupBy("user_id", F.session_window("ts", gap)).agg(F.max(F.struct("ts", "event_id")).alias("last"), F.count(F.lit(1)).alias("n"))
     return bursts.select("user_id", "last.event_id", "n")
+
+
+def typed_slices(texts: DataFrame, n_slices: int) -> DataFrame:
+    """(event_id, z) of typed texts: a whole number, held within the slices; null for anything else."""
+    clean = F.trim("typed")
+    number = F.when(F.regexp_like(clean, F.lit("^[+-]?[0-9]{1,18}$")), clean.try_cast("bigint"))
+    return texts.select("event_id", F.when(number.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n_slices - 1), number))).cast("int").alias("z"))

@@ -6,11 +6,17 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from lamina import queries
-from lamina.operators import components, geometry, nearest, numbering, paths, resample, skeleton
+from lamina.functions import colors
+from lamina.jobs.preprocess import preprocess
+from lamina.operators import brush, components, geometry, nearest, numbering, paths, resample, skeleton, surface, tracking
 from lamina.session import Workspace
+from lamina.sources import store, tables, volume_files
 from lamina.streaming import replay
 
 DATA = "/root/testdata/sf0.001"
@@ -111,6 +117,176 @@ def test_nearest_widens_its_cells(spark):
     assert nearest.nearest(queries_df, points.limit(0), (1.0, 1.0, 1.0), Workspace(spark, "t")).count() == 0
 
 
+def test_nearest_ends_whatever_the_queries(spark):
+    rng = random.Random(5)
+    points = [(i, rng.randrange(40), rng.randrange(300), rng.randrange(300)) for i in range(200)]
+    asked = [(i, *(rng.uniform(-50, 400) for _ in range(3))) for i in range(60)] + [(100, None, 0.0, 0.0), (101, float("nan"), 0.0, 0.0), (102, 0.0, float("inf"), 0.0), (103, 1e9, -1e9, 5.0), (104, 1e200, 0.0, 0.0)]
+    found = {r.query_id: (r.point_id, r.d2) for r in nearest.nearest(spark.createDataFrame(asked, "query_id int, wz double, wy double, wx double"), spark.createDataFrame(points, "point_id long, z int, y int, x int"), (2.0, 1.0, 0.5), Workspace(spark, "t"), cell=4.0).collect()}
+    assert len(found) == len(asked) and all(found[i] == (None, None) for i in (100, 101, 102))
+    for i, z, y, x in asked[:60] + [asked[63]]:
+        d2, best = min(((p[1] * 2.0 - z) ** 2 + (p[2] * 1.0 - y) ** 2 + (p[3] * 0.5 - x) ** 2, p[0]) for p in points)
+        assert found[i][1] == pytest.approx(d2, rel=1e-12) and (found[i][0] == best or i == 103)
+    assert found[104][0] is not None
+
+
+def test_node_ids_that_do_not_fit_are_an_error(spark):
+    high = spark.createDataFrame([(1, 1 << 23, 0, 0), (1, (1 << 23) + 1, 0, 0)], VOXEL)
+    with pytest.raises(Exception, match="too large for a node id"):
+        components.bodies(components.contour_runs(high), Workspace(spark, "t")).collect()
+
+
+def test_overlaps_of_long_runs(spark):
+    """Runs over several stretches count once."""
+    rows = [(1, z, 0, x) for z, xs in ((0, range(0, 300)), (1, [*range(10, 130), *range(190, 260)])) for x in xs]
+    overlap = components.overlaps(components.contour_runs(spark.createDataFrame(rows, VOXEL)))
+    assert sorted((r.dir, r.area) for r in overlap.collect()) == [(-1, 70), (-1, 120), (1, 70), (1, 120)]
+
+
+@pytest.mark.parametrize("kind", ["npy", "tif", "TIFF"])
+def test_volume_files_round_trip(spark, tmp_path, kind):
+    rng = np.random.default_rng(1)
+    volume = rng.integers(0, 4, (7, 5, 6)).astype("<u2")
+    write = volume_files.npy_bytes if kind == "npy" else volume_files.tiff_bytes
+    for i, first in enumerate((0, 3, 6)):
+        (tmp_path / f"slab{i}.{kind}").write_bytes(write(volume[first : first + 3]))
+    for slab in (None, 3):
+        rows = volume_files.load_volume(volume_files.read_files(spark, str(tmp_path)), slab).collect()
+        found = np.zeros(volume.shape)
+        for r in rows:
+            found[r.z, r.y, r.x] = r.value
+        assert len(rows) == (volume > 0).sum() and (found == volume).all()
+
+
+def test_channels_and_bad_files(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    last = rng.integers(0, 9, (2, 5, 6, 4)).astype("u1")
+    assert (volume_files.channels_last(last) == last[..., :3]).all()
+    assert (volume_files.channels_last(np.moveaxis(last, -1, 1)) == last[..., :3]).all()
+    assert volume_files.channels_last(last[..., :2]).shape == (2, 5, 6, 2) and volume_files.channels_last(last[..., 0]).shape == (2, 5, 6, 1)
+    pages = np.stack(list(volume_files.tiff_pages(volume_files.tiff_bytes(last[..., :3], deflate=False))))
+    assert (pages == last[..., :3]).all()
+    floats = rng.random((2, 3, 4)).astype("f4")
+    assert (volume_files.parse("a.tif", volume_files.tiff_bytes(floats)) == floats).all()
+    (tmp_path / "v.png").write_bytes(b"x")
+    with pytest.raises(PythonException, match="no reader for .png"):
+        volume_files.load_volume(volume_files.read_files(spark, str(tmp_path)), 1).collect()
+    for bad in (b"II*", b"MM\0\x2b", b"nothing"):
+        with pytest.raises(Exception):
+            list(volume_files.tiff_pages(bad))
+
+
+def test_level_store(spark, tmp_path):
+    rows = [(level, z, y, x, 1 + z + y) for level in (0, 1, 10) for z, y, x in ((0, 0, 0), (15, 255, 255), (16, 256, 3), (40, 9, 600))]
+    path = str(tmp_path / "store")
+    store.write_levels(spark.createDataFrame(rows, "level int, z int, y int, x int, value int"), path)
+    opened = store.open_store(spark, path)
+    assert [r.level for r in store.levels(opened).collect()] == [0, 1, 10]
+    assert sorted(map(tuple, store.read_level(opened).collect())) == sorted(rows)
+    assert sorted(r.z for r in store.read_level(opened, level=1, z=(15, 17)).collect()) == [15, 16]
+    plan = store.read_level(opened, level=1, z=(15, 17))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(level" in plan and "GreaterThanOrEqual(cz,0)" in plan
+    store.write_levels(spark.createDataFrame(rows[:1], "level int, z int, y int, x int, value int"), path)
+    assert store.read_level(store.open_store(spark, path)).count() == 1
+
+
+def test_sidecars_that_are_out_of_order_are_an_error(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"label_id":1,"z":0,"contours":"[{\\"cc_id\\":2,\\"area\\":5}]"}\n')
+    with pytest.raises(Exception, match="place in its list"):
+        tables.read_contours(spark, str(tmp_path)).collect()
+
+
+def test_surfaces_are_closed(spark):
+    rng = random.Random(6)
+    voxels = [(k, rng.randrange(5), rng.randrange(5), rng.randrange(5)) for k in (1, 2) for _ in range(60)] + [(3, 0, 0, 0), (4, 0, 0, 0), (4, 1, 1, 0)]
+    meshes = {r.label_id: r for r in surface.mesh_table(spark.createDataFrame(sorted(set(voxels)), VOXEL), ["label_id"], (2.0, 1.0, 0.5)).collect()}
+    assert all(m.open_edges == 0 for m in meshes.values())
+    assert (meshes[3].n_points, meshes[3].n_cells) == (8, 12)
+    corner = surface.vertices(surface.quads(spark.createDataFrame([(1, 0, 0, 0)], VOXEL), ["label_id"]), ["label_id"], (2.0, 1.0, 0.5)).collect()
+    assert {round(abs(r.vx) / 0.5, 6) for r in corner} == {round(1 / 6, 6)} and {r.n_faces for r in corner} == {3}
+
+
+def test_outline_of_a_ring_is_its_outer_one(spark):
+    ring = [(1, 0, y, x) for y in range(3) for x in range(3) if (y, x) != (1, 1)]
+    rows = surface.outlines(spark.createDataFrame(ring, VOXEL).withColumn("cc_id", F.lit(1))).orderBy("place").collect()
+    assert [(r.cy, r.cx) for r in rows] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 3), (2, 3), (3, 3), (3, 2), (3, 1), (3, 0), (2, 0), (1, 0)]
+
+
+def test_gaps_are_filled_forwards_then_backwards(spark):
+    best = spark.createDataFrame([(1, 0, 1, 1, 1, 1), (1, 1, 1, 1, 1, 1), (1, 5, 1, -1, 1, 7)], "label_id int, z int, cc_id int, dir int, o_label_id int, o_cc_id int")
+    chosen = spark.createDataFrame([(9, 0, 1, 1), (9, 5, 1, 1)], "selection_id int, z int, label_id int, cc_id int")
+    assert sorted(r.z for r in tracking.missing_slices(chosen).collect()) == [1, 2, 3, 4]
+    assert sorted(map(tuple, tracking.fill_gaps(chosen, best, Workspace(spark, "t")).collect())) == [(9, 1, 1, 1), (9, 2, 1, 1), (9, 4, 1, 7)]
+
+
+def test_path_layers_reach_every_layer_once(spark):
+    best = spark.createDataFrame([(1, z, 1, 1, 1, 1) for z in range(9)] + [(1, z, 1, -1, 1, 1) for z in range(1, 10)], "label_id int, z int, cc_id int, dir int, o_label_id int, o_cc_id int")
+    rows = paths.path_layers(spark.createDataFrame([(1, 3, 1), (1, 9, 1)], "label_id int, z int, cc_id int"), best, Workspace(spark, "t")).collect()
+    assert sorted((r.s_z, r.z) for r in rows) == [(s, z) for s in (3, 9) for z in range(10)]
+
+
+def test_brush_searches():
+    line = {i: [j for j in (i - 1, i + 1) if 0 <= j < 50] for i in range(50)}
+    assert brush.find_path(line, 3, 6) == [4, 5, 6] and brush.find_path(line, 3, 3) == []
+    assert brush.find_path(line, 0, 30) is not None and brush.find_path(line, 0, 31) is None  # 30 expansions
+    assert brush.within_hops(line, 0) == set(range(16))
+
+
+def test_brush_strokes(spark):
+    """A far pick is drawn in by hops; the brush is placed, then draws, and refuses a jump."""
+    points = [(i, 0, 0, 2 * i) for i in range(60)]
+    placed = spark.createDataFrame(points, "point_id long, z int, y int, x int")
+    part = spark.createDataFrame([(i, 1, 0) for i in range(60)], "point_id long, label_id int, root long")
+    edges = spark.createDataFrame([(a, b, 0) for a in range(60) for b in (a - 1, a + 1) if 0 <= b < 60], "a long, b long, ord int")
+    strokes = spark.createDataFrame([(e, 7, e, p) for e, p in enumerate([0, 2, 5, 50, 4])], "event_id long, user_id long, ts int, point_id long").withColumn("ts", F.timestamp_seconds("ts"))
+    rows = brush.replay_strokes(strokes, placed, part, edges, (1.0, 1.0, 1.0), 20.0, Workspace(spark, "t")).orderBy("event_id").collect()
+    assert [(r.phase, r.point_id, r.n_added) for r in rows] == [("positioning", 0, 0), ("drawing", 2, 2), ("drawing", 5, 3), ("rejected", 5, 0), ("drawing", 4, 0)]
+
+
+def test_colours(spark):
+    labels = spark.createDataFrame([(1, "a", "#FF0000"), (2, "b", None), (3, "c", None)], "label_id int, name string, color string")
+    rows = [r.color for r in colors.assign_colors(labels).orderBy("label_id").collect()]
+    import colorsys
+
+    hexed = ["#" + "".join(f"{int(c * 255):02x}" for c in colorsys.hsv_to_rgb(h, 0.75, 0.85)) for h in colors.rainbow_hues(12)]
+    rgb = lambda c: [int(c[i : i + 2], 16) / 255 for i in (1, 3, 5)]
+    used = ["#ff0000"]
+    for _ in range(2):
+        free = [c for c in hexed if c not in used]
+        used.append(max(free, key=lambda c: min(sum((a - b) ** 2 for a, b in zip(rgb(c), rgb(u))) ** 0.5 for u in used)))
+    assert rows == ["#FF0000", *used[1:]]
+    got = spark.range(1).select(colors.hex_to_rgba(F.lit("zz")).alias("a"), colors.hex_to_rgba(F.lit("#0080ff")).alias("b")).first()
+    assert got.a is None and (got.b.r, got.b.g, got.b.b, got.b.a) == (0.0, 128 / 255, 1.0, 1.0)
+
+
+def test_preprocess_job_on_files(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    masks = {1: rng.random((6, 20, 20)) < 0.4, 2: rng.random((6, 20, 20)) < 0.2}
+    for i, m in masks.items():
+        (tmp_path / f"outer{i}.tif").write_bytes(volume_files.tiff_bytes(m.astype("u1") * 255))
+    (tmp_path / "skel.npy").write_bytes(volume_files.npy_bytes((rng.random((6, 20, 20)) < 0.05).astype("u1")))
+    (tmp_path / "image.npy").write_bytes(volume_files.npy_bytes(rng.integers(0, 255, (24, 80, 80)).astype("u1")))
+    out = str(tmp_path / "out")
+    volume = preprocess(spark, out, {i: str(tmp_path / f"outer{i}.tif") for i in masks}, skeleton=str(tmp_path / "skel.npy"), image=str(tmp_path / "image.npy"), labels=((1, "Benign", "#10B981"),), voxel=(2.0, 1.0, 1.0))
+    assert volume.shape == (6, 20, 20)
+    bodies = spark.read.parquet(f"{out}/body").join(spark.read.parquet(f"{out}/contour"), ["label_id", "z", "cc_id"])
+    sizes = {r.label_id: r.n for r in bodies.groupBy("label_id").agg(F.sum("area").alias("n")).collect()}
+    assert sizes == {i: int(m.sum()) for i, m in masks.items()}
+    assert [r.level for r in store.levels(store.open_store(spark, f"{out}/image")).collect()] == [0]
+    assert {(r.label_id, r.name) for r in tables.read_metadata(spark, f"{out}/metadata.json").collect()} == {(1, "Benign"), (2, "Label_2")}
+    assert tables.read_points(spark, f"{out}/skeleton_points.json").count() == spark.read.parquet(f"{out}/point").count()
+    with pytest.raises(ValueError):
+        preprocess(spark, out, {})
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from lamina.session import shared_dir
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=dict), conf={}))
+
+
 def test_dilation_and_faces(spark):
     voxel = spark.createDataFrame([(1, 5, 5, 5)], VOXEL)
     assert geometry.dilate(voxel, 3, ["label_id"], (20, 20, 20)).count() == 123
@@ -147,7 +323,7 @@ def test_streamed_bursts_equal_the_batch(spark, tmp_path):
     assert streamed == sorted(tuple(r) for r in replay.debounced(events, "30 minutes").collect())
 
 
-@pytest.mark.parametrize("name", ["C1", "A1", "J1", "J4", "G1", "A5", "U5", "T1", "J7"])
+@pytest.mark.parametrize("name", ["C1", "A1", "J1", "J4", "G1", "A5", "U5", "T1", "J7", "G13", "G14", "M6_outline", "S2", "K1", "Q5", "T6"])
 def test_query_equals_its_oracle(spark, name):
     con = duckdb.connect()
     for t in ("supplier", "lineitem", "events"):
