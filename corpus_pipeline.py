@@ -5,27 +5,42 @@ and read again. Quality drops documents that the classifier rejects; exact dedup
 largest id of equal texts; near dedup keeps the smallest id of each group of texts with a
 five-word Jaccard similarity of 0.8 or more, linked directly or through others;
 decontamination drops documents that hold a benchmark passage; packing returns the pieces of
-what is left with their sequences. Rows with a null doc_id pass near dedup and
-decontamination, as no other row can name them.
+what is left with their sequences.
+
+A decision is taken for a row, not for an id. While every row has an id of its own, the id names
+it; where ids are null or stand in several rows, a stage's rows are numbered in order of their
+ids, nulls first, and rows with one id in order of their texts, and the number stands for the id.
+So one row of each group of copies stays, whatever ids they have. Empty tables stay empty;
+further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import decontaminate, exact_dedup, jaccard, packing, quality
 from lamina.llm.common import table
+from lamina.operators.numbering import ordered_ids
 from lamina.session import Workspace
 
 #: Words of an n-gram and least similarity, in hundredths, of near duplicates.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 80
 
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs but for the ids that are gone; a written table, whose size is known, is broadcast only if small."""
-    gone = Workspace(docs.sparkSession, name).keep(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def _without(docs: DataFrame, name: str, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that ``dropped`` names by doc_id, of a table of doc_id and text with an id for each row."""
+    work, key, gone = Workspace(docs.sparkSession, name), "doc_id", f"gone_{uuid.uuid4().hex}"
+    columns = docs.columns
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        key = f"row_{uuid.uuid4().hex}"
+        docs = work.keep(ordered_ids(docs.select("doc_id", "text", F.struct(*columns).alias("columns")), ["doc_id", "text"], key, work), "numbered").select(key, "columns.*")
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
+    listed = work.keep(dropped(named).select(F.col("doc_id").alias(gone)).distinct(), "gone")  # written, so that its size is known and it is broadcast only if small
+    return docs.join(listed, docs[key] == listed[gone], "left_anti").select(*columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +48,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.dedup_table(docs).where("not kept"), "copies")
+    return _without(docs, "copies", lambda d: exact_dedup.dedup_table(d).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard.jaccard_components(docs, NEAR_WORDS, NEAR_SIMILARITY, 100).where("component_id <> doc_id"), "near")
+    return _without(docs, "near", lambda d: jaccard.jaccard_components(d, NEAR_WORDS, NEAR_SIMILARITY, 100).where("component_id <> doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") > 0), "contaminated")
+    return _without(docs, "contaminated", lambda d: decontaminate.find_overlaps(d, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
