@@ -8,7 +8,8 @@ windows are hashed in one pass, and each hit is verified word by word.
 The benchmark is broadcast only in blocks of at most BLOCK_WINDOWS windows, whatever its
 size; each block is a pass over the documents and the passes' spans are united. Null or empty
 texts have no words and no hits; items without words never occur; items with equal ids are
-one item.
+one item, and those with a null id are one item without a name: it hits and is counted, as a null
+among the items found.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from lamina.llm.common import ascii_lower, id_and_text, slices
 from lamina.session import Workspace
 
 WINDOW = 10
-#: Windows of a broadcast: some 100 MB at most with their words.
-BLOCK_WINDOWS = 500_000
+#: Windows of a broadcast: some 600 bytes each in every Python worker, so 90 MB, and the words.
+BLOCK_WINDOWS = 150_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,7 +101,7 @@ def _scanner(block):
                 s, i = windows.scan(words)
                 counts.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in s])
-                items.append(sorted(map(str, i)))
+                items.append(sorted(str(x) for x in i if x is not None) + [None] * (None in i))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
                 ["doc_id", "n_words", "spans", "items"],
@@ -115,7 +116,7 @@ SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, i
 def _blocks(benchmark: DataFrame, block_windows: int) -> Iterator[list[tuple[object, str]]]:
     """Items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
-    for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").toLocalIterator():
+    for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
         block.append((row.item_id, row.text))
         size += 1 + len(row.text) // 4
         if size >= block_windows:

@@ -174,7 +174,7 @@ def _packer(level: int, sequence: int):
         items = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if items is None or not items.num_rows:
             return
-        items = items.sort_by([("first_doc", "ascending"), ("first_piece", "ascending"), ("size", "ascending")])
+        items = items.sort_by("deal")
         pieces, start = items.column("pieces").combine_chunks(), (level << 52) + (TaskContext.get().partitionId() << 28)
         bins = best_fit(items.column("size").to_pylist(), sequence)
         lists, kind = pieces.to_pylist(), pieces.type
@@ -191,19 +191,20 @@ def _packer(level: int, sequence: int):
 
 def pack_pieces(pieces: DataFrame, work: Workspace, sequence: int = SEQUENCE, nearly_full: int = NEARLY_FULL, task_items: int = TASK_ITEMS) -> DataFrame:
     """Bins: sequence_id, size and pieces in order."""
-    items = pieces.select(F.col("length").alias("size"), F.array(F.struct(*pieces.columns)).alias("pieces"))
+    # items are dealt by a number of their own that is written with them, so that ids that are null or repeat don't gather
+    pieces = work.keep(pieces.withColumn("deal", F.monotonically_increasing_id()), "pieces")
+    items = pieces.select("deal", F.col("length").alias("size"), F.array(F.struct(*(c for c in pieces.columns if c != "deal"))).alias("pieces"))
     count, level, done = pieces.count(), 0, []
     while count:
         tasks = -(-count // task_items)
-        dealt = items.withColumns({"first_doc": F.col("pieces")[0]["doc_id"], "first_piece": F.col("pieces")[0]["piece"]}).repartition(tasks, "first_doc", "first_piece")
-        bins = work.keep(dealt.mapInArrow(_packer(level, sequence), ITEM), f"bins{level}")
+        bins = work.keep(items.repartition(tasks, "deal").mapInArrow(_packer(level, sequence), ITEM), f"bins{level}")
         left = bins.where(F.col("size") < sequence - nearly_full)
         before, count = count, left.count()
         if tasks == 1 or count > 0.9 * before:
             done.append(bins)
             break
         done.append(bins.where(F.col("size") >= sequence - nearly_full))
-        items, level = left.select("size", "pieces"), level + 1
+        items, level = left.select(F.col("sequence_id").alias("deal"), "size", "pieces"), level + 1
     if not done:
         return work.spark.createDataFrame([], ITEM)
     out = done[0]
@@ -215,7 +216,6 @@ def pack_pieces(pieces: DataFrame, work: Workspace, sequence: int = SEQUENCE, ne
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     work = Workspace(docs.sparkSession, "packing")
-    pieces = work.keep(cut_pieces(docs, tokenizer, sequence), "pieces")
-    bins = pack_pieces(pieces, work, sequence)
+    bins = pack_pieces(cut_pieces(docs, tokenizer, sequence), work, sequence)
     offsets = F.transform("pieces", lambda p, i: F.struct(p.alias("p"), F.aggregate(F.slice("pieces", F.lit(1), i), F.lit(0).cast("long"), lambda acc, q: acc + q["length"]).alias("offset")))
     return bins.select("sequence_id", F.explode(offsets).alias("at")).select("at.p.*", "sequence_id", "at.offset")

@@ -33,7 +33,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(scores: DataFrame, threshold: float) -> DataFrame:
-    return scores.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    """A null doc_id has no remainder and is not held out."""
+    return scores.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

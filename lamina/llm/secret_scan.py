@@ -14,13 +14,15 @@ are held at FDR (Benjamini-Hochberg) apart in each length class, from counts of
 corpus's tokens in bins of p: a token whose p lies over its class's cut stands as noise, that
 is as a secret, if it doesn't overlap a base span and has at least MIN_BITS bits.
 
-Null and empty texts have no spans; each row of documents gives one row. The work of a text
-is linear in its length, but for joining its own list of matches.
+Null and empty texts have no spans; each row of documents gives one row. Work and memory are
+linear in a text's length and in a token's; running sums over m matches are made in chunks of
+CHUNK and take CHUNK m / 2 + (m / CHUNK)^2 / 2 additions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,24 +54,39 @@ CLASSES = (20, 32, 64)
 #: Bins of -log10 p: BIN wide, up to LAST.
 BIN, LAST = 0.05, 400
 
+CHUNK = 64
 SPAN = "struct<start:long,kind_no:int,end:long,kind:string,token:string>"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once even where lambdas refer to it again and again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def before(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array, those before it combined."""
+
+    def scan(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, combine))
+        starts = bind(totals, lambda t: F.transform(t, lambda _, i: F.aggregate(F.slice(t, F.lit(1), i), zero, combine)))
+        return F.flatten(F.zip_with(chunks, starts, lambda c, start: F.transform(c, lambda _, i: F.aggregate(F.slice(c, F.lit(1), i), start, combine))))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda i: F.slice(v, i * CHUNK + 1, F.lit(CHUNK)))
+    return bind(values, lambda v: F.when(F.size(v) > 0, bind(cut(v), scan)).otherwise(F.slice(v, 1, 0)))
+
+
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """Spans of all matches of a pattern."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    empty = F.expr(f"named_struct('at', 0L, 'out', cast(array() as array<{SPAN}>))")
-    pairs = F.arrays_zip(F.transform(gaps, lambda g: F.length(g).cast("long")).alias("gap"), found.alias("token"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))  # one more than there are matches
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["token"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), pair["token"].alias("token"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(pair["token"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    def placed(m: Column) -> Column:
+        moved = before(F.zip_with(m["gaps"], m["found"], lambda gap, token: gap + F.coalesce(F.length(token), F.lit(0))), F.lit(0).cast("long"), lambda a, b: a + b)
+        starts = F.zip_with(moved, m["gaps"], lambda a, gap: a + gap)
+        span = lambda start, token: F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (start + F.length(token)).alias("end"), F.lit(kind).alias("kind"), token.alias("token"))
+        return F.filter(F.zip_with(starts, m["found"], span), lambda x: x["token"].isNotNull())
 
-    spans = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), bind(F.struct(gaps.alias("gaps"), found.alias("found")), placed)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def two_sided(z: Column) -> Column:
@@ -89,22 +106,23 @@ def battery(token: Column) -> Column:
         squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, s: acc + F.pow(F.size(F.filter(x, lambda v: v == s)), F.lit(2.0)))
         chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
         chi_p = F.when(chi > 0, two_sided(chi) / 2).otherwise(F.lit(0.5))
-        high = F.transform(x, lambda v: v * 2 >= k)
-        above = F.size(F.filter(high, lambda h: h)).cast("double")
+        middle, spread = (k - 1) / 2, (k * k - 1) / 12
+        above = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.when(v * 2 >= k, 1.0).otherwise(0.0))
         below = n - above
-        runs = F.aggregate(F.sequence(F.lit(2), n.cast("int")), F.lit(1.0), lambda acc, i: acc + F.when(F.element_at(high, i) != F.element_at(high, i - 1), 1.0).otherwise(0.0))
+        last = F.size(x) - 1
+        beside = lambda of: F.aggregate(F.zip_with(F.slice(x, F.lit(2), last), F.slice(x, F.lit(1), last), of), F.lit(0.0), lambda acc, v: acc + v)
+        runs = 1 + beside(lambda a, b: F.when((a * 2 >= k) != (b * 2 >= k), 1.0).otherwise(0.0))
         mean = 2 * above * below / n + 1
         variance = (mean - 1) * (mean - 2) / (n - 1)
         runs_p = F.when(variance > 0, two_sided((runs - mean) / F.sqrt(variance))).otherwise(F.pow(F.lit(2.0), 1 - n))
-        middle, spread = (k - 1) / 2, (k * k - 1) / 12
-        products = F.aggregate(F.sequence(F.lit(2), n.cast("int")), F.lit(0.0), lambda acc, i: acc + (F.element_at(x, i) - middle) * (F.element_at(x, i - 1) - middle))
+        products = beside(lambda a, b: (a - middle) * (b - middle))
         serial_p = two_sided(products / (spread * F.sqrt(n - 1)))
         return F.struct(F.least(F.lit(1.0), 3 * F.least(chi_p, runs_p, serial_p)).alias("p"), (n * F.log2(k)).alias("bits"))
 
-    codes = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: (F.instr(alphabet, F.substring(body, i, F.lit(1))) - 1).cast("double"))
-    state = F.struct(codes.alias("x"), F.length(alphabet).cast("double").alias("k"), F.length(body).cast("double").alias("n"))
+    letters = bind(alphabet, lambda a: F.transform(F.slice(F.split(body, ""), F.lit(1), F.length(body)), lambda c: (F.instr(a, c) - 1).cast("double")))
+    state = F.struct(letters.alias("x"), F.length(alphabet).cast("double").alias("k"), F.length(body).cast("double").alias("n"))
     usable = alphabet.isNotNull() & (F.length(body) >= MIN_TOKEN) & F.regexp_like(token, F.lit("[0-9]")) & F.regexp_like(token, F.lit("[A-Za-z]"))
-    return F.when(usable, F.element_at(F.transform(F.array(state), tests), 1))
+    return F.when(usable, bind(state, tests))
 
 
 def length_class(size: Column) -> Column:
@@ -147,10 +165,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     )
     scanned = work.keep(scanned.withColumn("tokens", F.filter(F.transform("tokens", tested), lambda t: t["test"].isNotNull())).withColumn("base", F.concat("assign", "access", "hex")), "scanned")
     limits = F.array(*(F.lit(c) for c in cuts(scanned.select(F.explode("tokens").alias("t")).select("t.start", "t.end", "t.test.p"))))
-    noise = lambda t: (
-        (p_bin(t["test"]["p"]) < F.element_at(limits, length_class(t["end"] - t["start"]) + 1))
-        & (t["test"]["bits"] >= MIN_BITS)
-        & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    )
-    added = F.transform(F.filter("tokens", noise), lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind_no"), t["end"].alias("end"), F.lit("random").alias("kind"), t["token"].alias("token")))
-    return scanned.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
+    noise = lambda t: (p_bin(t["test"]["p"]) < F.element_at(limits, length_class(t["end"] - t["start"]) + 1)) & (t["test"]["bits"] >= MIN_BITS)
+    as_span = lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind_no"), t["end"].alias("end"), F.lit("random").alias("kind"), t["token"].alias("token"))
+    found = F.when(F.size("tokens") > 0, F.transform(F.filter("tokens", noise), as_span)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    spans = F.array_sort(F.concat("base", found))
+    return scanned.select("doc_id", F.when(F.size(found) > 0, bind(spans, apart)).otherwise(spans).alias("spans"))
+
+
+def apart(spans: Column) -> Column:
+    """Sorted spans without the random ones that overlap a base span: one that ends after their start and starts no later, or starts before their end."""
+    is_base = lambda s: s["kind_no"] != KINDS.index("random")
+    low, high = F.lit(-1).cast("long"), F.lit(1 << 60).cast("long")
+    covered = before(F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(low)), low, lambda a, b: F.greatest(a, b))
+    following = F.reverse(before(F.reverse(F.transform(spans, lambda s: F.when(is_base(s), s["start"]).otherwise(high))), high, lambda a, b: F.least(a, b)))
+    told = F.arrays_zip(spans.alias("span"), covered.alias("covered"), following.alias("following"))
+    free = lambda t: is_base(t["span"]) | ((t["covered"] <= t["span"]["start"]) & (t["following"] >= t["span"]["end"]))
+    return F.transform(F.filter(told, free), lambda t: t["span"])

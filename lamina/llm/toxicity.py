@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from lamina.llm.common import id_and_text, label_sample, slices
 
 HASH_BITS = 20
-SAMPLE_ROWS, SAMPLE_CHARS = 8000, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 8000, 16_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 THRESHOLD = 0.5

@@ -283,12 +283,12 @@ def brute_overlap(docs, items, window):
         for item, text in items:
             w = words(text or "")
             n = min(window, len(w))
-            for a in range(len(w) - n + 1) if w and item is not None else ():
+            for a in range(len(w) - n + 1) if w else ():
                 for p in range(len(own) - n + 1):
                     if own[p : p + n] == w[a : a + n]:
                         hit.update(range(p, p + n))
-                        found.add(str(item))
-        out[i, len(own), len(hit), tuple(sorted(found))] += 1
+                        found.add(item if item is None else str(item))
+        out[i, len(own), len(hit), tuple(sorted(found, key=str))] += 1
     return out
 
 
@@ -296,7 +296,7 @@ def test_decontamination(docs, benchmark):
     wanted = brute_overlap(plain(docs), [tuple(r) for r in benchmark.collect()], 10)
     for block in (decontaminate.BLOCK_WINDOWS, 1):
         rows = decontaminate.find_overlaps(docs, benchmark, block_windows=block).select("doc_id", "n_words", decontaminate.n_hit(decontaminate.F.col("spans")), "items").collect()
-        assert collections.Counter((r[0], r[1], r[2], tuple(r[3])) for r in rows) == wanted
+        assert collections.Counter((r[0], r[1], r[2], tuple(sorted(r[3], key=str))) for r in rows) == wanted
     assert {len(r.items) for r in decontaminate.find_overlaps(docs, benchmark.limit(0)).collect()} == {0}
     assert decontaminate.find_overlaps(docs.limit(0), benchmark).count() == 0
 
@@ -383,6 +383,22 @@ def test_secrets(docs):
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_long_tokens_and_long_lists(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    many = " ".join("".join(rng.choices("0123456789abcdef", k=16)) if i % 2 else "".join(rng.choices(letters, k=30)) for i in range(50_000))
+    joined = " ".join(f"{'q' * (i % 3)} token='{''.join(rng.choices(letters, k=32))}'" for i in range(200))  # random tokens within base spans
+    texts = ["".join(rng.choices(letters, k=200_000)), many, joined]
+    rows = {r.doc_id: r.spans for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(s.start, s.end) for s in rows[0] if s.kind == "random"] == [(0, 200_000)]
+    for i in (1, 2):
+        assert [(s.start, s.kind_no) for s in rows[i]] == sorted((s.start, s.kind_no) for s in rows[i])
+        assert all(texts[i][s.start : s.end] == s.token for s in rows[i])
+    assert sum(s.kind == "hex" for s in rows[1]) == len(re.findall("[0-9a-f]{16,}", many))
+    assert sum(s.kind == "random" for s in rows[1]) > 15_000
+    assert {s.kind for s in rows[2]} == {"assign"} and len(rows[2]) == 200
+
+
 def test_random_tokens_stand_out(spark):
     rng = random.Random(8)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -417,5 +433,86 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in pipeline.run(spark, DATA).collect()} == clean
 
 
+def test_pipeline_edge_cases(spark, labels, benchmark, tmp_path):
+    """Null and repeated ids, ties, empty tables and further columns with clashing names, stage by stage."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c = prose(80), prose(90), prose(100)
+    near = " ".join([*c.split()[:-2], "x", "y"])
+    passage = next(r.text for r in benchmark.collect() if r.item_id == 1)
+    rows = [(5, a), (5, b), (7, a), (None, a), (None, b.upper()), (None, None), (None, ""), (8, c), (9, near), (None, near), (10, passage), (None, passage), (5, b), (11, None)]
+    columns = "doc_id long, text string, _gone string, row long, key string, component_id int, _part int, columns string, group string"
+    docs = spark.createDataFrame([(i, t, "g", 1, "k", 2, 3, "c", "g") for i, t in rows], columns)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    benchmark.where("item_id = 1").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    stages = dict(pipeline.STAGES)
+    once = stages["exact_dedup"](spark, docs, str(tmp_path))
+    assert once.columns == docs.columns
+    assert kept(once) == sorted([(5, b), (7, a), (8, c), (9, near), (10, passage), (11, None)], key=str)
+    mixed = docs.where("text is not null and lower(text) <> text or doc_id is null or doc_id > 7")
+    apart = kept(stages["near_dedup"](spark, mixed, str(tmp_path)))
+    assert len([t for _, t in apart if t in (c, near)]) == 1 and len([t for _, t in apart if t == passage]) == 1
+    clean = kept(stages["decontaminate"](spark, docs, str(tmp_path)))
+    assert clean == sorted([r for r in rows if r[1] != passage], key=str)
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    packed = stages["pack"](spark, docs, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in packed) == collections.Counter(i for i, _ in rows)
+
+
+def test_network_score_by_definition():
+    """A text's score from every filter at every place of every chunk, by loops."""
+    net, rng = quality.Network(9), random.Random(9)
+    net.bias[:] = [rng.uniform(-0.2, 0.2) for _ in range(quality.FILTERS)]
+    for size in (0, 3, 40, 512, 513, 1500):
+        data = bytes(rng.choices(range(256), k=size))
+        pooled = []
+        for start in range(0, max(1, size - (quality.CHUNK - quality.STRIDE)), quality.STRIDE):
+            part = data[start : start + quality.CHUNK]
+            width = quality.CHUNK if size > quality.CHUNK else max(quality.WIDTH, len(part))
+            codes = [*part, *[quality.PAD] * (width - len(part))]
+            best = [max(sum(float(net.tables[j][codes[p + j]][f]) for j in range(quality.WIDTH)) for p in range(width - quality.WIDTH + 1)) for f in range(quality.FILTERS)]
+            pooled.append([max(0.0, m + float(net.bias[f])) for f, m in enumerate(best)])
+        features = [sum(p[f] for p in pooled) / len(pooled) for f in range(quality.FILTERS)] + [max(p[f] for p in pooled) for f in range(quality.FILTERS)]
+        wanted = 1 / (1 + math.exp(-(sum(x * float(w) for x, w in zip(features, net.out)) + float(net.out[-1]))))
+        assert net.score(data) == pytest.approx(wanted, abs=1e-4)
+
+
+def test_ftrl_steps_by_definition():
+    """FTRL-proximal, one coordinate after another (McMahan et al., 2013, algorithm 1)."""
+    rng, model = random.Random(2), toxicity.Ftrl(bits=4)
+    z, n = [0.0] * 17, [0.0] * 17
+    for _ in range(200):
+        at, y = sorted(rng.sample(range(16), 4)), rng.randrange(2)
+        model.learn(np.array(at), y)
+        w = {}
+        for i in [*at, 16]:
+            l1 = 0.0 if i == 16 else toxicity.L1
+            w[i] = 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in w:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    assert model.z == pytest.approx(z) and model.n == pytest.approx(n) and any(z)
+
+
+def test_model_beats_single_words_on_held_out_rows(spark):
+    rows = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out and n_tokens > 1").selectExpr("sum(score) as score", "sum(base_score) as base").first()
+    assert rows.score > rows.base
+
+
+def test_packing_deals_rows_without_ids(spark):
+    """Items with one or no id are dealt over all tasks."""
+    from lamina.session import Workspace
+
+    pieces = spark.createDataFrame([(None if i % 2 else 4, 0, 0, 100 + i % 50, 0) for i in range(900)], packing.PIECE)
+    bins = packing.pack_pieces(pieces, Workspace(spark, "t"), 400, 5, 100).collect()
+    assert sum(len(b.pieces) for b in bins) == 900 and all(b.size == sum(p.length for p in b.pieces) <= 400 for b in bins)
+
+
 def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registered.QUERIES) == list(range(1, 11))
