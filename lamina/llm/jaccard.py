@@ -45,7 +45,7 @@ from lamina.session import Workspace
 SHINGLE, NUM, DEN = 3, 90, 100
 VERTICAL = 8
 #: Hundredths of a set that it shows beyond what one common n-gram takes.
-EXTRA = 30
+EXTRA = 20
 #: Sets, and n-grams of theirs, of a cluster that are compared with each other in one task.
 BLOCK, BLOCK_GRAMS = 2000, 8 << 20
 CACHE_WORDS = 300_000
