@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lamina.operators import brush, nearest, paths, skeleton, surface, tracking
 from lamina.operators.volume_tables import DerivedVolume
 from lamina.registry import both, register
+from lamina.streaming import replay
 
 
 def clicks(v: DerivedVolume) -> DataFrame:
@@ -78,6 +79,19 @@ _STEPS = _plain(
 register("G15", lambda v: tracking.tracking_steps(_events(v), _best(v), v.work), _STEPS)
 
 
+def _tracked_stream(v: DerivedVolume) -> DataFrame:
+    """The same events as a stream of files, followed to its end."""
+    events = v.work.keep(_events(v), "tracked_events")
+    layers = paths.path_layers(events.where("cc_id is not null"), _best(v), v.work).groupBy(F.col("s_label").alias("label_id"), F.col("s_z").alias("z"), F.col("s_cc").alias("cc_id")).agg(F.collect_list(F.struct("z", "label_id")).alias("path"))  # one for each slice
+    rows = v.work.keep(events.join(layers, ["label_id", "z", "cc_id"], "left").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "z_l0", "z", "path"), "stream")
+    steps = replay.tracking_stream(v.spark.readStream.schema(rows.schema).parquet(v.work.path("stream")))
+    steps.writeStream.format("parquet").option("path", v.work.path("steps")).option("checkpointLocation", v.work.path("steps_state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(steps.schema).parquet(v.work.path("steps"))
+
+
+register("T4", _tracked_stream, _STEPS)
+
+
 def _selection(v: DerivedVolume) -> DataFrame:
     """Contours at every third point of each skeleton part: a selection with gaps."""
     return v.point.where("point_id % 3 = 0").join(v.part.select("point_id", F.col("root").alias("selection_id")), "point_id").join(v.cvox, ["label_id", "z", "y", "x"]).select("selection_id", "z", "label_id", "cc_id").distinct()

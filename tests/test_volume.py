@@ -287,6 +287,28 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark):
         shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=dict), conf={}))
 
 
+def test_tracking_steps():
+    path = [{"z": z, "label_id": 1 if z < 4 else 2} for z in (1, 2, 3, 4, 6, 7)]
+    event = lambda z_l0=None, z=None, path=None: {"z_l0": z_l0, "z": z, "path": path}
+    state, steps = None, []
+    for e in (event(8), event(z=2, path=path), event(9), event(12), event(16), event(24), event(40), event(28), event(4)):
+        step, state = replay.track(state, e, 4)
+        steps.append(step)
+    assert steps == ["untracked", "tracked", "same layer", "moved", "label changed", "instance changed", "out of path", "instance changed", "label changed"]
+
+
+def test_tracking_state_is_carried_over_micro_batches(spark, tmp_path):
+    path = [(z, 1) for z in range(10)]
+    schema = "event_id long, user_id long, ts timestamp, z_l0 int, z int, path array<struct<z:int,label_id:int>>"
+    rows = [(1, 7, 0, None, 2, path), (2, 7, 1, 12, None, None), (3, 7, 2, 13, None, None), (4, 8, 3, 4, None, None)]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema.replace("ts timestamp", "ts int")).withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = replay.tracking_stream(stream).writeStream.format("memory").queryName("steps").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.event_id: r.step for r in spark.table("steps").collect()} == {1: "tracked", 2: "moved", 3: "same layer", 4: "untracked"}
+
+
 def test_dilation_and_faces(spark):
     voxel = spark.createDataFrame([(1, 5, 5, 5)], VOXEL)
     assert geometry.dilate(voxel, 3, ["label_id"], (20, 20, 20)).count() == 123
