@@ -278,6 +278,13 @@ def test_preprocess_job_on_files(spark, tmp_path):
         preprocess(spark, out, {})
 
 
+@pytest.mark.parametrize("name", ["J15", "O4", "J20", "P12"])
+def test_plans_neither_window_nor_broadcast_for_nulls(spark, name):
+    """Least rows come from sums by key, and hidden parts from a plain anti join."""
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error(spark):
     from types import SimpleNamespace
 
