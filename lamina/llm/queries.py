@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact_dedup, jaccard, lm, packing, pii, quality, secret_scan, suffix_dedup, toxicity
+from lamina.llm import decontaminate, exact_dedup, jaccard, lm, packing, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from lamina.llm.common import LOWER, UPPER, fold, table
 
 
@@ -82,7 +82,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard, op10_secrets)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard, op10_secrets, op13_token_counts)}
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
