@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, exact_dedup, jaccard, lm, packing, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from lamina.llm import decontaminate, divergence, exact_dedup, jaccard, lm, packing, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from lamina.llm.common import LOWER, UPPER, fold, table
 
 
@@ -82,11 +82,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard, op10_secrets, op13_token_counts)}
+QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard, op10_secrets, op12_divergence, op13_token_counts)}
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -118,4 +122,29 @@ ORACLES = {
                sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM words LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
     """,
+    "op12_divergence": f"""
+        WITH rows AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all({_LOWERED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        words AS (SELECT r, lang, source, unnest(w) AS term FROM rows),
+        kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        langs AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS total FROM kept GROUP BY lang),
+        groups AS (SELECT lang, source, coalesce(CAST(sum(n) AS HUGEINT), 0) AS total FROM (SELECT DISTINCT lang, source FROM rows) LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+        shared AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + {divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + l.v) AS p,
+                   1 + {divergence.SCALE}::HUGEINT * (k.n + 1) // (l.total + l.v) AS q
+            FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM shared a JOIN shared b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shared WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM parts QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
+    """,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import random
+import re
 
 import pytest
 
-from lamina.llm import token_counts
+from lamina.llm import divergence, token_counts
 
 CLASHING = "doc_id long, text string, lang string, source string, n string, key string, rank string, term string, value string"
 
@@ -49,3 +51,58 @@ def test_merges_out_of_order_are_refused():
         token_counts.PairMerger(letters, [["ab", "a"], ["a", "b"]])
     assert token_counts.PairMerger(letters, [["a", "b"], ["ab", "a"]]).counts([b"ababa", b"b"]).tolist() == [2, 1]
     assert token_counts.PairMerger(letters, []).counts([b"ab", b"a"]).tolist() == [2, 1]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Languages with many, few and no kept terms; nulls, empty and long texts, repeats and clashing names."""
+    rng = random.Random(8)
+    words = [w + s for w in ("the", "of", "Élan", "x", "straße", "Ω", "über") for s in ("", "a", "B", "é")]
+    pieces = [*words, "the of", "the of x", ",", ".", "\t", "\n", "\x0b", "\x1c", "1", "a1b", "don't", "  ", "élan, the"]
+    prose = lambda n: " ".join(rng.choice(pieces) for _ in range(n))
+    rows = [(i, prose(rng.randint(0, 60)), rng.choice(["en", "de", None]), f"s{rng.randint(0, 6)}" if i % 9 else None) for i in range(150)]
+    rows += [(200, None, "en", "empty"), (201, "", "zz", "a"), (202, "alone twice", "zz", "b"), (203, "x of " * 3000, "en", "s1"), (None, prose(40), "en", "s1"), (5, "same row", "", ""), (5, "same row", "", ""), (5, "same row", None, "c")]
+    return spark.createDataFrame([(i, t, lang, source, "n", "k", "r", "t", "v") for i, t, lang, source in rows], CLASHING).repartition(4).cache()
+
+
+def brute_divergence(rows):
+    docs = [(r.lang or "", r.source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (r.text or "").encode().lower().decode())) for r in rows]
+    found = set()
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        seen = collections.Counter(t for _, _, w in own for t in set(w))
+        kept = {t for t, n in seen.items() if n >= 3}
+        counts = {s: collections.Counter() for _, s, _ in own}
+        for _, s, w in own:
+            counts[s].update(t for t in w if t in kept)
+        whole = sum(counts.values(), collections.Counter())
+        share = lambda c, t: 1 + 1_000_000_000 * (c[t] + 1) // (sum(c.values()) + len(kept))
+        f = lambda p, q: (p - q) ** 2 // q
+        for s, c in counts.items():
+            pairs = [(o, sum(f(share(c, t), share(d, t)) for t in kept)) for o, d in counts.items() if o != s]
+            terms = [(t, f(share(c, t), share(whole, t))) for t in kept if c[t] and share(c, t) > share(whole, t)]
+            for part, items, most in (("pair", pairs, len(pairs)), ("term", terms, 200)):
+                ordered = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most]
+                found |= {(lang, s, part, item, value, i + 1) for i, (item, value) in enumerate(ordered)}
+    return found
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 500, "segment_terms": 5, "block_sources": 2}])
+def test_divergence_against_brute_force(spark, corpus, options):
+    found = divergence.audit(corpus, **options)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute_divergence(corpus.collect())
+    assert [r for r in rows if r[0] == "zz"] == [("zz", "a", "pair", "b", 0, 1), ("zz", "b", "pair", "a", 0, 1)]
+    assert divergence.audit(spark.createDataFrame([], CLASHING)).collect() == []
+
+
+def test_segment_trees_share_nodes_and_stay_exact():
+    counts = divergence.np.zeros((3, 64), divergence.np.int64)
+    counts[:, 5] = [1, 1, 2]
+    trees = divergence.SegmentTrees(counts)
+    assert trees.roots[0] == trees.roots[1] != trees.roots[2]
+    assert [len(left) for left, _ in trees.children] == [3, 3, 3, 3, 3, 2]  # no term but the fifth tells nodes apart
+    total = divergence.MOST - 1
+    for count in (0, 7, total // 3, total - 1):
+        exact = 1 + 10**9 * (count + 1) // total
+        assert divergence.shares(divergence.np.array([count]), divergence.np.array([total])).tolist() == [exact]
