@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, divergence, exact_dedup, jaccard, lm, packing, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from lamina.llm import collocations, decontaminate, divergence, exact_dedup, jaccard, lm, packing, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from lamina.llm.common import LOWER, UPPER, fold, table
 
 
@@ -82,6 +82,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -90,7 +94,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard, op10_secrets, op12_divergence, op13_token_counts)}
+QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_exact_dedup, op3_pii, op4_quality, op5_packing, op6_lm, op7_toxicity, op8_decontaminate, op9_jaccard, op10_secrets, op11_collocations, op12_divergence, op13_token_counts)}
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -122,6 +126,29 @@ ORACLES = {
                sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM words LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
     """,
+    "op11_collocations": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+        frequent AS (
+            SELECT lang, len AS words, array_to_string(w[i : i + len - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
+            FROM words, unnest(range(1, {collocations.LONGEST + 1})) AS s(len), unnest(range(1, len(w) - len + 2)) AS t(i)
+            GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+        candidates AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS w, f AS a FROM frequent WHERE words >= 2),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, {collocations.SCALE} * c.a // (x.f + y.f) AS score
+            FROM candidates c, unnest(range(1, words)) AS t(k)
+            JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+            JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (
+            SELECT c.lang, array_to_string(c.w[i : i + len - 1], ' ') AS phrase, max(a) AS longer
+            FROM candidates c, unnest(range(2, words)) AS s(len), unnest(range(1, words - len + 2)) AS t(i) GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+               CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+        FROM lowest LEFT JOIN inside USING (lang, phrase) JOIN totals USING (lang)
+        WHERE longer IS NULL OR 100 * longer < {collocations.SUBSUMED} * a QUALIFY rank <= {collocations.TOP}
+    """,
     "op12_divergence": f"""
         WITH rows AS (
             SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

@@ -6,9 +6,11 @@ import collections
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from lamina.llm import divergence, token_counts
+from lamina.llm import collocations, divergence, token_counts
 
 CLASHING = "doc_id long, text string, lang string, source string, n string, key string, rank string, term string, value string"
 
@@ -97,7 +99,7 @@ def test_divergence_against_brute_force(spark, corpus, options):
 
 
 def test_segment_trees_share_nodes_and_stay_exact():
-    counts = divergence.np.zeros((3, 64), divergence.np.int64)
+    counts = np.zeros((3, 64), np.int64)
     counts[:, 5] = [1, 1, 2]
     trees = divergence.SegmentTrees(counts)
     assert trees.roots[0] == trees.roots[1] != trees.roots[2]
@@ -105,4 +107,94 @@ def test_segment_trees_share_nodes_and_stay_exact():
     total = divergence.MOST - 1
     for count in (0, 7, total // 3, total - 1):
         exact = 1 + 10**9 * (count + 1) // total
-        assert divergence.shares(divergence.np.array([count]), divergence.np.array([total])).tolist() == [exact]
+        assert divergence.shares(np.array([count]), np.array([total])).tolist() == [exact]
+
+
+def brute_collocations(rows, least, top=2000):
+    counts = collections.defaultdict(collections.Counter)
+    totals = collections.Counter()
+    for r in rows:
+        for piece in re.split("[.,;:!?\\x0A-\\x0D]", (r.text or "").encode().lower().decode()):
+            words = re.findall("[^\\x20\\x09]+", piece)
+            lang = "und" if r.lang is None else r.lang
+            totals[lang] += len(words)
+            for n in range(1, 5):
+                counts[lang].update(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+    out = set()
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if a >= least and " " in p}
+        dropped, scored = set(), []
+        for p, a in candidates.items():
+            w = p.split(" ")
+            for n in range(2, len(w)):
+                dropped |= {q for i in range(len(w) - n + 1) if 100 * a >= 80 * f[q := " ".join(w[i : i + n])]}
+            score, _, l, r = min((2_000_000 * a // (f[x] + f[y]), k, f[x], f[y]) for k in range(1, len(w)) for x, y in [(" ".join(w[:k]), " ".join(w[k:]))])
+            scored.append((-score, -a, p.encode(), l, r))
+        kept = sorted(s for s in scored if s[2].decode() not in dropped)[:top]
+        out |= {(lang, i + 1, p.decode(), -a, l, r, totals[lang], -score) for i, (score, a, p, l, r) in enumerate(kept)}
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"least": 3, "block_bytes": 300}, {"least": 2, "top": 7}])
+def test_collocations_against_brute_force(spark, corpus, options):
+    rows = [tuple(r) for r in collocations.collocations(corpus, **options).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute_collocations(corpus.collect(), options.get("least", 30), options.get("top", 2000))
+    assert rows and any(" " in r[2] and r[0] == "und" for r in rows)
+
+
+def test_collocations_of_nothing(spark):
+    assert collocations.collocations(spark.createDataFrame([], CLASHING)).collect() == []
+    assert collocations.collocations(spark.createDataFrame([(1, None, None, None, "n", "k", "r", "t", "v")], CLASHING)).collect() == []
+
+
+@pytest.mark.parametrize("waiting", [1, 50, 10_000])
+def test_misra_gries_loses_nothing_frequent(monkeypatch, waiting):
+    monkeypatch.setattr(collocations, "WAITING", waiting)
+    rng, least = np.random.default_rng(3), 30
+    stream = np.minimum(rng.zipf(1.3, 60_000), 1 << 40).astype(np.uint64)
+    capacity = len(stream) // least + 1
+    whole, halves = collocations.MisraGries(capacity), [collocations.MisraGries(capacity) for _ in range(2)]
+    for i, part in enumerate(np.array_split(stream, 40)):
+        keys, counts = np.unique(part, return_counts=True)
+        whole.add(keys, counts)
+        halves[i % 2].add(keys, counts)
+    halves[0].merge(halves[1])
+    keys, counts = np.unique(stream, return_counts=True)
+    true = dict(zip(keys.tolist(), counts.tolist()))
+    for summary in (whole, halves[0]):
+        left = set(summary.survivors(least).tolist())
+        assert {k for k, n in true.items() if n >= least} <= left
+        assert summary.error < least and len(summary.keys) <= capacity
+        assert all(n <= true[k] <= n + summary.error for k, n in zip(summary.keys.tolist(), summary.counts.tolist()))
+
+
+class Value:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_summaries_by_bucket_and_bitmaps():
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) << np.uint64(1))
+    counts = rng.integers(1, 60, len(keys))
+    rows = [(int(k >> np.uint64(61)), k, n) for k, n in zip(keys, counts)]
+    columns = lambda part: pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in part], pa.int32()), pa.array([k.tobytes() for _, k, _ in part], pa.binary()), pa.array([np.int64(n).tobytes() for _, _, n in part], pa.binary())], ["bucket", "keys", "counts"])
+    masses = {b: int(counts[keys >> np.uint64(61) == b].sum()) for b in range(8)}
+    out = list(collocations._summarise(Value(masses), 30)(iter([columns(rows[:1500]), columns(rows[1500:1501]), columns(rows[1501:])])))
+    left = np.concatenate([np.frombuffer(k, np.uint64) for b in out for k in b.column(2).to_pylist()])
+    assert sorted(left.tolist()) == sorted(keys[counts >= 30].tolist())
+    parts = {b: collocations.Bitmap.part_of(left[left >> np.uint64(61) == b], 1 << 13) for b in range(8)}
+    bitmap = collocations.Bitmap(3, parts, 1 << 16)
+    assert bitmap.has(left).all() and bitmap.has(keys[counts < 30]).mean() < 0.2
+
+
+def test_phrases_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(collocations.xxhash, "xxh3_64_intdigest", lambda *a, **k: 7)
+    power, every = 8, (b"\xff" * 32)
+    bitmap = Value(collocations.Bitmap(power, {b: every for b in range(256)}, 1 << 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array(["a b, a b c", "b a b"])], ["lang", "text"])
+    found = collections.Counter()
+    for out in collocations._count_phrases(1 << 20, bitmap, bitmap)(iter([batch])):
+        for row in out.to_pylist():
+            found[row["phrase"]] += row["f"]
+    assert found == {"": 8, "a": 3, "b": 4, "c": 1, "a b": 3, "b c": 1, "b a": 1, "a b c": 1, "b a b": 1}
