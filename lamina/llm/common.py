@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,27 +48,35 @@ def fold(doc_id: F.Column, parts: int) -> F.Column:
     return F.crc32(doc_id.cast("string")) % F.lit(parts)
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """A bounded training sample: at most ``rows`` labelled rows of the training folds, in
-    order of a hash of their id, without texts of more than ``max_chars`` characters.
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int) -> list[tuple[str, int]]:
+    """A bounded training sample: labelled rows of the training folds whose text docs holds, in
+    order of a hash of their id, at most ``rows`` of them and ``most_bytes`` bytes of text in all.
 
-    Rows with a null id or label are left out; of several labels of one id the largest holds.
+    Labels are joined with docs before they are ordered and cut, so labels of other documents take
+    no place. A text is passed over only where it no longer fits into the bytes left. Rows with a null id or
+    label are left out; of several labels of one id the largest holds, of several texts the greatest.
+    Without usable labels, or without documents, there is nothing to learn: the sample is empty, with a
+    warning. Labels that fit none of the documents are an error.
     """
-    ids = (
+    labelled = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.col(label).cast("int")).alias("y"))
         .where(fold(F.col("doc_id"), 5) != 0)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
-    picked = (
-        id_and_text(docs)
-        .join(F.broadcast(ids), "doc_id")  # bounded: limit(rows)
-        .where(F.length("text") <= max_chars)
-        .groupBy("doc_id", "y")
-        .agg(F.max("text").alias("text"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
-    return [(r.text, r.y) for r in picked.select("text", "y").collect()]
+    texts = id_and_text(docs)
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size")).where(F.col("size") <= most_bytes)
+    first = sizes.join(labelled, "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    chosen, left = [], most_bytes
+    for r in first:
+        if r.size <= left:
+            chosen.append((r.doc_id, r.y))
+            left -= r.size
+    if not chosen:
+        if not labelled.isEmpty() and not docs.isEmpty():
+            raise ValueError(f"none of the labels in {label} that may be learnt from belongs to a document of at most {most_bytes} bytes")
+        warnings.warn(f"nothing to learn {label} from: all scores will be 0.5", stacklevel=2)
+        return []
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, y int")
+    picked = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))  # broadcast: at most ``rows`` rows
+    return [(r.text, r.y) for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]

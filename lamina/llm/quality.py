@@ -4,9 +4,10 @@ A text's bytes are cut into chunks of CHUNK bytes, each starting STRIDE after th
 that chunks overlap and cover the whole text. FILTERS learned filters of WIDTH bytes run over
 each chunk; a chunk keeps each filter's maximum (at least 0), and the mean and the maximum of
 that over all chunks go into one logistic unit. Training is Adam on a bounded sample of
-labelled rows (SAMPLE_ROWS rows of at most SAMPLE_CHARS characters). Scoring takes whole
+labelled rows (at most SAMPLE_ROWS rows and SAMPLE_BYTES bytes). Scoring takes whole
 texts in blocks of BLOCK chunks, so memory doesn't grow with a text. An empty or null text is
-one chunk of padding and gets a score; without labelled rows every score is 0.5.
+one chunk of padding and gets a score. Repeated rows and ties get equal scores; a null id passes through. Without labels or
+documents every score is 0.5, with a warning; labels that fit no document are an error.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from lamina.llm.common import id_and_text, label_sample, slices
 FILTERS, WIDTH = 12, 4
 CHUNK, STRIDE, BLOCK = 512, 480, 256
 PAD = 256
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 16_000
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 48 << 20
 EPOCHS, BATCH_ROWS, RATE, DECAY = 6, 32, 0.01, 1e-4
 THRESHOLD = 0.3
 
@@ -139,13 +140,13 @@ def _scorer(model):
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id and score, a row for each row of docs; no shuffle of texts."""
-    net = train(label_sample(docs, labels, "quality", sample_rows, SAMPLE_CHARS))
+    net = train(label_sample(docs, labels, "quality", sample_rows, SAMPLE_BYTES))
     return id_and_text(docs).mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(net)), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold."""
-    net = docs.sparkSession.sparkContext.broadcast(train(label_sample(docs, labels, "quality", SAMPLE_ROWS, SAMPLE_CHARS)))
+    net = docs.sparkSession.sparkContext.broadcast(train(label_sample(docs, labels, "quality", SAMPLE_ROWS, SAMPLE_BYTES)))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

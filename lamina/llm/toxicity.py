@@ -2,10 +2,11 @@
 
 Features of a text are the distinct hashes of its words, their stems, word pairs and pairs
 with one word between them, lower-cased. Training follows McMahan et al. (2013): a learning rate for each
-coordinate and L1 sparsity, over a bounded sample of labelled rows (SAMPLE_ROWS rows of at
-most SAMPLE_CHARS characters); the nonzero weights, at most 2^HASH_BITS, are broadcast.
+coordinate and L1 sparsity, over a bounded sample of labelled rows (at most SAMPLE_ROWS rows
+and SAMPLE_BYTES bytes); the nonzero weights, at most 2^HASH_BITS, are broadcast.
 Every text is scored whole, without a shuffle. Empty and null texts get the bias's score;
-without labelled rows all scores are 0.5.
+repeated rows get equal scores and a null id passes through.
+Without labels or documents all scores are 0.5, with a warning; labels that fit no document are an error.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from lamina.llm.common import id_and_text, label_sample, slices
 
 HASH_BITS = 20
-SAMPLE_ROWS, SAMPLE_CHARS = 8000, 16_000
+SAMPLE_ROWS, SAMPLE_BYTES = 8000, 96 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 THRESHOLD = 0.5
@@ -126,5 +127,5 @@ def _scorer(model):
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id and score, a row for each row of docs."""
-    model = train(label_sample(docs, labels, "toxic", sample_rows, SAMPLE_CHARS))
+    model = train(label_sample(docs, labels, "toxic", sample_rows, SAMPLE_BYTES))
     return id_and_text(docs).mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
