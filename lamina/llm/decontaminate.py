@@ -6,7 +6,7 @@ of the benchmark form sorted arrays of 64-bit hashes and a table of their words;
 windows are hashed in one pass, and each hit is verified word by word.
 
 The benchmark is broadcast only in blocks of at most BLOCK_WINDOWS windows, whatever its
-size; each block is a pass over the documents and the passes' spans are united. Null or empty
+size and that of its items; each block is a pass over the documents and the passes' spans are united. Null or empty
 texts have no words and no hits; items without words never occur; items with equal ids are
 one item, and those with a null id are one item without a name: it hits and is counted, as a null
 among the items found.
@@ -113,16 +113,24 @@ def _scanner(block):
 SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _blocks(benchmark: DataFrame, block_windows: int) -> Iterator[list[tuple[object, str]]]:
-    """Items in blocks of bounded size; the driver holds one block at a time."""
+def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[list[tuple[object, str]]]:
+    """Items in blocks of at most block_windows windows; the driver holds one block at a time.
+
+    A longer item is cut into parts that share window - 1 words, so that each window is in one part.
+    """
     block, size = [], 0
     for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
-        block.append((row.item_id, row.text))
-        size += 1 + len(row.text) // 4
-        if size >= block_windows:
-            yield block
-            block, size = [], 0
-    yield block
+        words = words_of(row.text)
+        for at in range(0, max(1, len(words) - window + 1), block_windows):
+            part = words[at : at + block_windows + window - 1]
+            count = max(1, len(part) - window + 1)
+            if block and size + count > block_windows:
+                yield block
+                block, size = [], 0
+            block.append((row.item_id, " ".join(part)))
+            size += count
+    if block:
+        yield block
 
 
 def _unite(spans: F.Column) -> F.Column:
@@ -143,8 +151,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     written with them, so repeated rows stay repeated.
     """
     spark, text = docs.sparkSession, id_and_text(docs)
-    blocks = _blocks(benchmark, block_windows)
-    first, second = next(blocks), next(blocks, None)
+    blocks = _blocks(benchmark, window, block_windows)
+    first, second = next(blocks, []), next(blocks, None)
     if second is None:
         return text.mapInArrow(_scanner(spark.sparkContext.broadcast(WindowSet(first, window))), SCHEMA)
     numbered = Workspace(spark, "decontaminate").keep(text.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("own_id")), "documents")
