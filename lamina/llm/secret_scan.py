@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import id_and_text
-from lamina.session import Workspace
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of 18 (16) characters or more is found if and only if the run as a whole is that long.
@@ -154,7 +153,6 @@ def cuts(tokens: DataFrame) -> list[int]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (start, kind_no, end, kind, token) by start, then kind; a row for each row of docs."""
     text = F.col("text")
-    work = Workspace(docs.sparkSession, "secrets")
     tested = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), battery(s["token"]).alias("test"))
     scanned = id_and_text(docs).select(
         "doc_id",
@@ -163,7 +161,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         matches(text, HEX, "hex").alias("hex"),
         matches(text, TOKEN, "random").alias("tokens"),
     )
-    scanned = work.keep(scanned.withColumn("tokens", F.filter(F.transform("tokens", tested), lambda t: t["test"].isNotNull())).withColumn("base", F.concat("assign", "access", "hex")), "scanned")
+    # read twice, once for the cuts and once for the spans, rather than written: what it holds is secrets
+    scanned = scanned.withColumn("tokens", F.filter(F.transform("tokens", tested), lambda t: t["test"].isNotNull())).withColumn("base", F.concat("assign", "access", "hex"))
     limits = F.array(*(F.lit(c) for c in cuts(scanned.select(F.explode("tokens").alias("t")).select("t.start", "t.end", "t.test.p"))))
     noise = lambda t: (p_bin(t["test"]["p"]) < F.element_at(limits, length_class(t["end"] - t["start"]) + 1)) & (t["test"]["bits"] >= MIN_BITS)
     as_span = lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind_no"), t["end"].alias("end"), F.lit("random").alias("kind"), t["token"].alias("token"))
