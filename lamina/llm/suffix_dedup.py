@@ -1,11 +1,11 @@
-"""Dedup of repeated byte strings by a logarithmic family of sampled suffix arrays.
+"""Dedup of repeated byte strings by a logarithmic family of sampled anchors, in place of suffix arrays.
 
 Any string of LENGTH bytes holds an anchor chosen by its content alone: the place of its least
 hashed k-gram (K bytes, leftmost on ties). The windows, that is the starts of strings of
 LENGTH bytes, with one anchor are consecutive and form a row: anchor key, and fingerprint of
-all bytes from the first window's start to the last one's end. A batch's suffix array holds
-the suffixes at its anchors in order of their keys and fingerprints, one entry for each
-distinct pair, with the first document that has it. Batches come in order of doc_id. Each is
+all bytes from the first window's start to the last one's end. A batch's level is a table of
+its anchors, ordered by these hashes and not by suffix, one entry for each distinct pair, with
+the first document that has it. Batches come in order of doc_id. Each is
 merge-scanned against the levels before it: a row that an earlier document has is removed
 whole. Then its new entries become a level, and levels of equal size merge, so that n batches
 leave log n levels.
@@ -13,7 +13,7 @@ leave log n levels.
 What is left are matches that end within a row: anchor keys with several fingerprints. Their
 first rows alone are compared, byte by byte: the windows of a key's rows meet in one task, in
 order, and one that an earlier row has is removed. Keys with more than GROUP_ROWS such rows
-are opened into hashed windows instead, which are summed like the rows. So no frequent string
+are opened into the bytes of their windows instead, which are summed like the rows. So no frequent string
 is gathered in one task, and no pairs of occurrences are ever formed. Places inside a document
 are never shuffled, as its rows are cut again where they are needed. A suffix for every byte
 instead would shuffle more than 16 bytes for each byte of text.
@@ -221,15 +221,15 @@ def _comparer(length: int):
     return compare
 
 
-def _window_hashes(length: int):
-    """(key, hash, doc_id, start) of every window of rows that are too many for one task."""
+def _windows(length: int):
+    """(key, window, doc_id, start) of every window of rows that are too many for one task."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, doc_id, lo, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 starts = np.arange(len(piece) - length + 1)
-                hashes = run_hashes(prefix_hashes(np.frombuffer(piece, np.uint8)), starts, starts + length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array(hashes.view(np.int64)), pa.array(np.full(len(starts), doc_id)), pa.array(lo + starts)], ["key", "hash", "doc_id", "start"])
+                windows = [piece[p : p + length] for p in range(len(starts))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), key)), pa.array(windows, pa.binary()), pa.array(np.full(len(starts), doc_id)), pa.array(lo + starts)], ["key", "window", "doc_id", "start"])
 
     return explode
 
@@ -278,8 +278,8 @@ def _remover(length: int, k: int):
     return remove
 
 
-class SuffixIndex:
-    """The levels: suffix arrays of 1, 2, 4... batches, newest last."""
+class AnchorIndex:
+    """The levels: anchors of 1, 2, 4... batches, newest last."""
 
     def __init__(self, work: Workspace, length: int = LENGTH, k: int = K):
         self.work, self.length, self.k = work, length, k
@@ -322,16 +322,16 @@ class SuffixIndex:
         small = few.select("key", "doc_id", "lo", "piece").repartition("key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(_comparer(self.length), bounded)
         if not any_crowded:
             return small
-        windows = self.work.keep(pieces.join(crowded, "key", "left_semi").select("key", "doc_id", "lo", "piece").mapInArrow(_window_hashes(self.length), "key long, hash long, doc_id long, start long"), "windows")
-        firsts = windows.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        return small.unionByName(windows.join(firsts, ["key", "hash"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + self.length).alias("end")))
+        windows = self.work.keep(pieces.join(crowded, "key", "left_semi").select("key", "doc_id", "lo", "piece").mapInArrow(_windows(self.length), "key long, window binary, doc_id long, start long"), "windows")
+        firsts = windows.groupBy("key", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        return small.unionByName(windows.join(firsts, ["key", "window"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + self.length).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (bytes) of every row."""
     docs = id_and_text(docs)
     work = Workspace(docs.sparkSession, "suffix")
-    index, placed = SuffixIndex(work, length, k), docs.where("doc_id is not null")
+    index, placed = AnchorIndex(work, length, k), docs.where("doc_id is not null")
     cuts = sorted({int(c) for c in placed.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
     repeats = None
     for lo, hi in zip([None, *cuts], [*cuts, None]):
