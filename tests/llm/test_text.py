@@ -15,6 +15,7 @@ import pytest
 
 from lamina.llm import decontaminate, exact_dedup, jaccard, lm, packing, pii, quality, secret_scan, suffix_dedup, toxicity
 from lamina.llm import queries as registered
+from lamina.llm.common import label_sample
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, spans string, n string, key string, score string, block string, kept string"
@@ -160,6 +161,31 @@ def test_classifiers_edge_cases(docs, labels):
     assert bytes(np.concatenate(list(quality.chunks(text)))[-1][: 3000 - 6 * 480].astype(np.uint8)) == text[6 * 480 :]
 
 
+def test_label_sample_takes_what_can_be_learnt(spark):
+    """Labels of other documents take no place, long texts are kept, and labels that fit nothing are an error."""
+    texts = [(i, f"text {i} " * (1 + i % 5)) for i in range(300)] + [(1001, "long " * 20_000), (7, "z second text"), (None, "no id")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    mine = [(i, i % 2) for i in [*range(300), 1001]]
+    others = spark.range(2000, 102_000).selectExpr("id as doc_id", "1 as y")
+    labels = spark.createDataFrame([*mine, (4, None), (None, 1), (6, 1)], "doc_id long, y int").unionByName(others)
+    usable = {i for i, _ in mine if zlib.crc32(str(i).encode()) % 5}
+    whole = dict(label_sample(docs, labels, "y", 3000, 10**9))
+    wanted = {max(t for j, t in texts if j == i): int(i == 6 or i % 2) for i in usable}
+    assert whole == wanted and any(len(t) > 16_000 for t in whole)
+    few = label_sample(docs, labels, "y", 50, 10**9)
+    assert len(few) == 50 and set(few) <= set(wanted.items())
+    small = label_sample(docs, labels, "y", 3000, 1500)
+    assert len(small) > 20 and sum(len(t) for t, _ in small) <= 1500
+    with pytest.raises(ValueError, match="none of the labels"):
+        label_sample(docs, others, "y", 3000, 10**9)
+    with pytest.raises(ValueError, match="none of the labels"):
+        label_sample(docs, labels, "y", 3000, 3)
+    with pytest.warns(UserWarning, match="nothing to learn"):
+        assert label_sample(docs, labels.limit(0), "y", 3000, 10**9) == []
+    with pytest.warns(UserWarning, match="nothing to learn"):
+        assert label_sample(docs.limit(0), labels, "y", 3000, 10**9) == []
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     from lamina.llm.common import fold
@@ -294,13 +320,27 @@ def brute_overlap(docs, items, window):
 
 def test_decontamination(docs, benchmark):
     wanted = brute_overlap(plain(docs), [tuple(r) for r in benchmark.collect()], 10)
-    for block in (decontaminate.BLOCK_WINDOWS, 1):
+    for block in (decontaminate.BLOCK_WINDOWS, 12):
         rows = decontaminate.find_overlaps(docs, benchmark, block_windows=block).select("doc_id", "n_words", decontaminate.n_hit(decontaminate.F.col("spans")), "items").collect()
         assert collections.Counter((r[0], r[1], r[2], tuple(sorted(r[3], key=str))) for r in rows) == wanted
     assert {len(r.items) for r in decontaminate.find_overlaps(docs, benchmark.limit(0)).collect()} == {0}
     assert decontaminate.find_overlaps(docs.limit(0), benchmark).count() == 0
 
 
+def test_benchmark_blocks_are_bounded(spark):
+    """A long item is cut, with the words that windows share; the last block isn't empty."""
+    words = [f"w{i}" for i in range(1000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "a b c"), (3, ""), (4, " ".join(words[:16]))], "item_id long, text string")
+    for size in (7, 50, 991, 1000):
+        blocks = list(decontaminate._blocks(items, 10, size))
+        assert all(0 < sum(max(1, len(t.split()) - 9) for _, t in b) <= size for b in blocks)
+        found = collections.Counter((i, tuple(w[j : j + 10])) for b in blocks for i, t in b for w in [t.split()] for j in range(len(w) - 9))
+        assert found == collections.Counter([(1, tuple(words[j : j + 10])) for j in range(991)] + [(4, tuple(words[j : j + 10])) for j in range(7)])
+    docs = spark.createDataFrame([(1, " ".join(["x", *words[290:320], "y"])), (2, "a b c d")], "doc_id long, text string")
+    found = {r.doc_id: ([(s.start, s.end) for s in r.spans], r["items"]) for r in decontaminate.find_overlaps(docs, items, block_windows=300).collect()}
+    assert found == {1: ([(1, 31)], ["1"]), 2: ([(0, 3)], ["2"])}
+
+
 def brute_jaccard(docs, n, num, den):
     sets = {}
     for i, t in docs:
@@ -399,6 +439,54 @@ def test_secrets_in_long_tokens_and_long_lists(spark):
     assert {s.kind for s in rows[2]} == {"assign"} and len(rows[2]) == 200
 
 
+def test_battery_by_definition(spark):
+    """Each token's p from the counts, runs and products of its letters' places in its alphabet, by loops."""
+    rng = random.Random(6)
+    tokens = ["".join(rng.choices(letters.rstrip("=") + letters[-3:], k=n)) + "a1" * (letters[0] == "0" and letters[10:11] == "a") for _, letters in secret_scan.ENCODINGS for n in (20, 33, 64) for _ in range(4)] + ["a1" * 16, "0f" * 10 + "1", "section_1_paragraph_22_aaaaaaaa", "Ab1" * 9]
+    erfc = lambda z: math.erfc(abs(z) / math.sqrt(2))
+
+    def wanted(token):
+        body = token.rstrip("=")
+        if len(body) < secret_scan.MIN_TOKEN or not re.search("[0-9]", token) or not re.search("[A-Za-z]", token):
+            return None
+        alphabet = next((a for p, a in secret_scan.ENCODINGS if re.search(p, token)), None)
+        if alphabet is None:
+            return None
+        x, k, n = [alphabet.index(c) for c in body], len(alphabet), len(body)
+        chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+        chi_z = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+        high = [2 * v >= k for v in x]
+        above, below = sum(high), n - sum(high)
+        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+        mean = 2 * above * below / n + 1
+        variance = (mean - 1) * (mean - 2) / (n - 1)
+        runs_p = erfc((runs - mean) / math.sqrt(variance)) if variance > 0 else 2.0 ** (1 - n)
+        serial = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(x, x[1:])) / ((k * k - 1) / 12 * math.sqrt(n - 1))
+        return min(1.0, 3 * min(erfc(chi_z) / 2 if chi_z > 0 else 0.5, runs_p, erfc(serial))), n * math.log2(k)
+
+    rows = spark.createDataFrame(list(enumerate(tokens)), "i int, token string").select("i", secret_scan.battery(secret_scan.F.col("token")).alias("t")).collect()
+    assert len(rows) == len(tokens) and sum(r.t is not None for r in rows) > 50
+    for r in rows:
+        own = wanted(tokens[r.i])
+        assert (r.t is None) == (own is None), tokens[r.i]
+        if own:
+            assert (math.log10(max(r.t.p, 1e-12)), r.t.bits) == pytest.approx((math.log10(max(own[0], 1e-12)), own[1]), abs=0.02)
+
+
+def test_features_by_definition():
+    """A feature for each word, stem, pair and pair with a gap; equal ones share a hash, others hardly ever."""
+    hasher = toxicity.WordHasher()
+    text = "One two three, two three four ONE two"
+    words = text.lower().replace(",", "").split()
+    named = [(w,) for w in words] + [(f"{n}:{w[:n]}",) for w in words for n in toxicity.STEMS] + list(zip(words, words[1:])) + [(a, "_", b) for a, b in zip(words, words[2:])]
+    at = toxicity.hashed(text, hasher)
+    assert len(at) == len(named) and len(set(at.tolist())) == len(set(named)) == len(toxicity.features(text, hasher))
+    assert set(toxicity.hashed("two three", hasher).tolist()) <= set(at.tolist())
+    weights = np.zeros(2**toxicity.HASH_BITS + 1, np.float32)
+    weights[toxicity.hashed("two", hasher)[0]], weights[-1] = 2.0, -0.5
+    assert toxicity.score_text(text, hasher, weights) == pytest.approx(1 / (1 + math.exp(-1.5)))
+
+
 def test_random_tokens_stand_out(spark):
     rng = random.Random(8)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -514,5 +602,5 @@ def test_packing_deals_rows_without_ids(spark):
     assert sum(len(b.pieces) for b in bins) == 900 and all(b.size == sum(p.length for p in b.pieces) <= 400 for b in bins)
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registered.QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registered.QUERIES) == list(range(1, 14))
