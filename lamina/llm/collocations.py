@@ -206,8 +206,8 @@ def _count_hashes(power: int, block_bytes: int, pairs):
             if not len(cuts):
                 continue
             ends = np.append(cuts, len(keys))
-            packed = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(x)])
-            whole = pa.RecordBatch.from_arrays([pa.array(buckets[cuts]), pa.array(np.add.reduceat(counts, cuts)), packed(keys), packed(counts.astype(np.int64))], ["bucket", "mass", "keys", "counts"])
+            packed = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+            whole = pa.RecordBatch.from_arrays([pa.array(buckets[cuts]), pa.array(np.add.reduceat(counts, cuts)), packed(keys), packed(counts.astype(np.int32))], ["bucket", "mass", "keys", "counts"])  # a block's counts fit 32 bits
             yield from (whole.slice(i, 1000) for i in range(0, len(cuts), 1000))
 
     return run
@@ -234,7 +234,7 @@ def _summarise(masses, least: int):
                     bucket, summary = int(of[a]), MisraGries(masses.value[int(of[a])] // least + 1)
                 part = batch.slice(a, b - a)
                 keys, counts = (b"".join(part.column(i).to_pylist()) for i in (1, 2))
-                summary.add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64))
+                summary.add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int32).astype(np.int64))
         if summary is not None:
             yield from out()
 
@@ -246,7 +246,7 @@ def _survivors(counted: DataFrame, power: int, least: int, work: Workspace, name
     spark = counted.sparkSession
     counted = work.keep(counted, f"{name}_counted")
     masses = {r.bucket: r.mass for r in counted.groupBy("bucket").agg(F.sum("mass").alias("mass")).collect()}  # at most 2^15 rows
-    rows = counted.select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    rows = counted.select("bucket", "keys", "counts").repartition(1 << power, "bucket").sortWithinPartitions("bucket")  # about a bucket a task, as Arrow holds thousands of rows at once
     kept = work.keep(rows.mapInArrow(_summarise(spark.sparkContext.broadcast(masses), least), "bucket int, n long, keys binary"), f"{name}_kept")
     work.drop(f"{name}_counted")
     work.release()

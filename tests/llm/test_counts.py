@@ -178,7 +178,7 @@ def test_summaries_by_bucket_and_bitmaps():
     keys = np.sort(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) << np.uint64(1))
     counts = rng.integers(1, 60, len(keys))
     rows = [(int(k >> np.uint64(61)), k, n) for k, n in zip(keys, counts)]
-    columns = lambda part: pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in part], pa.int32()), pa.array([k.tobytes() for _, k, _ in part], pa.binary()), pa.array([np.int64(n).tobytes() for _, _, n in part], pa.binary())], ["bucket", "keys", "counts"])
+    columns = lambda part: pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in part], pa.int32()), pa.array([k.tobytes() for _, k, _ in part], pa.binary()), pa.array([np.int32(n).tobytes() for _, _, n in part], pa.binary())], ["bucket", "keys", "counts"])
     masses = {b: int(counts[keys >> np.uint64(61) == b].sum()) for b in range(8)}
     out = list(collocations._summarise(Value(masses), 30)(iter([columns(rows[:1500]), columns(rows[1500:1501]), columns(rows[1501:])])))
     left = np.concatenate([np.frombuffer(k, np.uint64) for b in out for k in b.column(2).to_pylist()])
