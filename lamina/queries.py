@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.operators import geometry, nearest, numbering, paths, resample, skeleton
+from lamina.operators import geometry, nearest, numbering, paths, skeleton
 from lamina.operators.volume_tables import Volume
 from lamina.registry import ORACLES, QUERIES, both, register
 from lamina.streaming import replay
@@ -116,15 +116,6 @@ register(
         select * from walk) s join {contour} c on c.label_id = s.label_id and c.z = s.zz and c.cc_id = s.c group by s.label_id, s.z, s.cc_id""",
 )
 both("A5", "select z div 2 as z, y div 2 as y, x div 2 as x, cast(cast(sum(value) as bigint) div 8 as int) as value from {img} group by 1, 2, 3")
-_L1 = "select z // 2 z, y // 2 y, x // 2 x, cast(sum(value) // 8 as int) as value from {img} group by 1, 2, 3"
-register("R2", lambda v: resample.block_mean(v.img, 4), "select z // 4 as z, y // 4 as y, x // 4 as x, cast(sum(value) // 64 as int) as value from {img} group by 1, 2, 3")
-register("R3", lambda v: resample.block_mean(resample.block_mean(v.img, 2), 2), f"select z // 2 as z, y // 2 as y, x // 2 as x, cast(sum(value) // 8 as int) as value from ({_L1}) a group by 1, 2, 3")
-register(
-    "R4",
-    lambda v: resample.upsample(v.combined, 2, (1 << 30, 95, 95)),
-    "select z * 2 + a.v as z, y * 2 + b.v as y, x * 2 + c.v as x, label_id from {combined}, (values (0), (1)) a(v), (values (0), (1)) b(v), (values (0), (1)) c(v) where y * 2 + b.v < 95 and x * 2 + c.v < 95",
-)
-register("R6", lambda v: resample.stride(v.combined, 2), "select z // 2 as z, y // 2 as y, x // 2 as x, label_id from {combined} where z % 2 = 0 and y % 2 = 0 and x % 2 = 0")
 register("X1", lambda v: skeleton.level0_contours(v.point, v.combined, 4).select("point_id", "z_l0", "cc_id0"), """
     select p.point_id, p.z * 4 + case when p.label_id > 0 and c.label_id is distinct from p.label_id then 2 else 0 end as z_l0, coalesce(v.cc_id, 0) - 1 as cc_id0
     from {point} p left join {combined} c on c.z = p.z and c.y = p.y and c.x = p.x
@@ -160,11 +151,7 @@ register(
     lambda v: _nearest(v, "true").join(v.point, "point_id").where("label_id > 0").join(v.cvox, ["label_id", "z", "y", "x"], "left").selectExpr("query_id", "point_id", "label_id", "z", "coalesce(cc_id, 0) - 1 as cc_id0"),
     f"select query_id, point_id, label_id, z, coalesce(cc_id, 0) - 1 as cc_id0 from ({_nearest_sql('')}) n join {{point}} using (point_id) left join {{cvox}} using (label_id, z, y, x) where label_id > 0",
 )
-register("G6", lambda v: skeleton.hop_neighbourhood(v.point.where("point_id % 20 = 0"), v.edge, 5, v.work), """
-    select start, point_id, cast(min(hops) as int) as hops from (with recursive reach(start, point_id, hops) as (select point_id, point_id, 0 from {point} where point_id % 20 = 0
-        union select r.start, e.b, r.hops + 1 from reach r join {edge} e on e.a = r.point_id where r.hops < 5) select * from reach) h group by start, point_id""")
-# G6 as far as the reference goes; G6 itself and its SQL keep 5 hops
-register("G6_15", lambda v: skeleton.hop_neighbourhood(v.point.where("point_id % 20 = 0"), v.edge, 15, v.work), """
+register("G6", lambda v: skeleton.hop_neighbourhood(v.point.where("point_id % 20 = 0"), v.edge, 15, v.work), """
     select start, point_id, cast(min(hops) as int) as hops from (with recursive reach(start, point_id, hops) as (select point_id, point_id, 0 from {point} where point_id % 20 = 0
         union select r.start, e.b, r.hops + 1 from reach r join {edge} e on e.a = r.point_id where r.hops < 15) select * from reach) h group by start, point_id""")
 register("P15", lambda v: skeleton.sample_keypoints(v.point, v.edge, 3, v.work), """
@@ -214,13 +201,6 @@ both("A10", """select g.degree, count(*) as n, round(max(mean_degree), 6) as mea
     cross join (select (select count(*) from {edge}) * 1.0e0 / (select count(*) from {point}) as mean_degree, (select count(*) from {point} p anti join {edge} e on e.a = p.point_id) as n_isolated) m group by g.degree""")
 both("P14", """select b.label_id, b.comp_id, b.n, coalesce(i.n, 0) as n_inner, coalesce(i.n, 0) > 10 as has_inner from (select label_id, comp_id, cast(sum(area) as bigint) as n from {body} join {contour} using (label_id, z, cc_id) group by label_id, comp_id having cast(sum(area) as bigint) >= 10) b
     left join (select b.label_id, b.comp_id, count(*) as n from {innerv} i join {cvox} c on c.label_id = i.label_id and c.z = i.z and c.y = i.y and c.x = i.x join {body} b on b.label_id = c.label_id and b.z = c.z and b.cc_id = c.cc_id group by b.label_id, b.comp_id) i on i.label_id = b.label_id and i.comp_id = b.comp_id""")
-register(
-    "S3",
-    lambda v: _ordered(v.combined.groupBy(F.col("label_id").alias("value")).agg(F.count(F.lit(1)).alias("n")), ["value"], "nth", v)
-    .join(v.label_dim.where("label_id <= 2").withColumnRenamed("label_id", "value"), "value", "left")
-    .select((F.col("nth") + 1).alias("label_id"), "value", F.coalesce("name", F.concat(F.lit("Label_"), "value")).alias("name"), "n"),
-    "select row_number() over (order by value) as label_id, value, coalesce(d.name, concat('Label_', value)) as name, n from (select label_id as value, count(*) as n from {combined} group by label_id) v left join (select * from {label_dim} where label_id <= 2) d on d.label_id = v.value",
-)
 register("O1", lambda v: _ordered(v.img.select("z").distinct(), ["z"], "slot", v), "select z, dense_rank() over (order by z) - 1 as slot from (select distinct z from {img}) l")
 register("P11", lambda v: _ordered(v.part.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("n").distinct(), ["n"], "slider", v), "select n, row_number() over (order by n) - 1 as slider from (select distinct count(*) over (partition by root) as n from {part}) s")
 both("P12", "select p.point_id from {part} p left anti join (select root from {part} group by root having count(*) < 5) h on h.root = p.root", "select p.point_id from {part} p where p.root not in (select root from {part} group by root having count(*) < 5)")
@@ -259,11 +239,6 @@ register("J20", _picked, """
             select *, row_number() over (partition by label_id order by dist, z, y, x) as nth, 0.1e0 * least((max(x) over l - min(x) over l) * 0.5e0, (max(y) over l - min(y) over l) * 1.0e0, (max(z) over l - min(z) over l) * 2.0e0) as reach from (
                 select *, round(sqrt(greatest(0.0e0, x * x * 0.25e0 + y * y * 1.0e0 + z * z * 4.0e0 - power(x * 0.5e0 * 0.6e0 + z * 2.0e0 * 0.8e0, 2))), 9) as dist from {outerv}) d window l as (partition by label_id)) r
         where nth = 1 and dist <= reach) w""")
-register(
-    "R1",
-    lambda v: resample.pyramid(v.img, 3, v.shape, v.work),
-    f"select level, z, y, x, value from (select 0 as level, z, y, x, value from {{img}} union all select 1, * from ({_L1}) a where (select least(nz, 48) // 2 from {{depth}}) >= 16) p",
-)
 _HIDDEN = "select point_id from {part} where root in (select root from {part} group by root having count(*) < 5)"
 register(
     "G17",

@@ -6,58 +6,149 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import colors
-from lamina.operators import resample, surface
+from lamina.operators import surface
+from lamina.operators.numbering import ordered_ids
 from lamina.operators.volume_tables import DerivedVolume
 from lamina.registry import both, register
-from lamina.sources import store, tables, volume_files
+from lamina.sources import arrays, tables, volume_files, zarr
 
 
-def _image_files(v: DerivedVolume, kind: str) -> DataFrame:
-    return volume_files.slab_files(v.img, 10, v.shape[1:], kind)
+def _image(v: DerivedVolume) -> tuple[DataFrame, arrays.Shape]:
+    shape = arrays.Shape(v.shape, None, "|u1")
+    return arrays.from_voxels(v.img, shape), shape
 
 
-_IMAGE = "select z, y, x, value from {img} where value > 0"
-_plain = lambda voxels: voxels.select("z", "y", "x", F.col("value").cast("int").alias("value"))
-register("S1", lambda v: _plain(volume_files.load_volume(_image_files(v, "npy"))), _IMAGE)
-register("S1_tif", lambda v: _plain(volume_files.load_volume(_image_files(v, "tif"), slab=10)), _IMAGE)
+def _rgb(v: DerivedVolume) -> DataFrame:
+    """The image as three channels and a fourth that a TIFF's reader leaves out."""
+    values = F.array(F.col("value"), 255 - F.col("value"), F.col("value") % 7, F.lit(9))
+    return v.img.select("z", "y", "x", F.posexplode(values).alias("channel", "value"))
 
 
-def _colour_files(v: DerivedVolume) -> DataFrame:
-    """The image with four channels, of which the last is to go; channels last, or before the lines."""
-    values = F.array(F.col("value"), 255 - F.col("value"), F.col("value") % 7, F.lit(9))
-    rgba = v.img.select("z", "y", "x", F.posexplode(values).alias("channel", "value"))
-    files = [volume_files.slab_files(rgba.where(f"z div 10 % 2 = {odd}"), 10, (*v.shape[1:], 4), layout=layout) for odd, layout in enumerate(("zyxc", "zcyx"))]
-    return files[0].unionByName(files[1])
+def _rgb_files(v: DerivedVolume) -> str:
+    """Slabs with samples side by side and, every second one, in planes."""
+    return volume_files.write_slabs(_rgb(v), v.work.path("rgb"), 10, arrays.Shape(v.shape, 4, "|u1"), "tif", planes=lambda slab: slab % 2 == 1)
+
+
+def _plain(chunks: DataFrame, *columns: str) -> DataFrame:
+    """Voxel rows with whole values, as SQL has them."""
+    return arrays.to_voxels(chunks).select(*columns, "z", "y", "x", F.col("value").cast("int").alias("value"))
+
+
+_VALUES = "select z, y, x, value from {img} where value > 0"
+_RGB = "select z, y, x, 0 as channel, value from {img} union all select z, y, x, 1, 255 - value from {img} union all select z, y, x, 2, value % 7 from {img}"
+for _kind, _name in (("npy", "S1"), ("tif", "S1_tif")):
+    register(_name, lambda v, kind=_kind: _plain(volume_files.read_volume(v.spark, volume_files.write_slabs(v.img, v.work.path(kind), 10, arrays.Shape(v.shape, None, "|u1"), kind))[0]), _VALUES)
+
+
+def _described(v: DerivedVolume) -> DataFrame:
+    """Shape and type by the headers alone."""
+    shape = volume_files.describe(_rgb_files(v))
+    return v.spark.createDataFrame([(*shape.size, shape.channels, shape.dtype)], "nz int, ny int, nx int, channels int, dtype string")
+
 
+register("S1_shape", _described, "select cast(nz as int) as nz, 48 as ny, 48 as nx, 3 as channels, '|u1' as dtype from {depth}")
+register("S2", lambda v: _plain(volume_files.read_volume(v.spark, _rgb_files(v))[0], "channel"), f"select z, y, x, channel, value from ({_RGB}) c where value > 0")
 
-register("S2", lambda v: volume_files.load_volume(_colour_files(v), slab=10).select("z", "y", "x", "channel", F.col("value").cast("int").alias("value")), """
-    select z, y, x, channel, value from (select z, y, x, 0 as channel, value from {img} union all select z, y, x, 1, 255 - value from {img} union all select z, y, x, 2, value % 7 from {img}) c where value > 0""")
 
+def _label_volume(v: DerivedVolume) -> DataFrame:
+    """Labels of a label-volume file: numbered in order of value, named by the user or by value, with their voxels."""
+    labels = v.combined.withColumnRenamed("label_id", "value")
+    chunks, _ = volume_files.read_volume(v.spark, volume_files.write_slabs(labels, v.work.path("labels"), 10, arrays.Shape(v.shape, None, "<u2"), "tif"))
+    sizes = arrays.to_voxels(arrays.label_masks(chunks)).groupBy(F.col("array").cast("int").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    named = ordered_ids(sizes, ["value"], "nth", v.work).join(v.label_dim.where("label_id <= 2").withColumnRenamed("label_id", "value"), "value", "left")
+    return named.select((F.col("nth") + 1).alias("label_id"), "value", F.coalesce("name", F.concat(F.lit("Label_"), "value")).alias("name"), "n")
 
-def _store(v: DerivedVolume, least_side: int = 4) -> DataFrame:
-    """The image pyramid written to a store and opened again."""
-    at = v.work.path("store")
-    store.write_levels(resample.pyramid(v.img, 4, v.shape, v.work, least_side), at)
-    return store.open_store(v.spark, at)
 
+register("S3", _label_volume, "select row_number() over (order by value) as label_id, value, coalesce(d.name, concat('Label_', value)) as name, n from (select label_id as value, count(*) as n from {combined} group by label_id) v left join (select * from {label_dim} where label_id <= 2) d on d.label_id = v.value")
 
-_L = "select z // 2 z, y // 2 y, x // 2 x, cast(sum(value) // 8 as int) as value from ({}) a group by 1, 2, 3"
-_L0 = "select z, y, x, value from {img}"
-_LEVELS = [_L0]
+_HALF = "select z // 2 z, y // 2 y, x // 2 x, channel, cast(sum(value) // 8 as int) as value from ({}) a group by 1, 2, 3, 4"
+_LEVELS, _RGB_LEVELS = (["select z, y, x, 0 as channel, value from {img}"], [_RGB])
 for _ in range(3):
-    _LEVELS.append(_L.format(_LEVELS[-1]))
-#: Levels are made while the least side, halved so often, is 4 or more.
-_PYRAMID = "select level, z, y, x, value from (" + " union all ".join(f"select {i} as level, z, y, x, value from ({text}) l{i} where (select least(nz, 48) // {2**i} from {{depth}}) >= 4 or {i} = 0" for i, text in enumerate(_LEVELS)) + ") p"
-register("R1_deep", lambda v: resample.pyramid(v.img, 4, v.shape, v.work, 4), _PYRAMID)
-register("K1", lambda v: store.read_level(_store(v)).withColumn("value", F.col("value").cast("int")), f"select * from ({_PYRAMID}) s where value > 0")
-register("S6", lambda v: store.levels(_store(v)), f"""select cast(level as int) as level, count(distinct struct_pack(a := z // 16, b := y // 256, c := x // 256)) as n_chunks, cast(max(z) + 1 as int) as nz, cast(max(y) + 1 as int) as ny, cast(max(x) + 1 as int) as nx
-    from ({_PYRAMID}) p where value > 0 group by level order by level""")
-register("S11", lambda v: store.read_level(_store(v), level=1).select("z", "y", "x", F.col("value").cast("int").alias("value"), *((F.col(c) * s * 2).alias(f"w{c}") for c, s in zip("zyx", v.voxel))), f"select z, y, x, value, z * 2e0 * 2 as wz, y * 1e0 * 2 as wy, x * 0.5e0 * 2 as wx from ({_LEVELS[1]}) l where value > 0")
-register("S12_store", lambda v: store.read_level(_store(v), level=0, z=(5, 9)).select("z", "y", "x", F.col("value").cast("int").alias("value")), "select z, y, x, value from {img} where value > 0 and z between 5 and 8")
-register("R3_truncated", lambda v: resample.block_mean(v.img, 3, depth=v.shape[0]), "select z // 3 as z, y // 3 as y, x // 3 as x, cast(sum(value) // 27 as int) as value from {img} where z < (select nz // 3 * 3 from {depth}) group by 1, 2, 3")
-register("P17", lambda v: resample.shape_mismatches(v.outerv, v.shape, (2, 4, 5)), """
-    select f as factor, cast(nz // f as int) as want_z, cast(48 // f as int) as want_y, cast(48 // f as int) as want_x, cast(z as int) as got_z, cast(y as int) as got_y, cast(x as int) as got_x, z <> nz // f or y <> 48 // f or x <> 48 // f as mismatch
-    from {depth}, (select f, (nz - 1) // f + 1 as z, 47 // f + 1 as y, 47 // f + 1 as x from {depth}, (values (2), (4), (5)) f(f)) g""")
+    _LEVELS.append(_HALF.format(_LEVELS[-1]))
+    _RGB_LEVELS.append(_HALF.format(_RGB_LEVELS[-1]))
+
+
+def _pyramid_sql(levels: list[str], least_side: int) -> str:
+    """Levels are made while the least side, halved so often, is least_side or more."""
+    return " union all ".join(f"select {i} as level, z, y, x, channel, value from ({text}) l{i} where value > 0 and ({i} = 0 or (select least(nz, 48) // {2**i} from {{depth}}) >= {least_side})" for i, text in enumerate(levels))
+
+
+def _read_rgb(v: DerivedVolume) -> tuple[DataFrame, arrays.Shape]:
+    return volume_files.read_volume(v.spark, _rgb_files(v))
+
+
+def _united(levels: list[tuple[DataFrame, arrays.Shape]]) -> DataFrame:
+    out = None
+    for level, (chunks, _) in enumerate(levels):
+        one = _plain(chunks, "channel").withColumn("level", F.lit(level))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _rgb_pyramid(v: DerivedVolume) -> DataFrame:
+    chunks, shape = _read_rgb(v)
+    return _united(arrays.pyramid(chunks, 3, shape, v.work.keep))
+
+
+register("R1", _rgb_pyramid, f"select level, z, y, x, channel, value from ({_pyramid_sql(_RGB_LEVELS, 16)}) p")
+register("R1_deep", lambda v: _united(arrays.pyramid(_image(v)[0], 4, _image(v)[1], v.work.keep, 4)), f"select level, z, y, x, channel, value from ({_pyramid_sql(_LEVELS, 4)}) p")
+register("R2", lambda v: _plain(arrays.pyramid(_image(v)[0], 3, _image(v)[1], v.work.keep, 4, progressive=False)[2][0]), "select * from (select z // 4 as z, y // 4 as y, x // 4 as x, cast(sum(value) // 64 as int) as value from {img} group by 1, 2, 3) m where value > 0")
+register("R3", lambda v: _plain(arrays.block_mean(_image(v)[0], 3, _image(v)[1])[0]), "select * from (select z // 3 as z, y // 3 as y, x // 3 as x, cast(sum(value) // 27 as int) as value from {img} group by 1, 2, 3) m where value > 0")
+register("R3_truncated", lambda v: _plain(arrays.block_mean(arrays.truncated(_image(v)[0], v.shape[0] // 3 * 3), 3, _image(v)[1])[0]), "select * from (select z // 3 as z, y // 3 as y, x // 3 as x, cast(sum(value) // 27 as int) as value from {img} where z < (select nz // 3 * 3 from {depth}) group by 1, 2, 3) m where value > 0")
+
+
+def _segmentation(v: DerivedVolume) -> tuple[DataFrame, arrays.Shape]:
+    shape = arrays.Shape(v.shape, None, "<u2")
+    return arrays.from_voxels(v.combined.withColumnRenamed("label_id", "value"), shape), shape
+
+
+register("R4", lambda v: _plain(arrays.upsample(_segmentation(v)[0], 2, (v.shape[0] * 2 - 1, 95, 95))).withColumnRenamed("value", "label_id"), "select z * 2 + a.v as z, y * 2 + b.v as y, x * 2 + c.v as x, label_id from {combined}, (values (0), (1)) a(v), (values (0), (1)) b(v), (values (0), (1)) c(v) where z * 2 + a.v < (select nz * 2 - 1 from {depth}) and y * 2 + b.v < 95 and x * 2 + c.v < 95")
+register("R6", lambda v: _plain(arrays.stride(_segmentation(v)[0], 2, _segmentation(v)[1])[0]).withColumnRenamed("value", "label_id"), "select z // 2 as z, y // 2 as y, x // 2 as x, label_id from {combined} where z % 2 = 0 and y % 2 = 0 and x % 2 = 0")
+
+
+def _store(v: DerivedVolume, least_side: int = 4) -> str:
+    """Image pyramid, label pyramid and masks as a Zarr store."""
+    levels = arrays.pyramid(_image(v)[0], 4, _image(v)[1], v.work.keep, least_side)
+    chunks, shape = _segmentation(v)
+    strided = [(chunks, shape), *(arrays.stride(chunks, 2**i, shape) for i in range(1, len(levels)))]
+    masks = {}
+    for kind, voxels in (("outer", v.outerv), ("inner", v.innerv)):
+        for label_id, name, _ in v.labels:
+            own = arrays.Shape(v.shape, None, "|u1")
+            masks[f"{kind}_masks_L2/{name}"] = (arrays.from_voxels(voxels.where(F.col("label_id") == label_id).withColumn("value", F.lit(1)), own), own)
+    parts = {str(i): x for i, x in enumerate(levels)} | {f"segmentation/{i}": x for i, x in enumerate(strided)} | masks
+    names = [str(i) for i in range(len(levels))]
+    return zarr.write_store(parts, v.work.path("store"), {group: zarr.multiscales(names, own, v.voxel) for group, own in (("", levels[0][1]), ("segmentation", shape))})
+
+
+def _stored(v: DerivedVolume) -> DataFrame:
+    """Everything that the store holds, by the names that it lists."""
+    path = _store(v)
+    names = [n if not g else f"{g}/{n}" for g in ("", "segmentation", "outer_masks_L2", "inner_masks_L2") for n in zarr.members(path, g)]
+    return _plain(zarr.read_arrays(v.spark, path, names), "array")
+
+
+_STRIDES = " union all ".join(f"select 'segmentation/{i}' as array, z // {2**i} as z, y // {2**i} as y, x // {2**i} as x, label_id as value from {{combined}} where z % {2**i} = 0 and y % {2**i} = 0 and x % {2**i} = 0 and ({i} = 0 or (select least(nz, 48) // {2**i} from {{depth}}) >= 4)" for i in range(4))
+_MASKS = " union all ".join(f"select concat('{kind}_masks_L2/', name) as array, z, y, x, 1 as value from {{{kind}v}} join {{label_dim}} using (label_id)" for kind in ("outer", "inner"))
+register("K1", _stored, f"select cast(level as varchar) as array, z, y, x, value from ({_pyramid_sql(_LEVELS, 4)}) i union all {_STRIDES} union all {_MASKS}")
+_SIZES = " union all ".join(f"select {i} as level, " + ", ".join(f"cast(({n} + {2**i - 1}) // {2**i} as int) as {c}" for c, n in (("nz", "nz"), ("ny", "48"), ("nx", "48"))) + f" from {{depth}} where {i} = 0 or least(nz, 48) // {2**i} >= 4" for i in range(4))
+register("S6", lambda v: zarr.levels(v.spark, _store(v)).drop("channels", "dtype"), f"select level, cast((nz + 15) // 16 as int) as n_chunks, nz, ny, nx from ({_SIZES}) s order by level")
+register("S11", lambda v: _plain(zarr.read_arrays(v.spark, _store(v), ["1"])).select("*", *((F.col(c) * s * 2).alias(f"w{c}") for c, s in zip("zyx", v.voxel))), f"select z, y, x, value, z * 2e0 * 2 as wz, y * 1e0 * 2 as wy, x * 0.5e0 * 2 as wx from ({_LEVELS[1]}) l where value > 0")
+register("S12_store", lambda v: _plain(zarr.read_arrays(v.spark, _store(v), ["0"], z=(5, 9))), "select z, y, x, value from {img} where value > 0 and z between 5 and 8")
+
+
+def _shape_check(v: DerivedVolume) -> DataFrame:
+    """Each level's shape in the store's metadata against the first one's divided by its factor, rounded down."""
+    path = _store(v)
+    first = zarr.shape_of(path, "0").size
+    rows = [(2 ** int(n), *(s // 2 ** int(n) for s in first), *zarr.shape_of(path, n).size) for n in zarr.members(path) if n.isdigit()]
+    got = v.spark.createDataFrame(rows, "factor int, want_z int, want_y int, want_x int, got_z int, got_y int, got_x int")
+    return got.withColumn("mismatch", F.expr("want_z <> got_z or want_y <> got_y or want_x <> got_x"))
+
+
+register("P17", _shape_check, f"""
+    select f as factor, cast(d.nz // f as int) as want_z, cast(48 // f as int) as want_y, cast(48 // f as int) as want_x, s.nz as got_z, s.ny as got_y, s.nx as got_x, s.nz <> d.nz // f or s.ny <> 48 // f or s.nx <> 48 // f as mismatch
+    from {{depth}} d, (select *, cast(1 << level as int) as f from ({_SIZES}) z) s""")
 
 register("K2", lambda v: tables.read_metadata(v.spark, tables.write_metadata(v, v.work.path("metadata"))), "select label_id, name, color, 2.0e0 as vz, 1.0e0 as vy, 0.5e0 as vx, cast(nz as int) as nz, 48 as ny, 48 as nx from {label_dim}, {depth}")
 register("K3", lambda v: tables.read_graph(v.spark, tables.write_graph(v.edge, v.voxel, v.work.path("graph"))), "select a as node_a, b as node_b, round(sqrt(dz * dz * 4.0e0 + dy * dy * 1.0e0 + dx * dx * 0.25e0), 6) as distance_um from {edge} where a < b")
@@ -71,8 +162,7 @@ def _skeleton_tiff(v: DerivedVolume) -> DataFrame:
     _, ny, nx = v.shape
     vertices = v.skel.selectExpr(f"z * {vz} + 0.5 as wz", f"y * {vy} + 0.25 as wy", f"x * {vx} + 0.125 as wx")
     cut = vertices.select(*((F.col(f"w{c}") / s).cast("int").alias(c) for c, s in zip("zyx", v.voxel))).where((F.col("y") < ny) & (F.col("x") < nx)).distinct().withColumn("value", F.lit(255))
-    starts = v.spark.range(0, v.shape[0], 10).selectExpr("cast(id as int) as z", "0 as y", "0 as x", "0 as value")  # a slab without a point still has a file
-    return _plain(volume_files.load_volume(volume_files.slab_files(cut.unionByName(starts).groupBy("z", "y", "x").agg(F.max("value").alias("value")), 10, (ny, nx), "tif"), slab=10))
+    return _plain(volume_files.read_volume(v.spark, volume_files.write_slabs(cut, v.work.path("vertices"), 10, arrays.Shape(v.shape, None, "|u1"), "tif"))[0])
 
 
 register("K5_tiff", _skeleton_tiff, "select z, y, x, 255 as value from {skel}")
