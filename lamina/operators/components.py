@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,35 +35,78 @@ def runs(mask: DataFrame) -> DataFrame:
     return starts.groupBy("label_id", "z", "y", "_run").agg(F.min("x").alias("x_lo"), F.max("x").alias("x_hi")).drop("_run")
 
 
-def _label_slice(slice_runs: pa.Table) -> pa.Table:
-    """cc_id of each run of one slice: union-find over runs of neighbouring lines that overlap in x."""
-    t = slice_runs.sort_by([("y", "ascending"), ("x_lo", "ascending")])
+#: Lines of a band of a slice that one task labels.
+BAND_LINES = 1024
+
+
+def run_roots(y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The first run of each run's component, for runs in raster order: neighbouring lines' runs that share an x are tied.
+
+    The pairs are found by search in the next line's runs, and the least member spreads by pointer jumping.
+    """
+    line = np.int64(hi.max() - lo.min() + 2) if len(y) else np.int64(1)
+    base = lo.min() if len(y) else 0
+    start, end = (y - (y[0] if len(y) else 0)).astype(np.int64) * line + (lo - base), (y - (y[0] if len(y) else 0)).astype(np.int64) * line + (hi - base)
+    first, last = np.searchsorted(end, start + line), np.searchsorted(start, end + line, "right")
+    n = np.maximum(last - first, 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    root = np.arange(len(y))
+    while True:
+        ra, rb = root[a], root[b]
+        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _label_band(band: pa.Table) -> pa.Table:
+    """Runs of one band of a slice with ``root``, the place y, x of the first voxel of their component within the band."""
+    t = band.sort_by([("y", "ascending"), ("x_lo", "ascending")])
     y, lo, hi = (t.column(c).to_numpy() for c in ("y", "x_lo", "x_hi"))
-    root = list(range(len(y)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    i = j = 0
-    while i < len(y) and j < len(y):  # j is on the line after i's; of two runs, the one that ends first is done
-        if y[j] != y[i] + 1:
-            i, j = (i + 1, j) if y[j] > y[i] + 1 else (i, j + 1)
-            continue
-        if lo[j] <= hi[i] and lo[i] <= hi[j]:
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-        i, j = (i + 1, j) if hi[i] <= hi[j] else (i, j + 1)
-    roots = np.array([find(i) for i in range(len(y))])
-    _, number = np.unique(roots, return_inverse=True)  # runs are in raster order, and so are their first voxels
+    root = run_roots(y, lo, hi)
+    return t.append_column("root", pa.array((y[root].astype(np.int64) << 32) + lo[root]))
+
+
+def _label_slice(whole: pa.Table) -> pa.Table:
+    """cc_id of the runs of a slice that is one band."""
+    t = whole.sort_by([("y", "ascending"), ("x_lo", "ascending")])
+    _, number = np.unique(run_roots(*(t.column(c).to_numpy() for c in ("y", "x_lo", "x_hi"))), return_inverse=True)
     return t.append_column("cc_id", pa.array((number + 1).astype(np.int32)))
 
 
-def contour_runs(mask: DataFrame) -> DataFrame:
-    """Runs with cc_id, counted from 1 in order of each contour's first voxel, by label and slice."""
-    return runs(mask).groupBy("label_id", "z").applyInArrow(_label_slice, "label_id int, z int, y int, x_lo int, x_hi int, cc_id int")
+def contour_runs(mask: DataFrame, work: Workspace, lines: int | None = None, band_lines: int = BAND_LINES) -> DataFrame:
+    """Runs with cc_id, counted from 1 in order of each contour's first voxel, by label and slice.
+
+    A slice is labelled in bands of lines, each in a task of its own. Components of two bands are tied where
+    runs of the lines at their border share an x, and these ties, few beside the runs, go through connected
+    components. A contour's first voxel is the least of its bands' first ones, so ids don't depend on the bands.
+    lines: of a slice, where they are known; if they fit into a band, nothing needs to be tied.
+    """
+    if lines is not None and lines <= band_lines:
+        return runs(mask).groupBy("label_id", "z").applyInArrow(_label_slice, "label_id int, z int, y int, x_lo int, x_hi int, cc_id int")
+    schema = "label_id int, z int, band int, y int, x_lo int, x_hi int, root long"
+    banded = runs(mask).withColumn("band", F.expr(f"cast(y div {band_lines} as int)")).groupBy("label_id", "z", "band").applyInArrow(lambda t: _label_band(t.select(["label_id", "z", "band", "y", "x_lo", "x_hi"])), schema)
+    banded = work.keep(banded, f"bands{uuid.uuid4().hex[:8]}")
+    slice_key = ["label_id", "z"]
+    if not banded.where("band > 0").isEmpty():
+        stretches = F.explode(F.expr(f"sequence(x_lo div {X_BUCKET}, x_hi div {X_BUCKET})")).alias("xb")
+        above = banded.where(f"y % {band_lines} = {band_lines - 1}").select(*slice_key, (F.col("y") + 1).alias("y"), "x_lo", "x_hi", F.col("root").alias("a_root"), stretches)
+        below = banded.where(f"y % {band_lines} = 0 and y > 0").select(*slice_key, "y", F.col("x_lo").alias("b_lo"), F.col("x_hi").alias("b_hi"), F.col("root").alias("b_root"), stretches)
+        ties = work.keep(above.join(below, [*slice_key, "y", "xb"]).where("x_lo <= b_hi and b_lo <= x_hi").select(*slice_key, "a_root", "b_root").distinct(), f"ties{uuid.uuid4().hex[:8]}")
+        # nodes are numbered in order of label, slice and place, so that the least number of a component has its first voxel
+        ends = ties.select(*slice_key, F.col("a_root").alias("root")).unionByName(ties.select(*slice_key, F.col("b_root").alias("root"))).distinct()
+        numbered = work.keep(ordered_ids(ends, [*slice_key, "root"], "node", work), f"ends{uuid.uuid4().hex[:8]}")
+        number = lambda c: numbered.select(*slice_key, F.col("root").alias(f"{c}_root"), F.col("node").alias(c))
+        edges = ties.join(number("a"), [*slice_key, "a_root"]).join(number("b"), [*slice_key, "b_root"]).select("a", "b")
+        groups = connected_components(edges, work, f"borders{uuid.uuid4().hex[:8]}")
+        whole = numbered.join(groups, "node").join(numbered.select(F.col("node").alias("component"), F.col("root").alias("whole")), "component").select(*slice_key, "root", "whole")
+        banded = banded.join(whole, [*slice_key, "root"], "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
+    firsts = banded.select(*slice_key, "root").distinct()
+    ids = firsts.withColumn("cc_id", F.row_number().over(Window.partitionBy(*slice_key).orderBy("root")))
+    return banded.join(ids, [*slice_key, "root"]).select("label_id", "z", "y", "x_lo", "x_hi", "cc_id")
 
 
 def contour_voxels(labelled: DataFrame) -> DataFrame:

@@ -10,14 +10,14 @@ from lamina.operators.numbering import ordered_ids
 from lamina.session import Workspace
 
 
-def level0_contours(points: DataFrame, combined: DataFrame, f: int) -> DataFrame:
+def level0_contours(points: DataFrame, combined: DataFrame, f: int, work: Workspace, lines: int | None = None) -> DataFrame:
     """(point_id, label_id, z_l0, cc_id0): the level-0 contour of each point, -1 where its label isn't there.
 
     Level 0 repeats the combined labels f times along each axis, so its contours are those of
     the combined labels and no level-0 voxel is ever made. A point without a label keeps the
     first slice of its block; one whose label another has covered gets the middle slice.
     """
-    contours = contour_voxels(contour_runs(combined.select("label_id", "z", "y", "x")))
+    contours = contour_voxels(contour_runs(combined.select("label_id", "z", "y", "x"), work, lines))
     found = points.join(contours, ["label_id", "z", "y", "x"], "left")
     missed = (F.col("label_id") > 0) & F.col("cc_id").isNull()
     return found.select("point_id", "label_id", (F.col("z") * f + F.when(missed, f // 2).otherwise(0)).alias("z_l0"), (F.coalesce("cc_id", F.lit(0)) - 1).alias("cc_id0"))

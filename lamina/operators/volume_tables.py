@@ -56,7 +56,7 @@ class Volume:
 
     @cached_property
     def crun(self) -> DataFrame:
-        return self.work.keep(components.contour_runs(self.outerv), "crun")
+        return self.work.keep(components.contour_runs(self.outerv, self.work, self.shape[1]), "crun")
 
     @cached_property
     def cvox(self) -> DataFrame:
@@ -95,12 +95,12 @@ class Volume:
     @cached_property
     def mapped(self) -> DataFrame:
         """(point_id, label_id, z_l0, cc_id0): the points' contours at level 0."""
-        return skeleton.level0_contours(self.point, self.combined, 4)
+        return skeleton.level0_contours(self.point, self.combined, 4, self.work, self.shape[1])
 
     @cached_property
     def ccvox(self) -> DataFrame:
         """Voxels of the contours of the combined labels, which are those of level 0."""
-        return components.contour_voxels(self.work.keep(components.contour_runs(self.combined.select("label_id", "z", "y", "x")), "ccrun"))
+        return components.contour_voxels(self.work.keep(components.contour_runs(self.combined.select("label_id", "z", "y", "x"), self.work, self.shape[1]), "ccrun"))
 
     @cached_property
     def edge(self) -> DataFrame:
@@ -124,8 +124,31 @@ class DerivedVolume(Volume):
     """The volume that is derived from the business tables of a folder, and these tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        super().__init__(spark, volume.mask(spark, sf_dir), volume.skeleton(spark, sf_dir), volume.mask(spark, sf_dir, shrink=2), volume.image(spark, sf_dir))
-        self.supplier, self.events = (volume.read(spark, sf_dir, t) for t in ("supplier", "events"))
+        self.spark, self.sf_dir, self.labels, self.voxel = spark, sf_dir, LABELS, (VZ, VY, VX)
+
+    @cached_property
+    def outerv(self) -> DataFrame:
+        return volume.mask(self.spark, self.sf_dir).select("label_id", "z", "y", "x")
+
+    @cached_property
+    def innerv(self) -> DataFrame:
+        return volume.mask(self.spark, self.sf_dir, shrink=2).select("label_id", "z", "y", "x")
+
+    @cached_property
+    def skel(self) -> DataFrame:
+        return volume.skeleton(self.spark, self.sf_dir).select("z", "y", "x")
+
+    @cached_property
+    def img(self) -> DataFrame:
+        return volume.image(self.spark, self.sf_dir).select("z", "y", "x", "value")
+
+    @cached_property
+    def supplier(self) -> DataFrame:
+        return volume.read(self.spark, self.sf_dir, "supplier")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return volume.read(self.spark, self.sf_dir, "events")
 
     @cached_property
     def shape(self) -> tuple[int, int, int]:

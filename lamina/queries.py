@@ -116,11 +116,11 @@ register(
         select * from walk) s join {contour} c on c.label_id = s.label_id and c.z = s.zz and c.cc_id = s.c group by s.label_id, s.z, s.cc_id""",
 )
 both("A5", "select z div 2 as z, y div 2 as y, x div 2 as x, cast(cast(sum(value) as bigint) div 8 as int) as value from {img} group by 1, 2, 3")
-register("X1", lambda v: skeleton.level0_contours(v.point, v.combined, 4).select("point_id", "z_l0", "cc_id0"), """
+register("X1", lambda v: v.mapped.select("point_id", "z_l0", "cc_id0"), """
     select p.point_id, p.z * 4 + case when p.label_id > 0 and c.label_id is distinct from p.label_id then 2 else 0 end as z_l0, coalesce(v.cc_id, 0) - 1 as cc_id0
     from {point} p left join {combined} c on c.z = p.z and c.y = p.y and c.x = p.x
     left join {ccvox} v on v.label_id = p.label_id and v.z = p.z and v.y = p.y and v.x = p.x""")
-register("A11", lambda v: skeleton.level0_contours(v.point, v.combined, 4).groupBy("label_id").agg(F.sum(F.when(F.col("cc_id0") >= 0, 1).otherwise(0)).alias("n_valid"), F.count(F.lit(1)).alias("n")), """
+register("A11", lambda v: v.mapped.groupBy("label_id").agg(F.sum(F.when(F.col("cc_id0") >= 0, 1).otherwise(0)).alias("n_valid"), F.count(F.lit(1)).alias("n")), """
     select p.label_id, cast(sum(case when v.cc_id is null then 0 else 1 end) as bigint) as n_valid, count(*) as n
     from {point} p left join {ccvox} v on v.label_id = p.label_id and v.z = p.z and v.y = p.y and v.x = p.x group by p.label_id""")
 

@@ -41,7 +41,23 @@ def flood(voxels: set, steps: list) -> dict:
 
 def test_diagonal_touch_is_two_contours(spark):
     mask = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 1)], VOXEL)
-    assert sorted(r.cc_id for r in components.contour_runs(mask).collect()) == [1, 2]
+    assert sorted(r.cc_id for r in components.contour_runs(mask, Workspace(spark, "t")).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("share", [0.3, 0.55, 0.7])
+def test_contours_are_the_same_at_any_band_height(spark, share):
+    """Labels and slices apart, spirals through many bands, and bands without a voxel."""
+    rng = random.Random(int(share * 100))
+    voxels = {(label, z, y, x) for label in (1, 2) for z in (0, 3) for y in range(23) for x in range(17) if rng.random() < share and not (z == 3 and 8 <= y < 12)}
+    spiral = "#########;........#;#######.#;#.....#.#;#.###.#.#;#.#...#.#;#.#####.#;#.......#;#########"
+    voxels |= {(3, 1, y, x) for y, line in enumerate(spiral.split(";")) for x, c in enumerate(line) if c == "#"}
+    mask, wanted = spark.createDataFrame(sorted(voxels), VOXEL), {}
+    for label, z in {v[:2] for v in voxels}:
+        flat = flood({(y, x) for a, b, y, x in voxels if (a, b) == (label, z)}, [(0, 1), (0, -1), (1, 0), (-1, 0)])
+        wanted |= {(label, z, *v): c for v, c in flat.items()}
+    for lines, height in ((None, 1), (None, 2), (None, 5), (None, 1000), (23, 23), (23, 7)):
+        runs = components.contour_runs(mask, Workspace(spark, "t"), lines, height)
+        assert {(r.label_id, r.z, r.y, r.x): r.cc_id for r in components.contour_voxels(runs).collect()} == wanted
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -49,7 +65,7 @@ def test_components_against_flood_fill(spark, seed):
     rng = random.Random(seed)
     voxels = {(z, y, x) for z in range(5) for y in range(7) for x in range(7) if rng.random() < 0.45}
     mask = spark.createDataFrame([(1, *v) for v in sorted(voxels)], VOXEL)
-    runs = components.contour_runs(mask)
+    runs = components.contour_runs(mask, Workspace(spark, "t"))
     found = {(r.z, r.y, r.x): r.cc_id for r in components.contour_voxels(runs).collect()}
     for z in range(5):
         flat = flood({v for v in voxels if v[0] == z}, [(0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0)])
@@ -91,7 +107,7 @@ def test_skeleton_parts_against_flood_fill(spark):
 def test_overlap_ties_and_mirror(spark):
     # the contour below touches two above with equal area: the same label comes first
     mask = spark.createDataFrame([(2, 0, 0, 0), (2, 0, 0, 1), (2, 0, 0, 2), (1, 1, 0, 0), (2, 1, 0, 2)], VOXEL)
-    overlap = components.overlaps(components.contour_runs(mask))
+    overlap = components.overlaps(components.contour_runs(mask, Workspace(spark, "t")))
     rows = [tuple(r) for r in overlap.select("dir", "label_id", "z", "o_label_id", "area").collect()]
     assert sorted(rows) == [(-1, 1, 1, 2, 1), (-1, 2, 1, 2, 1), (1, 2, 0, 1, 1), (1, 2, 0, 2, 1)]
     assert [(r.o_label_id, r.area) for r in paths.best_overlap(overlap).where("dir = 1").collect()] == [(2, 1)]
@@ -101,7 +117,7 @@ def test_level0_contours_where_masks_overlap(spark):
     mask = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 0, 0), (1, 0, 0, 5)], VOXEL)
     combined = mask.groupBy("z", "y", "x").agg({"label_id": "max"}).withColumnRenamed("max(label_id)", "label_id")
     points = components.skeleton_points(spark.createDataFrame([(0, 0, 0), (0, 0, 5), (0, 3, 3)], "z int, y int, x int"), mask, Workspace(spark, "t"))
-    rows = {r.point_id: (r.label_id, r.z_l0, r.cc_id0) for r in skeleton.level0_contours(points, combined, 4).collect()}
+    rows = {r.point_id: (r.label_id, r.z_l0, r.cc_id0) for r in skeleton.level0_contours(points, combined, 4, Workspace(spark, "t")).collect()}
     assert rows == {0: (1, 2, -1), 1: (1, 0, 0), 2: (0, 0, -1)}
 
 
@@ -128,13 +144,13 @@ def test_nearest_ends_whatever_the_queries(spark):
 def test_node_ids_that_do_not_fit_are_an_error(spark):
     high = spark.createDataFrame([(1, 1 << 23, 0, 0), (1, (1 << 23) + 1, 0, 0)], VOXEL)
     with pytest.raises(Exception, match="too large for a node id"):
-        components.bodies(components.contour_runs(high), Workspace(spark, "t")).collect()
+        components.bodies(components.contour_runs(high, Workspace(spark, "t")), Workspace(spark, "t")).collect()
 
 
 def test_overlaps_of_long_runs(spark):
     """Runs over several stretches count once."""
     rows = [(1, z, 0, x) for z, xs in ((0, range(0, 300)), (1, [*range(10, 130), *range(190, 260)])) for x in xs]
-    overlap = components.overlaps(components.contour_runs(spark.createDataFrame(rows, VOXEL)))
+    overlap = components.overlaps(components.contour_runs(spark.createDataFrame(rows, VOXEL), Workspace(spark, "t")))
     assert sorted((r.dir, r.area) for r in overlap.collect()) == [(-1, 70), (-1, 120), (1, 70), (1, 120)]
 
 
@@ -260,7 +276,7 @@ def test_ordered_ids_are_gapless(spark):
 def test_empty_volume(spark):
     empty = spark.createDataFrame([], VOXEL)
     work = Workspace(spark, "t")
-    runs = components.contour_runs(empty)
+    runs = components.contour_runs(empty, work)
     assert runs.count() == components.overlaps(runs).count() == components.bodies(runs, work).count() == 0
     points = components.skeleton_points(empty.select("z", "y", "x"), empty, work)
     assert components.instances(points, components.adjacency(points), work).count() == 0
