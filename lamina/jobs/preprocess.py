@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import colors
-from lamina.operators import surface
 from lamina.operators.volume_tables import Volume
 from lamina.session import Workspace, build_session
-from lamina.sources import arrays, tables, volume_files, zarr
+from lamina.sources import arrays, mesh_files, tables, volume_files, zarr
 
 #: Factor between the levels of the masks and of the image, and the most levels of a pyramid.
 FACTOR, LEVELS = 4, 4
+#: Voxels that a body's mesh is made from.
+LEAST_BODY = 10
 
 Part = tuple[DataFrame, arrays.Shape]
 
@@ -122,7 +123,12 @@ def preprocess(
     for name in ("contour", "overlap", "body", "part", "inst", "edge"):
         save(getattr(volume, name), name)
     save(volume.point.join(volume.mapped.drop("label_id"), "point_id"), "point")
-    save(surface.mesh_table(volume.outerv, ["label_id"], voxel), "label_meshes")
+    mesh_files.write_meshes(volume.outerv, ["label_id"], voxel, F.format_string("outer_%d", "label_id"), f"{out}/morphology_meshes", size[0])
+    bodies = volume.body.join(volume.cvox, ["label_id", "z", "cc_id"]).select("label_id", "comp_id", "z", "y", "x")
+    large = bodies.groupBy("label_id", "comp_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_BODY).drop("n")
+    mesh_files.write_meshes(bodies.join(large, ["label_id", "comp_id"]), ["label_id", "comp_id"], voxel, F.format_string("cc_%04d_%d_outer", "comp_id", "label_id"), f"{out}/image_host_meshes", size[0])
+    if skeleton is not None:
+        mesh_files.skeleton_mesh_set(volume, f"{out}/skeleton_meshes/per_spatial_cc")
     tables.write_metadata(volume, f"{out}/metadata.json")
     tables.write_contours(volume.contour, f"{out}/cc_metadata.json")
     tables.write_points(volume.point, f"{out}/skeleton_points.json")

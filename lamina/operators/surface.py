@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.geometry import FACES, boundary_faces, dilate
+from lamina.operators.geometry import FACES, boundary_faces
 
 #: Corners of a face's quadrilateral, as cells relative to the lower voxel's own, by the face's axis.
 CORNERS = {0: ((0, -1, -1), (0, -1, 0), (0, 0, 0), (0, 0, -1)), 1: ((-1, 0, -1), (-1, 0, 0), (0, 0, 0), (0, 0, -1)), 2: ((-1, -1, 0), (-1, 0, 0), (0, 0, 0), (0, -1, 0))}
@@ -50,13 +50,6 @@ def mesh_table(voxels: DataFrame, keys: list[str], voxel: tuple[float, float, fl
     return points.join(cells, keys).join(odd, keys)
 
 
-def skeleton_meshes(points: DataFrame, part: DataFrame, shape: tuple[int, int, int], voxel: tuple[float, float, float], radius: int = 3, per_part: bool = True) -> DataFrame:
-    """Sizes of the meshes of the skeleton, made thicker by radius: one for each part and label, or for each label."""
-    keys = ["root", "label_id"] if per_part else ["label_id"]
-    rooted = points.join(part.select("point_id", "root"), "point_id").select(*keys, "z", "y", "x")
-    return mesh_table(dilate(rooted, radius, keys, shape), keys, voxel)
-
-
 #: Directions of an outline's steps by face (above, below, left, right), the inside on the right: start and step in y and x.
 STEPS = {0: ((0, 0), (0, 1)), 1: ((1, 1), (0, -1)), 2: ((1, 0), (-1, 0)), 3: ((0, 1), (1, 0))}
 

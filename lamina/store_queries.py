@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import colors
-from lamina.operators import surface
 from lamina.operators.numbering import ordered_ids
 from lamina.operators.volume_tables import DerivedVolume
 from lamina.registry import both, register
-from lamina.sources import arrays, tables, volume_files, zarr
+from lamina.sources import arrays, mesh_files, tables, volume_files, zarr
 
 
 def _image(v: DerivedVolume) -> tuple[DataFrame, arrays.Shape]:
@@ -168,29 +167,58 @@ def _skeleton_tiff(v: DerivedVolume) -> DataFrame:
 register("K5_tiff", _skeleton_tiff, "select z, y, x, 255 as value from {skel}")
 
 
-def _meshes(v: DerivedVolume) -> DataFrame:
-    """The mesh table of labels and of bodies with 10 voxels or more, written and opened again."""
-    bodies = v.body.join(v.cvox, ["label_id", "z", "cc_id"]).select("label_id", "comp_id", "z", "y", "x")
+def _label_meshes(v: DerivedVolume) -> str:
+    return mesh_files.write_meshes(v.outerv, ["label_id"], v.voxel, F.format_string("outer_%d", "label_id"), v.work.path("label_meshes"), v.shape[0])
+
+
+def _body_meshes(v: DerivedVolume, wanted: str = "true") -> DataFrame:
+    """Sizes of the stored outer meshes of the wanted bodies of 10 voxels or more; no other is made."""
+    bodies = v.body.where(wanted).join(v.cvox, ["label_id", "z", "cc_id"]).select("label_id", "comp_id", "z", "y", "x")
     sizes = bodies.groupBy("label_id", "comp_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").drop("n")
-    own = surface.mesh_table(bodies.join(sizes, ["label_id", "comp_id"]), ["label_id", "comp_id"], v.voxel).withColumns({"kind": F.lit("body"), "mesh_key": F.format_string("cc_%04d_%d_outer", "comp_id", "label_id")})
-    whole = surface.mesh_table(v.outerv, ["label_id"], v.voxel).withColumns({"kind": F.lit("label"), "comp_id": F.lit(0), "mesh_key": F.format_string("outer_%d", "label_id")})
-    return v.work.keep(own.unionByName(whole).repartition("kind"), "meshes")
+    own = bodies.join(sizes, ["label_id", "comp_id"])
+    path = mesh_files.write_meshes(own, ["label_id", "comp_id"], v.voxel, F.format_string("cc_%04d_%d_outer", "comp_id", "label_id"), v.work.path("body_meshes"), v.shape[0])
+    read = mesh_files.read_sizes(mesh_files.read_index(v.spark, path), path)
+    ids = F.split("mesh_key", "_")
+    return read.select("mesh_key", ids[2].cast("int").alias("label_id"), ids[1].cast("int").alias("comp_id"), "n_points", "n_cells")
+
+
+def _label_sizes(v: DerivedVolume) -> DataFrame:
+    path = _label_meshes(v)
+    return mesh_files.read_sizes(mesh_files.read_index(v.spark, path), path)
+
+
+def _label_points(v: DerivedVolume) -> DataFrame:
+    """The points of the stored label meshes, as the files have them."""
+    path = _label_meshes(v)
+    return mesh_files.read_points(mesh_files.read_index(v.spark, path), path).select("mesh_key", *(F.round(c, 3).alias(c) for c in ("vx", "vy", "vz")))
+
+
+def _skeleton_sizes(v: DerivedVolume, per_part: bool = True) -> DataFrame:
+    """The stored skeleton meshes by part, or those by label that are made where none are stored."""
+    at = v.work.path("skeleton_meshes")
+    if per_part:
+        mesh_files.skeleton_mesh_set(v, f"{at}/per_spatial_cc")
+    mode, index, path = mesh_files.open_skeleton_meshes(v, at)
+    return mesh_files.read_sizes(index, path).select(F.lit(mode).alias("mode"), "mesh_key", "n_points", "n_cells")
 
 
 _SURFACE = """(with own as ({voxels}), faces as (select o.label_id, o.comp_id, f.axis, o.z + least(0, f.dz) z, o.y + least(0, f.dy) y, o.x + least(0, f.dx) x from own o, (values (0, -1, 0, 0), (0, 1, 0, 0), (1, 0, -1, 0), (1, 0, 1, 0), (2, 0, 0, -1), (2, 0, 0, 1)) f(axis, dz, dy, dx)
         where not exists (select 1 from own n where n.label_id = o.label_id and n.comp_id = o.comp_id and n.z = o.z + f.dz and n.y = o.y + f.dy and n.x = o.x + f.dx)),
     cells as (select distinct label_id, comp_id, case when axis = 0 then z else z + a.v end cz, case when axis = 1 then y when axis = 0 then y + a.v else y + b.v end cy, case when axis = 2 then x else x + b.v end cx from faces, (values (-1), (0)) a(v), (values (-1), (0)) b(v))
     select p.label_id, p.comp_id, p.n_points, q.n_cells from (select label_id, comp_id, count(*) n_points from cells group by 1, 2) p join (select label_id, comp_id, 2 * count(*) n_cells from faces group by 1, 2) q using (label_id, comp_id))"""
+_VERTICES = """with faces as (select o.label_id, f.axis, o.z + least(0, f.dz) z, o.y + least(0, f.dy) y, o.x + least(0, f.dx) x from {outerv} o, (values (0, -1, 0, 0), (0, 1, 0, 0), (1, 0, -1, 0), (1, 0, 1, 0), (2, 0, 0, -1), (2, 0, 0, 1)) f(axis, dz, dy, dx)
+        where not exists (select 1 from {outerv} n where n.label_id = o.label_id and n.z = o.z + f.dz and n.y = o.y + f.dy and n.x = o.x + f.dx))
+    select label_id, avg((x + case when axis = 2 then 0.5e0 else 0 end) * 0.5e0) as vx, avg((y + case when axis = 1 then 0.5e0 else 0 end) * 1e0) as vy, avg((z + case when axis = 0 then 0.5e0 else 0 end) * 2e0) as vz
+    from (select *, case when axis = 0 then z else z + a.v end cz, case when axis = 1 then y when axis = 0 then y + a.v else y + b.v end cy, case when axis = 2 then x else x + b.v end cx from faces, (values (-1), (0)) a(v), (values (-1), (0)) b(v)) c group by label_id, cz, cy, cx"""
 _BODIES = "select b.label_id, b.comp_id, v.z, v.y, v.x from {body} b join {cvox} v using (label_id, z, cc_id) semi join (select label_id, comp_id from {body} join {contour} using (label_id, z, cc_id) group by 1, 2 having sum(area) >= 10) k on k.label_id = b.label_id and k.comp_id = b.comp_id"
-register("S10", lambda v: _meshes(v).where("kind = 'label'").select("mesh_key", "label_id", "n_points", "n_cells"), "select concat('outer_', label_id) as mesh_key, label_id, n_points, n_cells from " + _SURFACE.replace("{voxels}", "select label_id, 0 as comp_id, z, y, x from {outerv}"))
-register("S13", lambda v: _meshes(v).where("kind = 'body' and comp_id % 3 = 1").select("mesh_key", "label_id", "comp_id", "n_points", "n_cells"), "select printf('cc_%04d_%d_outer', comp_id, label_id) as mesh_key, label_id, comp_id, n_points, n_cells from " + _SURFACE.replace("{voxels}", _BODIES) + " m where comp_id % 3 = 1")
-register("S9", lambda v: surface.skeleton_meshes(v.point, v.part, v.shape, v.voxel, per_part=True).select("root", "label_id", "n_points"), """
-    select root, label_id, count(*) as n_points from (
-        with own as (select distinct root, label_id, z + a.v as z, y + b.v as y, x + c.v as x from {point} join (select point_id, root from {part}) r using (point_id), {dsteps} a, {dsteps} b, {dsteps} c
-            where a.v * a.v + b.v * b.v + c.v * c.v <= 9 and z + a.v >= 0 and z + a.v < (select nz from {depth}) and y + b.v between 0 and 47 and x + c.v between 0 and 47),
-        faces as (select o.root, o.label_id, f.axis, o.z + least(0, f.dz) z, o.y + least(0, f.dy) y, o.x + least(0, f.dx) x from own o, (values (0, -1, 0, 0), (0, 1, 0, 0), (1, 0, -1, 0), (1, 0, 1, 0), (2, 0, 0, -1), (2, 0, 0, 1)) f(axis, dz, dy, dx)
-            where not exists (select 1 from own n where n.root = o.root and n.label_id = o.label_id and n.z = o.z + f.dz and n.y = o.y + f.dy and n.x = o.x + f.dx))
-        select distinct root, label_id, case when axis = 0 then z else z + a.v end cz, case when axis = 1 then y when axis = 0 then y + a.v else y + b.v end cy, case when axis = 2 then x else x + b.v end cx from faces, (values (-1), (0)) a(v), (values (-1), (0)) b(v)) m group by root, label_id""")
+_LABEL_VOXELS = "select label_id, 0 as comp_id, z, y, x from {outerv}"
+register("S10", _label_points, f"select concat('outer_', label_id) as mesh_key, round(vx, 3) as vx, round(vy, 3) as vy, round(vz, 3) as vz from ({_VERTICES}) m")
+register("S10_sizes", _label_sizes, "select concat('outer_', label_id) as mesh_key, n_points, n_cells from " + _SURFACE.replace("{voxels}", _LABEL_VOXELS))
+register("K4_files", _body_meshes, "select printf('cc_%04d_%d_outer', comp_id, label_id) as mesh_key, label_id, comp_id, n_points, n_cells from " + _SURFACE.replace("{voxels}", _BODIES))
+register("S13", lambda v: _body_meshes(v, "comp_id % 3 = 1"), "select printf('cc_%04d_%d_outer', comp_id, label_id) as mesh_key, label_id, comp_id, n_points, n_cells from " + _SURFACE.replace("{voxels}", _BODIES) + " m where comp_id % 3 = 1")
+_THICK = "select distinct {root}, label_id, z + a.v as z, y + b.v as y, x + c.v as x from {point} join (select point_id, root from {part}) r using (point_id), {dsteps} a, {dsteps} b, {dsteps} c where a.v * a.v + b.v * b.v + c.v * c.v <= 9 and z + a.v >= 0 and z + a.v < (select nz from {depth}) and y + b.v between 0 and 47 and x + c.v between 0 and 47"
+register("S9", _skeleton_sizes, "select 'per_spatial_cc' as mode, concat('skeleton_cc', comp_id, '_', label_id) as mesh_key, n_points, n_cells from " + _SURFACE.replace("{voxels}", _THICK.replace("{root}", "root as comp_id")))
+register("S9_label", lambda v: _skeleton_sizes(v, per_part=False), "select 'per_label' as mode, concat('skeleton_', label_id) as mesh_key, n_points, n_cells from " + _SURFACE.replace("{voxels}", _THICK.replace("{root}", "0 as comp_id")))
 
 # Colours and scalar functions
 _HEX = "concat('#', lpad(lower(to_hex(event_id % 256)), 2, '0'), lpad(lower(to_hex((event_id * 7) % 256)), 2, '0'), lpad(lower(to_hex(user_id % 256)), 2, '0'))"

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.jobs import preprocess as job
-from lamina.sources import arrays, files, tables, tiff, volume_files, zarr
+from lamina.sources import arrays, files, mesh_files, tables, tiff, volume_files, zarr
 
 
 def dense(chunks, shape, channels=1) -> np.ndarray:
@@ -375,6 +375,9 @@ def test_preprocess_job_on_an_rgb_file(spark, tmp_path):
     grown = combined.repeat(4, 0).repeat(4, 1).repeat(4, 2)
     assert (dense(zarr.read_arrays(spark, store, ["segmentation/0"]), (24, 80, 80))[..., 0] == grown).all()
     assert zarr.members(store, "outer_masks_L2") == ["Benign", "Label_2"]
+    for kind in ("morphology_meshes", "image_host_meshes", "skeleton_meshes/per_spatial_cc"):
+        index = mesh_files.read_index(spark, f"{out}/{kind}")
+        assert {(r.mesh_key, r.n_points, r.n_cells) for r in mesh_files.read_sizes(index, f"{out}/{kind}").collect()} == {(r.mesh_key, r.n_points, r.n_cells) for r in index.collect()} != set()
     assert (dense(zarr.read_arrays(spark, store, ["outer_masks_L2/Benign"]), (6, 20, 20))[..., 0] == masks[1]).all()
     with pytest.raises(ValueError):
         job.preprocess(spark, out)
@@ -409,3 +412,40 @@ def test_masks_must_agree_and_images_are_checked(spark, tmp_path):
         warnings.simplefilter("always")
         job.preprocess(spark, str(tmp_path / "out"), {1: str(tmp_path / "outer1.tif")}, image=str(tmp_path / "image.tif"))
     assert any("by 4 isn't the masks'" in str(w.message) for w in seen)
+
+
+def test_vtk_files_round_trip_and_bad_ones():
+    points, cells = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 2.5]]), np.array([[0, 1, 2], [0, 3, 1]])
+    data = mesh_files.to_vtk(points, cells, "a mesh")
+    again = mesh_files.from_vtk(data)
+    assert (again[0] == points).all() and (again[1] == cells).all() and data.startswith(b"# vtk DataFile Version 3.0\na mesh\nBINARY\nDATASET POLYDATA\nPOINTS 4 float\n")
+    assert len(mesh_files.from_vtk(mesh_files.to_vtk(points[:0], cells[:0]))[0]) == 0
+    for bad in (b"", data[:60], data[:-10], data.replace(b"BINARY", b"ASCII"), data.replace(b"POLYGONS 2 8", b"POLYGONS 2 9")):
+        with pytest.raises(ValueError):
+            mesh_files.from_vtk(bad)
+
+
+@pytest.mark.parametrize("band", [256, 3])
+def test_meshes_face_outwards_and_enclose_their_voxels(spark, tmp_path, band):
+    """The volume inside a mesh, by its signed triangles, is about that of its voxels, in any number of bands."""
+    ball = [(z, y, x) for z in range(9) for y in range(9) for x in range(9) if (z - 4) ** 2 + (y - 4) ** 2 + (x - 4) ** 2 <= 16]
+    voxels = [(1, *v) for v in ball] + [(2, 0, 0, 0)]
+    df = spark.createDataFrame(voxels, "label_id int, z int, y int, x int")
+    path = str(tmp_path / "meshes")
+    mesh_files.write_meshes(df, ["label_id"], (2.0, 1.0, 0.5), F.format_string("outer_%d", "label_id"), path, 9, band)
+    index = mesh_files.read_index(spark, path)
+    rows = {r.file: r for r in index.collect()}
+    assert ("outer_1.vtk" in rows) == (band == 256) and (band == 256 or {"outer_1_z00000.vtk", "outer_1_z00002.vtk", "outer_2_z00000.vtk"} <= set(rows))
+    inside = {1: 0.0, 2: 0.0}
+    for name, r in rows.items():
+        points, cells = mesh_files.from_vtk((tmp_path / "meshes/files" / name).read_bytes())
+        assert (len(points), len(cells)) == (r.n_points, r.n_cells)
+        a, b, c = (points[cells[:, i]].astype("f8") for i in range(3))
+        inside[int(name[6])] += float(np.einsum("ij,ij->i", a, np.cross(b, c)).sum() / 6)
+    assert 0.75 * len(ball) <= inside[1] <= 1.0 * len(ball) and 0 < inside[2] < 1
+    chosen = mesh_files.read_sizes(index.where("mesh_key = 'outer_2'"), path).collect()
+    assert [(r.mesh_key, r.n_points, r.n_cells) for r in chosen] == [("outer_2", 8, 12)]
+    assert mesh_files.exists(path) and not mesh_files.exists(str(tmp_path))
+    os.remove(tmp_path / "meshes/files" / next(n for n in rows if n.startswith("outer_2")))
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        mesh_files.read_sizes(index, path).collect()
