@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import colors
+from lamina.operators import thinning
 from lamina.operators.volume_tables import Volume
 from lamina.session import Workspace, build_session
 from lamina.sources import arrays, mesh_files, tables, volume_files, zarr
 
 #: Factor between the levels of the masks and of the image, and the most levels of a pyramid.
 FACTOR, LEVELS = 4, 4
+#: Skeleton voxels beyond which a skeleton is thinned.
+TARGET_POINTS = 50_000
 #: Voxels that a body's mesh is made from.
 LEAST_BODY = 10
 
@@ -68,13 +71,14 @@ def _sizes(parts: list[tuple[str, arrays.Shape]]) -> tuple[int, int, int]:
 
 def preprocess(
     spark: SparkSession, out: str, outer: dict[int, str] | None = None, inner: dict[int, str] | None = None, skeleton: str | None = None, image: str | None = None,
-    labels: tuple = (), voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), levels: int = LEVELS, label_volume: str | None = None,
+    labels: tuple = (), voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), levels: int = LEVELS, label_volume: str | None = None, target_points: int = TARGET_POINTS,
 ) -> Volume:
     """Reads the files, writes everything below ``out`` and returns the volume over what it read.
 
     labels: (label_id, name, colour or None); labels without a row are named Label_<id>, those
     without a colour get one. An inner mask may be missing for any label. The volume's shape is that of
     the mask files; masks that differ in it are an error, an image that isn't FACTOR times as large a warning.
+    A skeleton of more than ``target_points`` voxels is thinned to curves first.
     """
     if bool(outer) == bool(label_volume):
         raise ValueError("a volume needs outer masks, or one label volume")
@@ -94,6 +98,9 @@ def preprocess(
         if shape.size != size:
             warnings.warn(f"the skeleton has {shape.size} voxels, the masks {size}", stacklevel=2)
         dots = arrays.to_voxels(chunks).select("z", "y", "x")
+        dots = work.keep(dots, "dots")
+        if dots.count() > target_points:
+            dots = thinning.thin(dots, work)
     volume = Volume(spark, _voxels(outers), dots, _voxels(inners) if inners else None, None, dim, voxel, size)
     for name in ("outerv", "innerv", "skel"):
         setattr(volume, name, volume.work.keep(getattr(volume, name), name))

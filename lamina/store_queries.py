@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import colors
+from lamina.operators import thinning
 from lamina.operators.numbering import ordered_ids
 from lamina.operators.volume_tables import DerivedVolume
 from lamina.registry import both, register
@@ -220,6 +221,8 @@ _THICK = "select distinct {root}, label_id, z + a.v as z, y + b.v as y, x + c.v
 register("S9", _skeleton_sizes, "select 'per_spatial_cc' as mode, concat('skeleton_cc', comp_id, '_', label_id) as mesh_key, n_points, n_cells from " + _SURFACE.replace("{voxels}", _THICK.replace("{root}", "root as comp_id")))
 register("S9_label", lambda v: _skeleton_sizes(v, per_part=False), "select 'per_label' as mode, concat('skeleton_', label_id) as mesh_key, n_points, n_cells from " + _SURFACE.replace("{voxels}", _THICK.replace("{root}", "0 as comp_id")))
 
+register("G19", lambda v: thinning.thin(v.combined, v.work))
+
 # Colours and scalar functions
 _HEX = "concat('#', lpad(lower(to_hex(event_id % 256)), 2, '0'), lpad(lower(to_hex((event_id * 7) % 256)), 2, '0'), lpad(lower(to_hex(user_id % 256)), 2, '0'))"
 register("Q2", lambda v: v.events.select("event_id", colors.hex_to_rgba(colors.rgb_to_hex(*((F.expr(e) % 256) / 255.0 + 0.001 for e in ("event_id", "event_id * 7", "user_id")))).alias("c")).select("event_id", *(F.round(f"c.{p}", 6).alias(p) for p in "rgba")), """

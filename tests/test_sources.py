@@ -381,6 +381,8 @@ def test_preprocess_job_on_an_rgb_file(spark, tmp_path):
     assert (dense(zarr.read_arrays(spark, store, ["outer_masks_L2/Benign"]), (6, 20, 20))[..., 0] == masks[1]).all()
     with pytest.raises(ValueError):
         job.preprocess(spark, out)
+    thin = job.preprocess(spark, out, {2: str(tmp_path / "outer2.tif")}, skeleton=str(tmp_path / "outer2.tif"), target_points=5)
+    assert 0 < thin.skel.count() < masks[2].sum()
 
 
 def test_preprocess_job_on_a_label_volume_and_a_float_image(spark, tmp_path):
