@@ -1,8 +1,9 @@
 """The selection brush on the skeleton: bounded searches and the replay of strokes.
 
-A stroke never leaves the skeleton part of its first point, so a task gets the strokes and
-edges of one part, which is as large as one connected piece of skeleton. Choices depend on
-the order of neighbours and on what the stroke did before, and are followed step by step.
+A path search expands at most MAX_EXPANSIONS points, so each point's searches need a neighbourhood that is
+bounded whatever its part's size; these are pulled together by joins for all points at once. A
+stroke's choices depend on what it did before and are followed step by step: a task gets the strokes and
+edges of one part, which a stroke never leaves.
 """
 
 from __future__ import annotations
@@ -59,20 +60,72 @@ def within_hops(near: dict[int, list[int]], start: int, hops: int = MAX_HOPS) ->
     return seen
 
 
-def _fill(pairs: pa.Table, edges: pa.Table) -> pa.Table:
-    near, out = neighbour_lists(edges), []
-    for pair, start, goal in zip(*(pairs.column(c).to_pylist() for c in ("pair_id", "from_id", "to_id"))):
-        out += [(pair, start, goal, place, point) for place, point in enumerate(find_path(near, start, goal) or [])]
-    return pa.table({c: pa.array(v, t) for c, v, t in zip(("pair_id", "from_id", "to_id", "place", "point_id"), list(zip(*out)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))})
+def expansions(start: int, near: dict[int, list[int]], most: int) -> tuple[list[int], list[int]]:
+    """The first ``most`` points that breadth-first search expands, and those of them whose neighbours aren't known yet."""
+    order, seen, missing, at = [start], {start}, [], 0
+    while at < len(order) and at < most:
+        now = order[at]
+        at += 1
+        if now not in near:
+            missing.append(now)
+            continue
+        new = [p for p in near[now] if p not in seen]
+        seen.update(new)
+        order += new
+    return order[:most], missing
 
 
-def _with_root(edges: DataFrame, part: DataFrame) -> DataFrame:
-    return edges.select("a", "b", "ord").join(part.select(F.col("point_id").alias("a"), "root"), "a")
+NEAR = "point_id long, nodes array<long>, lists array<array<long>>, missing array<long>"
+
+
+def bounded_neighbourhoods(edges: DataFrame, work: Workspace, most: int = MAX_EXPANSIONS) -> DataFrame:
+    """(point_id, nodes, lists): for each point with neighbours the points that a search from it expands, at most ``most``, with their neighbours in order.
+
+    A point first knows its own neighbours. In each round it asks the points that it would expand but doesn't know for
+    all that they know, so what is known about doubles in reach, and rounds grow with the logarithm of ``most``. No row
+    holds more than ``most`` lists of 26, and what a point asks for is at most ``most`` such rows, whatever the part's size.
+    """
+    own = edges.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("ord", "b"))).alias("n"))  # at most 26
+    first = own.select(F.col("a").alias("point_id"), F.array("a").alias("nodes"), F.array(F.transform("n", lambda s: s["b"])).alias("lists"), F.slice(F.transform("n", lambda s: s["b"]), 1, most - 1).alias("missing"))
+    now, turn = work.keep(first, "near0"), 0
+    while not now.where("size(missing) > 0").isEmpty():
+        told = now.select(F.col("point_id").alias("asked"), F.arrays_zip("nodes", "lists").alias("known"))
+        answers = now.select("point_id", F.explode("missing").alias("asked")).join(told, "asked").groupBy("point_id").agg(F.flatten(F.collect_list("known")).alias("more"))
+
+        def learn(batches):
+            for batch in batches:
+                rows = batch.to_pylist()
+                for r in rows:
+                    near = dict(zip(r["nodes"], r["lists"])) | {k["nodes"]: k["lists"] for k in r.pop("more") or []}
+                    order, missing = expansions(r["point_id"], near, most)
+                    known = [p for p in order if p in near]
+                    r |= {"nodes": known, "lists": [near[p] for p in known], "missing": missing}
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("point_id", pa.int64()), ("nodes", pa.list_(pa.int64())), ("lists", pa.list_(pa.list_(pa.int64()))), ("missing", pa.list_(pa.int64()))]))
+
+        turn += 1
+        now = work.keep(now.drop("missing").join(answers, "point_id", "left").select("point_id", "nodes", "lists", "more").mapInArrow(learn, NEAR), f"near{turn}")
+        work.drop(f"near{turn - 1}")
+    return now.drop("missing")
+
+
+def fill_paths(pairs: DataFrame, edges: DataFrame, work: Workspace) -> DataFrame:
+    """(pair_id, from_id, to_id, place, point_id) of the paths of pairs (pair_id, from_id, to_id); pairs without one within MAX_EXPANSIONS have no row."""
+    near = bounded_neighbourhoods(edges, work)
+
+    def fill(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                path = find_path(dict(zip(r["nodes"], r["lists"])), r["from_id"], r["to_id"]) or []
+                out += [{"pair_id": r["pair_id"], "from_id": r["from_id"], "to_id": r["to_id"], "place": i, "point_id": p} for i, p in enumerate(path)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("pair_id", pa.int64()), ("from_id", pa.int64()), ("to_id", pa.int64()), ("place", pa.int32()), ("point_id", pa.int64())]))
+
+    asked = pairs.select("pair_id", "from_id", "to_id").join(near.withColumnRenamed("point_id", "from_id"), "from_id")
+    return asked.select("pair_id", "from_id", "to_id", "nodes", "lists").mapInArrow(fill, "pair_id long, from_id long, to_id long, place int, point_id long")
 
 
-def fill_paths(pairs: DataFrame, part: DataFrame, edges: DataFrame) -> DataFrame:
-    """(pair_id, from_id, to_id, place, point_id) of the paths of pairs (root, pair_id, from_id, to_id); pairs without one within MAX_EXPANSIONS have no row."""
-    return pairs.select("pair_id", "from_id", "to_id", F.col("root").alias("pair_root")).groupBy("pair_root").cogroup(_with_root(edges, part).groupBy("root")).applyInArrow(_fill, "pair_id long, from_id long, to_id long, place int, point_id long")
+def _with_root(edges: DataFrame, part: DataFrame) -> DataFrame:
+    return edges.select("a", "b", "ord").join(part.select(F.col("point_id").alias("a"), "root"), "a")
 
 
 def _replay(size: tuple[float, float, float], jump: float):
@@ -113,13 +166,19 @@ def _replay(size: tuple[float, float, float], jump: float):
     return replay
 
 
-def replay_strokes(strokes: DataFrame, points: DataFrame, part: DataFrame, edges: DataFrame, size: tuple[float, float, float], jump: float, work: Workspace) -> DataFrame:
+def replay_strokes(strokes: DataFrame, points: DataFrame, part: DataFrame, edges: DataFrame, size: tuple[float, float, float], jump: float, work: Workspace, hidden: DataFrame | None = None) -> DataFrame:
     """(event_id, user_id, phase, point_id, n_added) of each brush event (event_id, user_id, ts, point_id), in order of ts.
 
     A picked point further than MAX_HOPS from the last one is replaced by the nearest of those
     within. Until a move shorter than ``jump`` the brush is only placed; then a move adds the
-    path to its point, and a longer one, or one without a path, is refused.
+    path to its point, and a longer one, or one without a path, is refused. hidden: (point_id) that can't be
+    picked; such an event changes nothing, and its phase is 'hidden'.
     """
+    refused = None
+    if hidden is not None:
+        strokes = work.keep(strokes.join(hidden.select("point_id").distinct().withColumn("_hidden", F.lit(True)), "point_id", "left"), "seen")
+        refused = strokes.where("_hidden").select("event_id", "user_id", F.lit("hidden").alias("phase"), "point_id", F.lit(0).cast("long").alias("n_added"))
+        strokes = strokes.where("_hidden is null").drop("_hidden")
     replay = _replay(size, jump)
 
     def run(both: pa.Table, edge: pa.Table) -> pa.Table:
@@ -134,4 +193,5 @@ def replay_strokes(strokes: DataFrame, points: DataFrame, part: DataFrame, edges
     places = points.join(part.select("point_id", "root"), "point_id").join(rooted.select("root").distinct(), "root", "left_semi").select("root", "point_id", "z", "y", "x")
     both = rooted.select("root", "point_id", "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "z", "y", "x").unionByName(places.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items())))
     used = _with_root(edges, part).join(rooted.select("root").distinct(), "root", "left_semi")
-    return both.groupBy("root").cogroup(used.groupBy("root")).applyInArrow(run, "event_id long, user_id long, phase string, point_id long, n_added long")
+    out = both.groupBy("root").cogroup(used.groupBy("root")).applyInArrow(run, "event_id long, user_id long, phase string, point_id long, n_added long")
+    return out if refused is None else out.unionByName(refused)

@@ -175,7 +175,8 @@ _T1 = """select event_id, cast(c as int) as scroll_count, cast(case when gap < 5
     select event_id, gap, s - least(0, min(s) over (partition by user_id order by ts, event_id)) as c from (
         select *, sum(case when gap < 50 then 2 when gap < 100 then 1 else -3 end) over (partition by user_id order by ts, event_id) as s from (
             select event_id, user_id, ts, coalesce(%s, 1000) as gap from (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from {events}) e) g) h) r"""
-both("T1", _T1 % "unix_millis(cast(ts as timestamp)) - unix_millis(cast(before as timestamp))", _T1 % "epoch_ms(ts) - epoch_ms(before)")
+ORACLE_T1 = _T1 % "epoch_ms(ts) - epoch_ms(before)"
+both("T1", _T1 % "unix_millis(cast(ts as timestamp)) - unix_millis(cast(before as timestamp))", ORACLE_T1)
 register("T2", lambda v: replay.debounced(v.events, "30 minutes"), """
     select user_id, arg_max(event_id, row(ts, event_id)) as event_id, count(*) as n from (select *, sum(case when before is null or ts - before >= interval 30 minutes then 1 else 0 end) over (partition by user_id order by ts, event_id) as session from (
         select *, lag(ts) over (partition by user_id order by ts, event_id) as before from {events}) e) s group by user_id, session""")
@@ -257,3 +258,5 @@ register(
 )
 
 from lamina import store_queries, tracking_queries  # noqa: E402, F401
+
+register("T1_stream", tracking_queries.delays_stream, ORACLE_T1)

@@ -1,14 +1,9 @@
-"""Replays of interaction events: the last event of a burst wins, and what a user tracks is carried from event to event."""
+"""Replays of interaction events: the last event of a burst wins, and what an event does to what is tracked."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def debounced(events: DataFrame, gap: str) -> DataFrame:
@@ -45,31 +40,3 @@ def track(state: Tracked | None, event: dict, f: int) -> tuple[str, Tracked | No
     between = range(z + 1, at + 1) if at > z else range(at, z)
     step = "label changed" if path[at] != label else "instance changed" if any(path.get(i) != label for i in between) else "moved"
     return step, (at, path[at], path)
-
-
-def _fold(f: int):
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = None
-        if held.exists:
-            z, label, path = held.get
-            state = z, label, {int(k): v for k, v in json.loads(path).items()}
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        out = []
-        for row in rows.to_dict("records"):
-            step, state = track(state, row, f)
-            out.append((row["event_id"], step))
-        if state is not None:
-            held.update((state[0], state[1], json.dumps(state[2])))
-        yield pd.DataFrame(out, columns=["event_id", "step"])
-
-    return fold
-
-
-def tracking_stream(events: DataFrame, f: int = 4) -> DataFrame:
-    """(event_id, step) of a stream of events (event_id, user_id, ts, z_l0, z, path): tracking_steps, one micro-batch after another.
-
-    path, the (z, label_id) of the slices of a clicked contour's path, makes a row a click. A
-    user's state is the slice, the label and that path, so it is bounded by the volume's depth;
-    rows of a micro-batch are put in order of ts, and later ones follow as they come.
-    """
-    return events.groupBy("user_id").applyInPandasWithState(_fold(f), "event_id long, step string", "z int, label_id int, path string", "append", GroupStateTimeout.NoTimeout)

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lamina.operators import brush, nearest, paths, skeleton, surface, tracking
 from lamina.operators.volume_tables import DerivedVolume
 from lamina.registry import both, register
-from lamina.streaming import replay
+from lamina.streaming import processors
+
+#: Milliseconds after which an idle user's state goes: longer than the events last, as the SQL forgets nobody.
+IDLE = 10_000 * 86_400_000
 
 
 def clicks(v: DerivedVolume) -> DataFrame:
@@ -84,9 +87,21 @@ def _tracked_stream(v: DerivedVolume) -> DataFrame:
     events = v.work.keep(_events(v), "tracked_events")
     layers = paths.path_layers(events.where("cc_id is not null"), _best(v), v.work).groupBy(F.col("s_label").alias("label_id"), F.col("s_z").alias("z"), F.col("s_cc").alias("cc_id")).agg(F.collect_list(F.struct("z", "label_id")).alias("path"))  # one for each slice
     rows = v.work.keep(events.join(layers, ["label_id", "z", "cc_id"], "left").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "z_l0", "z", "path"), "stream")
-    steps = replay.tracking_stream(v.spark.readStream.schema(rows.schema).parquet(v.work.path("stream")))
-    steps.writeStream.format("parquet").option("path", v.work.path("steps")).option("checkpointLocation", v.work.path("steps_state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return v.spark.read.schema(steps.schema).parquet(v.work.path("steps"))
+    stream = v.spark.readStream.schema(rows.schema).parquet(v.work.path("stream")).withWatermark("ts", "1 day")
+    return _streamed(v, processors.tracking_stream(stream, IDLE), "steps")
+
+
+def _streamed(v: DerivedVolume, rows: DataFrame, name: str) -> DataFrame:
+    """What a stream has written when it has come to its end."""
+    processors.rocksdb(v.spark)
+    rows.writeStream.format("parquet").option("path", v.work.path(name)).option("checkpointLocation", v.work.path(f"{name}_state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(rows.schema).parquet(v.work.path(name))
+
+
+def delays_stream(v: DerivedVolume) -> DataFrame:
+    events = v.work.keep(v.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "scrolls")
+    stream = v.spark.readStream.schema(events.schema).parquet(v.work.path("scrolls")).withWatermark("ts", "1 day")
+    return _streamed(v, processors.delays_stream(stream, IDLE), "delays")
 
 
 register("T4", _tracked_stream, _STEPS)
@@ -203,13 +218,13 @@ register("P15_edges", lambda v: skeleton.sample_edges(v.point, v.edge, 3, v.work
 
 
 def _brush_pairs(v: DerivedVolume) -> DataFrame:
-    """From every fifth point to the last one of its part."""
+    """From every point to the last one of its part."""
     roots = v.part.select("point_id", "root")
     ends = roots.groupBy("root").agg(F.max("point_id").alias("to_id"))
-    return roots.where("point_id % 5 = 0").join(ends, "root").where("point_id < to_id").select("root", F.col("point_id").alias("pair_id"), F.col("point_id").alias("from_id"), "to_id")
+    return roots.join(ends, "root").where("point_id < to_id").select(F.col("point_id").alias("pair_id"), F.col("point_id").alias("from_id"), "to_id")
 
 
-register("G7", lambda v: brush.fill_paths(_brush_pairs(v), v.part, v.edge).select("from_id", "to_id", "place", "point_id"))
+register("G7", lambda v: brush.fill_paths(_brush_pairs(v), v.edge, v.work).select("from_id", "to_id", "place", "point_id"))
 
 
 def _strokes(v: DerivedVolume) -> DataFrame:
@@ -220,8 +235,17 @@ def _strokes(v: DerivedVolume) -> DataFrame:
     return v.events.select("event_id", "user_id", "ts").join(picked.select(F.col("query_id").alias("event_id"), "point_id"), "event_id")
 
 
-register("T3", lambda v: brush.replay_strokes(_strokes(v), v.point, v.part, v.edge, v.voxel, 20 * v.voxel[0], v.work))
-register("G8", lambda v: brush.replay_strokes(_strokes(v), v.point, v.part, v.edge, v.voxel, 20 * v.voxel[0], v.work).where("phase = 'drawing'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_drawn"), F.sum("n_added").alias("n_added")))
+def _hidden(v: DerivedVolume) -> DataFrame:
+    """Points of parts of fewer than 5 points, which the size filter hides."""
+    return v.part.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n < 5").join(v.part, "root").select("point_id")
+
+
+def _replayed(v: DerivedVolume) -> DataFrame:
+    return brush.replay_strokes(_strokes(v), v.point, v.part, v.edge, v.voxel, 20 * v.voxel[0], v.work, _hidden(v))
+
+
+register("T3", _replayed)
+register("G8", lambda v: _replayed(v).where("phase = 'drawing'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_drawn"), F.sum("n_added").alias("n_added")))
 
 register(
     "M5",

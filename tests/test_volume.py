@@ -196,6 +196,35 @@ def test_brush_searches():
     assert brush.within_hops(line, 0) == set(range(16))
 
 
+def test_paths_from_bounded_neighbourhoods(spark):
+    """The same paths as a search over all edges finds, on lines, trees and thick lumps; no row knows more than 30 points."""
+    rng = random.Random(9)
+    near = {}
+    link = lambda a, b: (near.setdefault(a, []).append(b), near.setdefault(b, []).append(a))
+    for i in range(200):
+        link(i, i + 1)
+    for i in range(301, 420):
+        link(i, rng.randrange(300, i))
+    lump = [(z, y, x) for z in range(5) for y in range(5) for x in range(5)]
+    for i, v in enumerate(lump):
+        for j, w in enumerate(lump[:i]):
+            if max(abs(a - b) for a, b in zip(v, w)) == 1:
+                link(500 + i, 500 + j)
+    for n in near.values():
+        rng.shuffle(n)
+    edges = spark.createDataFrame([(a, b, i) for a, n in near.items() for i, b in enumerate(n)], "a long, b long, ord int")
+    pairs = [(i, rng.choice(sorted(near)), None) for i in range(400)]
+    pairs = [(i, a, a if i % 40 == 0 else rng.choice([b for b in near if abs(b - a) < 40])) for i, a, _ in pairs]
+    work = Workspace(spark, "t")
+    known = brush.bounded_neighbourhoods(edges, work).collect()
+    assert len(known) == len(near) and max(len(r.nodes) for r in known) == 30 and all(near[p] == list(n) for r in known for p, n in zip(r.nodes, r.lists))
+    found = {}
+    for r in brush.fill_paths(spark.createDataFrame(pairs, "pair_id long, from_id long, to_id long"), edges, work).orderBy("pair_id", "place").collect():
+        found.setdefault(r.pair_id, []).append(r.point_id)
+    wanted = {i: p for i, a, b in pairs if (p := brush.find_path(near, a, b))}
+    assert found == wanted and 50 < len(wanted) < 400
+
+
 def test_brush_strokes(spark):
     """A far pick is drawn in by hops; the brush is placed, then draws, and refuses a jump."""
     points = [(i, 0, 0, 2 * i) for i in range(60)]
@@ -205,6 +234,9 @@ def test_brush_strokes(spark):
     strokes = spark.createDataFrame([(e, 7, e, p) for e, p in enumerate([0, 2, 5, 50, 4])], "event_id long, user_id long, ts int, point_id long").withColumn("ts", F.timestamp_seconds("ts"))
     rows = brush.replay_strokes(strokes, placed, part, edges, (1.0, 1.0, 1.0), 20.0, Workspace(spark, "t")).orderBy("event_id").collect()
     assert [(r.phase, r.point_id, r.n_added) for r in rows] == [("positioning", 0, 0), ("drawing", 2, 2), ("drawing", 5, 3), ("rejected", 5, 0), ("drawing", 4, 0)]
+    hidden = spark.createDataFrame([(2,), (50,)], "point_id long")
+    rows = brush.replay_strokes(strokes, placed, part, edges, (1.0, 1.0, 1.0), 20.0, Workspace(spark, "t"), hidden).orderBy("event_id").collect()
+    assert [(r.phase, r.point_id, r.n_added) for r in rows] == [("positioning", 0, 0), ("hidden", 2, 0), ("drawing", 5, 5), ("hidden", 50, 0), ("drawing", 4, 0)]
 
 
 def test_colours(spark):
@@ -249,16 +281,64 @@ def test_tracking_steps():
     assert steps == ["untracked", "tracked", "same layer", "moved", "label changed", "instance changed", "out of path", "instance changed", "label changed"]
 
 
+def _stream(spark, tmp_path, rows, schema, build, name):
+    """What a stream yields over micro-batches of one file each, and how many users' states are left."""
+    from lamina.streaming import processors
+
+    processors.rocksdb(spark)
+    at = tmp_path / name
+    query = None
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema.replace("ts timestamp", "ts double")).withColumn("ts", F.timestamp_millis(F.round(F.col("ts") * 1000 + 10**12).cast("long"))).coalesce(1).write.mode("append").parquet(str(at / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(at / "in")).withWatermark("ts", "1 second")
+        query = build(stream).writeStream.format("parquet").option("path", str(at / "out")).outputMode("append").option("checkpointLocation", str(at / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    left = spark.read.format("statestore").option("stateVarName", "state").load(str(at / "state")).count()
+    return spark.read.parquet(str(at / "out")).collect(), left
+
+
 def test_tracking_state_is_carried_over_micro_batches(spark, tmp_path):
+    from lamina.streaming import processors
+
     path = [(z, 1) for z in range(10)]
     schema = "event_id long, user_id long, ts timestamp, z_l0 int, z int, path array<struct<z:int,label_id:int>>"
-    rows = [(1, 7, 0, None, 2, path), (2, 7, 1, 12, None, None), (3, 7, 2, 13, None, None), (4, 8, 3, 4, None, None)]
-    for i, row in enumerate(rows):
-        spark.createDataFrame([row], schema.replace("ts timestamp", "ts int")).withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = replay.tracking_stream(stream).writeStream.format("memory").queryName("steps").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {r.event_id: r.step for r in spark.table("steps").collect()} == {1: "tracked", 2: "moved", 3: "same layer", 4: "untracked"}
+    rows = [[(1, 7, 0.0, None, 2, path)], [(2, 7, 1.0, 12, None, None)], [(3, 7, 2.0, 13, None, None)], [(4, 8, 3.0, 4, None, None)]]
+    found, left = _stream(spark, tmp_path, rows, schema, lambda s: processors.tracking_stream(s, 60_000), "tracked")
+    assert {r.event_id: r.step for r in found} == {1: "tracked", 2: "moved", 3: "same layer", 4: "untracked"} and left == 1
+    more = rows + [[(5, 8, 200.0, 4, None, None)], [(6, 8, 201.0, 4, None, None)], [(7, 7, 202.0, 13, None, None)]]
+    found, left = _stream(spark, tmp_path, more, schema, lambda s: processors.tracking_stream(s, 60_000), "idle")
+    assert {r.event_id: r.step for r in found}[7] == "untracked" and left == 0
+
+
+def test_delays_over_micro_batches_equal_the_table_form(spark, tmp_path):
+    from lamina.streaming import processors
+
+    rng = random.Random(3)
+    rows, now, event = [], {u: 100.0 * u for u in range(5)}, 0
+    for _ in range(6):
+        part = []
+        for _ in range(40):
+            u = rng.randrange(5)
+            now[u] = max(now[u], max(now.values()) - 0.5) if rng.random() < 0.1 else now[u] + rng.choice([0.01, 0.02, 0.049, 0.05, 0.06, 0.099, 0.1, 0.3])
+            part.append((event := event + 1, u, round(now[u], 3)))
+        shift = max(now.values())
+        now = {u: max(t, shift) for u, t in now.items()}
+        rows.append(part)
+    schema = "event_id long, user_id long, ts timestamp"
+    found, left = _stream(spark, tmp_path, rows, schema, lambda s: processors.delays_stream(s, 10**12), "delays")
+    table = spark.createDataFrame([r for part in rows for r in part], "event_id long, user_id long, ts double").withColumn("ts", F.timestamp_millis(F.round(F.col("ts") * 1000 + 10**12).cast("long")))
+    wanted = spark.sql(queries._T1.replace("{events}", "{e}") % "unix_millis(ts) - unix_millis(before)", e=table).collect()
+    assert {(r.event_id, r.scroll_count, r.delay_ms) for r in found} == {(r.event_id, r.scroll_count, r.delay_ms) for r in wanted} and left == 5
+
+
+def test_the_state_of_idle_users_goes(spark, tmp_path):
+    from lamina.streaming import processors
+
+    rows = [[(1, 7, 0.0), (2, 7, 0.01), (3, 7, 0.02), (4, 8, 0.0)], [(5, 8, 100.0)], [(6, 8, 100.01)], [(7, 7, 100.5), (8, 7, 100.51)]]
+    found, left = _stream(spark, tmp_path, rows, "event_id long, user_id long, ts timestamp", lambda s: processors.delays_stream(s, 30_000), "idle")
+    assert {r.event_id: r.scroll_count for r in found} == {1: 0, 2: 2, 3: 4, 4: 0, 5: 0, 6: 2, 7: 0, 8: 2} and left == 2
+    found, left = _stream(spark, tmp_path, rows[:3], "event_id long, user_id long, ts timestamp", lambda s: processors.delays_stream(s, 30_000), "gone")
+    assert left == 1
 
 
 def test_dilation_and_faces(spark):
