@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators import brush, nearest, paths, skeleton, surface, tracking
+from lamina.operators import rays as rays_operator
 from lamina.operators.volume_tables import DerivedVolume
 from lamina.registry import both, register
 from lamina.streaming import processors
@@ -93,11 +94,20 @@ def _tracked_stream(v: DerivedVolume) -> DataFrame:
 
 def _streamed(v: DerivedVolume, rows: DataFrame, name: str) -> DataFrame:
     """What a stream has written when it has come to its end."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(key)
     processors.rocksdb(v.spark)
-    rows.writeStream.format("parquet").option("path", v.work.path(name)).option("checkpointLocation", v.work.path(f"{name}_state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    try:
+        _written(v, rows, name)
+    finally:
+        v.spark.conf.set(key, before)
     return v.spark.read.schema(rows.schema).parquet(v.work.path(name))
 
 
+def _written(v: DerivedVolume, rows: DataFrame, name: str) -> None:
+    rows.writeStream.format("parquet").option("path", v.work.path(name)).option("checkpointLocation", v.work.path(f"{name}_state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def delays_stream(v: DerivedVolume) -> DataFrame:
     events = v.work.keep(v.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), "scrolls")
     stream = v.spark.readStream.schema(events.schema).parquet(v.work.path("scrolls")).withWatermark("ts", "1 day")
@@ -240,6 +250,29 @@ def _hidden(v: DerivedVolume) -> DataFrame:
     return v.part.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n < 5").join(v.part, "root").select("point_id")
 
 
+_CAMERA = {"z": "event_id % 90 - 45", "y": "event_id % 130 - 40", "x": "user_id % 60 - 20"}
+
+
+def _view_rays(v: DerivedVolume) -> DataFrame:
+    """For each event the nearest visible skeleton point to the ray from its camera through its click."""
+    vz, vy, vx = v.voxel
+    rays = clicks(v).selectExpr("event_id as ray_id", *(f"cast({e} as double) as o{c}" for c, e in _CAMERA.items()), f"z * {vz} as tz", f"y * {vy} as ty", f"x * {vx} as tx")
+    seen = v.point.join(_hidden(v), "point_id", "left_anti")
+    found = rays_operator.nearest_to_rays(rays, seen, v.voxel, v.work)
+    return found.select("ray_id", "point_id", F.round("dist", 6).alias("dist"))
+
+
+register("J15_rays", _view_rays, """
+    with seen as (select * from {point} where point_id not in (select point_id from {part} where root in (select root from {part} group by root having count(*) < 5))),
+    rays as (select event_id as ray_id, """ + ", ".join(f"cast({e} as double) as o{c}" for c, e in _CAMERA.items()) + """, z * 2e0 as tz, y * 1e0 as ty, x * 0.5e0 as tx from {clicks}),
+    told as (select *, sqrt(power(tz - oz, 2) + power(ty - oy, 2) + power(tx - ox, 2)) as len from rays),
+    unit as (select ray_id, oz, oy, ox, case when len > 0 then (tz - oz) / len end as dz, case when len > 0 then (ty - oy) / len end as dy, case when len > 0 then (tx - ox) / len end as dx from told),
+    off as (select ray_id, point_id, dz, dy, dx, z * 2e0 - oz as vz, y * 1e0 - oy as vy, x * 0.5e0 - ox as vx, (z * 2e0 - oz) * dz + (y * 1e0 - oy) * dy + (x * 0.5e0 - ox) * dx as along from unit, seen where dz is not null),
+    far as (select ray_id, point_id, round(sqrt(power(vz - along * dz, 2) + power(vy - along * dy, 2) + power(vx - along * dx, 2)), 9) as dist from off where along >= 0),
+    near as (select ray_id, arg_min(point_id, (dist, point_id)) as point_id, min(dist) as dist from far group by ray_id)
+    select u.ray_id, coalesce(n.point_id, case when u.dz is not null then (select min(point_id) from seen) end) as point_id, round(n.dist, 6) as dist from unit u left join near n using (ray_id)""")
+
+
 def _replayed(v: DerivedVolume) -> DataFrame:
     return brush.replay_strokes(_strokes(v), v.point, v.part, v.edge, v.voxel, 20 * v.voxel[0], v.work, _hidden(v))
 

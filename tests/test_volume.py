@@ -141,6 +141,35 @@ def test_nearest_ends_whatever_the_queries(spark):
     assert found[104][0] is not None
 
 
+def test_rays_against_all_points(spark):
+    """Rays through, past and away from the points; ties, hidden directions, broken numbers and no points."""
+    from lamina.operators import rays
+
+    rng = random.Random(7)
+    points = [(i, rng.randrange(30), rng.randrange(200), rng.randrange(400)) for i in range(500)] + [(500, 0, 0, 0), (501, 0, 0, 0), (502, 25, 190, 390)]
+    asked = [(i, *(rng.uniform(-100, 300) for _ in range(6))) for i in range(80)]
+    asked += [(100, -5.0, -5.0, -5.0, 0.0, 0.0, 0.0), (101, 1e6, 0.0, 0.0, 1e6, 5.0, 0.0), (102, -9.0, 5.0, 5.0, -10.0, 5.0, 5.0), (103, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), (104, None, 0.0, 0.0, 1.0, 1.0, 1.0), (105, 0.0, 0.0, float("nan"), 1.0, 1.0, 1.0), (106, 0.0, float("inf"), 0.0, 1.0, 1.0, 1.0)]
+    size = (2.0, 1.0, 0.5)
+    rows = spark.createDataFrame(asked, "ray_id int, oz double, oy double, ox double, tz double, ty double, tx double")
+    placed = spark.createDataFrame(points, "point_id long, z int, y int, x int")
+    for leaf in (3.0, 8.0, 1000.0):
+        found = {r.ray_id: (r.point_id, r.dist) for r in rays.nearest_to_rays(rows, placed, size, Workspace(spark, "t"), leaf).collect()}
+        assert len(found) == len(asked) and all(found[i] == (None, None) for i in (103, 104, 105, 106))
+        assert found[100] == (500, pytest.approx(0.0, abs=1e-8)) and found[102] == (0, None)
+        for i, *o in asked[:82]:
+            origin, target = o[:3], o[3:]
+            length = sum((b - a) ** 2 for a, b in zip(origin, target)) ** 0.5
+            unit, best = [(b - a) / length for a, b in zip(origin, target)], []
+            for p, *v in points:
+                off = [c * s - a for c, s, a in zip(v, size, origin)]
+                along = sum(a * b for a, b in zip(off, unit))
+                if along >= 0:
+                    best.append((max(0.0, sum(c * c for c in off) - along * along) ** 0.5, p))
+            if best:
+                assert found[i][1] == pytest.approx(min(best)[0], abs=1e-4) and (i == 101 or found[i][0] in {p for d, p in best if d < min(best)[0] + 1e-6}), i
+    assert {r.point_id for r in rays.nearest_to_rays(rows, placed.limit(0), size, Workspace(spark, "t")).collect()} == {None}
+
+
 def test_node_ids_that_do_not_fit_are_an_error(spark):
     high = spark.createDataFrame([(1, 1 << 23, 0, 0), (1, (1 << 23) + 1, 0, 0)], VOXEL)
     with pytest.raises(Exception, match="too large for a node id"):
