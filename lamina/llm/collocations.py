@@ -37,7 +37,7 @@ from lamina.session import Workspace
 
 MIN_COUNT, LONGEST, SCALE, SUBSUMED, TOP = 30, 4, 2_000_000, 80, 2000
 #: Text that a reading task counts at once, in bytes, and the most keys of a row it writes.
-BLOCK_BYTES, ROW_KEYS = 8 << 20, 1024
+BLOCK_BYTES, ROW_KEYS = 4 << 20, 1024
 #: Text of a bucket, in bytes, and the least and most buckets, as powers of two.
 BUCKET_BYTES, BUCKET_POWERS = 4 << 20, (8, 15)
 #: Bits of the bitmap that is broadcast: 32 MB at most, for any corpus.
