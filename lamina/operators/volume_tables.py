@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,16 @@ VZ, VY, VX = 2.0, 1.0, 0.5
 LABELS = ((1, "Benign", "#10B981"), (2, "HGPIN", "#F59E0B"), (3, "AIP", "#FB7185"), (4, "IDCP", "#DC2626"))
 
 
+def with_sizes(text: str, voxel: tuple[float, float, float], shape: Callable[[], tuple[int, int, int]]) -> str:
+    """The text with the voxel's size and the shape, which is asked for only where it is named."""
+    for name, size in zip(("vz", "vy", "vx"), voxel):
+        text = text.replace(f"{{{name}}}", f"cast({float(size)!r} as double)")
+    if re.search(r"\{n[zyx]\}", text):
+        for name, n in zip(("nz", "ny", "nx"), shape()):
+            text = text.replace(f"{{{name}}}", str(n))
+    return text
+
+
 class Volume:
     """A volume of one's own: outer and inner masks (label_id, z, y, x), skeleton (z, y, x), image
     (z, y, x, value), labels (id, name, colour), voxel size and shape along z, y and x."""
@@ -116,7 +127,8 @@ class Volume:
         return self.work.keep(components.instances(self.point, self.edge, self.work), "inst")
 
     def sql(self, text: str) -> DataFrame:
-        """Spark SQL over the tables named in braces."""
+        """Spark SQL over the tables named in braces; {vz}, {vy}, {vx} are the voxel's size and {nz}, {ny}, {nx} the shape."""
+        text = with_sizes(text, self.voxel, lambda: self.shape)
         return self.spark.sql(text, **{name: getattr(self, name) for name in set(re.findall(r"\{(\w+)\}", text))})
 
 
@@ -207,6 +219,7 @@ SQL = volume.SQL | {
 
 def oracle(text: str) -> str:
     """The text with the tables it names in braces, and all that they need, in front."""
+    text = with_sizes(text, (VZ, VY, VX), lambda: ("(select nz from {depth})", volume.NY, volume.NX))
     order: list[str] = []
 
     def need(name: str) -> None:

@@ -19,16 +19,16 @@ both("J4", "select label_id, z, cc_id, o_label_id, o_cc_id, dir, area from {over
 both("C3", "select point_id, root from {part}")
 both("C4", "select point_id, label_id, instance_id from {inst}")
 both("J6", "select a, b, ord from {edge}")
-both("A2", "select label_id, z, cc_id, round(marker_x * 0.5e0, 6) as world_x, round(marker_y * 1.0e0, 6) as world_y, round(z * 2.0e0, 6) as world_z, has_skeleton from {contour}")
+both("A2", "select label_id, z, cc_id, round(marker_x * {vx}, 6) as world_x, round(marker_y * {vy}, 6) as world_y, round(z * {vz}, 6) as world_z, has_skeleton from {contour}")
 both("A3", "select label_id, o_label_id, cast(sum(area) as bigint) as area, count(*) as n from {overlap} where dir = 1 group by label_id, o_label_id")
 both("A6", "select label_id, comp_id, cast(sum(area) as bigint) as voxel_count, min(z) as z_min, max(z) as z_max from {body} join {contour} using (label_id, z, cc_id) group by label_id, comp_id")
 both("A7", "select root, count(*) as n, max(label_id) as most_label from {part} group by root")
-both("A9", "select count(*) as n_nodes, sum(degree) / 2 as n_edges, cast(sum(case when degree = 1 then 1 else 0 end) as bigint) as n_ends, cast(sum(case when degree >= 3 then 1 else 0 end) as bigint) as n_forks, round(sum(length) / 2, 6) as total_length from (select point_id, count(b) as degree, coalesce(sum(sqrt(dz * dz * 4.0e0 + dy * dy * 1.0e0 + dx * dx * 0.25e0)), 0) as length from {point} left join {edge} on a = point_id group by point_id) g")
+both("A9", "select count(*) as n_nodes, sum(degree) / 2 as n_edges, cast(sum(case when degree = 1 then 1 else 0 end) as bigint) as n_ends, cast(sum(case when degree >= 3 then 1 else 0 end) as bigint) as n_forks, round(sum(length) / 2, 6) as total_length from (select point_id, count(b) as degree, coalesce(sum(sqrt(dz * dz * {vz} * {vz} + dy * dy * {vy} * {vy} + dx * dx * {vx} * {vx})), 0) as length from {point} left join {edge} on a = point_id group by point_id) g")
 both("A13", "select label_id, z, cc_id, area from (select *, row_number() over (partition by label_id, z order by area desc, cc_id) as nth from {contour}) c where nth = 1")
 both("A14", "select z, y, x, label_id, n from (select *, row_number() over (partition by z, y, x order by n desc, label_id) as nth from (select z div 4 as z, y div 4 as y, x div 4 as x, label_id, count(*) as n from {combined} group by 1, 2, 3, 4) b) c where nth = 1")
 both("A17", "select d.label_id, count(z) as n_outer, count(z) > 0 as has_mask from {label_dim} d left join {outerv} o on o.label_id = d.label_id group by d.label_id")
 both("A18", "select label_id, count(distinct z) as n_slices, count(*) as n_contours, cast(sum(area) as bigint) as area from {contour} group by label_id")
-both("A19", "select label_id, min(x) * 0.5e0 as x0, max(x) * 0.5e0 as x1, min(y) * 1.0e0 as y0, max(y) * 1.0e0 as y1, min(z) * 2.0e0 as z0, max(z) * 2.0e0 as z1, round(sqrt(power((max(x) - min(x)) * 0.5e0, 2) + power((max(y) - min(y)) * 1.0e0, 2) + power((max(z) - min(z)) * 2.0e0, 2)), 6) as diagonal from {outerv} group by label_id")
+both("A19", "select label_id, min(x) * {vx} as x0, max(x) * {vx} as x1, min(y) * {vy} as y0, max(y) * {vy} as y1, min(z) * {vz} as z0, max(z) * {vz} as z1, round(sqrt(power((max(x) - min(x)) * {vx}, 2) + power((max(y) - min(y)) * {vy}, 2) + power((max(z) - min(z)) * {vz}, 2)), 6) as diagonal from {outerv} group by label_id")
 both("J1", "select z, y, x, label_id from {point}")
 both("J2", "select z, y, x, label_id from {combined}")
 both("J3", "select c.label_id, c.z, c.cc_id, count(s.x) as n_skel from {cvox} c left join (select z, y, x from {skel}) s on s.z = c.z and s.y = c.y and s.x = c.x group by c.label_id, c.z, c.cc_id")
@@ -40,20 +40,20 @@ both("J9", "select label_id, z, cc_id - 1 as cc_id0, comp_id - 1 as comp_id0 fro
 both("J10", "select b.label_id, b.z, b.cc_id - 1 as cc_id0, concat('cc_', lpad(cast(b.comp_id as string), 4, '0'), '_outer.vtk') as mesh from {body} b join (select label_id, comp_id from {body} join {contour} using (label_id, z, cc_id) group by label_id, comp_id having cast(sum(area) as bigint) >= 10) m on m.label_id = b.label_id and m.comp_id = b.comp_id")
 both("J11", "select d.name, m.comp_id from {label_dim} d join (select label_id, comp_id from {body} join {contour} using (label_id, z, cc_id) group by label_id, comp_id having cast(sum(area) as bigint) >= 10) m on m.label_id = d.label_id")
 both("J12", "select p.point_id, i.instance_id, g.n as instance_points from {point} p join {inst} i on i.point_id = p.point_id left join (select instance_id, count(*) as n from {inst} where instance_id >= 0 group by instance_id) g on g.instance_id = i.instance_id")
-both("J16", "select label_id, min(sqrt(greatest(0.0e0, x * x * 0.25e0 + y * y * 1.0e0 + z * z * 4.0e0 - power(x * 0.5e0 * 0.6e0 + z * 2.0e0 * 0.8e0, 2)))) <= 0.1e0 * least((max(x) - min(x)) * 0.5e0, (max(y) - min(y)) * 1.0e0, (max(z) - min(z)) * 2.0e0) as accepted from {outerv} group by label_id")
+both("J16", "select label_id, min(sqrt(greatest(0.0e0, x * x * {vx} * {vx} + y * y * {vy} * {vy} + z * z * {vz} * {vz} - power(x * {vx} * 0.6e0 + z * {vz} * 0.8e0, 2)))) <= 0.1e0 * least((max(x) - min(x)) * {vx}, (max(y) - min(y)) * {vy}, (max(z) - min(z)) * {vz}) as accepted from {outerv} group by label_id")
 both("J17", "select s_suppkey, label_id, cc_id from (select s.s_suppkey, c.label_id, c.cc_id, row_number() over (partition by s.s_suppkey order by round(power(c.marker_y - s.cy, 2) + power(c.marker_x - s.cx, 2), 9), c.label_id, c.cc_id) as nth from (select s_suppkey, cast((s_suppkey * 29) % 20 + (s_suppkey div 100) * 20 as int) as z, (s_suppkey * 53) % 48 as cy, (s_suppkey * 37) % 48 as cx from {supplier}) s join {contour} c on c.z = s.z) r where nth = 1")
 both("J19", "select d.name, d.color, count(*) as n from {combined} c join {label_dim} d on d.label_id = c.label_id group by d.name, d.color")
 both("P1", "select z, count(*) as n from {img} where value > 0 group by z")
 both("P2", "select z, y, x from {combined} where label_id = 2")
 both("P3", "select point_id, z, y, x from {point}")
-both("P4", "select point_id, x * 0.5e0 as wx, y * 1.0e0 as wy, z * 2.0e0 as wz from {point}")
-both("P5", "select s_suppkey, cast(abs(s_acctbal) / 2.0e0 as int) as z, cast(abs(s_acctbal) / 0.5e0 as int) as x from {supplier}", "select s_suppkey, cast(trunc(abs(s_acctbal) / 2.0e0) as int) as z, cast(trunc(abs(s_acctbal) / 0.5e0) as int) as x from {supplier}")
+both("P4", "select point_id, x * {vx} as wx, y * {vy} as wy, z * {vz} as wz from {point}")
+both("P5", "select s_suppkey, cast(abs(s_acctbal) / {vz} as int) as z, cast(abs(s_acctbal) / {vx} as int) as x from {supplier}", "select s_suppkey, cast(trunc(abs(s_acctbal) / {vz}) as int) as z, cast(trunc(abs(s_acctbal) / {vx}) as int) as x from {supplier}")
 both("P6", "select z div 4 as z, y div 4 as y, x div 4 as x, count(*) as n from {combined} group by 1, 2, 3")
 both("P7", "select label_id, z * 4 as z, cc_id, cast(centroid_y * 4 as int) as y, cast(centroid_x * 4 as int) as x from {contour}", "select label_id, z * 4 as z, cc_id, cast(trunc(centroid_y * 4) as int) as y, cast(trunc(centroid_x * 4) as int) as x from {contour}")
-both("P8", "select event_id, greatest(0, least(47, cast((event_id * 11) % 90 as int) - 20)) as y, (event_id * 11) % 90 - 20 between 0 and 47 as inside from {events}")
-both("P9", "select label_id, count(distinct z div 4) as n_slices, count(distinct z div 4) * 2.0e0 * 4 as depth from {outerv} group by label_id")
+both("P8", "select event_id, greatest(0, least({ny} - 1, cast((event_id * 11) % 90 as int) - 20)) as y, (event_id * 11) % 90 - 20 between 0 and {ny} - 1 as inside from {events}")
+both("P9", "select label_id, count(distinct z div 4) as n_slices, count(distinct z div 4) * {vz} * 4 as depth from {outerv} group by label_id")
 both("P10", "select root, n, n >= 5 as shown from (select root, count(*) as n from {part} group by root) s")
-both("P13", "select label_id, z, y, x from {outerv} where power(x * 0.5e0 - 12, 2) + power(y * 1.0e0 - 24, 2) + power(z * 2.0e0 - 20, 2) <= 100")
+both("P13", "select label_id, z, y, x from {outerv} where power(x * {vx} - 12, 2) + power(y * {vy} - 24, 2) + power(z * {vz} - 20, 2) <= 100")
 both("P16", "select case when count(*) > 50 then cast(ceil(count(*) / 50.0e0) as int) else 1 end as rate from {point}")
 both("S4", "select distinct value from {img}")
 both("S5", "select kind, label_id, count(*) as n from (select 'outer' as kind, label_id from {outerv} union all select 'inner' as kind, label_id from {innerv}) m group by kind, label_id")
@@ -67,12 +67,12 @@ both("U4", "select distinct z, label_id, cc_id from {cvox}")
 both("U5", "select z, y, x from {skel} except select z, y, x from {outerv}")
 both("U6", "select point_id from {point} where label_id not in (1, 3)")
 both("K4", "select label_id, comp_id, concat('cc_', lpad(cast(comp_id as string), 4, '0'), '_outer.vtk') as outer_file, concat('cc_', lpad(cast(comp_id as string), 4, '0'), '_inner.vtk') as inner_file from (select distinct label_id, comp_id from {body}) b")
-both("K5", "select distinct cast(wz / 2.0e0 as int) as z, cast(wy / 1.0e0 as int) as y, cast(wx / 0.5e0 as int) as x, 255 as value from (select z * 2.0e0 + 0.5e0 as wz, y * 1.0e0 + 0.25e0 as wy, x * 0.5e0 + 0.125e0 as wx from {skel}) v", "select distinct cast(trunc(wz / 2.0e0) as int) as z, cast(trunc(wy / 1.0e0) as int) as y, cast(trunc(wx / 0.5e0) as int) as x, 255 as value from (select z * 2.0e0 + 0.5e0 as wz, y * 1.0e0 + 0.25e0 as wy, x * 0.5e0 + 0.125e0 as wx from {skel}) v")
-both("M7", "select label_id, z, cc_id, (x_min + x_max) * 0.5e0 / 2 as center_x, (y_min + y_max) * 1.0e0 / 2 as center_y, (x_max - x_min) * 0.5e0 + 100 as width, (y_max - y_min) * 1.0e0 + 100 as height from {contour}")
-both("M8", "select extent, case when extent < 2000 then 300 when extent < 5000 then 500 when extent < 10000 then 1000 else 2000 end as bar from (select greatest(max(x) * 0.5e0, max(y) * 1.0e0, max(z) * 2.0e0) as extent from {outerv}) e")
+both("K5", "select distinct cast(wz / {vz} as int) as z, cast(wy / {vy} as int) as y, cast(wx / {vx} as int) as x, 255 as value from (select z * {vz} + 0.5e0 as wz, y * {vy} + 0.25e0 as wy, x * {vx} + 0.125e0 as wx from {skel}) v", "select distinct cast(trunc(wz / {vz}) as int) as z, cast(trunc(wy / {vy}) as int) as y, cast(trunc(wx / {vx}) as int) as x, 255 as value from (select z * {vz} + 0.5e0 as wz, y * {vy} + 0.25e0 as wy, x * {vx} + 0.125e0 as wx from {skel}) v")
+both("M7", "select label_id, z, cc_id, (x_min + x_max) * {vx} / 2 as center_x, (y_min + y_max) * {vy} / 2 as center_y, (x_max - x_min) * {vx} + 100 as width, (y_max - y_min) * {vy} + 100 as height from {contour}")
+both("M8", "select extent, case when extent < 2000 then 300 when extent < 5000 then 500 when extent < 10000 then 1000 else 2000 end as bar from (select greatest(max(x) * {vx}, max(y) * {vy}, max(z) * {vz}) as extent from {outerv}) e")
 both("M9", "select label_id, z, cc_id, round(greatest(0.2e0, least(50.0e0, 1.2e0 * 800.0e0 / (greatest(y_max - y_min + 1, x_max - x_min + 1) * 4 + 200))), 6) as zoom from {contour}")
-both("M10", "select point_id, z * 2.0e0 as plane_z, y * 1.0e0 as plane_y, x * 0.5e0 as plane_x, round(0.08e0 * least(mz, my, mx), 6) as arm from {point} cross join (select max(z) * 2.0e0 as mz, max(y) * 1.0e0 as my, max(x) * 0.5e0 as mx from {outerv}) e")
-both("M11", "select label_id, (min(x_min) + max(x_max)) * 0.5e0 / 2 as focal_x, (min(y_min) + max(y_max)) * 1.0e0 / 2 as focal_y, 2 * greatest((max(x_max) - min(x_min)) * 0.5e0, (max(y_max) - min(y_min)) * 1.0e0) as distance from {contour} group by label_id")
+both("M10", "select point_id, z * {vz} as plane_z, y * {vy} as plane_y, x * {vx} as plane_x, round(0.08e0 * least(mz, my, mx), 6) as arm from {point} cross join (select max(z) * {vz} as mz, max(y) * {vy} as my, max(x) * {vx} as mx from {outerv}) e")
+both("M11", "select label_id, (min(x_min) + max(x_max)) * {vx} / 2 as focal_x, (min(y_min) + max(y_max)) * {vy} / 2 as focal_y, 2 * greatest((max(x_max) - min(x_min)) * {vx}, (max(y_max) - min(y_min)) * {vy}) as distance from {contour} group by label_id")
 both("Q1", "select c.z, c.y, c.x, round(conv(substr(color, 2, 2), 16, 10) / 255.0e0, 6) as r, round(conv(substr(color, 4, 2), 16, 10) / 255.0e0, 6) as g, round(conv(substr(color, 6, 2), 16, 10) / 255.0e0, 6) as b from {combined} c join {label_dim} d on d.label_id = c.label_id", "select c.z, c.y, c.x, round(cast(concat('0x', substr(color, 2, 2)) as int) / 255.0e0, 6) as r, round(cast(concat('0x', substr(color, 4, 2)) as int) / 255.0e0, 6) as g, round(cast(concat('0x', substr(color, 6, 2)) as int) / 255.0e0, 6) as b from {combined} c join {label_dim} d on d.label_id = c.label_id")
 both("Q3", "select z, y, x, concat('#', lower(lpad(hex(value), 2, '0')), lower(lpad(hex(255 - value), 2, '0')), '00') as color from {img}", "select z, y, x, concat('#', lower(lpad(printf('%x', value), 2, '0')), lower(lpad(printf('%x', 255 - value), 2, '0')), '00') as color from {img}")
 both("Q4", "select z, y, x, round(sqrt(power(value / 255.0e0 - 0.5e0, 2) + power((255 - value) / 255.0e0 - 0.25e0, 2)), 6) as distance from {img}")
@@ -156,10 +156,10 @@ register("G6", lambda v: skeleton.hop_neighbourhood(v.point.where("point_id % 20
         union select r.start, e.b, r.hops + 1 from reach r join {edge} e on e.a = r.point_id where r.hops < 15) select * from reach) h group by start, point_id""")
 register("P15", lambda v: skeleton.sample_keypoints(v.point, v.edge, 3, v.work), """
     select row_number() over (order by point_id) - 1 as new_id, point_id, degree from (select point_id, count(b) as degree from {point} left join {edge} on a = point_id group by point_id) g where degree = 1 or degree >= 3 or point_id % 3 = 0""")
-both("G11", "select a as node_a, b as node_b, round(sqrt(dz * dz * 4.0e0 + dy * dy * 1.0e0 + dx * dx * 0.25e0), 6) as distance_um from {edge} where a < b")
-both("G12", "select p.point_id, p.label_id, i.instance_id, r.root, x * 0.5e0 as wx, y * 1.0e0 as wy, z * 2.0e0 as wz, coalesce(n, 0) as n_neighbours from {point} p join {inst} i on i.point_id = p.point_id join {part} r on r.point_id = p.point_id left join (select a, count(*) as n from {edge} group by a) e on e.a = p.point_id")
+both("G11", "select a as node_a, b as node_b, round(sqrt(dz * dz * {vz} * {vz} + dy * dy * {vy} * {vy} + dx * dx * {vx} * {vx}), 6) as distance_um from {edge} where a < b")
+both("G12", "select p.point_id, p.label_id, i.instance_id, r.root, x * {vx} as wx, y * {vy} as wy, z * {vz} as wz, coalesce(n, 0) as n_neighbours from {point} p join {inst} i on i.point_id = p.point_id join {part} r on r.point_id = p.point_id left join (select a, count(*) as n from {edge} group by a) e on e.a = p.point_id")
 both("G9", "select distinct c.label_id, c.z, c.cc_id - 1 as cc_id0 from {point} p join {cvox} c on c.label_id = p.label_id and c.z = p.z and c.y = p.y and c.x = p.x")
-both("A16", "select label_id, z, cc_id, greatest(100.0e0, least(500.0e0, greatest((y_max - y_min) * 1.0e0, (x_max - x_min) * 0.5e0) / 2 + 50)) as radius from {contour}")
+both("A16", "select label_id, z, cc_id, greatest(100.0e0, least(500.0e0, greatest((y_max - y_min) * {vy}, (x_max - x_min) * {vx}) / 2 + 50)) as radius from {contour}")
 register("D1", lambda v: geometry.dilate(v.skel, 3, [], (1 << 30, 48, 48)), """
     select distinct z + a.v as z, y + b.v as y, x + c.v as x from {skel}, {dsteps} a, {dsteps} b, {dsteps} c
     where a.v * a.v + b.v * b.v + c.v * c.v <= 9 and z + a.v >= 0 and y + b.v between 0 and 47 and x + c.v between 0 and 47""")
@@ -249,7 +249,7 @@ register(
 register("M3", lambda v: geometry.dilate(v.point.join(v.part.select("point_id", "root"), "point_id").select("root", "label_id", "z", "y", "x"), 3, ["root", "label_id"], (1 << 30, *v.shape[1:])).groupBy("root", "label_id").agg(F.count(F.lit(1)).alias("n_voxels")).join(v.part.groupBy("root").agg(F.count(F.lit(1)).alias("part_points")), "root"), """
     select root, label_id, count(*) as n_voxels, max(part_points) as part_points from (select distinct root, label_id, z + a.v as z, y + b.v as y, x + c.v as x from {point} join (select point_id, root from {part}) r using (point_id), {dsteps} a, {dsteps} b, {dsteps} c
     where a.v * a.v + b.v * b.v + c.v * c.v <= 9 and z + a.v >= 0 and y + b.v between 0 and 47 and x + c.v between 0 and 47) d join (select root, count(*) as part_points from {part} group by root) t using (root) group by root, label_id""")
-both("M11_sphere", "select label_id, z, cc_id, 4 * greatest(100.0e0, least(500.0e0, greatest((y_max - y_min) * 1.0e0, (x_max - x_min) * 0.5e0) / 2 + 50)) as distance from {contour}")
+both("M11_sphere", "select label_id, z, cc_id, 4 * greatest(100.0e0, least(500.0e0, greatest((y_max - y_min) * {vy}, (x_max - x_min) * {vx}) / 2 + 50)) as distance from {contour}")
 _TYPED = "case event_id % 5 when 0 then concat(' ', cast(event_id % 40 as %s), ' ') when 1 then concat('-', cast(event_id % 7 as %s)) when 2 then '3.5' when 3 then 'z12' else cast(event_id % 1000 as %s) end"
 register(
     "T6",

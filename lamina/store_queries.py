@@ -236,4 +236,4 @@ register("Q5", lambda v: v.combined.select("label_id").distinct().select("label_
     select l.label_id, c.nth, concat('#', lpad(lower(to_hex(cast(trunc(r * 255) as int))), 2, '0'), lpad(lower(to_hex(cast(trunc(g * 255) as int))), 2, '0'), lpad(lower(to_hex(cast(trunc(b * 255) as int))), 2, '0')) as color from c, (select distinct label_id from {combined}) l""")
 register("Q6", lambda v: colors.assign_colors(v.combined.groupBy("label_id").agg(F.count(F.lit(1)).alias("n")).join(v.label_dim.withColumn("color", F.when(F.col("label_id") <= 2, F.col("color"))), "label_id")))
 both("Q8", """select z, y, x, value % 7 as m, cast(ceil(value / 8.0e0) as bigint) as c, round(sqrt(value * 1.0e0), 6) as s, greatest(10, least(200, value)) as clipped,
-    round(sqrt(z * z * 4.0e0 + y * y * 1.0e0 + x * x * 0.25e0), 6) as norm, round(x * 0.5e0 * 0.6e0 + z * 2.0e0 * 0.8e0, 6) as dot, round(y * 0.8e0 * 1.0e0, 6) as cross_x, round(z * 2.0e0 * 0.6e0 - x * 0.5e0 * 0.8e0, 6) as cross_y, round(-y * 1.0e0 * 0.6e0, 6) as cross_z from {img}""")
+    round(sqrt(z * z * {vz} * {vz} + y * y * {vy} * {vy} + x * x * {vx} * {vx}), 6) as norm, round(x * {vx} * 0.6e0 + z * {vz} * 0.8e0, 6) as dot, round(y * 0.8e0 * {vy}, 6) as cross_x, round(z * {vz} * 0.6e0 - x * {vx} * 0.8e0, 6) as cross_y, round(-y * {vy} * 0.6e0, 6) as cross_z from {img}""")

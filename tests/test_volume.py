@@ -376,6 +376,21 @@ def test_dilation_and_faces(spark):
     assert geometry.boundary_faces(voxel, ["label_id"]).count() == 6
 
 
+@pytest.mark.parametrize("share", [0.02, 0.5, 0.9])
+def test_dilation_and_faces_against_every_voxel(spark, share):
+    rng = random.Random(int(share * 100))
+    voxels = {(k, z, y, x) for k in (1, 2) for z in range(7) for y in range(8) for x in range(9) if rng.random() < share}
+    df = spark.createDataFrame([*sorted(voxels), *list(voxels)[:3]], VOXEL)
+    shape = (8, 9, 10)
+    grown = [tuple(r) for r in geometry.dilate(df, 3, ["label_id"], shape).select("label_id", "z", "y", "x").collect()]
+    ball = [(a, b, c) for a in range(-3, 4) for b in range(-3, 4) for c in range(-3, 4) if a * a + b * b + c * c <= 9]
+    assert len(grown) == len(set(grown)) and set(grown) == {(k, z + a, y + b, x + c) for k, z, y, x in voxels for a, b, c in ball if 0 <= z + a < 8 and 0 <= y + b < 9 and 0 <= x + c < 10}
+    for directions in (geometry.FACES, geometry.FACES[2:], geometry.FACES[:1], geometry.FACES[5:]):
+        faces = [tuple(r) for r in geometry.boundary_faces(df, ["label_id"], directions).select("label_id", "z", "y", "x", "face").collect()]
+        wanted = {(k, z, y, x, i) for k, z, y, x in voxels for i, (a, b, c) in enumerate(directions) if (k, z + a, y + b, x + c) not in voxels}
+        assert len(faces) == len(set(faces)) and set(faces) == wanted
+
+
 def test_ordered_ids_are_gapless(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k")
     rows = numbering.ordered_ids(df, ["k"], "n", Workspace(spark, "t")).collect()
