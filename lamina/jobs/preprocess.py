@@ -137,8 +137,8 @@ def preprocess(
     if skeleton is not None:
         mesh_files.skeleton_mesh_set(volume, f"{out}/skeleton_meshes/per_spatial_cc")
     tables.write_metadata(volume, f"{out}/metadata.json")
-    tables.write_contours(volume.contour, f"{out}/cc_metadata.json")
-    tables.write_points(volume.point, f"{out}/skeleton_points.json")
+    tables.write_contours(tables.contour_rows(volume), f"{out}/cc_metadata.json")
+    tables.write_points(tables.point_rows(volume), f"{out}/skeleton_points.json")
     tables.write_graph(volume.edge, voxel, f"{out}/skeleton_graph.json")
     return volume
 

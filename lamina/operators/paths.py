@@ -43,7 +43,7 @@ def all_paths(contour: DataFrame, overlap: DataFrame, work: Workspace, same_labe
     return contour.select(*key).join(up, key, "left").join(down, key, "left").select(*key, (F.col("z") - F.coalesce("down", F.lit(0))).alias("z_lo"), (F.col("z") + F.coalesce("up", F.lit(0))).alias("z_hi"))
 
 
-def path_boxes(contour: DataFrame, overlap: DataFrame, work: Workspace, margin: int = 20, ny: int = 48, nx: int = 48) -> DataFrame:
+def path_boxes(contour: DataFrame, overlap: DataFrame, work: Workspace, margin: int, ny: int, nx: int) -> DataFrame:
     """Union box of the contours on every contour's same-label path, with a margin, cut off at the slice.
 
     Boxes double along the pointers as lengths do: after n rounds a box covers 2^n slices.

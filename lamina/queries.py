@@ -107,7 +107,7 @@ register("G2", lambda v: paths.all_paths(v.contour, v.overlap, v.work), _walk(Tr
 register("G2_any_label", lambda v: paths.all_paths(v.contour, v.overlap, v.work, same_label=False), _walk(False))
 register(
     "A12",
-    lambda v: paths.path_boxes(v.contour, v.overlap, v.work),
+    lambda v: paths.path_boxes(v.contour, v.overlap, v.work, 20, *v.shape[1:]),
     """select s.label_id, s.z, s.cc_id, greatest(0, min(y_min) - 20) as y0, least(48, max(y_max) + 20) as y1, greatest(0, min(x_min) - 20) as x0, least(48, max(x_max) + 20) as x1 from (
         with recursive best as (select * from (select *, row_number() over (partition by label_id, z, cc_id, dir order by area desc, o_cc_id) nth from {overlap} where label_id = o_label_id) o where nth = 1),
         walk(label_id, z, cc_id, dir, zz, c) as (
@@ -160,9 +160,9 @@ both("G11", "select a as node_a, b as node_b, round(sqrt(dz * dz * {vz} * {vz} +
 both("G12", "select p.point_id, p.label_id, i.instance_id, r.root, x * {vx} as wx, y * {vy} as wy, z * {vz} as wz, coalesce(n, 0) as n_neighbours from {point} p join {inst} i on i.point_id = p.point_id join {part} r on r.point_id = p.point_id left join (select a, count(*) as n from {edge} group by a) e on e.a = p.point_id")
 both("G9", "select distinct c.label_id, c.z, c.cc_id - 1 as cc_id0 from {point} p join {cvox} c on c.label_id = p.label_id and c.z = p.z and c.y = p.y and c.x = p.x")
 both("A16", "select label_id, z, cc_id, greatest(100.0e0, least(500.0e0, greatest((y_max - y_min) * {vy}, (x_max - x_min) * {vx}) / 2 + 50)) as radius from {contour}")
-register("D1", lambda v: geometry.dilate(v.skel, 3, [], (1 << 30, 48, 48)), """
+register("D1", lambda v: geometry.dilate(v.skel, 3, [], v.shape), """
     select distinct z + a.v as z, y + b.v as y, x + c.v as x from {skel}, {dsteps} a, {dsteps} b, {dsteps} c
-    where a.v * a.v + b.v * b.v + c.v * c.v <= 9 and z + a.v >= 0 and y + b.v between 0 and 47 and x + c.v between 0 and 47""")
+    where a.v * a.v + b.v * b.v + c.v * c.v <= 9 and z + a.v >= 0 and z + a.v < (select nz from {depth}) and y + b.v between 0 and 47 and x + c.v between 0 and 47""")
 register("M1", lambda v: geometry.boundary_faces(v.outerv, ["label_id"]), """
     select o.label_id, o.z, o.y, o.x, f.face from {outerv} o, (values (0, -1, 0, 0), (1, 1, 0, 0), (2, 0, -1, 0), (3, 0, 1, 0), (4, 0, 0, -1), (5, 0, 0, 1)) f(face, dz, dy, dx)
     where not exists (select 1 from {outerv} n where n.label_id = o.label_id and n.z = o.z + dz and n.y = o.y + dy and n.x = o.x + dx)""")
@@ -246,9 +246,9 @@ register(
     lambda v: _nearest(v, "true").join(v.part.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("root"))).select("point_id", "n"), "point_id").selectExpr("query_id", "d2 <= 81 * 4e0 and n >= 5 as on_skeleton"),
     f"select query_id, d2 <= 81 * 4e0 and point_id not in ({_HIDDEN}) as on_skeleton from ({_nearest_sql('')}) n",
 )
-register("M3", lambda v: geometry.dilate(v.point.join(v.part.select("point_id", "root"), "point_id").select("root", "label_id", "z", "y", "x"), 3, ["root", "label_id"], (1 << 30, *v.shape[1:])).groupBy("root", "label_id").agg(F.count(F.lit(1)).alias("n_voxels")).join(v.part.groupBy("root").agg(F.count(F.lit(1)).alias("part_points")), "root"), """
+register("M3", lambda v: geometry.dilate(v.point.join(v.part.select("point_id", "root"), "point_id").select("root", "label_id", "z", "y", "x"), 3, ["root", "label_id"], v.shape).groupBy("root", "label_id").agg(F.count(F.lit(1)).alias("n_voxels")).join(v.part.groupBy("root").agg(F.count(F.lit(1)).alias("part_points")), "root"), """
     select root, label_id, count(*) as n_voxels, max(part_points) as part_points from (select distinct root, label_id, z + a.v as z, y + b.v as y, x + c.v as x from {point} join (select point_id, root from {part}) r using (point_id), {dsteps} a, {dsteps} b, {dsteps} c
-    where a.v * a.v + b.v * b.v + c.v * c.v <= 9 and z + a.v >= 0 and y + b.v between 0 and 47 and x + c.v between 0 and 47) d join (select root, count(*) as part_points from {part} group by root) t using (root) group by root, label_id""")
+    where a.v * a.v + b.v * b.v + c.v * c.v <= 9 and z + a.v >= 0 and z + a.v < (select nz from {depth}) and y + b.v between 0 and 47 and x + c.v between 0 and 47) d join (select root, count(*) as part_points from {part} group by root) t using (root) group by root, label_id""")
 both("M11_sphere", "select label_id, z, cc_id, 4 * greatest(100.0e0, least(500.0e0, greatest((y_max - y_min) * {vy}, (x_max - x_min) * {vx}) / 2 + 50)) as distance from {contour}")
 _TYPED = "case event_id % 5 when 0 then concat(' ', cast(event_id % 40 as %s), ' ') when 1 then concat('-', cast(event_id % 7 as %s)) when 2 then '3.5' when 3 then 'z12' else cast(event_id % 1000 as %s) end"
 register(

@@ -63,6 +63,11 @@ class Workspace:
             at = jvm.org.apache.hadoop.fs.Path(self.path(name))
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+    def close(self) -> None:
+        """Deletes all tables of the run; nothing lazy may refer to them any more."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of DataFrames that are gone, which it does when their handles are collected."""
         gc.collect()

@@ -1,36 +1,64 @@
-"""JSON sidecars of points and contours: written and read as one JSON text for each chunk or slice."""
+"""JSON sidecars of points, contours, the graph and metadata: written and read as JSON lines, one for each chunk or slice."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTS = "struct<point_id:array<long>,z:array<int>,y:array<int>,x:array<int>,label_id:array<int>>"
-CONTOURS = "array<struct<cc_id:int,area:bigint>>"
+#: Parallel lists of a chunk of points; world places are in micrometres, neighbours in order of their offsets.
+POINT = {
+    "point_id": "long", "z": "int", "y": "int", "x": "int", "wz": "double", "wy": "double", "wx": "double", "label_id": "int",
+    "z_l0": "int", "cc_id0": "int", "instance_id": "int", "spatial_cc_id": "long", "neighbours": "array<long>",
+}
+POINTS = "struct<" + ",".join(f"{c}:array<{t}>" for c, t in POINT.items()) + ">"
+OVERLAP = "array<struct<label_id:int,cc_id:int,area:bigint>>"
+CONTOUR = f"struct<cc_id:int,bbox:array<int>,area:bigint,centroid:array<double>,skeleton_marker:struct<position:array<double>,has_skeleton:boolean>,overlaps_prev:{OVERLAP},overlaps_next:{OVERLAP}>"
+CONTOURS = f"array<{CONTOUR}>"
+
+
+def point_rows(volume) -> DataFrame:
+    """All fields of a volume's skeleton points."""
+    near = volume.edge.groupBy(F.col("a").alias("point_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "b"))), lambda s: s["b"]).alias("neighbours"))
+    rows = volume.point.join(volume.mapped.drop("label_id"), "point_id").join(volume.inst.select("point_id", F.col("instance_id").cast("int").alias("instance_id")), "point_id")
+    rows = rows.join(volume.part.select("point_id", F.col("root").alias("spatial_cc_id")), "point_id").join(near, "point_id", "left")
+    world = {f"w{c}": F.col(c) * F.lit(float(v)) for c, v in zip("zyx", volume.voxel)}
+    return rows.withColumns(world | {"neighbours": F.coalesce("neighbours", F.expr("cast(array() as array<bigint>)"))}).select(*(F.col(c).cast(t).alias(c) for c, t in POINT.items()))
+
+
+def contour_rows(volume) -> DataFrame:
+    """(label_id, z, contour): all fields of a volume's contours, with their overlaps in the slice before and after."""
+    key = ["label_id", "z", "cc_id"]
+    lists = volume.overlap.groupBy(*key).agg(*(F.array_sort(F.collect_list(F.when(F.col("dir") == d, F.struct(F.col("o_label_id").alias("label_id"), F.col("o_cc_id").alias("cc_id"), F.col("area").cast("long").alias("area"))))).alias(n) for d, n in ((-1, "overlaps_prev"), (1, "overlaps_next"))))
+    none = F.expr(f"cast(array() as {OVERLAP})")
+    vz, vy, vx = map(float, volume.voxel)
+    marker = F.struct(F.array(F.col("marker_x") * vx, F.col("marker_y") * vy, F.col("z") * vz).alias("position"), "has_skeleton")
+    fields = [F.col("cc_id"), F.array("y_min", "y_max", "x_min", "x_max").alias("bbox"), F.col("area").cast("long").alias("area"), F.array("centroid_y", "centroid_x").alias("centroid"), marker.alias("skeleton_marker")]
+    fields += [F.coalesce(n, none).alias(n) for n in ("overlaps_prev", "overlaps_next")]
+    return volume.contour.join(lists, key, "left").select("label_id", "z", F.struct(*fields).alias("contour"))
 
 
 def points_to_json(points: DataFrame, chunk: int = 1000) -> DataFrame:
     """(chunk, json): parallel lists, chunk points at a time."""
-    columns = ["point_id", "z", "y", "x", "label_id"]
-    rows = points.groupBy(F.expr(f"point_id div {chunk}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
-    return rows.select("chunk", F.to_json(F.struct(*(F.col(f"rows.{c}").alias(c) for c in columns))).alias("json"))
+    rows = points.groupBy(F.expr(f"point_id div {chunk}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(*POINT))).alias("rows"))
+    return rows.select("chunk", F.to_json(F.struct(*(F.col(f"rows.{c}").alias(c) for c in POINT))).alias("json"))
 
 
 def points_from_json(texts: DataFrame) -> DataFrame:
     p = texts.select(F.from_json("json", POINTS).alias("p"))
-    return p.select(F.explode(F.arrays_zip("p.point_id", "p.z", "p.y", "p.x", "p.label_id")).alias("r")).select("r.*")
+    return p.select(F.explode(F.arrays_zip(*(f"p.{c}" for c in POINT))).alias("r")).select("r.*")
 
 
 def contours_to_json(contours: DataFrame) -> DataFrame:
     """(label_id, z, json): the contours of a slice as a list in order of cc_id."""
-    return contours.groupBy("label_id", "z").agg(F.to_json(F.array_sort(F.collect_list(F.struct("cc_id", "area")))).alias("json"))
+    return contours.groupBy("label_id", "z").agg(F.to_json(F.array_sort(F.collect_list("contour"))).alias("json"))
 
 
 def contours_from_json(texts: DataFrame) -> DataFrame:
-    """Contours of the lists; those whose cc_id isn't their place in the list are invalid and an error."""
+    """Contours of the lists, a column for each field; one whose cc_id isn't its place in the list, or that lacks its marker, is an error."""
     rows = texts.select("label_id", "z", F.posexplode(F.from_json("json", CONTOURS)).alias("place", "c"))
-    valid = F.when(F.col("c.cc_id") == F.col("place") + 1, F.col("c.cc_id")).otherwise(F.raise_error(F.lit("cc_id isn't the contour's place in its list")).cast("int"))
-    return rows.select("label_id", "z", valid.alias("cc_id"), "c.area")
+    bad = F.when(~F.col("c.cc_id").eqNullSafe(F.col("place") + 1), "cc_id isn't the contour's place in its list").when(F.col("c.skeleton_marker.position").isNull() | F.col("c.skeleton_marker.has_skeleton").isNull(), "a contour has no skeleton marker")
+    checked = F.when(bad.isNull(), F.col("c.cc_id")).otherwise(F.raise_error(bad).cast("int"))
+    return rows.select("label_id", "z", checked.alias("cc_id"), *(f"c.{f}" for f in ("bbox", "area", "centroid", "skeleton_marker", "overlaps_prev", "overlaps_next")))
 
 
 def _written(texts: DataFrame, path: str) -> str:
@@ -39,7 +67,7 @@ def _written(texts: DataFrame, path: str) -> str:
 
 
 def write_points(points: DataFrame, path: str) -> str:
-    """Skeleton points as JSON lines, a chunk of parallel lists a line."""
+    """Rows of ``point_rows`` as JSON lines, a chunk of parallel lists a line."""
     return _written(points_to_json(points), path)
 
 
@@ -48,7 +76,7 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_contours(contours: DataFrame, path: str) -> str:
-    """Contours as JSON lines, each the label, the slice and its list."""
+    """Rows of ``contour_rows`` as JSON lines, each the label, the slice and its list."""
     lists = contours_to_json(contours).select(F.to_json(F.struct("label_id", "z", F.col("json").alias("contours"))).alias("json"))
     return _written(lists, path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import colors
-from lamina.operators import thinning
+from lamina.operators import paths, thinning
 from lamina.operators.numbering import ordered_ids
 from lamina.operators.volume_tables import DerivedVolume
 from lamina.registry import both, register
@@ -152,8 +152,31 @@ register("P17", _shape_check, f"""
 
 register("K2", lambda v: tables.read_metadata(v.spark, tables.write_metadata(v, v.work.path("metadata"))), "select label_id, name, color, 2.0e0 as vz, 1.0e0 as vy, 0.5e0 as vx, cast(nz as int) as nz, 48 as ny, 48 as nx from {label_dim}, {depth}")
 register("K3", lambda v: tables.read_graph(v.spark, tables.write_graph(v.edge, v.voxel, v.work.path("graph"))), "select a as node_a, b as node_b, round(sqrt(dz * dz * 4.0e0 + dy * dy * 1.0e0 + dx * dx * 0.25e0), 6) as distance_um from {edge} where a < b")
-register("S7", lambda v: tables.read_points(v.spark, tables.write_points(v.point, v.work.path("points"))), "select point_id, z, y, x, label_id from {point}")
-register("S8", lambda v: tables.read_contours(v.spark, tables.write_contours(v.contour, v.work.path("contours"))), "select label_id, z, cc_id, area from {contour}")
+def _points_read(v: DerivedVolume) -> DataFrame:
+    read = tables.read_points(v.spark, tables.write_points(tables.point_rows(v), v.work.path("points")))
+    return read.withColumn("neighbours", F.array_join(F.transform("neighbours", lambda n: n.cast("string")), ","))
+
+
+def _contours_read(v: DerivedVolume) -> DataFrame:
+    """The fields of the contours, lists as text: label:contour:area of what they share voxels with."""
+    read = tables.read_contours(v.spark, tables.write_contours(tables.contour_rows(v), v.work.path("contours")))
+    text = lambda c: F.array_join(F.transform(c, lambda o: F.concat_ws(":", o["label_id"].cast("string"), o["cc_id"].cast("string"), o["area"].cast("string"))), ",").alias(c)
+    box = (F.element_at("bbox", i + 1).alias(c) for i, c in enumerate(("y_min", "y_max", "x_min", "x_max")))
+    place = (F.round(F.element_at("skeleton_marker.position", i + 1), 6).alias(f"world_{c}") for i, c in enumerate("xyz"))
+    middle = (F.round(F.element_at("centroid", i + 1), 6).alias(f"centroid_{c}") for i, c in enumerate("yx"))
+    return read.select("label_id", "z", "cc_id", *box, "area", *middle, *place, "skeleton_marker.has_skeleton", text("overlaps_prev"), text("overlaps_next"))
+
+
+register("S7", _points_read, """
+    select p.point_id, p.z, p.y, p.x, p.z * 2.0e0 as wz, p.y * 1.0e0 as wy, p.x * 0.5e0 as wx, p.label_id, cast(i.instance_id as int) as instance_id, r.root as spatial_cc_id,
+        cast(p.z * 4 + case when p.label_id > 0 and c.label_id is distinct from p.label_id then 2 else 0 end as int) as z_l0, coalesce(v.cc_id, 0) - 1 as cc_id0,
+        coalesce((select string_agg(cast(e.b as varchar), ',' order by e.ord) from {edge} e where e.a = p.point_id), '') as neighbours
+    from {point} p join (select point_id, instance_id from {inst}) i using (point_id) join (select point_id, root from {part}) r using (point_id)
+    left join {combined} c on c.z = p.z and c.y = p.y and c.x = p.x left join {ccvox} v on v.label_id = p.label_id and v.z = p.z and v.y = p.y and v.x = p.x""")
+register("S8", _contours_read, """
+    select c.label_id, c.z, c.cc_id, y_min, y_max, x_min, x_max, c.area, round(centroid_y, 6) as centroid_y, round(centroid_x, 6) as centroid_x, round(marker_x * 0.5e0, 6) as world_x, round(marker_y * 1.0e0, 6) as world_y, round(c.z * 2.0e0, 6) as world_z, has_skeleton,
+        coalesce(string_agg(case when dir = -1 then concat(o_label_id, ':', o_cc_id, ':', o.area) end, ',' order by o_label_id, o_cc_id), '') as overlaps_prev, coalesce(string_agg(case when dir = 1 then concat(o_label_id, ':', o_cc_id, ':', o.area) end, ',' order by o_label_id, o_cc_id), '') as overlaps_next
+    from {contour} c left join {overlap} o using (label_id, z, cc_id) group by all""")
 
 
 def _skeleton_tiff(v: DerivedVolume) -> DataFrame:
@@ -237,3 +260,20 @@ register("Q5", lambda v: v.combined.select("label_id").distinct().select("label_
 register("Q6", lambda v: colors.assign_colors(v.combined.groupBy("label_id").agg(F.count(F.lit(1)).alias("n")).join(v.label_dim.withColumn("color", F.when(F.col("label_id") <= 2, F.col("color"))), "label_id")))
 both("Q8", """select z, y, x, value % 7 as m, cast(ceil(value / 8.0e0) as bigint) as c, round(sqrt(value * 1.0e0), 6) as s, greatest(10, least(200, value)) as clipped,
     round(sqrt(z * z * {vz} * {vz} + y * y * {vy} * {vy} + x * x * {vx} * {vx}), 6) as norm, round(x * {vx} * 0.6e0 + z * {vz} * 0.8e0, 6) as dot, round(y * 0.8e0 * {vy}, 6) as cross_x, round(z * {vz} * 0.6e0 - x * {vx} * 0.8e0, 6) as cross_y, round(-y * {vy} * 0.6e0, 6) as cross_z from {img}""")
+
+
+def _camera(v: DerivedVolume) -> DataFrame:
+    """The camera's focus and distance for the path of every contour: the middle and twice the longer side of its box, in micrometres."""
+    _, vy, vx = v.voxel
+    box = paths.path_boxes(v.contour, v.overlap, v.work, 0, *v.shape[1:])
+    side = F.greatest((F.col("x1") - F.col("x0")) * vx, (F.col("y1") - F.col("y0")) * vy)
+    return box.select("label_id", "z", "cc_id", ((F.col("x0") + F.col("x1")) * vx / 2).alias("focal_x"), ((F.col("y0") + F.col("y1")) * vy / 2).alias("focal_y"), (2 * side).alias("distance"))
+
+
+register("M11_path", _camera, """
+    select s.label_id, s.z, s.cc_id, (min(x_min) + max(x_max)) * 0.5e0 / 2 as focal_x, (min(y_min) + max(y_max)) * 1.0e0 / 2 as focal_y, 2 * greatest((max(x_max) - min(x_min)) * 0.5e0, (max(y_max) - min(y_min)) * 1.0e0) as distance from (
+        with recursive best as (select * from (select *, row_number() over (partition by label_id, z, cc_id, dir order by area desc, o_cc_id) nth from {overlap} where label_id = o_label_id) o where nth = 1),
+        walk(label_id, z, cc_id, dir, zz, c) as (
+            select label_id, z, cc_id, d.v, z, cc_id from {contour}, (values (-1), (1)) d(v)
+            union all select w.label_id, w.z, w.cc_id, w.dir, w.zz + w.dir, b.o_cc_id from walk w join best b on b.label_id = w.label_id and b.z = w.zz and b.cc_id = w.c and b.dir = w.dir)
+        select * from walk) s join {contour} c on c.label_id = s.label_id and c.z = s.zz and c.cc_id = s.c group by s.label_id, s.z, s.cc_id""")

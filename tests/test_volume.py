@@ -184,9 +184,22 @@ def test_overlaps_of_long_runs(spark):
 
 
 def test_sidecars_that_are_out_of_order_are_an_error(spark, tmp_path):
-    (tmp_path / "c.json").write_text('{"label_id":1,"z":0,"contours":"[{\\"cc_id\\":2,\\"area\\":5}]"}\n')
-    with pytest.raises(Exception, match="place in its list"):
-        tables.read_contours(spark, str(tmp_path)).collect()
+    line = lambda contours: '{"label_id":1,"z":0,"contours":"' + contours.replace('"', '\\"') + '"}\n'
+    marker = '"skeleton_marker":{"position":[1.0,2.0,3.0],"has_skeleton":false}'
+    for text, error in (('[{"cc_id":2,"area":5,' + marker + "}]", "place in its list"), ('[{"cc_id":1,"area":5}]', "no skeleton marker"), ('[{"area":5,' + marker + "}]", "place in its list")):
+        (tmp_path / "c.json").write_text(line(text))
+        with pytest.raises(Exception, match=error):
+            tables.read_contours(spark, str(tmp_path)).collect()
+    (tmp_path / "c.json").write_text(line('[{"cc_id":1,"area":5,' + marker + "}]"))
+    assert [(r.cc_id, r.area, r.skeleton_marker.position) for r in tables.read_contours(spark, str(tmp_path)).collect()] == [(1, 5, [1.0, 2.0, 3.0])]
+
+
+def test_a_closed_workspace_is_gone(spark):
+    work = Workspace(spark, "t")
+    work.keep(spark.range(3), "a")
+    assert os.path.isdir(work.root.removeprefix("file:"))
+    work.close()
+    assert not os.path.exists(work.root.removeprefix("file:"))
 
 
 def test_surfaces_are_closed(spark):
