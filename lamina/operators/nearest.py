@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.bounds import descend
 from lamina.session import Workspace
 
-#: Cells of the coarse grid along the longest side.
-COARSE = 8
+#: Cells along the longest side from which on a grid is too coarse to try, and the most levels of nested cells.
+COARSE, LEVELS = 8, 12
 
 
 def nearest(queries: DataFrame, points: DataFrame, size: tuple[float, float, float], work: Workspace, cell: float = 8.0) -> DataFrame:
@@ -18,7 +19,7 @@ def nearest(queries: DataFrame, points: DataFrame, size: tuple[float, float, flo
 
     A query meets the points of its cell and the 26 around it in an equi-join; what it finds
     within one cell's length is nearest. The others try again with cells twice as long, and
-    at last with the cells of a coarse grid over all points. Queries with a null, NaN or infinite
+    at last go down nested cells over all points by bounds. Queries with a null, NaN or infinite
     coordinate get null; without points there are no rows. Of points equally near the least id counts.
     """
     name, none = f"nearest{uuid.uuid4().hex[:8]}_", ("cast(null as bigint) as point_id", "cast(null as double) as d2")
@@ -45,32 +46,15 @@ def nearest(queries: DataFrame, points: DataFrame, size: tuple[float, float, flo
         if turn:
             work.drop(f"{name}left{turn - 1}")
         cell, turn = cell * 2, turn + 1
-    return answers.unionByName(_by_coarse_cells(left, placed, box, side))
+    ends = {c: i for c, i in (("z", 0), ("y", 2), ("x", 4))}
+    low, high = ({c: box[i + n] for c, i in ends.items()} for n in (0, 1))
+    named = placed.select("point_id", *(F.col(f"p{c}").alias(f"w{c}") for c in "zyx"))
+    asked = left.select("query_id", *(F.col(f"w{c}").alias(f"q{c}") for c in "zyx"))
+    away = lambda place: F.sqrt(sum((F.pow(place[c] - F.col(f"q{c}"), 2.0) for c in "yx"), F.pow(place["z"] - F.col("qz"), 2.0)))
+    met = descend(asked, "query_id", named, low, high, max(cell, side / 2**LEVELS), away, work)
+    return answers.unionByName(_best(met.select("query_id", "point_id", *(F.col(f"w{c}").alias(f"p{c}") for c in "zyx"), *(F.col(f"q{c}").alias(f"w{c}") for c in "zyx"))))
 
 
 def _best(met: DataFrame) -> DataFrame:
     d2 = F.pow(F.col("pz") - F.col("wz"), 2.0) + F.pow(F.col("py") - F.col("wy"), 2.0) + F.pow(F.col("px") - F.col("wx"), 2.0)
     return met.withColumn("d2", d2).groupBy("query_id").agg(F.min(F.struct("d2", "point_id")).alias("best")).select("query_id", "best.point_id", "best.d2")
-
-
-def _by_coarse_cells(left: DataFrame, placed: DataFrame, box: list[float], side: float) -> DataFrame:
-    """The queries far from all points: each meets the points of those of at most (COARSE + 1)^3 cells
-    that may hold its nearest one, that is begin no further away than the far end of any cell."""
-    step = max(side / COARSE, 1e-9)
-    grids = [F.floor((F.col(c) - box[i]) / step).cast("int").alias(g) for c, i, g in (("pz", 0, "gz"), ("py", 2, "gy"), ("px", 4, "gx"))]
-    points = placed.select("*", *grids)
-    cells = [tuple(r) for r in points.select("gz", "gy", "gx").distinct().collect()]  # bounded by COARSE
-    lists = [F.lit([c[i] for c in cells]).alias(g) for i, g in enumerate(("gz", "gy", "gx"))]
-
-    def ends(cell: F.Column) -> F.Column:
-        near, far = F.lit(0.0), F.lit(0.0)
-        for w, g, i in (("wz", "gz", 0), ("wy", "gy", 2), ("wx", "gx", 4)):
-            lo = F.lit(box[i]) + cell[g] * step
-            hi = lo + step
-            near += F.pow(F.greatest(lo - F.col(w), F.col(w) - hi, F.lit(0.0)), 2.0)
-            far += F.pow(F.greatest(F.abs(F.col(w) - lo), F.abs(F.col(w) - hi)), 2.0)
-        return F.struct(near.alias("near"), far.alias("far"), cell.alias("cell"))
-
-    ranged = left.withColumn("_cells", F.transform(F.arrays_zip(*lists), ends)).withColumn("_most", F.array_min(F.transform("_cells", lambda c: c["far"])) * (1 + 1e-9))
-    met = ranged.select("query_id", "wz", "wy", "wx", F.explode(F.filter("_cells", lambda c: c["near"] <= F.col("_most"))).alias("c")).select("query_id", "wz", "wy", "wx", "c.cell.*")
-    return _best(met.join(points, ["gz", "gy", "gx"]))

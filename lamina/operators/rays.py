@@ -1,22 +1,15 @@
-"""The points nearest to view rays, for many rays at once.
-
-Points are dealt over cells, and cells over cells twice as wide, up to one that holds all. Rays go down level by level:
-a ray meets the children of the cells it still has, each child has a least distance that its box allows and one of
-its points for a distance that is surely reached, and children whose least is more than the best of the latter go. So
-a ray meets cells near its line alone, also one that passes far from all points, and no ray meets all points.
-The tables of the upper levels have at most 8^n cells and are broadcast below BROADCAST_CELLS; others meet by cell.
-"""
+"""The points nearest to view rays, for many rays at once, by bounds on nested cells."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.bounds import descend
 from lamina.session import Workspace
 
-#: Cells of a level that is broadcast, at most, and what rounding may take from a bound.
-BROADCAST_CELLS, SLACK = 4096, 1e-6
-CELL = ["cz", "cy", "cx"]
+#: Micrometres that a point may lie behind the origin by rounding.
+SLACK = 1e-6
 
 
 def _distance(place: dict[str, Column]) -> tuple[Column, Column]:
@@ -44,30 +37,10 @@ def nearest_to_rays(rays: DataFrame, points: DataFrame, voxel: tuple[float, floa
     if ends["first"] is None:
         return rays.select("ray_id", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("dist"))
     named = work.keep(rays.select("ray_id", *(F.col(f"o{c}").cast("double").alias(f"o{c}") for c in "zyx"), *((F.when(usable, (F.col(f"t{c}") - F.col(f"o{c}")) / length)).alias(f"d{c}") for c in "zyx")), "rays")
-    low, levels = {c: ends[f"lo_{c}"] for c in "zyx"}, 0
-    while max(ends[f"hi_{c}"] - low[c] for c in "zyx") >= leaf * 2**levels:
-        levels += 1
-    leaves = work.keep(placed.select("*", *(F.floor((F.col(f"w{c}") - low[c]) / leaf).cast("long").alias(f"c{c}") for c in "zyx")), "leaves")
-    cells = {0: leaves.groupBy(*CELL).agg(F.min(F.struct("point_id", "wz", "wy", "wx")).alias("p"))}
-    for level in range(1, levels):
-        cells[level] = work.keep(cells[level - 1].groupBy(*(F.expr(f"{c} div 2").alias(c) for c in CELL)).agg(F.min("p").alias("p")), f"cells{level}")
-    now = work.keep(named.where("dz is not null").select("*", *(F.lit(0).cast("long").alias(c) for c in CELL), F.lit(float("inf")).alias("best")), f"frontier{levels}")
-    ray = [c for c in named.columns]
-    for level in range(levels - 1, -1, -1):
-        width = leaf * 2**level
-        children = cells[level].select(*(F.expr(f"{c} div 2").alias(c) for c in CELL), *(F.col(c).alias(f"n{c}") for c in CELL), "p")
-        if 8 ** (levels - level) <= BROADCAST_CELLS:
-            children = F.broadcast(children)
-        middle = {c: F.lit(low[c]) + (F.col(f"nc{c}") + 0.5) * width for c in "zyx"}
-        radius = width * 3**0.5 / 2
-        along, off = _distance(middle)
-        near_along, near = _distance({c: F.col(f"p.w{c}") for c in "zyx"})
-        met = now.join(children, CELL).select(*ray, "best", *(F.col(f"n{c}").alias(c) for c in CELL), (along + radius).alias("far"), (off - radius).alias("least"), F.when(near_along >= 0, near).otherwise(float("inf")).alias("surely"))
-        met = work.keep(met.where(f"far >= -{SLACK}"), f"met{level}")
-        best = met.groupBy("ray_id").agg(F.least(F.min("surely"), F.min("best")).alias("best"))
-        now = work.keep(met.drop("best").join(best, "ray_id").where(f"least <= best + {SLACK}").select(*ray, *CELL, "best"), f"frontier{level}")
-        work.drop(f"met{level}", f"frontier{level + 1}")
+    low, high = ({c: ends[f"{n}_{c}"] for c in "zyx"} for n in ("lo", "hi"))
+    along_of, off_of = (lambda place: _distance(place)[0]), (lambda place: _distance(place)[1])
+    met = descend(named.where("dz is not null"), "ray_id", placed, low, high, leaf, off_of, work, lambda middle, radius: along_of(middle) + radius >= -SLACK, lambda place: along_of(place) >= 0)
     along, off = _distance({c: F.col(f"w{c}") for c in "zyx"})
-    found = now.join(leaves, CELL).where(along >= 0).groupBy("ray_id").agg(F.min(F.struct(F.round(off, 9).alias("dist"), "point_id")).alias("m"))
+    found = met.where(along >= 0).groupBy("ray_id").agg(F.min(F.struct(F.round(off, 9).alias("dist"), "point_id")).alias("m"))
     none = F.when(F.col("dz").isNotNull(), F.lit(ends["first"]))
     return named.join(found, "ray_id", "left").select("ray_id", F.coalesce("m.point_id", none).cast("long").alias("point_id"), F.col("m.dist").alias("dist"))
