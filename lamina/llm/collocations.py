@@ -33,11 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.llm.common import arrow_rows
 from lamina.session import Workspace
 
 MIN_COUNT, LONGEST, SCALE, SUBSUMED, TOP = 30, 4, 2_000_000, 80, 2000
 #: Text that a reading task counts at once, in bytes, and the most keys of a row it writes.
 BLOCK_BYTES, ROW_KEYS = 4 << 20, 1024
+#: Texts, or packed rows, of an Arrow batch.
+BATCH_ROWS = 500
 #: Text of a bucket, in bytes, and the least and most buckets, as powers of two.
 BUCKET_BYTES, BUCKET_POWERS = 4 << 20, (8, 15)
 #: Bits of the bitmap that is broadcast: 32 MB at most, for any corpus.
@@ -289,7 +292,12 @@ def _count_phrases(block_bytes: int, pairs, longer):
 
 def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, phrase, words, f) of all n-grams with f >= least, and with words = 0 of the number of words."""
-    work = Workspace(docs.sparkSession, "collocations")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _frequent(docs, least, block_bytes, Workspace(docs.sparkSession, "collocations"))
+
+
+def _frequent(docs: DataFrame, least: int, block_bytes: int, work: Workspace) -> DataFrame:
+    """All of it is written here, so that it runs with the session's setting of the moment."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     power = min(max(BUCKET_POWERS[0], (size // BUCKET_BYTES).bit_length()), BUCKET_POWERS[1])

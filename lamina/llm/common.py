@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,18 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside take so many rows a batch, so that batches of texts, which both sides hold, stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(doc_id: F.Column, parts: int) -> F.Column:
     """crc32 of the id's text, modulo parts: how labelled rows are held out."""
     return F.crc32(doc_id.cast("string")) % F.lit(parts)
