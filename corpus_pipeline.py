@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import decontaminate, exact_dedup, jaccard, packing, quality
-from lamina.llm.common import table
+from lamina.llm.common import arrow_rows, table
 from lamina.operators.numbering import ordered_ids
 from lamina.session import Workspace
 
 #: Words of an n-gram and least similarity, in hundredths, of near duplicates.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 80
+#: Rows of an Arrow batch in every stage: both the JVM and Python hold a batch of texts.
+BATCH_ROWS = 500
 
 
 def _without(docs: DataFrame, name: str, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -39,12 +41,14 @@ def _without(docs: DataFrame, name: str, dropped: Callable[[DataFrame], DataFram
         key = f"row_{uuid.uuid4().hex}"
         docs = work.keep(ordered_ids(docs.select("doc_id", "text", F.struct(*columns).alias("columns")), ["doc_id", "text"], key, work), "numbered").select(key, "columns.*")
     named = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
-    listed = work.keep(dropped(named).select(F.col("doc_id").alias(gone)).distinct(), "gone")  # written, so that its size is known and it is broadcast only if small
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        listed = work.keep(dropped(named).select(F.col("doc_id").alias(gone)).distinct(), "gone")  # written, so that its size is known and it is broadcast only if small
     return docs.join(listed, docs[key] == listed[gone], "left_anti").select(*columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    with arrow_rows(spark, BATCH_ROWS):
+        return Workspace(spark, "quality").keep(quality.keep_good(docs, table(spark, sf_dir, "labels")), "kept")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +64,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    with arrow_rows(spark, BATCH_ROWS):
+        return packing.pack_documents(docs)
 
 
 STAGES = [
