@@ -165,8 +165,8 @@ register(
 register(
     "G13",
     # where level 0 has no contour near, the contour of the masks' own level is shown, made larger
-    lambda v: tracking.level0_at_cursor(v.contour, v.ccvox, 4, v.shape[1:]).withColumn("l2_cc", F.when(F.col("l0_cc0") < 0, F.col("cc_id"))),
-    """select label_id, z, cc_id, coalesce(l0, 0) - 1 as l0_cc0, case when l0 is null then cc_id end as l2_cc from {contour} left join (select *, row_number() over (partition by label_id, z, cc_id order by d2, ny, nx) nth from (
+    lambda v: tracking.level0_at_cursor(v.contour, v.ccvox, 4, v.shape[1:]).withColumn("l2_cc", F.when(F.col("l0_cc0") < 0, F.col("cc_id")).otherwise(0)),
+    """select label_id, z, cc_id, coalesce(l0, 0) - 1 as l0_cc0, case when l0 is null then cc_id else 0 end as l2_cc from {contour} left join (select *, row_number() over (partition by label_id, z, cc_id order by d2, ny, nx) nth from (
         select c.label_id, c.z, c.cc_id, v.cc_id as l0, ny.v as ny, nx.v as nx, (ny.v - py) * (ny.v - py) + (nx.v - px) * (nx.v - px) as d2
         from (select label_id, z, cc_id, greatest(0, least(191, cast(round_even(centroid_y * 4, 0) as int))) py, greatest(0, least(191, cast(round_even(centroid_x * 4, 0) as int))) px from {contour}) c
         join {ccvox} v on v.label_id = c.label_id and v.z = c.z, lateral (select unnest(generate_series(v.y * 4, v.y * 4 + 3)) v) ny, lateral (select unnest(generate_series(v.x * 4, v.x * 4 + 3)) v) nx
