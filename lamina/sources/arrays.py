@@ -104,8 +104,11 @@ def mean_type(dtype: str) -> str:
     return dtype if np.dtype(dtype).str[1:] in ("u1", "u2", "f4") else "<f8"
 
 
-def block_mean(chunks: DataFrame, f: int, shape: Shape) -> tuple[DataFrame, Shape]:
-    """The mean of each block of f^3 voxels by channel, edge blocks padded with zeros."""
+def block_mean(chunks: DataFrame, f: int, shape: Shape, held: bool = False) -> tuple[DataFrame, Shape]:
+    """The mean of each block of f^3 voxels by channel, edge blocks padded with zeros.
+
+    held: the last channel marks the voxels that the array holds; a block that has any is marked.
+    """
     kind, out = np.dtype(shape.dtype), Shape(shape.coarser(f), shape.channels, mean_type(shape.dtype))
     total = np.dtype("<f8") if kind.kind == "f" else np.dtype("<u4") if kind.kind in "ub" and (1 << 8 * kind.itemsize) * f**3 <= 1 << 32 else np.dtype("<i8")
 
@@ -115,8 +118,13 @@ def block_mean(chunks: DataFrame, f: int, shape: Shape) -> tuple[DataFrame, Shap
         z, y, x, c = padded.shape
         yield from split(array, tuple(o // f for o in origin), padded.reshape(z // f, f, y // f, f, x // f, f, c).sum(axis=(1, 3, 5), dtype=total))
 
-    whole = np.dtype(out.dtype).kind in "ui"
-    return assembled(mapped(chunks, sums), out.size, out.dtype, add=True, finish=lambda s: s // f**3 if whole else s / f**3), out
+    def means(s: np.ndarray) -> np.ndarray:
+        done = s // f**3 if np.dtype(out.dtype).kind in "ui" else s / f**3
+        if held:
+            done[..., -1] = s[..., -1] > 0
+        return done
+
+    return assembled(mapped(chunks, sums), out.size, out.dtype, add=True, finish=means), out
 
 
 def truncated(chunks: DataFrame, depth: int) -> DataFrame:
@@ -197,20 +205,20 @@ def label_masks(chunks: DataFrame) -> DataFrame:
     return mapped(chunks, cut)
 
 
-def to_voxels(chunks: DataFrame) -> DataFrame:
-    """(array, z, y, x, channel, value): a row for each value but zero."""
+def to_voxels(chunks: DataFrame, held: bool = False) -> DataFrame:
+    """(array, z, y, x, channel, value): a row for each value but zero; held: for each value, zero too, of the voxels that the last channel marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for array, origin, values in opened(batches):
-            z, y, x, channel = np.nonzero(values)
+            z, y, x, channel = np.nonzero(np.broadcast_to(values[..., -1:], (*values.shape[:3], values.shape[3] - 1)) if held else values)
             places = [(p + o).astype(np.int32) for p, o in zip((z, y, x), origin)]
             yield pa.RecordBatch.from_arrays([pa.array([array] * len(z), pa.string()), *map(pa.array, places), pa.array(channel.astype(np.int32)), pa.array(values[z, y, x, channel].astype(np.float64))], ["array", "z", "y", "x", "channel", "value"])
 
     return chunks.select(*COLUMNS).mapInArrow(run, "array string, z int, y int, x int, channel int, value double")
 
 
-def from_voxels(voxels: DataFrame, shape: Shape, array: str = "") -> DataFrame:
-    """Chunks of voxels (z, y, x[, channel], value); of several rows of a voxel any stays."""
+def from_voxels(voxels: DataFrame, shape: Shape, array: str = "", held: bool = False) -> DataFrame:
+    """Chunks of voxels (z, y, x[, channel], value); of several rows of a voxel any stays. held: the last channel becomes 1 where a voxel has a row."""
     channel = F.col("channel") if "channel" in voxels.columns else F.lit(0)
     placed = voxels.select(*(F.expr(f"cast({c} div {n} as int)").alias(f"c{c}") for c, n in zip("zyx", CHUNK)), "z", "y", "x", channel.alias("channel"), F.col("value").cast("double").alias("value"))
 
@@ -219,6 +227,8 @@ def from_voxels(voxels: DataFrame, shape: Shape, array: str = "") -> DataFrame:
         values = np.zeros((*(min(n, s - o) for n, s, o in zip(CHUNK, shape.size, start)), shape.channels or 1), shape.dtype)
         z, y, x, c = (rows.column(n).to_numpy() for n in ("z", "y", "x", "channel"))
         values[z - start[0], y - start[1], x - start[2], c] = rows.column("value").to_numpy()
+        if held:
+            values[z - start[0], y - start[1], x - start[2], -1] = 1
         return pa.Table.from_batches([batch([row(array, tuple(start), values)])] if values.any() else [], ARROW)
 
     return placed.groupBy("cz", "cy", "cx").applyInArrow(cell, SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ def _rgb_files(v: DerivedVolume) -> str:
     return volume_files.write_slabs(_rgb(v), v.work.path("rgb"), 10, arrays.Shape(v.shape, 4, "|u1"), "tif", planes=lambda slab: slab % 2 == 1)
 
 
-def _plain(chunks: DataFrame, *columns: str) -> DataFrame:
+def _plain(chunks: DataFrame, *columns: str, held: bool = False) -> DataFrame:
     """Voxel rows with whole values, as SQL has them."""
-    return arrays.to_voxels(chunks).select(*columns, "z", "y", "x", F.col("value").cast("int").alias("value"))
+    return arrays.to_voxels(chunks, held).select(*columns, "z", "y", "x", F.col("value").cast("int").alias("value"))
 
 
 _VALUES = "select z, y, x, value from {img} where value > 0"
@@ -68,19 +70,19 @@ for _ in range(3):
     _RGB_LEVELS.append(_HALF.format(_RGB_LEVELS[-1]))
 
 
-def _pyramid_sql(levels: list[str], least_side: int) -> str:
+def _pyramid_sql(levels: list[str], least_side: int, wanted: str = "value > 0 and ") -> str:
     """Levels are made while the least side, halved so often, is least_side or more."""
-    return " union all ".join(f"select {i} as level, z, y, x, channel, value from ({text}) l{i} where value > 0 and ({i} = 0 or (select least(nz, 48) // {2**i} from {{depth}}) >= {least_side})" for i, text in enumerate(levels))
+    return " union all ".join(f"select {i} as level, z, y, x, channel, value from ({text}) l{i} where {wanted}({i} = 0 or (select least(nz, 48) // {2**i} from {{depth}}) >= {least_side})" for i, text in enumerate(levels))
 
 
 def _read_rgb(v: DerivedVolume) -> tuple[DataFrame, arrays.Shape]:
     return volume_files.read_volume(v.spark, _rgb_files(v))
 
 
-def _united(levels: list[tuple[DataFrame, arrays.Shape]]) -> DataFrame:
+def _united(levels: list[tuple[DataFrame, arrays.Shape]], held: bool = False) -> DataFrame:
     out = None
     for level, (chunks, _) in enumerate(levels):
-        one = _plain(chunks, "channel").withColumn("level", F.lit(level))
+        one = _plain(chunks, "channel", held=held).withColumn("level", F.lit(level))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -90,8 +92,14 @@ def _rgb_pyramid(v: DerivedVolume) -> DataFrame:
     return _united(arrays.pyramid(chunks, 3, shape, v.work.keep))
 
 
+def _held_pyramid(v: DerivedVolume) -> DataFrame:
+    """All voxels of the image, and all blocks that hold any, those of value 0 too."""
+    shape = arrays.Shape(v.shape, 2, "|u1")
+    return _united(arrays.pyramid(arrays.from_voxels(v.img, shape, held=True), 4, shape, v.work.keep, 4, partial(arrays.block_mean, held=True)), held=True)
+
+
 register("R1", _rgb_pyramid, f"select level, z, y, x, channel, value from ({_pyramid_sql(_RGB_LEVELS, 16)}) p")
-register("R1_deep", lambda v: _united(arrays.pyramid(_image(v)[0], 4, _image(v)[1], v.work.keep, 4)), f"select level, z, y, x, channel, value from ({_pyramid_sql(_LEVELS, 4)}) p")
+register("R1_deep", _held_pyramid, f"select level, z, y, x, channel, value from ({_pyramid_sql(_LEVELS, 4, '')}) p")
 register("R2", lambda v: _plain(arrays.pyramid(_image(v)[0], 3, _image(v)[1], v.work.keep, 4, progressive=False)[2][0]), "select * from (select z // 4 as z, y // 4 as y, x // 4 as x, cast(sum(value) // 64 as int) as value from {img} group by 1, 2, 3) m where value > 0")
 register("R3", lambda v: _plain(arrays.block_mean(_image(v)[0], 3, _image(v)[1])[0]), "select * from (select z // 3 as z, y // 3 as y, x // 3 as x, cast(sum(value) // 27 as int) as value from {img} group by 1, 2, 3) m where value > 0")
 register("R3_truncated", lambda v: _plain(arrays.block_mean(arrays.truncated(_image(v)[0], v.shape[0] // 3 * 3), 3, _image(v)[1])[0]), "select * from (select z // 3 as z, y // 3 as y, x // 3 as x, cast(sum(value) // 27 as int) as value from {img} where z < (select nz // 3 * 3 from {depth}) group by 1, 2, 3) m where value > 0")

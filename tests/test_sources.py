@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import functools
 import io
 import json
 import os
@@ -259,6 +261,20 @@ def test_pyramids_stop_and_strides(spark):
     assert (cut[:33] == values[:33]).all() and not cut[33:].any()
 
 
+def test_pyramid_keeps_held_voxels_of_value_zero(spark):
+    rows = [(0, 0, 0, 0), (0, 0, 1, 9), (5, 7, 6, 3), (17, 40, 30, 0), (39, 69, 49, 255)]
+    shape = arrays.Shape((40, 70, 50), 2, "|u1")
+    chunks = arrays.from_voxels(spark.createDataFrame(rows, "z int, y int, x int, value int"), shape, held=True)
+    levels = arrays.pyramid(chunks, 3, shape, lambda df, name: df, 4, functools.partial(arrays.block_mean, held=True))
+    wanted = {r[:3]: r[3] for r in rows}
+    for made, _ in levels:
+        assert {(r.z, r.y, r.x): r.value for r in arrays.to_voxels(made, held=True).collect()} == wanted
+        sums = collections.Counter()
+        for (z, y, x), value in wanted.items():
+            sums[z // 2, y // 2, x // 2] += value
+        wanted = {place: total // 8 for place, total in sums.items()}
+
+
 def test_upsample_then_stride_is_the_mask(spark):
     rng = np.random.default_rng(7)
     values = sparse(rng, 11, 90, 70).astype("<u2")

@@ -13,7 +13,7 @@ from lamina import queries
 from lamina.functions import colors
 from lamina.operators import brush, components, geometry, nearest, numbering, paths, skeleton, surface, tracking
 from lamina.session import Workspace
-from lamina.sources import tables
+from lamina.sources import tables, volume
 from lamina.streaming import replay
 
 DATA = "/root/testdata/sf0.001"
@@ -453,6 +453,13 @@ def test_hop_neighbourhood_of_15_hops(spark):
     assert 5 < max(hops) <= 15
 
 
+def test_deep_pyramid_has_every_image_voxel(spark):
+    test_query_equals_its_oracle(spark, "R1_deep")
+    made = queries.QUERIES["R1_deep"](spark, DATA)
+    assert made.where("level = 0").count() == volume.image(spark, DATA).count()
+    assert made.where("value = 0").count() > 0
+
+
 def test_entry_imports_without_the_text_package():
     import __spark_entry__ as entry
 
