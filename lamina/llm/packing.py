@@ -6,9 +6,12 @@ over tasks of bounded size by a hash; every task packs its own by best fit, long
 Bins with no more than NEARLY_FULL free places are done; the others go on as items of the
 next round, in fewer tasks, until one task holds them or packing no longer merges them.
 
-Tokens of a text are those of its space-separated chunks in a row, as the tokenizer drops
-white space and never joins across it; a chunk's ids are remembered. Texts with white space
-other than space, tab and line ends take the tokenizer's own path.
+Tokens of a text are those of its space-separated words in a row, as the tokenizer drops
+white space and never joins across it; a word's ids are remembered. Latin-1 texts are lowered and
+split as bytes, as the normaliser and the pre-tokenizer would, and the model gets each new
+pre-token. Texts with other characters go by words, and words that hold such characters or
+special strings through the tokenizer; texts with white space other than space, tab and line
+ends take the tokenizer's own path as a whole.
 
 Null and empty texts are one piece with END_ID alone; repeated rows are packed each; a row
 with a null doc_id is packed like any other; an empty table gives an empty result.
@@ -21,7 +24,8 @@ import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,12 +39,17 @@ SEQUENCE, END_ID = 4096, 1
 NEARLY_FULL = 64
 #: Items of one packing task.
 TASK_ITEMS = 50_000
-#: Chunks whose ids a Python worker keeps.
-CACHE_CHUNKS = 500_000
+#: Words of Latin-1 and others whose ids a Python worker keeps, twice over, and the most characters of one that is kept.
+LATIN_WORDS, OTHER_WORDS, KEPT_CHARACTERS = 500_000, 100_000, 32
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
-PUNCTUATION = ".,;:!?"
-#: Letters whose lower case is one letter, in every version of Unicode.
-CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
+#: The same in Latin-1.
+OTHER_SPACES = tuple(bytes([b]) for b in range(256) if OTHER_SPACE.match(chr(b)))
+#: Lower case of Latin-1, whose letters have one in every version of Unicode; of spaces, a space.
+LOWERED = bytes(32 if b in b" \t\n\r" else b + 32 if b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" or (0xC0 <= b <= 0xDE and b != 0xD7) else b for b in range(256))
+LETTERS = bytes(b for b in range(256) if chr(b).isalpha() and LOWERED[b] == b)
+#: The pre-tokenizer's pattern for words of lowered Latin-1: a fixed value of the tokenizer file's format.
+PRETOKEN = re.compile(b"[%b]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)|[^%b0-9\xb2\xb3\xb9\xbc-\xbe]+" % (LETTERS, LETTERS))
+PUNCTUATION = b".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -59,64 +68,99 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+#: Layouts of the ids of short words.
+LAYOUTS = [struct.Struct(f"<{n}I") for n in range(KEPT_CHARACTERS)]
+
+
 def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return LAYOUTS[len(ids)].pack(*ids) if len(ids) < KEPT_CHARACTERS else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Words(dict):
+    """Token ids of words as little-endian 32-bit bytes, found when they are first asked for.
+
+    Once ``most`` are held they become the old ones, of which those asked for again are taken over.
+    """
+
+    def __init__(self, find: Callable[[str | bytes], bytes], most: int):
+        self.find, self.most, self.old = find, most, {}
+
+    def __missing__(self, word: str | bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.find(word)
+        if len(word) <= KEPT_CHARACTERS:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class ChunkTokenizer:
-    """Token ids as little-endian 32-bit bytes, with a cache of chunks and of their stems."""
+    """Token ids of texts as little-endian 32-bit bytes; ids of words and of their pre-tokens are remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Words of letters that normalisation leaves as they are go to the model at once, the others through all steps."""
-        plain, rest = {}, []
-        tokenize = self.tokenizer.model.tokenize
-        for part in parts:
-            if part.isascii() and part.isalpha() and part.islower():
-                plain[part] = pack([t.id for t in tokenize(part)])
-            elif part.isalpha() and part == part.lower() and unicodedata.is_normalized("NFC", part):
-                plain[part] = pack([t.id for t in tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))])
-            else:
-                rest.append(part)
-        return plain | dict(zip(rest, self._encode(rest)))
+        self.tokenize = self.tokenizer.model.tokenize
+        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.raw_specials = tuple(t.encode() for t in self.specials)
+        self.latin, self.other = Words(self._latin_word, LATIN_WORDS), Words(self._other_word, OTHER_WORDS)
 
     def ids(self, text: str) -> bytes:
-        if OTHER_SPACE.search(text):
-            return self._encode([text])[0]
-        words = text.split()
-        missing = set(words).difference(self.cache)
-        if len(self.cache) + 2 * len(missing) > CACHE_CHUNKS:
-            self.cache.clear()
-            missing = set(words)
-        parts = {w: self._parts(w) for w in missing}
-        self.cache.update(self._encode_parts(list({p for ps in parts.values() for p in ps}.difference(self.cache))))
-        for word, ps in parts.items():
-            self.cache[word] = b"".join([self.cache[p] for p in ps])
-        return b"".join(map(self.cache.__getitem__, words))
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """A word without its trailing punctuation, and that; letters end a token, so both stand alone."""
-        if word.isascii() and word.isalpha():
-            return (word.lower(),)
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            if OTHER_SPACE.search(text):
+                return self._encode(text)
+            return b"".join(map(self.other.__getitem__, text.split()))
+        for space in OTHER_SPACES:
+            if space in raw:
+                return self._encode(text)
+        for special in self.raw_specials:
+            if special in raw:
+                return b"".join(map(self.other.__getitem__, text.split()))
+        return b"".join(map(self.latin.__getitem__, raw.translate(LOWERED).split()))
+
+    def _encode(self, text: str) -> bytes:
+        return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _model(self, pretoken: str) -> bytes:
+        """Ids of a normalised pre-token."""
+        return pack([t.id for t in self.tokenize(pretoken.encode().decode("latin-1").translate(BYTE_LETTERS))])
+
+    def _latin_word(self, word: bytes) -> bytes:
+        """Of a word of lowered Latin-1, without specials; each pre-token stands alone."""
+        if word.isalpha():
+            return pack([t.id for t in self.tokenize(word.decode())])
         stem = word.rstrip(PUNCTUATION)
-        if not stem or not stem[-1].isalpha():
-            return (word,)
-        tail = word[len(stem) :]
-        if stem.isascii() and stem.isalpha():
-            stem = stem.lower()
-        elif stem.isalpha() and stem[1:] == stem[1:].lower() and stem[0] in CAPITALS:
-            stem = stem[0].lower() + stem[1:]
-        return (stem, tail) if tail else (stem,)
+        if stem and len(stem) < len(word) and stem[-1] in LETTERS:
+            return self.latin[stem] + self.latin[word[len(stem) :]]
+        parts = PRETOKEN.findall(word)
+        return self._model(word.decode("latin-1")) if len(parts) == 1 else b"".join(map(self.latin.__getitem__, parts))
+
+    def _other_word(self, word: str) -> bytes:
+        """Of a word of a text that isn't Latin-1 or has specials."""
+        if any(special in word for special in self.specials):
+            return self._encode(word)
+        try:
+            return self.latin[word.encode("latin-1").translate(LOWERED)]
+        except UnicodeEncodeError:
+            pass
+        # letters end a token, so what follows stands alone; a lowered letter may end in a mark, which doesn't
+        stem = word.rstrip(PUNCTUATION.decode())
+        if len(stem) < len(word) and stem and stem[-1].lower().isalpha():
+            return self.other[stem] + self.other[word[len(stem) :]]
+        return self._model(word) if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word) else self._encode(word)
+
+
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """One for all tasks of a Python worker, so that its words are found once."""
+    return ChunkTokenizer(path)
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -124,7 +168,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cutter(path: str, sequence: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = ChunkTokenizer(path), pack([END_ID])
+        tokenizer, end = worker_tokenizer(path), pack([END_ID])
         for ids, texts in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(ids, texts):

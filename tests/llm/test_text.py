@@ -235,6 +235,24 @@ def test_chunk_tokens_equal_whole_text_tokens():
         assert t.ids(text) == packing.pack(t.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def test_words_kept_by_a_worker_are_bounded_and_equal_the_library():
+    t = packing.ChunkTokenizer(packing.default_tokenizer())
+    t.latin.most, t.other.most = 20, 5
+    asked = []
+    find = t.latin.find
+    t.latin.find = lambda word: (asked.append(word), find(word))[1]
+    draw = random.Random(11)
+    letters = [chr(i) for i in range(256)] + list("  \n\t''..,;:aeinstrldvmTHE") * 6
+    others = letters + ["ΣΑς", "İ", "İ:", "ﬁ", "\u0331", "漢字", "Ж", "’", "<|endoftext|>", "<|ENDOFTEXT|>", "I'LL", "½", "x" * 100] * 6
+    for i in range(4000):
+        text = "".join(draw.choice(others if i % 2 else letters) for _ in range(draw.randrange(40)))
+        assert t.ids(text) == packing.pack(t.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert max(len(t.latin), len(t.latin.old)) <= 20 and max(len(t.other), len(t.other.old)) <= 5
+    t.ids("Olive olive, OLIVE. olive")
+    assert asked.count(b"olive") == 1  # case and tail make no word of their own
+    assert packing.worker_tokenizer(packing.default_tokenizer()) is packing.worker_tokenizer(packing.default_tokenizer())
+
+
 def test_language_model(docs):
     counts, ends = collections.Counter(), 0
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
