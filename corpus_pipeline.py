@@ -31,6 +31,9 @@ from lamina.session import Workspace
 NEAR_WORDS, NEAR_SIMILARITY = 5, 80
 #: Rows of an Arrow batch in every stage: both the JVM and Python hold a batch of texts.
 BATCH_ROWS = 500
+#: Words that a Python worker keeps for packing, a tenth of what packing alone would: workers live through all stages, beside
+#: a JVM whose heap near dedup has filled.
+PACK_WORDS = 50_000
 
 
 def _without(docs: DataFrame, name: str, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -65,7 +68,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with arrow_rows(spark, BATCH_ROWS):
-        return packing.pack_documents(docs)
+        return packing.pack_documents(docs, words=PACK_WORDS)
 
 
 STAGES = [

@@ -39,8 +39,8 @@ SEQUENCE, END_ID = 4096, 1
 NEARLY_FULL = 64
 #: Items of one packing task.
 TASK_ITEMS = 50_000
-#: Words of Latin-1 and others whose ids a Python worker keeps, twice over, and the most characters of one that is kept.
-LATIN_WORDS, OTHER_WORDS, KEPT_CHARACTERS = 500_000, 100_000, 32
+#: Words of Latin-1 whose ids a Python worker keeps, twice over (of others, a fifth of that), and the most characters of one that is kept.
+KEPT_WORDS, KEPT_CHARACTERS = 500_000, 32
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 #: The same in Latin-1.
 OTHER_SPACES = tuple(bytes([b]) for b in range(256) if OTHER_SPACE.match(chr(b)))
@@ -100,7 +100,7 @@ class Words(dict):
 class ChunkTokenizer:
     """Token ids of texts as little-endian 32-bit bytes; ids of words and of their pre-tokens are remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = KEPT_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -108,7 +108,7 @@ class ChunkTokenizer:
         self.tokenize = self.tokenizer.model.tokenize
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.raw_specials = tuple(t.encode() for t in self.specials)
-        self.latin, self.other = Words(self._latin_word, LATIN_WORDS), Words(self._other_word, OTHER_WORDS)
+        self.latin, self.other = Words(self._latin_word, words), Words(self._other_word, -(-words // 5))
 
     def ids(self, text: str) -> bytes:
         try:
@@ -158,17 +158,20 @@ class ChunkTokenizer:
 
 
 @lru_cache(maxsize=1)
-def worker_tokenizer(path: str) -> ChunkTokenizer:
-    """One for all tasks of a Python worker, so that its words are found once."""
-    return ChunkTokenizer(path)
+def worker_tokenizer(path: str, words: int = KEPT_WORDS) -> ChunkTokenizer:
+    """One for all tasks of a Python worker, so that its words are found once.
+
+    It stays while the worker lives, through the stages of other operators too: ``words`` bounds what they carry.
+    """
+    return ChunkTokenizer(path, words)
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cutter(path: str, sequence: int):
+def _cutter(path: str, sequence: int, words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = worker_tokenizer(path), pack([END_ID])
+        tokenizer, end = worker_tokenizer(path, words), pack([END_ID])
         for ids, texts in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(ids, texts):
@@ -182,9 +185,9 @@ def _cutter(path: str, sequence: int):
     return cut
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, words: int = KEPT_WORDS) -> DataFrame:
     """The pieces of every document; no shuffle."""
-    return id_and_text(docs).mapInArrow(_cutter(tokenizer or default_tokenizer(), sequence), PIECE)
+    return id_and_text(docs).mapInArrow(_cutter(tokenizer or default_tokenizer(), sequence, words), PIECE)
 
 
 def best_fit(sizes: list[int], room: int) -> list[list[int]]:
@@ -257,9 +260,9 @@ def pack_pieces(pieces: DataFrame, work: Workspace, sequence: int = SEQUENCE, ne
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE, words: int = KEPT_WORDS) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset; ``words`` bounds a worker's memory, not the result."""
     work = Workspace(docs.sparkSession, "packing")
-    bins = pack_pieces(cut_pieces(docs, tokenizer, sequence), work, sequence)
+    bins = pack_pieces(cut_pieces(docs, tokenizer, sequence, words), work, sequence)
     offsets = F.transform("pieces", lambda p, i: F.struct(p.alias("p"), F.aggregate(F.slice("pieces", F.lit(1), i), F.lit(0).cast("long"), lambda acc, q: acc + q["length"]).alias("offset")))
     return bins.select("sequence_id", F.explode(offsets).alias("at")).select("at.p.*", "sequence_id", "at.offset")

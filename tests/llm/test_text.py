@@ -253,6 +253,33 @@ def test_words_kept_by_a_worker_are_bounded_and_equal_the_library():
     assert packing.worker_tokenizer(packing.default_tokenizer()) is packing.worker_tokenizer(packing.default_tokenizer())
 
 
+def test_pipeline_packs_with_few_kept_words(spark, monkeypatch):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    path, cutters = packing.default_tokenizer(), []
+    cutter = packing._cutter
+    monkeypatch.setattr(packing, "_cutter", lambda *a: cutters.append(cutter(*a)) or cutters[-1])
+    one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert corpus_pipeline.pack(spark, one, "").count() == 1
+    # what the stage runs in a worker, here: more words than it may keep, of Latin-1 and others, which come twice
+    most = corpus_pipeline.PACK_WORDS
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(2 * most + 1000)]
+    text = " ".join(words + words[-500:])
+    other = " ".join("Ж" + w for w in words[: most // 2])
+    packing.worker_tokenizer.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, other])], ["doc_id", "text"])
+    rows = [r for b in cutters[0](iter([batch])) for r in b.to_pylist()]
+    t = packing.worker_tokenizer(path, most)
+    assert packing.worker_tokenizer.cache_info().misses == 1 and len(t.latin) and len(t.other)
+    assert max(len(t.latin), len(t.latin.old)) <= most <= packing.KEPT_WORDS // 10 and max(len(t.other), len(t.other.old)) <= most // 5
+    plainly = packing.ChunkTokenizer(path)
+    for i, x in ((1, text), (2, other)):
+        assert sum(r["length"] for r in rows if r["doc_id"] == i) == 1 + len(plainly._encode(x)) // 4
+    packing.worker_tokenizer.cache_clear()
+
+
 def test_language_model(docs):
     counts, ends = collections.Counter(), 0
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
