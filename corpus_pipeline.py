@@ -29,7 +29,7 @@ from lamina.session import Workspace
 
 #: Words of an n-gram and least similarity, in hundredths, of near duplicates.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 80
-#: Rows of an Arrow batch in every stage: both the JVM and Python hold a batch of texts.
+#: Rows of an Arrow batch in every stage that takes them: both the JVM and Python hold a batch of texts.
 BATCH_ROWS = 500
 #: Words that a Python worker keeps for packing, a tenth of what packing alone would: workers live through all stages, beside
 #: a JVM whose heap near dedup has filled.
@@ -50,8 +50,7 @@ def _without(docs: DataFrame, name: str, dropped: Callable[[DataFrame], DataFram
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with arrow_rows(spark, BATCH_ROWS):
-        return Workspace(spark, "quality").keep(quality.keep_good(docs, table(spark, sf_dir, "labels")), "kept")
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))  # lazy: a written copy of the texts would stay on disk through all stages
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,8 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    work, docs = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's table goes when the next stage's is written."""
+    work, docs, before = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = work.keep(stage(spark, docs, sf_dir), name)
+        work.drop(*before)
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)

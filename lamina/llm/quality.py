@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lamina.llm.common import id_and_text, label_sample, slices
 
@@ -145,13 +146,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
-    net = docs.sparkSession.sparkContext.broadcast(train(label_sample(docs, labels, "quality", SAMPLE_ROWS, SAMPLE_BYTES)))
-    at = docs.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [net.value.score((t.as_py() or "").encode()) >= threshold for t in batch.column(at)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+    """The rows of docs, with all their columns, whose score reaches the threshold; lazy, and nothing is written.
 
-    return docs.mapInArrow(keep, docs.schema)
+    The function takes no Arrow batches, whose size is the session's when the job runs: Spark hands it 100 texts at a time.
+    """
+    net = docs.sparkSession.sparkContext.broadcast(train(label_sample(docs, labels, "quality", SAMPLE_ROWS, SAMPLE_BYTES)))
+    good = F.udf(lambda text: net.value.score((text or "").encode()) >= threshold, "boolean", useArrow=False)
+    return docs.where(good("text"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -596,6 +597,18 @@ def test_pipeline_edge_cases(spark, labels, benchmark, tmp_path):
     assert collections.Counter(r.doc_id for r in packed) == collections.Counter(i for i, _ in rows)
 
 
+def test_pipeline_leaves_no_copies_of_texts(spark):
+    """Quality writes no table, and of the stages' tables only the last stays."""
+    import corpus_pipeline as pipeline
+
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    assert pipeline.keep_quality(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA).count() > 0
+    assert set(shared.iterdir()) == before
+    assert pipeline.run(spark, DATA).count() > 0
+    assert [p.name for new in set(shared.glob("pipeline-*")) - before for p in new.iterdir()] == ["decontaminate"]
+
+
 def test_network_score_by_definition():
     """A text's score from every filter at every place of every chunk, by loops."""
     net, rng = quality.Network(9), random.Random(9)
