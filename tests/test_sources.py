@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.jobs import preprocess as job
+from lamina.operators import surface
 from lamina.sources import arrays, files, mesh_files, tables, tiff, volume_files, zarr
 
 
@@ -467,3 +468,22 @@ def test_meshes_face_outwards_and_enclose_their_voxels(spark, tmp_path, band):
     os.remove(tmp_path / "meshes/files" / next(n for n in rows if n.startswith("outer_2")))
     with pytest.raises(Exception, match="FileNotFoundError"):
         mesh_files.read_sizes(index, path).collect()
+
+
+def test_a_mesh_in_bands_counts_as_one_and_far_down_too(spark, tmp_path):
+    """Sizes and points are those of the mesh in one file, whatever its bands cut through, and exact far from the origin."""
+    rng = np.random.default_rng(4)
+    solid = {(1, *map(int, v)) for v in np.argwhere(rng.random((11, 5, 5)) < 0.6)} | {(2, z, 1, 1) for z in (2, 3, 7)}
+    for far in (0, 23_000):
+        df = spark.createDataFrame([(k, z + far, y, x) for k, z, y, x in sorted(solid)], "label_id int, z int, y int, x int")
+        found = {}
+        for band in (256, 1, 3, 4) if not far else (256, 100_000):
+            path = str(tmp_path / f"meshes{far}_{band}")
+            mesh_files.write_meshes(df, ["label_id"], (2.0, 1.0, 0.5), F.format_string("outer_%d", "label_id"), path, 11 + far, band)
+            index = mesh_files.read_index(spark, path)
+            sizes = sorted(map(tuple, mesh_files.read_sizes(index, path).collect()))
+            found[band] = (sizes, sorted(map(tuple, mesh_files.read_points(index, path).collect())))
+            assert [s[0] for s in sizes] == ["outer_1", "outer_2"]
+        corners = surface.quads(df, ["label_id"])
+        wanted = sorted((f"outer_{r.label_id}", r.vx, r.vy, r.vz) for r in surface.vertices(corners, ["label_id"], (2.0, 1.0, 0.5)).collect())
+        assert all(f[0] == found[256][0] and f[1] == wanted for f in found.values())
