@@ -13,7 +13,7 @@ from lamina.sources import mesh_files
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["S10", "S10_sizes", "K4_files"])
+@pytest.mark.parametrize("name", ["S10", "S10_sizes", "K4_files", "S13"])
 def test_meshes_in_bands_are_those_of_the_sql(spark, monkeypatch, name):
     """The volume is 20 slices deep, so bands of 6 slices make files as those of 256 do in a deep one."""
     monkeypatch.setattr(mesh_files.write_meshes, "__defaults__", (6,))
