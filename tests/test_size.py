@@ -40,7 +40,7 @@ def broadcast_joins(spark, run) -> set[tuple[str, ...]]:
     return {tuple(re.sub(r"#\d+L?", "", c) for c in k.split(", ")) for k in keys}
 
 
-@pytest.mark.parametrize("name", ["A7", "C3", "A9", "A10", "C4", "G12", "G11", "J6", "J12", "K3", "M3", "O3", "A8", "G4", "G6", "G17", "G21", "G22", "G5", "U5", "S9_label", "S9", "T3", "J15_rays"])
+@pytest.mark.parametrize("name", ["A7", "C3", "A9", "A10", "C4", "G12", "G11", "J6", "J12", "K3", "M3", "O3", "A8", "G4", "G6", "G17", "G21", "G22", "G5", "U5", "S9_label", "S9", "T3", "J15_rays", "G7"])
 def test_tables_of_the_volume_are_not_broadcast(spark, name):
     """The tables are a few kB here, as files or before they are spread; Spark would hold them for small at any size of the volume."""
     small = {"spark.sql.autoBroadcastJoinThreshold": "64k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1"}
